@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from facetwatch.llm.common import scratch, table
 from facetwatch.llm.decontaminate import decontaminate
+from facetwatch.llm.language import identify
 from facetwatch.llm.line_dedup import line_dedup
 from facetwatch.llm.packing import pack
 from facetwatch.llm.registry import vocabulary
@@ -22,6 +23,11 @@ def _only(docs: DataFrame, rows: DataFrame) -> DataFrame:
     return rows.select(*docs.columns)
 
 
+def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents without a language: no letter, or no language with half of the text."""
+    return _only(docs, identify(docs).where("lang_pred <> 'und' and score >= 0.5"))
+
+
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes boilerplate lines; documents that lose every line go, others keep what is left."""
     rows = line_dedup(docs).where("n_removed = 0 or trim(text) <> ''")
@@ -44,7 +50,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "sequence_tokens")
 
 
-STAGES = [("lines", lines), ("near_copies", near_copies), ("benchmark", benchmark), ("packing", packing)]
+STAGES = [("languages", languages), ("lines", lines), ("near_copies", near_copies), ("benchmark", benchmark), ("packing", packing)]
 
 #: Packing and language ID are not expressible in SQL; the tests hold run() against brute force.
 ORACLE_SQL = None

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from facetwatch.llm.common import table
+from facetwatch.llm.common import scratch, table
 
 #: Fixed value: the vocabulary file that counts and packs documents.
 VOCABULARY = "word_bpe_49k.json"
@@ -30,6 +30,13 @@ def op3_decontamination(spark, sf_dir):
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select("doc_id", "item_id", "n_shingles", "n_shared", F.round("containment", 6).alias("containment"))
 
 
+def op4_language_id(spark, sf_dir):
+    from facetwatch.llm.language import held_out, identify
+
+    docs = table(spark, sf_dir, "documents")
+    return identify(docs).select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score", F.size("mixture").alias("n_languages"))
+
+
 def op5_simhash(spark, sf_dir):
     from facetwatch.llm.simhash import simhash_components
 
@@ -43,6 +50,13 @@ def op6_line_dedup(spark, sf_dir):
     return rows.select("doc_id", "n_lines", "n_removed", F.char_length("text").cast("long").alias("n_kept_chars"), F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op7_warc(spark, sf_dir):
+    from facetwatch.llm.warc import read_archives, write_archives
+
+    manifest = write_archives(table(spark, sf_dir, "pages"), scratch(spark, "warc"))
+    return read_archives(manifest, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op8_token_counts(spark, sf_dir):
     from facetwatch.llm.tokens import token_counts
 
@@ -55,7 +69,13 @@ def op9_exact_dedup(spark, sf_dir):
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op3_decontamination, op5_simhash, op6_line_dedup, op8_token_counts, op9_exact_dedup)}
+def op10_licenses(spark, sf_dir):
+    from facetwatch.llm.licenses import license_scan
+
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op3_decontamination, op4_language_id, op5_simhash, op6_line_dedup, op7_warc, op8_token_counts, op9_exact_dedup, op10_licenses)}
 
 ORACLE_SQL = {
     "op9_exact_dedup": r"""
@@ -72,6 +92,12 @@ ORACLE_SQL = {
         s AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed, coalesce(string_agg(raw, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '') AS clean FROM k GROUP BY doc_id)
         SELECT doc_id, n_lines::INTEGER AS n_lines, n_removed::INTEGER AS n_removed, length(clean) AS n_kept_chars, sha256(clean) AS kept_sha256 FROM s
     """,
+    "op7_warc": r"""
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS n FROM pages),
+        m AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS top FROM p)
+        SELECT page_id, n AS payload_bytes, sha1(html) AS payload_digest, CASE WHEN n >= 1000 AND page_id <> top THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN n >= 1000 AND page_id <> top THEN top END AS refers_to FROM m
+    """,
     "op3_decontamination": r"""
         WITH dn AS (SELECT doc_id, trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')) AS norm FROM documents),
         bn AS (SELECT item_id, trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')) AS norm FROM benchmark),
