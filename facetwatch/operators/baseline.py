@@ -15,6 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from facetwatch.schemas import long, observations
 
@@ -74,7 +75,7 @@ def vector_baseline(obs: DataFrame, unit: str, features: list[str]) -> DataFrame
     both = spread.join(covariances(obs, unit, features), unit)
     pairs = list(combinations_with_replacement(range(k), 2))
     packed = both.select(unit, "median", "std", "n_complete", "n_rows", F.array(*(F.col(f"cov_{i}_{j}") for i, j in pairs)).alias("cov"))
-    schema = packed.select(unit, "median", "std").schema.add("cov_inv", "array<double>").add("n_complete", "long")
+    schema = packed.select(unit, "median", "std").schema.add("cov_inv", T.ArrayType(T.DoubleType())).add("n_complete", T.LongType())
 
     def invert(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:

@@ -11,6 +11,7 @@ from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from facetwatch.operators.score import dot
 from facetwatch.schemas import observations
@@ -122,7 +123,7 @@ def dbscan_labels(x: np.ndarray, eps: float, min_samples: int, block: int = 1024
 
 
 def dbscan(df: DataFrame, group: str, keys: list[str], features: list[str], eps: float = 1.75, min_samples: int = 2) -> DataFrame:
-    """``group, keys, label`` per group; rows with a missing feature get a NULL label.
+    """``group, keys, cluster`` per group; rows with a missing feature get a NULL cluster.
 
     A group is one facet's history or one frame's facets: both are bounded by
     the archive's shape, not by its size as a whole.
@@ -133,7 +134,7 @@ def dbscan(df: DataFrame, group: str, keys: list[str], features: list[str], eps:
 def per_group(df: DataFrame, group: str, keys: list[str], features: list[str], extract: Callable[[np.ndarray], np.ndarray], cluster: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
     """Any extractor and cluster function per group, over the matrix of features in key order."""
     rows = observations(df.select(group, *keys, *features), features)
-    schema = rows.select(group, *keys).schema.add("label", "int")
+    schema = rows.select(group, *keys).schema.add("cluster", T.IntegerType())
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(keys)
@@ -141,14 +142,14 @@ def per_group(df: DataFrame, group: str, keys: list[str], features: list[str], e
         label = pd.array([None] * len(pdf), dtype="Int32")
         if whole.any():
             label[whole] = np.asarray(cluster(extract(pdf.loc[whole, features].to_numpy(float)))).astype("int32")
-        return pdf[[group, *keys]].assign(label=label)
+        return pdf[[group, *keys]].assign(cluster=label)
 
     return rows.groupBy(group).applyInPandas(run, schema)
 
 
 def noise(labels: DataFrame) -> DataFrame:
     """Rows that DBSCAN put in no cluster."""
-    return labels.where("label = -1")
+    return labels.where("cluster = -1")
 
 
 def neighbour_noise(df: DataFrame, group: str, key: str, array: str, eps: float) -> DataFrame:
@@ -189,7 +190,7 @@ def isolation_scores(x: np.ndarray, trees: int = 100, sample: int = 256, seed: i
 def isolation_forest(df: DataFrame, group: str, keys: list[str], features: list[str], contamination: float = 0.05, trees: int = 100, seed: int = 0) -> DataFrame:
     """``group, keys, score, is_outlier`` per group; the cut is a percentile of the scores."""
     rows = observations(df.select(group, *keys, *features), features).dropna(subset=features)
-    schema = rows.select(group, *keys).schema.add("score", "double").add("is_outlier", "boolean")
+    schema = rows.select(group, *keys).schema.add("score", T.DoubleType()).add("is_outlier", T.BooleanType())
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(keys)
