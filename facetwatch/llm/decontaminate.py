@@ -96,10 +96,10 @@ def leaks(
         pairs = seen.join(F.broadcast(sig), "h")
     else:
         seen = words.select("doc_id", "text_key", F.explode(hashes).alias("h")).where(F.col("h") <= F.lit(top))
-        found = seen.join(sig.select("h", "item_id"), "h").select("doc_id", "text_key", "item_id").distinct()
+        found = seen.join(sig.select("h", "item_id"), "h").select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key"), "item_id").distinct()
         whole = sig.select("item_id", "shingles", "need").distinct()
-        same = texts.doc_id.eqNullSafe(found.doc_id) & (texts.text_key == found.text_key)
-        pairs = texts.join(found, same).select(texts.doc_id, texts.text_key, "norm", "item_id").join(whole, "item_id")
+        same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("text_key") == F.col("_key"))
+        pairs = texts.join(found, same).select("doc_id", "text_key", "norm", "item_id").join(whole, "item_id")
     padded = F.concat(F.lit(" "), F.col("norm"), F.lit(" "))
     pairs = pairs.select("doc_id", "text_key", "item_id", "need", F.size("shingles").alias("n_shingles"), F.size(F.filter("shingles", lambda s: F.contains(padded, F.concat(F.lit(" "), s, F.lit(" "))))).alias("n_shared"))
     pairs = pairs.where("n_shared >= need").withColumn("containment", F.col("n_shared") / F.col("n_shingles"))

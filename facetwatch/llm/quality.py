@@ -8,8 +8,10 @@ view has a logistic model.
 Sample. The models are fitted on a bounded sample: rows whose id hash falls
 below a threshold that is set so that about ``sample_rows`` labelled rows fall
 in it; the unlabelled rows below the threshold are the pool. The vocabulary is
-the ``max_features`` most frequent words of that sample, counted by Spark. A
-fifth of the labelled rows is set aside for calibration.
+the ``max_features`` most frequent words of that sample, counted by Spark, of
+which the content view keeps those whose shares differ most between the
+classes. A fifth of the labelled rows is set aside for calibration. Classes are
+weighted equally, so a score of 0.5 is the border whatever their shares are.
 
 Rounds. In each round both views are fitted, score the pool, and hand the rows
 they are most sure of, as pseudo-labels, to the other view; those rows leave
@@ -43,6 +45,8 @@ _TOKEN = re.compile(r"\w+|[^\w\s]{1,8}")
 _PLACES = 64
 N_META = 2 * _PLACES + 12
 _RANGE = 1 << 20
+#: Rows of each class that the rows set aside must have to calibrate alone.
+LEAST_ASIDE = 25
 
 
 def content_tokens(text: str | None) -> set[str]:
@@ -74,9 +78,16 @@ class Rows:
 
     def __init__(self, rows: list[np.ndarray], width: int):
         self.width, self.n = width, len(rows)
-        self.len = np.array([len(r) for r in rows], int)
         self.at = np.concatenate([*rows, np.zeros(0, int)]).astype(int)
-        self.row = np.repeat(np.arange(self.n), self.len)
+        self.row = np.repeat(np.arange(self.n), [len(r) for r in rows]) if rows else np.zeros(0, int)
+
+    def only(self, features: np.ndarray) -> Rows:
+        """The same rows with some of the features, renumbered."""
+        place = np.full(self.width, -1)
+        place[features] = np.arange(len(features))
+        out, stay = Rows([], len(features)), place[self.at] >= 0
+        out.n, out.at, out.row = self.n, place[self.at][stay], self.row[stay]
+        return out
 
     def dot(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, weights=w[self.at], minlength=self.n)
@@ -133,18 +144,38 @@ class CoTrained:
         return sigmoid(a), sigmoid(b), sigmoid(self.combine[0] * a + self.combine[1] * b + self.combine[2])
 
 
-def co_train(content: Rows, meta: Dense, y: np.ndarray, labelled: np.ndarray, aside: np.ndarray, rounds: int = 3, share: float = 0.05, sure: float = 0.9) -> CoTrained:
-    """Rounds of exchange; ``y`` counts where ``labelled``, and ``aside`` rows only calibrate."""
+def telling(x: Rows, y: np.ndarray, known: np.ndarray, keep: int) -> np.ndarray:
+    """The features whose shares in the two classes differ by the most standard errors."""
+    one, zero = known * y, known * (1 - y)
+    n1, n0, t1, t0 = x.back(one), x.back(zero), max(one.sum(), 1.0), max(zero.sum(), 1.0)
+    p = (n1 + n0) / (t1 + t0)
+    z = np.abs(n1 / t1 - n0 / t0) / np.sqrt(p * (1 - p) * (1 / t1 + 1 / t0) + 1e-9)
+    return np.sort(np.argsort(-z, kind="stable")[:keep])
+
+
+def balanced(y: np.ndarray, use: np.ndarray) -> np.ndarray:
+    """Row weights under which both classes weigh the same."""
+    one, zero = max((use * y).sum(), 1e-9), max((use * (1 - y)).sum(), 1e-9)
+    return use * np.where(y == 1, (one + zero) / 2 / one, (one + zero) / 2 / zero)
+
+
+def co_train(content: Rows, meta: Dense, y: np.ndarray, labelled: np.ndarray, aside: np.ndarray, rounds: int = 3, share: float = 0.05, sure: float = 0.97, keep: int = 1000) -> CoTrained:
+    """Rounds of exchange; ``y`` counts where ``labelled``, and ``aside`` rows only calibrate.
+
+    A view hands over only rows it is ``sure`` of under balanced classes, so
+    that a view that merely knows the larger class has nothing to say.
+    """
     known = labelled & ~aside
     prior = float(y[labelled].mean()) if labelled.any() else 0.5
     if not 0 < y[known].sum() < known.sum():
         return CoTrained(None, None, [], None, prior)
-    views, w = [content, meta], [None, None]
+    best = telling(content, y, known.astype(float), keep)
+    views, w = [content.only(best), meta], [None, None]
     target = [np.where(known, y, 0.0) for _ in views]
     use = [known.astype(float) for _ in views]
     pool = ~labelled
     for r in range(rounds + 1):
-        w = [fit(x, t, u, old, steps=80 if r == 0 else 30) for x, t, u, old in zip(views, target, use, w, strict=True)]
+        w = [fit(x, t, balanced(t, u), old, steps=150 if r == 0 else 40) for x, t, u, old in zip(views, target, use, w, strict=True)]
         if r == rounds or not pool.any():
             break
         gone = np.zeros(len(y), bool)
@@ -152,21 +183,26 @@ def co_train(content: Rows, meta: Dense, y: np.ndarray, labelled: np.ndarray, as
             p, other = sigmoid(x.dot(w[k][:-1]) + w[k][-1]), 1 - k
             for cls, score, part in ((1.0, p, prior), (0.0, 1 - p, 1 - prior)):
                 free = np.flatnonzero(pool & (score >= sure))
-                best = free[np.argsort(-score[free], kind="stable")][: max(1, int(share * part * pool.sum()))]
-                target[other][best], use[other][best] = cls, 0.5
-                gone[best] = True
+                first = free[np.argsort(-score[free], kind="stable")][: max(1, int(share * part * pool.sum()))]
+                target[other][first], use[other][first] = cls, 0.5
+                gone[first] = True
         pool &= ~gone
-    test = labelled & aside if (labelled & aside).any() and 0 < y[labelled & aside].sum() < (labelled & aside).sum() else known
+    test = labelled & aside
+    if min(y[test].sum(), (1 - y[test]).sum()) < LEAST_ASIDE:
+        test = labelled
     z = [x.dot(v[:-1]) + v[-1] for x, v in zip(views, w, strict=True)]
-    platt = [fit(Dense(a[test][:, None]), y[test], np.ones(test.sum()), np.array([1.0, 0.0]), 0.01, 200, 0.05) for a in z]
+    even = balanced(y[test], np.ones(test.sum()))
+    platt = [fit(Dense(a[test][:, None]), y[test], even, np.array([1.0, 0.0]), 0.01, 200, 0.05) for a in z]
     both = np.stack([p[0] * a + p[1] for p, a in zip(platt, z, strict=True)], axis=1)[test]
-    combine = fit(Dense(both), y[test], np.ones(test.sum()), np.array([1.0, 0.2, 0.0]), 0.01, 200, 0.05)
-    return CoTrained(w[0], w[1], platt, combine, prior)
+    combine = fit(Dense(both), y[test], even, np.array([1.0, 0.2, 0.0]), 0.01, 200, 0.05)
+    whole = np.zeros(content.width + 1)
+    whole[best], whole[-1] = w[0][:-1], w[0][-1]
+    return CoTrained(whole, w[1], platt, combine, prior)
 
 
 def quality_scores(
     docs: DataFrame, labels: DataFrame, targets: tuple[str, ...] = ("quality", "toxic"), id_col: str = "doc_id", text_col: str = "text",
-    source_col: str = "source", lang_col: str = "lang", size_col: str = "n_chars", sample_rows: int = 8000, max_features: int = 60_000, least_rows: int = 5, rounds: int = 3,
+    source_col: str = "source", lang_col: str = "lang", size_col: str = "n_chars", sample_rows: int = 12_000, max_features: int = 60_000, least_rows: int = 5, rounds: int = 3,
 ) -> DataFrame:
     """``doc_id`` and, per target, ``<target>_content, <target>_meta, <target>_score``."""
     spark = docs.sparkSession

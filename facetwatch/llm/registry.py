@@ -24,6 +24,14 @@ def op1_packing(spark, sf_dir):
     return rows.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "sequence_tokens", "loss_tokens")
 
 
+def op2_quality(spark, sf_dir):
+    from facetwatch.llm.quality import quality_scores
+
+    rows = quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    kept = (F.col("quality_score") >= 0.5) & (F.col("toxic_score") < 0.5)
+    return rows.select("doc_id", "quality_content", "quality_meta", "quality_score", "toxic_content", "toxic_meta", "toxic_score", F.coalesce(kept, F.lit(True)).alias("kept"))
+
+
 def op3_decontamination(spark, sf_dir):
     from facetwatch.llm.decontaminate import leaks
 
@@ -75,7 +83,7 @@ def op10_licenses(spark, sf_dir):
     return license_scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op3_decontamination, op4_language_id, op5_simhash, op6_line_dedup, op7_warc, op8_token_counts, op9_exact_dedup, op10_licenses)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_quality, op3_decontamination, op4_language_id, op5_simhash, op6_line_dedup, op7_warc, op8_token_counts, op9_exact_dedup, op10_licenses)}
 
 ORACLE_SQL = {
     "op9_exact_dedup": r"""
