@@ -1,0 +1,218 @@
+"""Registry of feature families: name, output columns, and a function of one patch.
+
+A family sees a :class:`Patch` and returns one number per column. Users add
+their own with :func:`register`; a family that fails gives NULLs for its columns.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+from dataclasses import dataclass
+
+import numpy as np
+
+from facetwatch.functions import pixels as px
+
+
+@dataclass
+class Patch:
+    """One facet of one frame: gray levels, colours if any, its mask, and what was made once per facet."""
+
+    gray: np.ndarray
+    color: np.ndarray | None
+    mask: np.ndarray
+    core: np.ndarray
+    fill: np.ndarray
+
+    @property
+    def filled(self) -> np.ndarray:
+        """Gray levels with the background taken from the nearest pixel inside."""
+        return self.gray.ravel()[self.fill].reshape(self.gray.shape)
+
+    @property
+    def all(self) -> np.ndarray:
+        return np.ones(self.gray.shape, bool)
+
+
+FAMILIES: dict[str, tuple[list[str], Callable[[Patch], list[float]]]] = {}
+
+
+def register(name: str, columns: list[str]):
+    def put(f):
+        FAMILIES[name] = (columns, f)
+        return f
+
+    return put
+
+
+GLCM = ["glcm_contrast", "glcm_dissimilarity", "glcm_homogeneity", "glcm_energy", "glcm_correlation"]
+EDGE = ["sobel_mean", "laplacian_mean", "laplacian_std", "edge_density"]
+
+
+@register("photometric", ["median", "cov", "robust_cov", "iqr_norm", "rng_norm", "sat_frac"])
+def _(p: Patch):
+    return px.photometric(p.gray, p.mask)
+
+
+@register("masked_edges", EDGE)
+def _(p: Patch):
+    return px.edge_measures(p.filled, p.core)
+
+
+@register("masked_glcm", GLCM)
+def _(p: Patch):
+    return px.glcm_measures(p.gray, p.mask)
+
+
+@register("masked_lbp", ["lbp_entropy", "lbp_nonuniform"])
+def _(p: Patch):
+    return px.lbp_measures(p.gray, p.core)
+
+
+@register("glcm", GLCM)
+def _(p: Patch):
+    return px.glcm_measures(p.gray, p.all, 256, symmetric=False)
+
+
+@register("lbp", ["lbp_entropy", "lbp_uniformity"])
+def _(p: Patch):
+    h = px.shares(px.lbp(p.gray), 10)
+    return [px.entropy(h), h.max()]
+
+
+@register("edges", EDGE)
+def _(p: Patch):
+    return px.edge_measures(p.gray, p.all, 1)
+
+
+@register("brightness", ["brightness_mean", "brightness_cov"])
+def _(p: Patch):
+    return [p.gray.mean(), p.gray.std() / (p.gray.mean() + 1e-8)]
+
+
+@register("ranking", ["lbp_mean", "lbp_std", "lbp_entropy", *GLCM])
+def _(p: Patch):
+    codes = px.lbp(p.gray)
+    return [codes.mean(), codes.std(), px.entropy(px.shares(codes, 10)), *px.glcm_measures(p.gray, p.all, 256, angles=1, symmetric=False)]
+
+
+_SCALES = [(1, 8), (2, 16), (3, 24)]
+
+
+@register("texture", [f"lbp{r}_entropy" for r, _ in _SCALES] + [f"glcm{d}_{n}_{s}" for d in (1, 3) for n in ("contrast", "homogeneity", "energy") for s in ("mean", "std")] + [*EDGE, "intensity_mean", "intensity_std"])
+def _(p: Patch):
+    out = [px.entropy(px.shares(px.lbp(p.gray, n, r), n + 2)) for r, n in _SCALES]
+    q = np.clip(p.gray / 8, 0, 31).astype(int)
+    i, j = np.indices((32, 32))
+    for d in (1, 3):
+        m = px.cooccurrence(q, p.all, 32, d)
+        m = m / np.maximum(m.sum(axis=(1, 2), keepdims=True), 1)
+        for v in ((m * (i - j) ** 2).sum(axis=(1, 2)), (m / (1 + (i - j) ** 2)).sum(axis=(1, 2)), np.sqrt((m * m).sum(axis=(1, 2)))):
+            out += [v.mean(), v.std()]
+    return [*out, *px.edge_measures(p.gray, p.all, 1), p.gray.mean(), p.gray.std()]
+
+
+@register("color", ["rg_ratio", "rb_ratio", "gb_ratio", "hue_mean", "hue_std", "sat_mean", "sat_std", "val_mean", "val_std", "hue_entropy", "hue_peak"] + [f"{c}_{m}" for c in "bgr" for m in ("skew", "kurtosis")] + ["fft_low", "fft_high", "direction_std", "uniformity", "smoothness", "corner_share"])
+def _(p: Patch):
+    c = p.color.astype(float)
+    b, g, r = (c[:, :, k].mean() for k in range(3))
+    h, s, v = px.hsv(p.color)
+    hues = px.shares(h.ravel(), 180)
+    out = [r / (g + 1e-6), r / (b + 1e-6), g / (b + 1e-6), h.mean(), h.std(), s.mean(), s.std(), v.mean(), v.std(), px.entropy(hues), float(hues.argmax())]
+    for k in range(3):
+        out += px.moments(c[:, :, k].ravel())[2:]
+    sx, sy, _ = px.gradients(p.gray)
+    # Corner strength: Harris' measure of summed gradient products.
+    box = lambda a: sum(px.shifted(a, y, x) for y in (-1, 0, 1) for x in (-1, 0, 1))
+    xx, yy, xy = box(sx * sx), box(sy * sy), box(sx * sy)
+    strength = xx * yy - xy * xy - 0.04 * (xx + yy) ** 2
+    p2 = px.shares(p.gray.ravel(), 256)
+    var = p.gray.var() / 255**2
+    return [*out, *px.spectrum(p.gray), np.arctan2(sy, sx).std(), (p2**2).sum(), 1 - 1 / (1 + var), (strength > 0.01 * max(strength.max(), 1e-9)).mean()]
+
+
+@register("degradation", ["entropy", "gradient_mean", "gradient_std", "homogeneity", "correlation", "contrast", "lbp_dominance"])
+def _(p: Patch):
+    sx, sy, _ = px.gradients(p.gray)
+    mag, glcm = np.hypot(sx, sy), px.glcm_measures(p.gray, p.all, 256, angles=1)
+    return [px.entropy(px.shares(p.gray.ravel(), 256)), mag.mean(), mag.std(), glcm[2], glcm[4], glcm[0], px.shares(px.lbp(p.gray), 10).max()]
+
+
+@register("quality", ["laplacian_var", "high_frequency", "roughness", "peak_share"])
+def _(p: Patch):
+    g = p.gray
+    sx, sy, lap = px.gradients(g)
+    top = np.ones(g.shape, bool)
+    for y, x in ((0, 1), (0, -1), (1, 0), (-1, 0)):
+        top &= g > px.shifted(g, y, x, -1)
+    return [lap.var(), px.spectrum(g)[1], np.hypot(sx, sy).std(), top.mean()]
+
+
+@register("rgb", [f"{c}_{m}" for c in "bgr" for m in ("mean", "std")] + ["entropy", "p75", "gradient", "bright_share", "dark_share"])
+def _(p: Patch):
+    c = p.color.astype(float)
+    sx, sy, _ = px.gradients(p.gray)
+    return [f(c[:, :, k]) for k in range(3) for f in (np.mean, np.std)] + [px.entropy(px.shares(p.gray.ravel(), 256)), np.percentile(p.gray, 75), np.hypot(sx, sy).mean(), (p.gray > 200).mean(), (p.gray < 50).mean()]
+
+
+@register("basic", ["brightness_mean", "brightness_std", "brightness_min", "brightness_max", "skewness", "kurtosis"])
+def _(p: Patch):
+    m = px.moments(p.gray.ravel())
+    return [m[0], m[1], p.gray.min(), p.gray.max(), *m[2:]]
+
+
+@register("small", ["luminance", "saturation", "variance", "gradient", "skew", "entropy32"])
+def _(p: Patch):
+    sx, sy, _ = px.gradients(p.gray)
+    return [p.gray.mean(), px.hsv(p.color)[1].mean(), p.gray.var(), np.hypot(sx, sy).mean(), px.moments(p.gray.ravel())[2], px.entropy(px.shares(p.gray.ravel() // 8, 32))]
+
+
+@register("color_hist", [f"color_{k}" for k in range(128)] + [f"lbp2_{k}" for k in range(18)])
+def _(p: Patch):
+    h, s, v = px.hsv(p.color)
+    n = np.bincount((np.minimum(h * 8 // 180, 7) * 16 + np.minimum(s // 64, 3) * 4 + np.minimum(v // 64, 3)).astype(int).ravel(), minlength=128).astype(float)
+    return [*(n / max(np.sqrt((n * n).sum()), 1e-9)), *px.shares(px.lbp(p.gray, 16, 2).ravel(), 18)]
+
+
+@register("raw", [f"px_{k}" for k in range(288)])
+def _(p: Patch):
+    return list(px.shrink(p.gray, 18, 16).ravel() / 255)
+
+
+@register("hog", [f"hog_{k}" for k in range(324)])
+def _(p: Patch):
+    return list(px.hog(px.shrink(p.gray, 16, 16)))
+
+
+@register("statistics", ["mean", "std", "min", "max", "median", "range"])
+def _(p: Patch):
+    g = p.gray
+    return [g.mean(), g.std(), g.min(), g.max(), np.median(g), g.max() - g.min()]
+
+
+#: The standard vector: plain co-occurrence, patterns and edges, in the order of ``schemas.FEATURES``.
+STANDARD = ["glcm", "lbp", "edges"]
+
+
+def columns(families: list[str]) -> list[str]:
+    """Columns of some families; a name that two of them share is an error."""
+    unknown = [f for f in families if f not in FAMILIES]
+    if unknown:
+        raise KeyError(f"unknown families: {unknown}")
+    out = [c for f in families for c in FAMILIES[f][0]]
+    if len(set(out)) < len(out):
+        raise ValueError(f"families share columns: {sorted({c for c in out if out.count(c) > 1})}")
+    return out
+
+
+def measure(patch: Patch, families: list[str]) -> list[float | None]:
+    """Numbers of some families; NULL where one fails or has none."""
+    out: list[float | None] = []
+    for f in families:
+        names, run = FAMILIES[f]
+        try:
+            got = [float(v) for v in run(patch)]
+        except (ValueError, IndexError, ZeroDivisionError, FloatingPointError, AttributeError):
+            got = [px.NAN] * len(names)
+        out += [v if np.isfinite(v) else None for v in got]
+    return out

@@ -14,6 +14,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Fixed value: keeps ratios finite on black patches.
+EPS = 1e-8
 SOBEL_X = {(dy, dx): float(dx * (2 - abs(dy))) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dx}
 SOBEL_Y = {(dy, dx): float(dy * (2 - abs(dx))) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dy}
 LAPLACE = {(0, 0): -4.0, (0, 1): 1.0, (0, -1): 1.0, (1, 0): 1.0, (-1, 0): 1.0}
@@ -29,7 +31,7 @@ def pixel_table(df: DataFrame, key: str, array: str, width: int) -> DataFrame:
 
 
 def photometric(pixels: DataFrame, least: int = 10) -> DataFrame:
-    """Median, variation, robust variation, quartile and full range over the median, saturated share.
+    """Median, variation, robust variation, quartile and 5-95 % ranges over the median, saturated share.
 
     NULL below ``least`` pixels.
     """
@@ -37,10 +39,10 @@ def photometric(pixels: DataFrame, least: int = 10) -> DataFrame:
     w = Window.partitionBy("patch")
     rows = pixels.withColumn("_med", F.median(v).over(w))
     out = rows.groupBy("patch").agg(
-        F.count("v").alias("n"), F.first("_med").alias("median"), F.try_divide(F.stddev_pop(v), F.avg(v)).alias("cov"),
-        F.try_divide(1.4826 * F.median(F.abs(v - F.col("_med"))), F.first("_med")).alias("robust_cov"),
-        F.try_divide(F.percentile(v, 0.75) - F.percentile(v, 0.25), F.first("_med")).alias("iqr_norm"),
-        F.try_divide(F.max(v) - F.min(v), F.first("_med")).alias("rng_norm"), F.avg((v >= 250).cast("double")).alias("sat_frac"),
+        F.count("v").alias("n"), F.first("_med").alias("median"), (F.stddev_pop(v) / (F.avg(v) + EPS)).alias("cov"),
+        (1.4826 * F.median(F.abs(v - F.col("_med"))) / (F.first("_med") + EPS)).alias("robust_cov"),
+        ((F.percentile(v, 0.75) - F.percentile(v, 0.25)) / (F.first("_med") + EPS)).alias("iqr_norm"),
+        ((F.percentile(v, 0.95) - F.percentile(v, 0.05)) / (F.first("_med") + EPS)).alias("rng_norm"), F.avg((v >= 250).cast("double")).alias("sat_frac"),
     )
     names = ["median", "cov", "robust_cov", "iqr_norm", "rng_norm", "sat_frac"]
     return out.select("patch", "n", *(F.when(F.col("n") >= least, F.col(c)).alias(c) for c in names))
@@ -92,10 +94,10 @@ def convolve(pixels: DataFrame, kernels: dict[str, dict[tuple[int, int], float]]
 
 
 def edges(pixels: DataFrame) -> DataFrame:
-    """Mean Sobel magnitude, mean and deviation of the Laplacian, over places with all neighbours."""
+    """Mean Sobel magnitude, mean and deviation of the absolute Laplacian, over places with all neighbours."""
     g = convolve(pixels, {"gx": SOBEL_X, "gy": SOBEL_Y, "lap": LAPLACE})
     mag = F.sqrt(F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy"))
-    return g.groupBy("patch").agg(F.avg(mag).alias("sobel_mean"), F.avg(F.abs("lap")).alias("laplacian_mean"), F.stddev_pop("lap").alias("laplacian_std"))
+    return g.groupBy("patch").agg(F.avg(mag).alias("sobel_mean"), F.avg(F.abs("lap")).alias("laplacian_mean"), F.stddev_pop(F.abs("lap")).alias("laplacian_std"))
 
 
 def glcm(pixels: DataFrame, levels: int = 16, distance: int = 1, symmetric: bool = True, drop_zero: bool = False) -> DataFrame:

@@ -1,0 +1,348 @@
+"""Small NumPy measures of one patch or frame, for use while an image is in memory.
+
+Images are BGR bytes as Spark's image source gives them. Numbers are float64
+throughout; a measure that cannot be taken is NaN, and becomes NULL where the
+feature table begins. Colour conversions follow the usual definitions and make
+no claim to be equal bit for bit to any other program's.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+
+NAN = float("nan")
+
+
+def decode(height: int, width: int, channels: int, data: bytes) -> np.ndarray:
+    """H x W x 3 (BGR) or H x W of the image source's bytes; an alpha channel is cut off."""
+    a = np.frombuffer(data, np.uint8)
+    if a.size != height * width * channels or not a.size:
+        raise ValueError("image bytes do not fit its size")
+    a = a.reshape(height, width, channels)
+    return a[:, :, 0] if channels == 1 else a[:, :, :3]
+
+
+def gray(img: np.ndarray, rounded: bool = True) -> np.ndarray:
+    """Gray levels as floats of whole numbers; rounded, or cut off."""
+    if img.ndim == 2:
+        return img.astype(float)
+    g = img @ np.array([0.114, 0.587, 0.299])
+    return np.floor(g + 0.5) if rounded else np.floor(g)
+
+
+def hsv(img: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hue 0..179, saturation and value 0..255."""
+    b, g, r = (img[:, :, k].astype(float) for k in range(3))
+    v, low = np.maximum(np.maximum(b, g), r), np.minimum(np.minimum(b, g), r)
+    d = v - low
+    safe = np.where(d > 0, d, 1)
+    h = np.where(v == r, (g - b) / safe, np.where(v == g, 2 + (b - r) / safe, 4 + (r - g) / safe))
+    return np.round(np.where(d > 0, h * 30 % 180, 0)) % 180, np.round(np.where(v > 0, 255 * d / np.where(v > 0, v, 1), 0)), v
+
+
+def lab_ab(img: np.ndarray) -> tuple[float, float]:
+    """Means of the a and b channels, around 128."""
+    rgb = img[:, :, ::-1] / 255.0
+    lin = np.where(rgb > 0.04045, ((rgb + 0.055) / 1.055) ** 2.4, rgb / 12.92)
+    xyz = lin @ np.array([[0.412453, 0.212671, 0.019334], [0.357580, 0.715160, 0.119193], [0.180423, 0.072169, 0.950227]]) / np.array([0.950456, 1.0, 1.088754])
+    f = np.where(xyz > 0.008856, np.cbrt(xyz), 7.787 * xyz + 16 / 116)
+    return float((500 * (f[..., 0] - f[..., 1])).mean() + 128), float((200 * (f[..., 1] - f[..., 2])).mean() + 128)
+
+
+def box(points: np.ndarray) -> tuple[int, int, int, int]:
+    """x, y, width, height that hold all points."""
+    lo, hi = points.min(axis=0), points.max(axis=0)
+    return int(lo[0]), int(lo[1]), int(hi[0] - lo[0] + 1), int(hi[1] - lo[1] + 1)
+
+
+def polygon_mask(points: np.ndarray) -> np.ndarray:
+    """Pixels of the bounding box that are in the polygon or on its border."""
+    x0, y0, w, h = box(points)
+    px, py = np.meshgrid(np.arange(w) + x0, np.arange(h) + y0)
+    inside, border = np.zeros((h, w), bool), np.zeros((h, w), bool)
+    for (ax, ay), (bx, by) in zip(points, np.roll(points, -1, axis=0), strict=True):
+        if ay != by:
+            inside ^= ((ay > py) != (by > py)) & (px < (bx - ax) * (py - ay) / (by - ay) + ax)
+        length = max((bx - ax) ** 2 + (by - ay) ** 2, 1e-12)
+        t = np.clip(((px - ax) * (bx - ax) + (py - ay) * (by - ay)) / length, 0, 1)
+        border |= (px - ax - t * (bx - ax)) ** 2 + (py - ay - t * (by - ay)) ** 2 <= 0.25
+    return inside | border
+
+
+def cut(img: np.ndarray, points: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    """The bounding box of a facet, zero outside its polygon; parts off the image are zero."""
+    x, y, w, h = box(points)
+    out = np.zeros((h, w, *img.shape[2:]), img.dtype)
+    top, left, bottom, right = max(y, 0), max(x, 0), min(y + h, img.shape[0]), min(x + w, img.shape[1])
+    if bottom > top and right > left:
+        out[top - y : bottom - y, left - x : right - x] = img[top:bottom, left:right]
+    out[~mask] = 0
+    return out
+
+
+def shifted(a: np.ndarray, dy: int, dx: int, fill=0) -> np.ndarray:
+    """out[y, x] = a[y + dy, x + dx]."""
+    out = np.full_like(a, fill)
+    h, w = a.shape
+    ys, xs = slice(max(0, -dy), min(h, h - dy)), slice(max(0, -dx), min(w, w - dx))
+    out[ys, xs] = a[max(0, dy) : h + min(0, dy), max(0, dx) : w + min(0, dx)]
+    return out
+
+
+def erode(mask: np.ndarray, radius: int = 1) -> np.ndarray:
+    out = mask.copy()
+    for dy in range(-radius, radius + 1):
+        for dx in range(-radius, radius + 1):
+            out &= shifted(mask, dy, dx, False)
+    return out
+
+
+def parts(mask: np.ndarray) -> np.ndarray:
+    """Labels of 4-connected parts, 0 outside; by spreading the largest index."""
+    label = np.where(mask, np.arange(1, mask.size + 1).reshape(mask.shape), 0)
+    while True:
+        new = label
+        for dy, dx in ((0, 1), (0, -1), (1, 0), (-1, 0)):
+            new = np.maximum(new, shifted(label, dy, dx))
+        new = np.where(mask, new, 0)
+        if (new == label).all():
+            return label
+        label = new
+
+
+def patch_mask(patch: np.ndarray, threshold: float = 0) -> np.ndarray:
+    """The largest part above a threshold, with its holes filled."""
+    mask = patch > threshold
+    outside = parts(np.pad(~mask, 1, constant_values=True))
+    mask = (outside != outside[0, 0])[1:-1, 1:-1]
+    label = parts(mask)
+    return label == np.bincount(label[label > 0]).argmax() if mask.any() else mask
+
+
+def nearest_inside(mask: np.ndarray) -> np.ndarray:
+    """Flat index of the nearest pixel in the mask, for each pixel; made once per facet."""
+    here = np.argwhere(mask)
+    out = np.arange(mask.size)
+    off = np.argwhere(~mask)
+    for at in range(0, len(off), 512):
+        d = ((off[at : at + 512, None, :] - here[None, :, :]) ** 2).sum(axis=2)
+        near = here[d.argmin(axis=1)]
+        out[np.ravel_multi_index(off[at : at + 512].T, mask.shape)] = np.ravel_multi_index(near.T, mask.shape)
+    return out
+
+
+def gradients(g: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sobel in x and y, and Laplacian; borders are mirrored."""
+    p = np.pad(g, 1, mode="symmetric")
+    a = lambda dy, dx: p[1 + dy : p.shape[0] - 1 + dy, 1 + dx : p.shape[1] - 1 + dx]
+    sx = sum((2 - abs(d)) * (a(d, 1) - a(d, -1)) for d in (-1, 0, 1))
+    sy = sum((2 - abs(d)) * (a(1, d) - a(-1, d)) for d in (-1, 0, 1))
+    return sx, sy, a(0, 1) + a(0, -1) + a(1, 0) + a(-1, 0) - 4 * g
+
+
+def canny(g: np.ndarray, low: float = 50, high: float = 150) -> np.ndarray:
+    """Edges: local maxima of |gx| + |gy| above ``low`` that hang together with one above ``high``."""
+    sx, sy, _ = gradients(g)
+    m = np.abs(sx) + np.abs(sy)
+    turn = np.degrees(np.arctan2(sy, sx)) % 180
+    way = np.select([(turn < 22.5) | (turn >= 157.5), turn < 67.5, turn < 112.5], [0, 1, 2], 3)
+    steps = [(0, 1), (1, 1), (1, 0), (1, -1)]
+    top = np.zeros(g.shape, bool)
+    for k, (dy, dx) in enumerate(steps):
+        top |= (way == k) & (m > shifted(m, -dy, -dx)) & (m >= shifted(m, dy, dx))
+    weak, edge = top & (m > low), top & (m > high)
+    while True:
+        grown = edge.copy()
+        for dy in (-1, 0, 1):
+            for dx in (-1, 0, 1):
+                grown |= shifted(edge, dy, dx, False)
+        grown &= weak
+        if (grown == edge).all():
+            return edge
+        edge = grown
+
+
+def photometric(g: np.ndarray, mask: np.ndarray) -> list[float]:
+    """median, cov, robust_cov, iqr_norm, rng_norm, sat_frac."""
+    v = g[mask]
+    if v.size < 10:
+        return [NAN] * 6
+    med, eps = np.median(v), 1e-8
+    p05, p25, p75, p95 = np.percentile(v, [5, 25, 75, 95])
+    return [med, v.std() / (v.mean() + eps), 1.4826 * np.median(np.abs(v - med)) / (med + eps), (p75 - p25) / (med + eps), (p95 - p05) / (med + eps), (v >= 250).mean()]
+
+
+def edge_measures(g: np.ndarray, core: np.ndarray, least: int = 10) -> list[float]:
+    """sobel_mean, laplacian_mean, laplacian_std, edge_density over the core."""
+    if core.sum() < least:
+        return [NAN] * 4
+    sx, sy, lap = gradients(g)
+    lap = np.abs(lap)[core]
+    return [np.sqrt(sx**2 + sy**2)[core].mean(), lap.mean(), lap.std(), canny(g)[core].mean()]
+
+
+def cooccurrence(q: np.ndarray, mask: np.ndarray, levels: int, distance: int = 1, angles: int = 4, symmetric: bool = True) -> np.ndarray:
+    """Level pairs per angle (angles x levels x levels); both pixels in the mask."""
+    out = np.zeros((angles, levels, levels))
+    for k, (dy, dx) in enumerate([(0, 1), (-1, 1), (-1, 0), (-1, -1)][:angles]):
+        both = mask & shifted(mask, dy * distance, dx * distance, False)
+        pair = q[both] * levels + shifted(q, dy * distance, dx * distance)[both]
+        m = np.bincount(pair, minlength=levels * levels).reshape(levels, levels)
+        out[k] = m + m.T if symmetric else m
+    return out
+
+
+def glcm_measures(g: np.ndarray, mask: np.ndarray, levels: int = 16, **options) -> list[float]:
+    """contrast, dissimilarity, homogeneity, energy, correlation, averaged over angles."""
+    q = np.clip(g / 256.0 * levels, 0, levels - 1).astype(int)
+    m = cooccurrence(q, mask, levels, **options)
+    if not m.sum():
+        return [NAN] * 5
+    total = m.sum(axis=(1, 2), keepdims=True)
+    p = m / np.where(total > 0, total, 1)
+    i, j = np.meshgrid(np.arange(levels), np.arange(levels), indexing="ij")
+    d, s = i - j, lambda w: (p * w).sum(axis=(1, 2))
+    mi, mj = s(i), s(j)
+    vi, vj = s(i * i) - mi**2, s(j * j) - mj**2
+    corr = np.where((vi > 1e-15) & (vj > 1e-15), (s(i * j) - mi * mj) / np.sqrt(np.where((vi > 1e-15) & (vj > 1e-15), vi * vj, 1)), 1.0)
+    return [x.mean() for x in (s(d * d), s(np.abs(d)), s(1 / (1 + d * d)), np.sqrt((p * p).sum(axis=(1, 2))), corr)]
+
+
+def lbp(g: np.ndarray, points: int = 8, radius: float = 1) -> np.ndarray:
+    """Uniform local binary patterns: brighter neighbours, or points + 1; zero beyond the border."""
+    pad = int(np.ceil(radius)) + 1
+    p = np.pad(g, pad)
+    h, w = g.shape
+    bits = []
+    for k in range(points):
+        dy, dx = (round(float(v), 5) for v in (-radius * np.sin(2 * np.pi * k / points), radius * np.cos(2 * np.pi * k / points)))
+        y0, x0 = int(np.floor(dy)), int(np.floor(dx))
+        ty, tx = dy - y0, dx - x0
+        at = lambda y, x: p[pad + y : pad + y + h, pad + x : pad + x + w]
+        v = (1 - ty) * ((1 - tx) * at(y0, x0) + tx * at(y0, x0 + 1)) + ty * ((1 - tx) * at(y0 + 1, x0) + tx * at(y0 + 1, x0 + 1))
+        bits.append(v - g >= -1e-9)
+    bits = np.stack(bits)
+    turns = (bits != np.roll(bits, 1, axis=0)).sum(axis=0)
+    return np.where(turns <= 2, bits.sum(axis=0), points + 1)
+
+
+def shares(values: np.ndarray, n: int) -> np.ndarray:
+    h = np.bincount(values.astype(int).ravel(), minlength=n).astype(float)
+    return h / max(1.0, h.sum())
+
+
+def entropy(p: np.ndarray) -> float:
+    p = p[p > 0]
+    return float(-(p * np.log2(p)).sum())
+
+
+def lbp_measures(g: np.ndarray, core: np.ndarray, points: int = 8, radius: int = 1) -> list[float]:
+    """lbp_entropy, lbp_nonuniform over the core."""
+    if core.sum() < 20:
+        return [NAN] * 2
+    h = shares(lbp(g, points, radius)[core], points + 2)
+    return [entropy(h), h[points + 1]]
+
+
+def moments(v: np.ndarray) -> list[float]:
+    """mean, std, skewness, excess kurtosis (population)."""
+    m, s = v.mean(), v.std()
+    d = v - m
+    return [m, s, (d**3).mean() / s**3 if s > 0 else 0.0, (d**4).mean() / s**4 - 3 if s > 0 else 0.0]
+
+
+def spectrum(g: np.ndarray, radius: float = 0.25) -> tuple[float, float]:
+    """Energy shares below and above a radius in the centred spectrum."""
+    f = np.abs(np.fft.fftshift(np.fft.fft2(g - g.mean()))) ** 2
+    y, x = np.indices(g.shape)
+    r = np.hypot((y - g.shape[0] // 2) / g.shape[0], (x - g.shape[1] // 2) / g.shape[1])
+    total = f.sum() or 1.0
+    return float(f[r <= radius].sum() / total), float(f[r > radius].sum() / total)
+
+
+def stretch(g: np.ndarray) -> np.ndarray:
+    """To 0..255; a constant patch becomes 0."""
+    lo, hi = g.min(), g.max()
+    return np.round((g - lo) * 255 / (hi - lo)) if hi > lo else np.zeros_like(g)
+
+
+def standard(g: np.ndarray) -> np.ndarray:
+    return (g - g.mean()) / g.std() if g.std() > 0 else np.zeros_like(g)
+
+
+def shrink(g: np.ndarray, height: int, width: int) -> np.ndarray:
+    """Area means on a smaller grid."""
+
+    def weights(n: int, m: int) -> np.ndarray:
+        lo, hi = np.arange(m) * n / m, (np.arange(m) + 1) * n / m
+        k = np.arange(n)
+        w = np.clip(np.minimum(hi[:, None], k + 1) - np.maximum(lo[:, None], k), 0, None)
+        return w / w.sum(axis=1, keepdims=True)
+
+    return weights(g.shape[0], height) @ g @ weights(g.shape[1], width).T
+
+
+def circle_free(h: int, w: int, cy: float, cx: float, r: float) -> np.ndarray:
+    """True outside a circle given in shares of the frame."""
+    y, x = np.indices((h, w))
+    return (y - int(h * cy)) ** 2 + (x - int(w * cx)) ** 2 > int(min(h, w) * r) ** 2
+
+
+def frame_quality(img: np.ndarray) -> dict[str, float]:
+    """Brightness outside the camera housing, sharpness, warm and bright-saturated shares."""
+    g, (hue, sat, val) = gray(img), hsv(img)
+    free = circle_free(*g.shape, 0.42, 0.65, 0.22)
+    warm = ((hue < 25) | (hue > 160)) & (val > 180) & (sat > 60)
+    return {
+        "mean_brightness": g[free].mean(), "std_brightness": g[free].std(), "sharpness": gradients(g)[2].std(),
+        "warm_pixel_ratio": 100 * warm[:400].mean(), "bright_saturated_frac": ((val > 200) & (sat > 80))[free].mean(),
+    }
+
+
+def frame_details(img: np.ndarray) -> dict[str, float]:
+    """The longer list of frame measures: percentiles, warm share, asymmetry, sky, colour, entropy."""
+    g, (hue, sat, val) = gray(img), hsv(img)
+    h, w = g.shape
+    free = circle_free(h, w, 0.38, 0.52, 0.12)
+    v = g[free]
+    p10, p90 = np.percentile(v, [10, 90])
+    lr, tb = g[:, : w // 3].mean() - g[:, 2 * w // 3 :].mean(), g[: h // 3].mean() - g[2 * h // 3 :].mean()
+    a, b = lab_ab(img)
+    sky = img[: max(1, h // 6)].astype(float)
+    return {
+        "mean_brightness": v.mean(), "std_brightness": v.std(), "p10_brightness": p10, "p90_brightness": p90, "dynamic_range": p90 - p10,
+        "warm_bright_fraction": (((hue < 25) | (hue > 160)) & (val > 180) & (sat > 60))[free].mean(), "bright_saturated_frac": ((val > 200) & (sat > 80))[free].mean(),
+        "lr_asymmetry": abs(lr), "lr_signed": lr, "tb_asymmetry": abs(tb), "tb_signed": tb, "sky_brightness": g[: max(1, h // 6)].mean(), "sky_blue_ratio": sky[:, :, 0].mean() / (sky[:, :, 2].mean() + 1),
+        "mean_saturation": sat[free].mean(), "mean_hue": hue[free].mean(), "br_ratio": (img[:, :, 0].mean() + 1) / (img[:, :, 2].mean() + 1), "mean_a": a, "mean_b": b, "sharpness": gradients(g)[2].std(),
+        "entropy": entropy(shares(v, 256)), "dark_fraction": (v < 40).mean(), "bright_fraction": (v > 220).mean(), "overexposed_pct": 100 * (val[: max(1, h // 3)] > 250).mean(),
+    }
+
+
+def sky_measures(img: np.ndarray) -> dict[str, float]:
+    """Saturation, value, overexposure, gray and blue of the top third, rounded."""
+    top = img[: max(1, img.shape[0] // 3)]
+    _, s, v = hsv(top)
+    c = top.astype(float)
+    blue = (c[:, :, 0] / (c.sum(axis=2) + 1e-6)).mean()
+    one = {"sat_mean": s.mean(), "val_mean": v.mean(), "val_std": v.std(), "overexposed_pct": 100 * (v > 250).mean(), "gray_pct": 100 * ((s < 30) & (v > 150)).mean()}
+    return {k: round(float(x), 1) for k, x in one.items()} | {"blue_ratio": round(float(blue), 3)}
+
+
+def sun_score(img: np.ndarray, segments: int = 5, rows: int = 600) -> float:
+    """Largest minus median mean of the segments of the top strip."""
+    strip = gray(img)[:rows]
+    w = max(1, strip.shape[1] // segments)
+    means = [strip[:, i * w : (i + 1) * w].mean() for i in range(segments) if i * w < strip.shape[1]]
+    return float(np.max(means) - np.median(means))
+
+
+def hog(g: np.ndarray, cell: int = 4, bins: int = 9) -> np.ndarray:
+    """Direction histograms of cells, normalized over 2 x 2 blocks."""
+    gy, gx = np.gradient(g)
+    mag, k = np.hypot(gx, gy), (np.degrees(np.arctan2(gy, gx)) % 180 // (180 / bins)).astype(int) % bins
+    ny, nx = g.shape[0] // cell, g.shape[1] // cell
+    y, x = np.indices(g.shape)
+    at = (y < ny * cell) & (x < nx * cell)
+    h = np.bincount(((y[at] // cell) * nx + x[at] // cell) * bins + k[at], weights=mag[at], minlength=ny * nx * bins).reshape(ny, nx, bins) / cell**2
+    blocks = [h[i : i + 2, j : j + 2].ravel() for i in range(ny - 1) for j in range(nx - 1)]
+    return np.concatenate([b / np.sqrt((b * b).sum() + 1e-10) for b in blocks]) if blocks else np.zeros(0)

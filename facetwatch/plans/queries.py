@@ -526,8 +526,8 @@ def props_json(spark, sf_dir):
 # Patches.
 
 
-@query(f"""WITH {PIXELS}, m AS (SELECT patch, median(v) AS med FROM px GROUP BY patch), a AS (SELECT patch, count(*) AS n, any_value(med) AS median, stddev_pop(v) / avg(v) AS cov, CASE WHEN any_value(med) <> 0 THEN 1.4826 * median(abs(v - med)) / any_value(med) END AS robust_cov,
-    CASE WHEN any_value(med) <> 0 THEN (quantile_cont(v, 0.75) - quantile_cont(v, 0.25)) / any_value(med) END AS iqr_norm, CASE WHEN any_value(med) <> 0 THEN (max(v) - min(v)) / any_value(med) END AS rng_norm, avg((v >= 250)::INTEGER) AS sat_frac FROM px JOIN m USING (patch) GROUP BY patch)
+@query(f"""WITH {PIXELS}, m AS (SELECT patch, median(v) AS med FROM px GROUP BY patch), a AS (SELECT patch, count(*) AS n, any_value(med) AS median, stddev_pop(v) / (avg(v) + 1e-8) AS cov, 1.4826 * median(abs(v - med)) / (any_value(med) + 1e-8) AS robust_cov,
+    (quantile_cont(v, 0.75) - quantile_cont(v, 0.25)) / (any_value(med) + 1e-8) AS iqr_norm, (quantile_cont(v, 0.95) - quantile_cont(v, 0.05)) / (any_value(med) + 1e-8) AS rng_norm, avg((v >= 250)::INTEGER) AS sat_frac FROM px JOIN m USING (patch) GROUP BY patch)
     SELECT patch, n, {_r('median', 'cov', 'robust_cov', 'iqr_norm', 'rng_norm', 'sat_frac')} FROM a""")
 def patch_photometric(spark, sf_dir):
     return rnd(patches.photometric(pixels(spark, sf_dir)))
@@ -566,7 +566,7 @@ _NEAR = PIXELS + ", nb AS (SELECT c.patch, c.y, c.x, c.v, " + ", ".join(f"max(CA
 
 
 @query(f"""WITH {_NEAR}, g AS (SELECT patch, {_sql_kernel(patches.SOBEL_X, 'gx')}, {_sql_kernel(patches.SOBEL_Y, 'gy')}, {_sql_kernel(patches.LAPLACE, 'lap')} FROM nb)
-    SELECT patch, {_r('sobel_mean=avg(sqrt(gx * gx + gy * gy))', 'laplacian_mean=avg(abs(lap))', 'laplacian_std=stddev_pop(lap)')} FROM g GROUP BY patch""")
+    SELECT patch, {_r('sobel_mean=avg(sqrt(gx * gx + gy * gy))', 'laplacian_mean=avg(abs(lap))', 'laplacian_std=stddev_pop(abs(lap))')} FROM g GROUP BY patch""")
 def patch_edges(spark, sf_dir):
     return rnd(patches.edges(pixels(spark, sf_dir)))
 
