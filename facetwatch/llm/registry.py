@@ -85,7 +85,39 @@ def op10_licenses(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (op1_packing, op2_quality, op3_decontamination, op4_language_id, op5_simhash, op6_line_dedup, op7_warc, op8_token_counts, op9_exact_dedup, op10_licenses)}
 
+
+
+def _pattern(template: str) -> str:
+    """A license template as a regular expression over words with a space before and after each."""
+    from facetwatch.llm import licenses
+
+    out, at, begun = " ", 0, False
+    for m in licenses._MARKUP.finditer(template):
+        head = "".join(f"{w} " for w in licenses.WORD.findall(template[at : m.start()]))
+        begun, at = begun or bool(head), m.end()
+        out += head + {"beginOptional": "(?:", "endOptional": ")?"}.get(m[1], f"(?:[^ ]+ ){{{m[2]},{m[3]}}}" if begun else "")
+    return out + "".join(f"{w} " for w in licenses.WORD.findall(template[at:]))
+
+
+def _license_sql() -> str:
+    from facetwatch.llm import licenses
+
+    upper = "".join(map(chr, range(65, 91)))
+    found = {label: f"[i FOR i IN range(len(w)) IF w[i + 1:i + {len(p.split())}] = {p.split()}]" for p, label in licenses.BASE.items()}
+    tests = {label: " OR ".join(f"regexp_matches(s, '{_pattern(t)}')" for t in texts) for label, texts in licenses.TEMPLATES.items()}
+    base = "[" + ", ".join(f"CASE WHEN len(p_{k}) > 0 THEN '{label}' END" for k, label in enumerate(found)) + "]"
+    more = "[" + ", ".join(f"CASE WHEN {t} THEN '{label}' END" for label, t in tests.items()) + "]"
+    return rf"""
+        WITH t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+        p AS (SELECT doc_id, w, ' ' || array_to_string(w, ' ') || ' ' AS s, {", ".join(f"{e} AS p_{k}" for k, e in enumerate(found.values()))} FROM t),
+        q AS (SELECT doc_id, len(w) AS n_words, flatten([{", ".join(f"p_{k}" for k in range(len(found)))}]) AS places, [x FOR x IN {base} IF x IS NOT NULL] AS b, [x FOR x IN {more} IF x IS NOT NULL] AS m FROM p)
+        SELECT doc_id, n_words, len(places)::BIGINT AS n_base, list_min(places) AS first_word, list_max(places) AS last_word, coalesce(array_to_string(list_sort(b), ','), '') AS base_labels,
+            coalesce(array_to_string(list_sort(list_distinct(list_concat(b, m))), ','), '') AS labels, CASE WHEN len(m) > 0 THEN 1.0 WHEN len(b) > 0 THEN 0.5 ELSE 0.0 END::DOUBLE AS score FROM q
+    """
+
+
 ORACLE_SQL = {
+    "op10_licenses": _license_sql(),
     "op9_exact_dedup": r"""
         WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents)
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, sha256(norm) AS text_sha256
