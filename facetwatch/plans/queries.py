@@ -602,7 +602,10 @@ def patch_lbp(spark, sf_dir):
     return rnd(patches.lbp_features(pixels(spark, sf_dir)))
 
 
-@query()
+@query(f"""WITH {_NEAR}, g AS (SELECT patch, y, x, a_1_2 - a_1_0 AS gx, a_2_1 - a_0_1 AS gy FROM nb),
+    t AS (SELECT patch, y // 4 AS cell_y, x // 4 AS cell_x, sqrt(gx * gx + gy * gy) AS mag, ((degrees(atan2(gy::DOUBLE, gx::DOUBLE)) % 180) + 180) % 180 AS turn FROM g),
+    s AS (SELECT patch, cell_y, cell_x, (floor(round(turn / 20, 9)) % 9)::INTEGER AS bin, sum(mag) AS w FROM t GROUP BY 1, 2, 3, 4)
+    SELECT patch, cell_y::BIGINT AS cell_y, cell_x::BIGINT AS cell_x, bin, {_r('value=w / (sqrt(sum(w * w) OVER (PARTITION BY patch)) + 1e-12)')} FROM s""")
 def patch_hog(spark, sf_dir):
     return rnd(patches.hog(pixels(spark, sf_dir)))
 
