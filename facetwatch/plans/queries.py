@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from facetwatch.functions import patches, times
 from facetwatch.operators import baseline, geometry, metrics, ml, score, selection, temporal
 from facetwatch.plans.inputs import E_FEATURES, L_FEATURES, L_LOWER, LONG_L, OBS_E, OBS_L, PIXELS, SUSPECTS, obs_e, obs_l, pixels, read, suspects, vectors
+from facetwatch.sources import annotations, store
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -660,6 +661,53 @@ def grid_map(spark, sf_dir):
     return geometry.grid_map(r)
 
 
+# Frame rules, annotations, stored tables.
+
+
+@query(f"""WITH {_NEAR}, g AS (SELECT patch, {_sql_kernel(patches.LAPLACE, 'lap')} FROM nb), l AS (SELECT patch, stddev_pop(lap) AS sharpness FROM g GROUP BY patch),
+    q AS (SELECT patch, avg(v) AS mean_brightness, avg((v > 190)::INTEGER) AS bright_saturated_frac FROM px GROUP BY patch)
+    SELECT patch, {_r('mean_brightness', 'bright_saturated_frac', 'sharpness', digits=6)} FROM q JOIN l USING (patch) WHERE round(mean_brightness, 6) > 100 AND round(bright_saturated_frac, 6) < 0.025 AND round(sharpness, 6) > 25""")
+def good_frames(spark, sf_dir):
+    px = pixels(spark, sf_dir)
+    sharp = patches.convolve(px, {"lap": patches.LAPLACE}).groupBy("patch").agg(F.round(F.stddev_pop("lap"), 6).alias("sharpness"))
+    light = px.groupBy("patch").agg(F.round(F.avg("v"), 6).alias("mean_brightness"), F.round(F.avg((F.col("v") > 190).cast("double")), 6).alias("bright_saturated_frac"))
+    return rnd(selection.good_frames(light.join(sharp, "patch")), 6)
+
+
+@query(f"""WITH {PIXELS}, m AS (SELECT patch, round(stddev_pop(v), 6) AS sat_mean, 100.0 * avg((v > 200)::INTEGER) AS overexposed_pct, 100.0 * avg((v BETWEEN 110 AND 140)::INTEGER) AS gray_pct, round(avg(v) / 381, 6) AS blue_ratio FROM px GROUP BY patch),
+    r AS (SELECT patch, (sat_mean < 30)::INTEGER + (overexposed_pct > 2)::INTEGER + (gray_pct > 45)::INTEGER + (blue_ratio < 0.33)::INTEGER AS n_reasons FROM m)
+    SELECT patch, n_reasons, CASE WHEN n_reasons = 0 THEN 'GOOD' ELSE 'BAD' END AS verdict FROM r""")
+def weather_verdict(spark, sf_dir):
+    v = F.col("v")
+    share = lambda c: 100 * F.avg(c.cast("double"))
+    m = pixels(spark, sf_dir).groupBy("patch").agg(F.round(F.stddev_pop(v), 6).alias("sat_mean"), share(v > 200).alias("overexposed_pct"), share(v.between(110, 140)).alias("gray_pct"), F.round(F.avg(v) / 381, 6).alias("blue_ratio"))
+    out = selection.classify_weather(m, 30, 2, 45, 0.33)
+    return out.select("patch", F.when(F.col("reasons") == "", 0).otherwise(F.size(F.split("reasons", "; "))).alias("n_reasons"), "verdict")
+
+
+@query("""SELECT strftime(ts, '%Y-%m-%d') AS file, array_to_string(list_sort(list(DISTINCT user_id % 249)), ',') AS marked FROM events WHERE event_type = 'error' GROUP BY 1""")
+def annotation_lists(spark, sf_dir):
+    marks = read(spark, sf_dir, "events").where("event_type = 'error'").select(F.date_format("ts", "yyyy-MM-dd").alias("file"), (F.col("user_id") % 249).alias("mirror_id"))
+    return annotations.annotation_lists(marks).select("file", F.array_join(F.transform("marked_mirrors", lambda m: m.cast("string")), ",").alias("marked"))
+
+
+@query(f"WITH {OBS_L} SELECT unit AS mirror_id, count(*) AS n_observations, count(DISTINCT frame) AS n_frames FROM obs GROUP BY ROLLUP (unit)")
+def crop_info(spark, sf_dir):
+    return store.crop_info(obs_l(spark, sf_dir).select(F.col("unit").alias("mirror_id"), F.col("frame").alias("frame_id")))
+
+
+@query(f"WITH {OBS_L} SELECT unit AS mirror_id, row_number() OVER (PARTITION BY unit ORDER BY frame) - 1 AS entry, frame AS frame_id FROM obs")
+def crop_manifest(spark, sf_dir):
+    rows = obs_l(spark, sf_dir).select(F.col("unit").alias("mirror_id"), F.col("frame").alias("frame_id"), F.col("frame").alias("ts"))
+    return store.crop_manifest(rows).select("mirror_id", F.col("entry").cast("long").alias("entry"), "frame_id")
+
+
+@query(f"WITH {_RANK} SELECT frame, " + ", ".join(f"max(rank) FILTER (WHERE unit = {u}) AS u{u}" for u in range(1, 9)) + " FROM fr GROUP BY frame")
+def rank_table(spark, sf_dir):
+    wide = store.rank_table(_ranks(spark, sf_dir), "frame", "unit", "rank", list(range(1, 9)))
+    return wide.select("frame", *(F.col(str(u)).alias(f"u{u}") for u in range(1, 9)))
+
+
 # Clusters and models.
 
 
