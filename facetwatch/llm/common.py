@@ -5,7 +5,6 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,13 +39,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def count_and_drop(df: DataFrame) -> int:
-    """Row count of a frame that is not needed afterwards."""
-    n = df.count()
-    df.unpersist()
-    return n
-
-
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of ``edges(a long, b long)`` as ``(node, component)``.
 
@@ -81,7 +73,3 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     roots = pairs.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 
-
-def once(df: DataFrame) -> DataFrame:
-    """Keep a frame that several jobs read; lost parts are computed again."""
-    return df.persist(StorageLevel.DISK_ONLY)

@@ -22,7 +22,8 @@ concatenation, which equals the library's own result (see ``tokens``).
 Defined cases: null text counts as empty and gives the end token alone; rows
 that repeat an id are packed each; null ids stay null; very long documents are
 cut into many pieces; an empty table gives an empty result; other columns are
-ignored; null ``loss_start`` counts as 0 and is held to the document's length.
+ignored; null ``loss_start`` counts as 0 and is held to the document's length, and a
+null prompt is empty.
 """
 
 from __future__ import annotations
@@ -167,14 +168,15 @@ class Packer:
 
 
 def pack(
-    docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", loss_start_col: str | None = None,
+    docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", loss_start_col: str | None = None, prompt_col: str | None = None,
     max_tokens: int = 4096, max_segments: int = 1024, max_loss: int = 4096, end_id: int = 2, window: int = 256,
 ) -> DataFrame:
     """One row per piece, with its ids; see ``SCHEMA``.
 
-    ``loss_start_col`` names a column with the number of leading tokens (a
-    prompt, say) that bear no loss. ``path`` is a tokenizer file that every
-    executor can open.
+    ``prompt_col`` names the prompt of an instruction example: its tokens go
+    before those of the text and bear no loss. ``loss_start_col`` tells instead
+    how many leading tokens of the text bear none. ``path`` is a tokenizer file
+    that every executor can open.
     """
     if max_tokens < 1 or max_segments < 1 or max_loss < 1 or window < 1:
         raise ValueError("limits and window must be positive")
@@ -203,10 +205,11 @@ def pack(
         for whole in batches:
             for lo in range(0, whole.num_rows, 512):
                 b = whole.slice(lo, 512)
-                for doc_id, loss, ids in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), encode.batch(b.column(1).to_pylist()), strict=True):
-                    ids += end
+                prompts = list(encode.batch(b.column(3).to_pylist())) if prompt_col else [b""] * b.num_rows
+                for doc_id, loss, prompt, ids in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), prompts, encode.batch(b.column(1).to_pylist()), strict=True):
+                    ids = prompt + ids + end
                     n = len(ids) // 4
-                    finished(packer.add([doc_id, 0, ids, n, min(max(loss or 0, 0), n)]))
+                    finished(packer.add([doc_id, 0, ids, n, min(len(prompt) // 4 + max(loss or 0, 0), n)]))
                     if len(rows) >= 2048:
                         yield flush()
         finished(packer.finish())
@@ -214,4 +217,5 @@ def pack(
             yield flush()
 
     loss = F.col(loss_start_col).cast("long") if loss_start_col else F.lit(0).cast("long")
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col), loss.alias("loss")).mapInArrow(run, SCHEMA)
+    prompt = F.col(prompt_col) if prompt_col else F.lit(None).cast("string")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), loss.alias("loss"), prompt.alias("prompt")).mapInArrow(run, SCHEMA)

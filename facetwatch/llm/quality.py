@@ -5,9 +5,9 @@ text and its share of capitals and of repeated words. The metadata view sees
 source, language, stated length and the layout of lines, and no wording. Each
 view has a logistic model.
 
-Sample. The models are fitted on a bounded sample: rows whose id hash falls
-below a threshold that is set so that about ``sample_rows`` labelled rows fall
-in it; the unlabelled rows below the threshold are the pool. The vocabulary is
+Sample. The models are fitted on a bounded sample: labelled rows whose id hash
+falls below a threshold, set so that about ``sample_rows`` do, and a pool of
+about ``pool_rows`` rows below a threshold of its own. The vocabulary is
 the ``max_features`` most frequent words of that sample, counted by Spark, of
 which the content view keeps those whose shares differ most between the
 classes. A fifth of the labelled rows is set aside for calibration. Classes are
@@ -24,7 +24,8 @@ All documents are scored in one pass without a shuffle.
 Defined cases: null text counts as empty and null metadata as a value of its
 own; labels that repeat an id are reduced to the worst; without labels of both
 classes every score is the share of positive labels (0.5 without any); an empty
-table gives an empty result; rows that repeat an id are scored each; other
+table gives an empty result; rows that repeat an id are scored each, and rows
+without an id are scored but not in the sample; other
 columns are ignored.
 """
 
@@ -202,7 +203,7 @@ def co_train(content: Rows, meta: Dense, y: np.ndarray, labelled: np.ndarray, as
 
 def quality_scores(
     docs: DataFrame, labels: DataFrame, targets: tuple[str, ...] = ("quality", "toxic"), id_col: str = "doc_id", text_col: str = "text",
-    source_col: str = "source", lang_col: str = "lang", size_col: str = "n_chars", sample_rows: int = 12_000, max_features: int = 60_000, least_rows: int = 5, rounds: int = 3,
+    source_col: str = "source", lang_col: str = "lang", size_col: str = "n_chars", sample_rows: int = 12_000, pool_rows: int = 12_000, max_features: int = 60_000, least_rows: int = 5, rounds: int = 3,
 ) -> DataFrame:
     """``doc_id`` and, per target, ``<target>_content, <target>_meta, <target>_score``."""
     spark = docs.sparkSession
@@ -213,9 +214,11 @@ def quality_scores(
     place = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(_RANGE))
     marks = labels.select(F.col(id_col).cast("long").alias("doc_id"), *(F.col(t).cast("double").alias(t) for t in targets)).where("doc_id is not null")
     marks = marks.groupBy("doc_id").agg(*((F.max if t == "toxic" else F.min)(t).alias(t) for t in targets))
-    n = marks.count()
-    top = _RANGE if n <= sample_rows else max(1, int(_RANGE * sample_rows / n))
-    sample = rows.where(place < top).join(marks.where(place < top), "doc_id", "left")
+    top, pool_top = (_RANGE if n <= most else max(1, int(_RANGE * most / n)) for n, most in ((marks.count(), sample_rows), (rows.count(), pool_rows)))
+    # About sample_rows labelled rows go to every task; a document stays if it is one of them or falls in the pool.
+    chosen = F.broadcast(marks.where(place < top).withColumn("_marked", F.lit(True)))
+    sample = rows.where((place < max(top, pool_top)) & F.col("doc_id").isNotNull()).join(chosen, "doc_id", "left")
+    sample = sample.where(F.col("_marked").isNotNull() | (place < pool_top)).drop("_marked")
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -93,6 +93,16 @@ def test_limits_on_segments_and_loss(spark, vocabulary):
     assert max(loss.values()) <= 600 and dict(total) == {i: n for i, n in want.items()}
 
 
+def test_prompts_bear_no_loss(spark, vocabulary):
+    rows = [(i, "answer " * (i + 1), None if i % 5 == 0 else "question " * i) for i in range(40)]
+    out = packing.pack(spark.createDataFrame(rows, "doc_id long, text string, ask string"), vocabulary, prompt_col="ask", max_tokens=64, max_loss=40, window=8).collect()
+    check_packing(out, [(i, f"{a or ''}{t}") for i, t, a in rows], vocabulary, 64)
+    total = defaultdict(int)
+    for r in out:
+        total[r.doc_id] += r.loss_tokens
+    assert dict(total) == {i: i + 2 for i in range(40)}
+
+
 def test_bad_limits(docs, vocabulary):
     with pytest.raises(ValueError):
         packing.pack(docs, vocabulary, max_tokens=0)
