@@ -82,6 +82,16 @@ class Rows:
         self.at = np.concatenate([*rows, np.zeros(0, int)]).astype(int)
         self.row = np.repeat(np.arange(self.n), [len(r) for r in rows]) if rows else np.zeros(0, int)
 
+    @staticmethod
+    def of(lists: pa.ChunkedArray, width: int) -> Rows:
+        """From a list column, without a Python object for each number."""
+        out = Rows([], width)
+        n = [np.diff(c.offsets.to_numpy()) for c in lists.chunks]
+        out.at = np.concatenate([*(c.flatten().to_numpy(zero_copy_only=False) for c in lists.chunks), np.zeros(0, np.int32)])
+        out.n = len(lists)
+        out.row = np.repeat(np.arange(out.n, dtype=np.int32), np.concatenate(n)) if n else np.zeros(0, int)
+        return out
+
     def only(self, features: np.ndarray) -> Rows:
         """The same rows with some of the features, renumbered."""
         place = np.full(self.width, -1)
@@ -240,8 +250,8 @@ def quality_scores(
     aside = F.pmod(F.xxhash64("doc_id", F.lit("aside")), F.lit(5)) == 0
     schema = "at array<int>, meta array<double>, aside boolean" + "".join(f", {t} double" for t in targets)
     got = sample.select("text", "source", "lang", "n_chars", F.coalesce(aside, F.lit(False)).alias("aside"), *targets).mapInArrow(features, schema).toArrow()
-    x = Rows([np.array(r.as_py(), int) for r in got.column("at")], len(vocabulary))
-    dense = Dense(np.array([r.as_py() for r in got.column("meta")], float).reshape(-1, N_META))
+    x = Rows.of(got.column("at"), len(vocabulary))
+    dense = Dense(np.concatenate([*(c.flatten().to_numpy() for c in got.column("meta").chunks), np.zeros(0)]).reshape(-1, N_META))
     hold = np.array(got.column("aside").to_pylist(), bool)
     models = {}
     for t in targets:
