@@ -46,14 +46,21 @@ def _lines(docs: DataFrame, id_col: str, text_col: str, site_col: str, min_chars
     return rows.select("doc_id", "key", "site", "pos", F.xxhash64("line").alias("h"))
 
 
-def boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = 3, min_chars: int = 16, lg_k: int = 10) -> DataFrame:
+def boilerplate(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = 3, min_chars: int = 16, lg_k: int = 10, broadcast_rows: int = BROADCAST_ROWS,
+) -> DataFrame:
     """``(h, first_doc)`` of the lines on at least ``min_sites`` sites."""
     lines = _lines(docs, id_col, text_col, site_col, min_chars)
     spread = lines.groupBy("h").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(lg_k))).alias("sites"), F.min("doc_id").alias("first_doc"))
     error = max(1, round(4 * 1.04 / (1 << lg_k) ** 0.5 * min_sites))
     spread = cut(spread.where(F.col("sites") >= min_sites - error))
     near = spread.where(F.col("sites") <= min_sites + error)
-    exact = lines.join(near.select("h"), "h", "left_semi").select("h", "site").distinct().groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= min_sites)
+    # Either way a line leaves a map task once per site at most, however often it stands there.
+    if near.count() <= broadcast_rows:
+        pairs = lines.join(F.broadcast(near.select("h")), "h", "left_semi").select("h", "site").distinct()
+    else:
+        pairs = lines.select("h", "site").distinct().join(near.select("h"), "h", "left_semi")
+    exact = pairs.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= min_sites)
     sure = spread.where(F.col("sites") > min_sites + error).select("h", "first_doc")
     return sure.unionByName(near.join(exact, "h").select("h", "first_doc"))
 
@@ -62,7 +69,7 @@ def line_dedup(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = 3, min_chars: int = 16, lg_k: int = 10, broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """``docs`` with ``text_col`` cleaned, and columns ``n_lines, n_removed`` added."""
-    found = cut(boilerplate(docs, id_col, text_col, site_col, min_sites, min_chars, lg_k))
+    found = cut(boilerplate(docs, id_col, text_col, site_col, min_sites, min_chars, lg_k, broadcast_rows))
     found = F.broadcast(found) if found.count() <= broadcast_rows else found
     hits = _lines(docs, id_col, text_col, site_col, min_chars).join(found, "h").where(~F.col("doc_id").eqNullSafe(F.col("first_doc")))
     hits = hits.select("doc_id", "key", "pos").distinct().groupBy("doc_id", "key").agg(F.collect_set("pos").alias("__gone"))
