@@ -1,4 +1,4 @@
-"""The corpus pipeline: language ID, line dedup, SimHash near-dedup, decontamination, packing.
+"""The corpus pipeline: language ID, line dedup, near-dedup, decontamination, packing.
 
 Each stage takes ``(spark, docs, sf_dir)``; its result is written as Parquet in
 the shared folder and read again as the next stage's ``docs``. All but the last
@@ -14,9 +14,9 @@ from facetwatch.llm.common import scratch, table
 from facetwatch.llm.decontaminate import decontaminate
 from facetwatch.llm.language import identify
 from facetwatch.llm.line_dedup import line_dedup
+from facetwatch.llm.near_copies import drop_near_copies
 from facetwatch.llm.packing import pack
 from facetwatch.llm.registry import vocabulary
-from facetwatch.llm.simhash import near_dedup
 
 
 def _only(docs: DataFrame, rows: DataFrame) -> DataFrame:
@@ -35,8 +35,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of near copies."""
-    return _only(docs, near_dedup(docs))
+    """Keeps the document with the smallest id of each group of near copies (Jaccard 0.8 on 5-word shingles)."""
+    return _only(docs, drop_near_copies(docs))
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
