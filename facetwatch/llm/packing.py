@@ -3,7 +3,9 @@
 Every example is a piece of a tokenized document, a vector of three demands:
 tokens, segments (one) and loss-bearing tokens. A sequence is a bin with a limit
 in each dimension. Documents of a full sequence or more give off full pieces at
-once; what is left waits in a bounded window. An open bin takes, among the
+once; what is left waits in a window. A bin is filled when the window is large
+enough and what waits reaches one of the limits; so the window holds less than
+``max_segments`` pieces or ``window``, whichever is more. An open bin takes, among the
 waiting pieces that fit all three remaining capacities, the one with the
 largest dot product of its demands and the remaining capacities, both relative
 to the limits. When none fits, the piece with the largest dot product is cut to
@@ -153,7 +155,7 @@ class Packer:
             yield [head]
         if piece[2]:
             self._put(piece)
-        while len(self.pieces) >= self.window:
+        while len(self.pieces) >= self.window and (self.need.sum(axis=0) >= self.limit).any():
             yield self._fill(self.limit)
 
     def finish(self) -> Iterator[list[list]]:
