@@ -764,13 +764,13 @@ def pca_outliers(spark, sf_dir):
 
 @query()
 def isolation_scores(spark, sf_dir):
-    return rnd(ml.isolation_forest(obs_l(spark, sf_dir), "frame", ["unit"], L_FEATURES, trees=25))
+    return rnd(ml.isolation_forest(obs_l(spark, sf_dir), "frame", ["unit"], L_FEATURES))
 
 
 @query()
 def combined_decision(spark, sf_dir):
     obs = obs_l(spark, sf_dir)
-    return ml.combined_decision(score.sigma_decision(_sigma(spark, sf_dir), "frame", "unit"), ml.isolation_forest(obs, "frame", ["unit"], L_FEATURES, trees=25), ["frame", "unit"])
+    return ml.combined_decision(score.sigma_decision(_sigma(spark, sf_dir), "frame", "unit"), ml.isolation_forest(obs, "frame", ["unit"], L_FEATURES), ["frame", "unit"])
 
 
 def entry(spark, sf_dir):
