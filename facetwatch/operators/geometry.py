@@ -26,18 +26,20 @@ def hex_positions(rows: DataFrame) -> DataFrame:
     return cells.select((F.col("first") + F.col("col")).alias("mirror_id"), "row", "col", (F.col("col") - (F.col("size") - 1) / 2).alias("x"), (F.col("row") * F.sqrt(F.lit(3.0)) / 2).alias("y"))
 
 
-def hex_edges(rows: DataFrame) -> DataFrame:
+def hex_edges(rows: DataFrame, touching: bool = False) -> DataFrame:
     """Directed neighbour edges ``a, b`` (both ways, without repeats).
 
-    Within a row the facets left and right; in the next row the two that
-    overlap: columns c, c + 1 of a wider row, c - 1, c of a narrower one, and
-    c, c + 1 of an equal one.
+    Within a row the facets left and right; in the next row columns c, c + 1 of a
+    wider row, c - 1, c of a narrower one, and c - 1, c, c + 1 of an equal one.
+    ``touching`` takes only c, c + 1 of an equal row, so that no facet has more than
+    six neighbours.
     """
     cells = rows.where("size > 0").select("*", F.explode(F.sequence(F.lit(0), F.col("size") - 1)).alias("col"))
     here = cells.select("row", "size", "col", (F.col("first") + F.col("col")).alias("a"))
     beside = here.where("col + 1 < size").select("a", (F.col("a") + 1).alias("b"))
     below = rows.select((F.col("row") - 1).alias("row"), F.col("size").alias("_size"), F.col("first").alias("_first"))
-    step = F.when(F.col("_size") < F.col("size"), F.array(F.lit(-1), F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))
+    equal = [0, 1] if touching else [-1, 0, 1]
+    step = F.when(F.col("_size") < F.col("size"), F.array(F.lit(-1), F.lit(0))).when(F.col("_size") > F.col("size"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(*map(F.lit, equal)))
     down = here.join(below, "row").select("a", "_size", "_first", F.explode(F.transform(step, lambda s: F.col("col") + s)).alias("_col"))
     down = down.where("_col >= 0 and _col < _size").select("a", (F.col("_first") + F.col("_col")).alias("b"))
     one = beside.unionByName(down)

@@ -9,10 +9,11 @@ import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from facetwatch.operators.lineage import components, cut
 from facetwatch.operators.score import dot
 from facetwatch.schemas import observations
 
@@ -122,13 +123,56 @@ def dbscan_labels(x: np.ndarray, eps: float, min_samples: int, block: int = 1024
     return labels
 
 
-def dbscan(df: DataFrame, group: str, keys: list[str], features: list[str], eps: float = 1.75, min_samples: int = 2) -> DataFrame:
-    """``group, keys, cluster`` per group; rows with a missing feature get a NULL cluster.
+def near_pairs(points: DataFrame, group: str, key: str, array: str, eps: float, dims: int = 2) -> DataFrame:
+    """``group, a, b``: keys of the rows of a group whose vectors are within ``eps``, each pair once.
 
-    A group is one facet's history or one frame's facets: both are bounded by
-    the archive's shape, not by its size as a whole.
+    Rows lie in cells of side ``eps`` along the ``dims`` elements that vary most, and
+    a row meets the rows of the cells around its own in an equality join, so that
+    far rows are never compared and full cells are split by adaptive execution.
+    Rows without a group are near to none.
     """
-    return per_group(df, group, keys, features, lambda x: x, lambda x: dbscan_labels(x, eps, min_samples))
+    spread = points.select(F.posexplode(array).alias("d", "v")).groupBy("d").agg(F.var_pop(F.col("v").cast("double")).alias("var"))
+    most = [r["d"] for r in spread.orderBy(F.desc("var"), "d").limit(dims).collect()]
+    side = max(eps, 1e-12) * (1 + 1e-9)
+    cells = [F.floor(F.col(array)[d].cast("double") / side) for d in most]
+    right = points.select(group, F.col(key).alias("b"), F.col(array).alias("_b"), *(c.alias(f"_c{i}") for i, c in enumerate(cells)))
+    left = points.select(group, F.col(key).alias("a"), F.col(array).alias("_a"), *(c.alias(f"_c{i}") for i, c in enumerate(cells)))
+    for i in range(len(cells)):
+        left = left.withColumn(f"_c{i}", F.explode(F.array(*(F.col(f"_c{i}") + k for k in (-1, 0, 1)))))
+    d = F.aggregate(F.zip_with("_a", "_b", lambda x, y: (x - y).cast("double") * (x - y).cast("double")), F.lit(0.0), lambda s, x: s + x)
+    return left.join(right, [group, *(f"_c{i}" for i in range(len(cells)))]).where((F.col("a") < F.col("b")) & (d <= eps * eps + 1e-12)).select(group, "a", "b")
+
+
+def dbscan(df: DataFrame, group: str, keys: list[str], features: str | list[str], eps: float = 1.75, min_samples: int = 2) -> DataFrame:
+    """``group, keys, cluster`` per group; rows with a missing feature get a NULL cluster, noise gets -1.
+
+    ``features``: columns, or one array column. Neighbours come from a join on
+    cells, core points from their number, clusters from connected components of
+    neighbouring core points. Clusters are numbered in key order of their first core
+    point, and a border point joins the first of the clusters that reach it.
+    """
+    array = F.transform(F.col(features), lambda v: v.cast("double")) if isinstance(features, str) else F.array(*(F.col(f).cast("double") for f in features))
+    rows = df if isinstance(features, str) else observations(df.select(group, *keys, *features), features)
+    rows = rows.select(group, *keys, array.alias("_x"))
+    missing = F.col("_x").isNull() | F.exists("_x", lambda v: v.isNull() | F.isnan(v))
+    rows = cut(rows.withColumn("_x", F.when(~missing, F.col("_x"))).withColumn("_id", F.monotonically_increasing_id()))
+    whole = rows.where("_x is not null")
+    pairs = cut(near_pairs(whole, group, "_id", "_x", eps).select("a", "b"))
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    # A point counts as its own neighbour.
+    core = whole.select(F.col("_id").alias("a"), group, F.struct(*keys).alias("_first"))
+    if min_samples > 1:
+        core = core.join(both.groupBy("a").agg((F.count("*") + 1).alias("n")).where(F.col("n") >= min_samples).select("a"), "a", "left_semi")
+    core = cut(core)
+    inner = both.join(core.select("a"), "a", "left_semi").join(core.select(F.col("a").alias("b")), "b", "left_semi")
+    core = core.join(components(inner).withColumnRenamed("node", "a"), "a", "left").withColumn("component", F.coalesce("component", "a"))
+    order = core.groupBy(group, "component").agg(F.min("_first").alias("_first"))
+    order = order.select("component", (F.dense_rank().over(Window.partitionBy(group).orderBy("_first")) - 1).alias("cluster"))
+    core = cut(core.select("a", "component").join(order, "component").select("a", "cluster"))
+    border = both.join(core, "a").groupBy(F.col("b").alias("a")).agg(F.min("cluster").alias("cluster")).join(core, "a", "left_anti")
+    named = core.unionByName(border).select(F.col("a").alias("_id"), "cluster")
+    out = rows.join(named, "_id", "left")
+    return out.select(group, *keys, F.when(F.col("_x").isNotNull(), F.coalesce("cluster", F.lit(-1))).cast("int").alias("cluster"))
 
 
 def per_group(df: DataFrame, group: str, keys: list[str], features: list[str], extract: Callable[[np.ndarray], np.ndarray], cluster: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
@@ -153,51 +197,88 @@ def noise(labels: DataFrame) -> DataFrame:
 
 
 def neighbour_noise(df: DataFrame, group: str, key: str, array: str, eps: float) -> DataFrame:
-    """Noise for ``min_samples = 2``, built in: rows without a neighbour within eps in their group."""
-    a = df.select(group, key, F.col(array).alias("_a"))
-    b = df.select(group, F.col(key).alias("_k"), F.col(array).alias("_b"))
-    d = F.aggregate(F.zip_with("_a", "_b", lambda x, y: (x - y).cast("double") * (x - y).cast("double")), F.lit(0.0), lambda s, x: s + x)
-    return a.join(b.withColumn("_g", F.col(group)).drop(group), (F.col(group) == F.col("_g")) & (F.col(key) != F.col("_k")) & (d <= eps * eps), "left_anti").select(group, key)
+    """Noise for ``min_samples = 2``: rows without a neighbour within eps in their group."""
+    near = near_pairs(df.select(group, key, array), group, key, array, eps)
+    met = near.select(group, F.explode(F.array("a", "b")).alias(key)).distinct()
+    return df.select(group, key).join(met, [group, key], "left_anti")
 
 
-def isolation_scores(x: np.ndarray, trees: int = 100, sample: int = 256, seed: int = 0) -> np.ndarray:
-    """Isolation-forest scores (Liu et al. 2008); larger is more unusual."""
-    rng, n = np.random.default_rng(seed), len(x)
-    m = min(sample, n)
+def _depth_left(k: int) -> float:
+    """Mean depth of an unsuccessful search among k points."""
+    return 0.0 if k < 2 else 1.0 if k == 2 else 2 * (np.log(k - 1) + 0.5772156649) - 2 * (k - 1) / k
 
-    def c(k: int) -> float:
-        return 0.0 if k < 2 else 1.0 if k == 2 else 2 * (np.log(k - 1) + 0.5772156649) - 2 * (k - 1) / k
 
-    depth, limit = np.zeros(n), int(np.ceil(np.log2(max(m, 2))))
+def isolation_trees(x: np.ndarray, trees: int = 100, sample: int = 256, seed: int = 0) -> list[np.ndarray]:
+    """Isolation trees (Liu et al. 2008): per node feature (-1 for a leaf), threshold, left, right, depth."""
+    rng, m, out = np.random.default_rng(seed), min(sample, len(x)), []
+    limit = int(np.ceil(np.log2(max(m, 2))))
     for _ in range(trees):
-        todo = [(rng.choice(n, m, replace=False), np.arange(n), 0)]
+        nodes: list[list[float]] = [[-1, 0, 0, 0, 0]]
+        todo = [(0, rng.choice(len(x), m, replace=False), 0)]
         while todo:
-            own, rows, level = todo.pop()
-            if not len(rows):
-                continue
-            lo, hi = (x[own].min(axis=0), x[own].max(axis=0)) if len(own) else (None, None)
-            free = np.flatnonzero(hi > lo) if len(own) > 1 else []
+            at, own, level = todo.pop()
+            lo, hi = x[own].min(axis=0), x[own].max(axis=0)
+            free = np.flatnonzero(hi > lo)
             if level >= limit or len(free) == 0:
-                depth[rows] += level + c(len(own))
+                nodes[at][4] = level + _depth_left(len(own))
                 continue
-            f = rng.choice(free)
+            f = int(rng.choice(free))
             t = rng.uniform(lo[f], hi[f])
-            a, r = x[own, f] < t, x[rows, f] < t
-            todo += [(own[a], rows[r], level + 1), (own[~a], rows[~r], level + 1)]
-    return 2.0 ** (-depth / trees / max(c(m), 1e-9))
+            below = x[own, f] < t
+            if below.all() or not below.any():
+                nodes[at][4] = level + _depth_left(len(own))
+                continue
+            nodes[at] = [f, t, len(nodes), len(nodes) + 1, 0]
+            todo += [(len(nodes), own[below], level + 1), (len(nodes) + 1, own[~below], level + 1)]
+            nodes += [[-1, 0, 0, 0, 0], [-1, 0, 0, 0, 0]]
+        out.append(np.array(nodes))
+    return out
 
 
-def isolation_forest(df: DataFrame, group: str, keys: list[str], features: list[str], contamination: float = 0.05, trees: int = 100, seed: int = 0) -> DataFrame:
-    """``group, keys, score, is_outlier`` per group; the cut is a percentile of the scores."""
-    rows = observations(df.select(group, *keys, *features), features).dropna(subset=features)
-    schema = rows.select(group, *keys).schema.add("score", T.DoubleType()).add("is_outlier", T.BooleanType())
+def forest_scores(forest: list[np.ndarray], x: np.ndarray, sampled: int) -> np.ndarray:
+    """Scores of rows; larger is more unusual. ``sampled``: rows that each tree was grown on."""
+    depth = np.zeros(len(x))
+    for nodes in forest:
+        at = np.zeros(len(x), int)
+        while len(inner := np.flatnonzero(nodes[at, 0] >= 0)):
+            n = nodes[at[inner]]
+            at[inner] = np.where(x[inner, n[:, 0].astype(int)] < n[:, 1], n[:, 2], n[:, 3]).astype(int)
+        depth += nodes[at, 4]
+    return 2.0 ** (-depth / len(forest) / max(_depth_left(sampled), 1e-9))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(keys)
-        s = isolation_scores(pdf[features].to_numpy(float), trees, 256, seed)
-        return pdf[[group, *keys]].assign(score=s, is_outlier=s > np.quantile(s, 1 - contamination))
 
-    return rows.groupBy(group).applyInPandas(run, schema)
+def isolation_scores(x: np.ndarray, trees: int = 100, sample: int = 256, seed: int = 0) -> np.ndarray:
+    """Isolation-forest scores of the rows that the trees are drawn from."""
+    return forest_scores(isolation_trees(x, trees, sample, seed), x, min(sample, len(x)))
+
+
+def isolation_forest(df: DataFrame, group: str, keys: list[str], features: list[str], contamination: float = 0.05, trees: int = 100, seed: int = 0, sample: int = 256, part_rows: int = 50_000) -> DataFrame:
+    """``group, keys, score, is_outlier`` per group; the cut is a percentile of the scores.
+
+    A tree is grown on ``sample`` rows. All trees of a group draw theirs from a pool
+    of about ``trees * sample`` of its rows (all rows of a smaller group), chosen by
+    hash. Rows are scored in parts of about ``part_rows``: each part meets its group's
+    pool and grows the same trees, so that no task holds a group.
+    """
+    rows = observations(df.select(group, *keys, *features), features).dropna(subset=features)
+    n = rows.groupBy(F.col(group).alias("_g")).agg(F.count("*").alias("_n"))
+    rows = rows.join(n, F.col(group).eqNullSafe(F.col("_g"))).drop("_g").withColumn("_parts", F.ceil(F.col("_n") / part_rows).cast("int"))
+    draw = F.xxhash64(*keys, F.lit(seed)) / 2.0**64 + 0.5
+    pool = rows.where(draw * F.col("_n") < trees * sample).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_n", "_parts")
+    pool = pool.toDF(*pool.columns)  # columns of its own, for the cogroup
+    rows = rows.withColumn("_part", F.pmod(F.xxhash64(*keys, F.lit("part")), F.col("_parts")).cast("int")).drop("_n", "_parts")
+    schema = rows.select(group, *keys).schema.add("score", T.DoubleType())
+
+    def run(part: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        x = known.sort_values(keys)[features].to_numpy(float)
+        if not len(part):
+            return part[[group, *keys]].assign(score=np.zeros(0))
+        scores = forest_scores(isolation_trees(x, trees, sample, seed), part[features].to_numpy(float), min(sample, len(x)))
+        return part[[group, *keys]].assign(score=scores)
+
+    scored = cut(rows.groupBy(group, "_part").cogroup(pool.groupBy(group, "_part")).applyInPandas(run, schema))
+    top = scored.groupBy(F.col(group).alias("_g")).agg(F.percentile("score", 1 - contamination).alias("_top"))
+    return scored.join(top, F.col(group).eqNullSafe(F.col("_g"))).select(group, *keys, "score", (F.col("score") > F.col("_top")).alias("is_outlier"))
 
 
 def combined_decision(statistical: DataFrame, model: DataFrame, keys: list[str], method: str = "both") -> DataFrame:
@@ -215,6 +296,11 @@ def label_centres(df: DataFrame, label: str, array: str, n: int) -> DataFrame:
     return means.where(F.col(label).isNotNull())
 
 
+def ood_counts(scored: DataFrame, frame: str) -> DataFrame:
+    """Per frame its vectors, those out of distribution, and their share."""
+    return scored.groupBy(frame).agg(F.count("*").alias("n"), F.count_if("is_ood").alias("n_ood"), F.avg(F.col("is_ood").cast("double")).alias("share"))
+
+
 def out_of_distribution(df: DataFrame, centres: DataFrame, array: str, threshold: float = 0.7) -> DataFrame:
     """``max_cos`` to the prototypes, and ``is_ood`` where it is below the threshold.
 

@@ -164,10 +164,18 @@ def mean_abs_z(obs: DataFrame, group: list[str], features: list[str], above: flo
     return out if above is None else out.where(F.col("mean_abs_z") > above)
 
 
-def consecutive_pairs(obs: DataFrame, frame: str) -> DataFrame:
-    """Each frame with the one before it: ``frame_a, frame_b``. Frames are few against observations."""
-    frames = obs.select(frame).distinct().withColumn("_k", F.lit(1))
-    return frames.select(F.lag(frame).over(Window.partitionBy("_k").orderBy(frame)).alias("frame_a"), F.col(frame).alias("frame_b")).where("frame_a is not null")
+def consecutive_pairs(obs: DataFrame, frame: str, part: Column | None = None) -> DataFrame:
+    """Each frame with the one before it: ``frame_a, frame_b``.
+
+    ``part`` (a day, a month) must not fall while frames rise. Frames are paired
+    within their part, and the last frame of a part with the first of the next; only
+    the table of parts is one ordered partition. Without ``part`` all frames are one.
+    """
+    frames = obs.select(frame).distinct().withColumn("_part", F.lit(0) if part is None else part)
+    inner = frames.select(F.lag(frame).over(Window.partitionBy("_part").orderBy(frame)).alias("frame_a"), F.col(frame).alias("frame_b"))
+    ends = frames.groupBy("_part").agg(F.min(frame).alias("frame_b"), F.max(frame).alias("_last"))
+    outer = ends.select(F.lag("_last").over(Window.partitionBy(F.lit(0)).orderBy("frame_b")).alias("frame_a"), "frame_b")
+    return inner.unionByName(outer).where("frame_a is not null")
 
 
 def frame_pair_diff(obs: DataFrame, pairs: DataFrame, frame: str, unit: str, features: list[str]) -> DataFrame:

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from facetwatch.schemas import long, observations
 
+#: Facets that one side of a grid join holds.
+BLOCK_UNITS = 100_000
+
 
 def hours_between(df: DataFrame, ts: str, start: int = 7, stop: int = 10, strict: bool = False) -> DataFrame:
     """Rows with start <= hour < stop, or start < hour < stop when strict."""
@@ -67,8 +70,18 @@ def completeness(obs: DataFrame, frames: DataFrame, units: DataFrame, frame: str
 
 
 def missing_cells(obs: DataFrame, frames: DataFrame, units: DataFrame, frame: str, unit: str) -> DataFrame:
-    """The cells of the frame-facet grid that have no observation."""
-    grid = frames.select(frame).distinct().crossJoin(F.broadcast(units.select(unit).distinct()))
+    """The cells of the frame-facet grid that have no observation.
+
+    The grid is the result's own size. Facets are counted first: up to ``BLOCK_UNITS``
+    they are broadcast, beyond that frames meet them block by block in a shuffled join.
+    """
+    left, right = frames.select(frame).distinct(), units.select(unit).distinct()
+    blocks = right.count() // BLOCK_UNITS + 1
+    if blocks == 1:
+        grid = left.crossJoin(F.broadcast(right))
+    else:
+        right = right.withColumn("_block", F.pmod(F.xxhash64(unit), F.lit(blocks)))
+        grid = left.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(right, "_block").drop("_block")
     return grid.join(obs.select(frame, unit), [frame, unit], "left_anti")
 
 

@@ -68,48 +68,94 @@ def baseline_frames(n_frames: Column | int, share: float = 0.3, least: int = 10)
     return F.least(n, F.greatest(F.lit(least), F.floor(n * share))).cast("int")
 
 
-def with_counts(hist: DataFrame, unit: str, share: float = 0.3, least: int = 10) -> DataFrame:
-    """Adds ``n_frames`` of the unit and ``n_base``."""
-    out = hist.withColumn("n_frames", F.count("*").over(Window.partitionBy(unit)))
-    return out.withColumn("n_base", baseline_frames(F.col("n_frames"), share, least))
+def with_counts(hist: DataFrame, unit: str, frame: str = "frame", order: list[str] | None = None, share: float = 0.3, least: int = 10) -> DataFrame:
+    """Adds ``n_frames`` of the unit, and by the archive's frames ``n_base`` and ``recent``.
+
+    The baseline is the first ``n_base`` frames of the archive, the same for all
+    units; ranks in later frames are recent. Its last frame is found over the small
+    table of different frames, whose numbering is one ordered partition, and goes to
+    all rows as one row.
+    """
+    by = order or [frame]
+    numbered = hist.select(*by).distinct().withColumn("_no", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*by)))
+    n = numbered.agg(F.count("*").alias("_n")).withColumn("n_base", baseline_frames(F.col("_n"), share, least))
+    last = numbered.join(F.broadcast(n), F.col("_no") == F.col("n_base")).select("n_base", F.struct(*by).alias("_last"))
+    out = hist.join(F.broadcast(last)).withColumn("recent", F.struct(*by) > F.col("_last")).drop("_last")
+    return out.withColumn("n_frames", F.count("*").over(Window.partitionBy(unit)))
+
+
+def _recent(hist: DataFrame) -> Column:
+    """Ranks after the baseline; all ranks of a history without one."""
+    return F.col("recent") if "recent" in hist.columns else F.lit(True)
 
 
 def rank_baseline(hist: DataFrame, unit: str) -> DataFrame:
-    """Median and population deviation (at least 5) of the first ranks of a unit."""
-    return hist.where("frame_idx <= n_base").groupBy(unit).agg(F.median("rank").alias("base_rank"), F.greatest(F.stddev_pop("rank"), F.lit(5.0)).alias("base_std"), F.max("n_base").alias("n_base"), F.max("n_frames").alias("n_frames"))
+    """Median and population deviation (at least 5) of a unit's ranks in the archive's first frames."""
+    return hist.where("not recent").groupBy(unit).agg(F.median("rank").alias("base_rank"), F.greatest(F.stddev_pop("rank"), F.lit(5.0)).alias("base_std"), F.max("n_base").alias("n_base"), F.max("n_frames").alias("n_frames"))
+
+
+def unit_signals(hist: DataFrame, unit: str, n_units: int | Column | None = None, window: int = 5, share: float = 0.9) -> DataFrame:
+    """One row per unit with at least two ranks after the baseline, out of one shuffle by unit.
+
+    ``base_rank, base_std, recent_rank, drop, thin``: median of the last ``window``
+    ranks after the baseline against it, in deviations; ``thin`` where there are
+    fewer. ``n, slope``: ranks in that window, and their least-squares slope, NULL
+    where the window is not full. ``longest_run, n_recent, pct_bad``: runs in the
+    worst tenth among ranks after the baseline, and the part of them spent there.
+    """
+    rows = hist.withColumn("_new", _recent(hist)).withColumn("_last", F.col("_new") & (F.col("from_end") <= window) if "from_end" in hist.columns else F.lit(False))
+    n = F.lit(n_units) if isinstance(n_units, int) else F.lit(None) if n_units is None else n_units
+    rows = rows.withColumn("_bad", F.coalesce(F.col("_new") & (F.col("rank") > share * n), F.lit(False)).cast("int"))
+    by = Window.partitionBy(unit).orderBy("frame_idx").rowsBetween(Window.unboundedPreceding, 0)
+    # A run is what stands between two good ranks.
+    rows = rows.withColumn("_run", F.sum(1 - F.col("_bad")).over(by))
+    rows = rows.withColumn("_len", F.sum("_bad").over(Window.partitionBy(unit, "_run")))
+    rank, idx = F.col("rank").cast("double"), F.col("frame_idx").cast("double")
+    only = lambda c, x: F.when(F.col(c), x)
+    out = rows.groupBy(unit).agg(
+        F.median(F.when(~F.col("_new"), rank)).alias("base_rank"), F.greatest(F.stddev_pop(F.when(~F.col("_new"), rank)), F.lit(5.0)).alias("base_std"), F.median(only("_last", rank)).alias("recent_rank"),
+        F.count_if("_new").alias("n_recent"), F.count_if("_last").alias("n"), F.regr_slope(only("_last", rank), only("_last", idx)).alias("slope"),
+        F.max("_len").alias("longest_run"), F.try_divide(100.0 * F.sum("_bad"), F.count_if("_new")).alias("pct_bad"),
+    )
+    out = out.withColumn("drop", (F.col("recent_rank") - F.col("base_rank")) / F.when(F.col("base_rank").isNotNull(), F.col("base_std")))
+    out = out.withColumn("thin", F.col("n_recent") < window).withColumn("slope", F.when(F.col("n") >= window, F.col("slope")))
+    return out.where("n_recent >= 2")
 
 
 def rank_drop(hist: DataFrame, unit: str, window: int = 5, threshold: float = 3.0, warn: bool = False) -> DataFrame:
     """Units whose median of the last ranks after the baseline fell behind by more than ``threshold`` deviations.
 
-    Units with fewer than two frames after the baseline are skipped; ``thin``
-    marks those with fewer than ``window``. ``warn`` returns all units.
+    Units with fewer than two ranks after the baseline, or none in it, are skipped;
+    ``thin`` marks those with fewer than ``window``. ``warn`` returns all units.
     """
-    after = hist.where((F.col("frame_idx") > F.col("n_base")) & (F.col("from_end") <= window))
-    recent = after.groupBy(unit).agg(F.median("rank").alias("recent_rank"))
-    both = rank_baseline(hist, unit).where("n_frames >= n_base + 2").join(recent, unit)
-    both = both.withColumn("drop", (F.col("recent_rank") - F.col("base_rank")) / F.col("base_std")).withColumn("thin", F.col("n_frames") < F.col("n_base") + window)
+    both = unit_signals(hist, unit, window=window).where("drop is not null").select(unit, "base_rank", "base_std", "recent_rank", "drop", "thin")
     return both if warn else both.where(F.col("drop") > threshold)
 
 
 def rank_trend(hist: DataFrame, unit: str, window: int = 5, threshold: float | None = 2.0) -> DataFrame:
-    """Least-squares slope of the last ranks; only units with a full window, above ``threshold``."""
-    last = hist.where(F.col("from_end") <= window)
-    out = last.groupBy(unit).agg(F.count("*").alias("n"), F.regr_slope(F.col("rank").cast("double"), F.col("frame_idx").cast("double")).alias("slope")).where(F.col("n") >= window)
+    """Least-squares slope of the last ranks after the baseline; only units with a full window there, above ``threshold``."""
+    out = unit_signals(hist, unit, window=window).where("slope is not null").select(unit, "n", "slope")
     return out if threshold is None else out.where(F.col("slope") > threshold)
 
 
 def bottom_runs(hist: DataFrame, unit: str, n_units: int | Column, share: float = 0.9, least: int | None = 3) -> DataFrame:
-    """Longest run of frames in the worst tenth, and the part of time spent there."""
-    n = F.lit(n_units) if isinstance(n_units, int) else n_units
-    marked = hist.withColumn("bad", F.col("rank") > share * n)
-    w = Window.partitionBy(unit, "bad").orderBy("frame_idx")
-    runs = marked.withColumn("island", F.col("frame_idx") - F.row_number().over(w)).groupBy(unit, "bad", "island").agg(F.count("*").alias("n"))
-    out = runs.groupBy(unit).agg(F.max(F.when(F.col("bad"), F.col("n")).otherwise(0)).alias("longest_run"), F.sum(F.when(F.col("bad"), F.col("n")).otherwise(0)).alias("n_bad"), F.sum("n").alias("n_frames"))
-    out = out.withColumn("pct_bad", 100.0 * F.col("n_bad") / F.col("n_frames")).drop("n_bad")
+    """Longest run of ranks after the baseline in the worst tenth, and the part of these ranks spent there."""
+    out = unit_signals(hist, unit, n_units, share=share).select(unit, "longest_run", F.col("n_recent").alias("n_frames"), "pct_bad")
     return out if least is None else out.where(F.col("longest_run") >= least)
 
 
+def signal_report(signals: DataFrame, unit: str, drop: float = 3.0, slope: float = 2.0, run: int = 3, top: int | None = 10) -> DataFrame:
+    """``degradation_report`` out of ``unit_signals``, in one pass over it."""
+    parts = (("rank_drop", F.col("drop"), F.col("drop") > drop), ("trend", F.col("slope"), F.col("slope") > slope), ("persistent", F.col("longest_run").cast("double"), F.col("longest_run") >= run))
+    each = F.explode(F.array(*(F.struct(F.lit(name).alias("signal"), F.when(met, value).alias("severity")) for name, value, met in parts)))
+    return _placed(signals.select(unit, each.alias("s")).select("s.signal", unit, "s.severity").where("severity is not null"), unit, top)
+
+
+def _placed(rows: DataFrame, unit: str, top: int | None) -> DataFrame:
+    rows = rows.withColumn("position", F.row_number().over(Window.partitionBy("signal").orderBy(F.desc("severity"), unit)))
+    return rows if top is None else rows.where(F.col("position") <= top)
+
+
 def degradation_report(drops: DataFrame, trends: DataFrame, runs: DataFrame, unit: str, top: int | None = 10) -> DataFrame:
     """The three signals in one list: ``signal, unit, severity, position``, worst first."""
     parts = [
@@ -117,9 +163,7 @@ def degradation_report(drops: DataFrame, trends: DataFrame, runs: DataFrame, uni
         trends.select(F.lit("trend").alias("signal"), unit, F.col("slope").alias("severity")),
         runs.select(F.lit("persistent").alias("signal"), unit, F.col("longest_run").cast("double").alias("severity")),
     ]
-    rows = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    rows = rows.withColumn("position", F.row_number().over(Window.partitionBy("signal").orderBy(F.desc("severity"), unit)))
-    return rows if top is None else rows.where(F.col("position") <= top)
+    return _placed(parts[0].unionByName(parts[1]).unionByName(parts[2]), unit, top)
 
 
 def flagged_units(report: DataFrame, unit: str) -> DataFrame:
@@ -155,6 +199,11 @@ def rank_matrix(hist: DataFrame, unit: str, n_frames: int) -> DataFrame:
     return wide.join(middle, unit).orderBy("median_rank", unit)
 
 
+def rank_rows(hist: DataFrame, unit: str) -> DataFrame:
+    """The matrix in long form, for any number of frames: ``unit, frame_idx, rank, median_rank``."""
+    return hist.select(unit, "frame_idx", "rank", F.median("rank").over(Window.partitionBy(unit)).alias("median_rank"))
+
+
 def feature_series(obs: DataFrame, ts: str, unit: str, feature: str, units: list | None = None) -> DataFrame:
     """Time series of one feature of chosen units."""
     rows = obs if units is None else obs.where(F.col(unit).isin(*units))

@@ -53,9 +53,9 @@ PIXELS = """raw AS (SELECT vec_id AS patch, unnest(embedding) AS e, unnest(range
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Embeddings with the first four elements as columns v0 .. v3."""
+    """Embeddings with their 64 elements as columns v0 .. v63."""
     rows = read(spark, sf_dir, "embeddings")
-    return rows.select("vec_id", "label", *(F.col("embedding")[i].cast("double").alias(f"v{i}") for i in range(4)))
+    return rows.select("vec_id", "label", *(F.col("embedding")[i].cast("double").alias(f"v{i}") for i in range(64)))
 
 
 def suspects(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

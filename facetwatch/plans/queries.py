@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from facetwatch.functions import patches, times
 from facetwatch.operators import baseline, geometry, metrics, ml, score, selection, temporal
 from facetwatch.plans.inputs import E_FEATURES, L_FEATURES, L_LOWER, LONG_L, OBS_E, OBS_L, PIXELS, SUSPECTS, obs_e, obs_l, pixels, read, suspects, vectors
-from facetwatch.sources import annotations, store
+from facetwatch.operators.lineage import scratch
+from facetwatch.sources import annotations, calibration, store
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -284,15 +285,16 @@ _PAIR = OBS_L + """, fr AS (SELECT frame_a, frame_b FROM (SELECT lag(frame) OVER
 @query(f"WITH {_PAIR} SELECT frame_a, frame_b, unit, {_r('distance=sqrt(d_quantity * d_quantity + d_tax * d_tax)', 'd_quantity', 'd_tax')} FROM df")
 def frame_pair_diff(spark, sf_dir):
     obs = obs_l(spark, sf_dir)
-    return rnd(score.frame_pair_diff(obs, score.consecutive_pairs(obs, "frame"), "frame", "unit", ["quantity", "tax"]))
+    return rnd(score.frame_pair_diff(obs, score.consecutive_pairs(obs, "frame", F.substring("frame", 1, 4)), "frame", "unit", ["quantity", "tax"]))
 
 
 @query(f"""WITH {_PAIR}, t AS (SELECT *, round(sqrt(d_quantity * d_quantity + d_tax * d_tax), 6) AS distance FROM df), p AS (SELECT *, row_number() OVER (PARTITION BY frame_a, frame_b ORDER BY distance DESC, unit) AS position FROM t)
-    SELECT frame_a, frame_b, unit, position::INTEGER AS position, {_r('distance')} FROM p WHERE position <= 10""")
+    SELECT frame_a, frame_b, unit, position::INTEGER AS position, {_r('distance')},
+    CASE WHEN abs(d_quantity) >= abs(d_tax) THEN printf('quantity=%+.2f; tax=%+.2f', d_quantity, d_tax) ELSE printf('tax=%+.2f; quantity=%+.2f', d_tax, d_quantity) END AS reasons FROM p WHERE position <= 10""")
 def pair_top_units(spark, sf_dir):
     obs = obs_l(spark, sf_dir)
-    diffs = score.frame_pair_diff(obs, score.consecutive_pairs(obs, "frame"), "frame", "unit", ["quantity", "tax"]).withColumn("distance", F.round("distance", 6))
-    return rnd(score.pair_report(diffs, "unit", ["quantity", "tax"]).drop("reasons"))
+    diffs = score.frame_pair_diff(obs, score.consecutive_pairs(obs, "frame", F.substring("frame", 1, 4)), "frame", "unit", ["quantity", "tax"]).withColumn("distance", F.round("distance", 6))
+    return rnd(score.pair_report(diffs, "unit", ["quantity", "tax"]))
 
 
 # Ranking and history.
@@ -301,8 +303,9 @@ _RANK = _COMP + """, cm AS (SELECT frame, median(composite) AS m, count(composit
     fr AS (SELECT frame, unit, composite, floor(rank() OVER (PARTITION BY frame ORDER BY composite DESC) + (count(*) OVER (PARTITION BY frame, composite) - 1) / 2.0)::INTEGER AS rank,
            CASE WHEN k >= 2 THEN CASE WHEN d <= 1e-10 THEN 0 ELSE (composite - m) / d END END AS z FROM comp JOIN cd USING (frame)),
     h AS (SELECT frame, unit, rank, row_number() OVER (PARTITION BY unit ORDER BY frame) AS frame_idx, row_number() OVER (PARTITION BY unit ORDER BY frame DESC) AS from_end, count(*) OVER (PARTITION BY unit) AS n_frames FROM fr),
-    hb AS (SELECT *, least(n_frames, greatest(10, floor(n_frames * 0.3)))::INTEGER AS n_base FROM h),
-    rb AS (SELECT unit, median(rank) AS base_rank, greatest(stddev_pop(rank), 5.0) AS base_std, max(n_base) AS n_base, max(n_frames) AS n_frames FROM hb WHERE frame_idx <= n_base GROUP BY unit)"""
+    ff AS (SELECT frame, row_number() OVER (ORDER BY frame) AS frame_no, count(*) OVER () AS n_all FROM (SELECT DISTINCT frame FROM fr)),
+    hb AS (SELECT h.*, least(n_all, greatest(10, floor(n_all * 0.3)))::INTEGER AS n_base, frame_no > least(n_all, greatest(10, floor(n_all * 0.3))) AS recent FROM h JOIN ff USING (frame)),
+    rb AS (SELECT unit, median(rank) AS base_rank, greatest(stddev_pop(rank), 5.0) AS base_std, max(n_base) AS n_base, max(n_frames) AS n_frames FROM hb WHERE NOT recent GROUP BY unit)"""
 
 
 def _ranks(spark, sf_dir):
@@ -310,7 +313,7 @@ def _ranks(spark, sf_dir):
 
 
 def _history(spark, sf_dir):
-    return temporal.with_counts(temporal.history(_ranks(spark, sf_dir), "frame", "unit"), "unit")
+    return temporal.with_counts(temporal.history(_ranks(spark, sf_dir), "frame", "unit"), "unit", "frame")
 
 
 @query(f"WITH {_COMP} SELECT frame, unit, {_r('composite')} FROM comp")
@@ -328,11 +331,12 @@ def rank_baseline(spark, sf_dir):
     return rnd(temporal.rank_baseline(_history(spark, sf_dir), "unit"))
 
 
-_DROP = _RANK + """, dr AS (SELECT unit, recent_rank, base_rank, (recent_rank - base_rank) / base_std AS drop, n_frames < n_base + 5 AS thin
-    FROM rb JOIN (SELECT unit, median(rank) AS recent_rank FROM hb WHERE frame_idx > n_base AND from_end <= 5 GROUP BY unit) USING (unit) WHERE n_frames >= n_base + 2),
-    tn AS (SELECT unit, count(*) AS n, regr_slope(rank, frame_idx) AS slope FROM hb WHERE from_end <= 5 GROUP BY unit HAVING count(*) >= 5),
+_DROP = _RANK + """, rk AS (SELECT unit, frame_idx, from_end, rank FROM hb WHERE recent), en AS (SELECT unit, count(*) AS n_recent FROM rk GROUP BY unit HAVING count(*) >= 2),
+    dr AS (SELECT unit, recent_rank, base_rank, (recent_rank - base_rank) / base_std AS drop, n_recent < 5 AS thin
+    FROM rb JOIN (SELECT unit, median(rank) AS recent_rank FROM rk WHERE from_end <= 5 GROUP BY unit) USING (unit) JOIN en USING (unit)),
+    tn AS (SELECT unit, count(*) AS n, regr_slope(rank, frame_idx) AS slope FROM rk JOIN en USING (unit) WHERE from_end <= 5 GROUP BY unit HAVING count(*) >= 5),
     nu AS (SELECT count(DISTINCT unit) AS n FROM fr),
-    bd AS (SELECT unit, frame_idx, rank > 0.9 * (SELECT n FROM nu) AS bad FROM hb),
+    bd AS (SELECT unit, frame_idx, rank > 0.9 * (SELECT n FROM nu) AS bad FROM rk JOIN en USING (unit)),
     isl AS (SELECT unit, bad, frame_idx - row_number() OVER (PARTITION BY unit, bad ORDER BY frame_idx) AS island FROM bd),
     rn AS (SELECT unit, bad, island, count(*) AS n FROM isl GROUP BY 1, 2, 3),
     ru AS (SELECT unit, max(CASE WHEN bad THEN n ELSE 0 END) AS longest_run, sum(n)::BIGINT AS n_frames, 100.0 * sum(CASE WHEN bad THEN n ELSE 0 END) / sum(n) AS pct_bad FROM rn GROUP BY unit)"""
@@ -367,9 +371,8 @@ _REPORT = _DROP + """, sig AS (SELECT 'rank_drop' AS signal, unit, round(drop, 6
 
 def _signals(spark, sf_dir):
     hist = _history(spark, sf_dir)
-    drops = temporal.rank_drop(hist, "unit", threshold=1.0).withColumn("drop", F.round("drop", 6))
-    trends = temporal.rank_trend(hist, "unit").withColumn("slope", F.round("slope", 6))
-    return temporal.degradation_report(drops, trends, _runs(hist, 2), "unit", top=None)
+    signals = temporal.unit_signals(hist.join(F.broadcast(_n_units(hist))), "unit", F.col("_units"))
+    return temporal.signal_report(signals.withColumns({c: F.round(c, 6) for c in ("drop", "slope")}), "unit", drop=1.0, run=2, top=None)
 
 
 @query(f"WITH {_REPORT} SELECT signal, unit, {_r('severity')}, position FROM rp WHERE position <= 10")
@@ -395,20 +398,20 @@ def degradation_scatter(spark, sf_dir):
     return temporal.degradation_scatter(_history(spark, sf_dir), temporal.flagged_units(_signals(spark, sf_dir), "unit"), "unit")
 
 
-@query(f"WITH {_RANK} SELECT unit, " + ", ".join(f"max(rank) FILTER (WHERE frame_idx = {k}) AS f{k}" for k in range(1, 13)) + ", median(rank) AS median_rank FROM hb GROUP BY unit")
+@query(f"WITH {_RANK} SELECT unit, frame_idx::INTEGER AS frame_idx, rank, median(rank) OVER (PARTITION BY unit) AS median_rank FROM hb")
 def rank_matrix(spark, sf_dir):
-    return temporal.rank_matrix(_history(spark, sf_dir), "unit", 12)
+    return temporal.rank_rows(_history(spark, sf_dir), "unit")
 
 
-@query(f"WITH {OBS_L} SELECT frame, unit, 'price' AS feature, {_r('value=price')} FROM obs WHERE unit IN (1, 2, 3)")
+@query(f"WITH {OBS_L} SELECT frame, unit, 'price' AS feature, {_r('value=price')} FROM obs")
 def feature_series(spark, sf_dir):
-    return rnd(temporal.feature_series(obs_l(spark, sf_dir), "frame", "unit", "price", [1, 2, 3]))
+    return rnd(temporal.feature_series(obs_l(spark, sf_dir), "frame", "unit", "price"))
 
 
 @query(f"""WITH hh AS (SELECT (epoch_us(ts) - (SELECT epoch_us(min(ts)) FROM events)) / 3.6e9 AS hours, value FROM events)
-    SELECT 'value' AS feature, {_r('slope_per_day=24 * regr_slope(value, hours)', 'intercept=regr_intercept(value, hours)', 'r2=regr_r2(value, hours)', digits=6)}, regr_count(value, hours)::BIGINT AS n FROM hh""")
+    SELECT 'value' AS feature, {_r('slope_per_day=24 * regr_slope(value, hours)', 'intercept=regr_intercept(value, hours)', 'r2=regr_r2(value, hours)', digits=6)}, regr_count(value, hours)::BIGINT AS n, sqrt(regr_r2(value, hours) / (1 - regr_r2(value, hours)) * (regr_count(value, hours) - 2)) > 1.96 + 2.4 / regr_count(value, hours) AS significant FROM hh""")
 def drift_regression(spark, sf_dir):
-    return rnd(temporal.drift_regression(read(spark, sf_dir, "events"), "ts", ["value"]).drop("p_value", "significant"), 6)
+    return rnd(temporal.drift_regression(read(spark, sf_dir, "events"), "ts", ["value"]).drop("p_value"), 6)
 
 
 # Detection quality.
@@ -613,14 +616,16 @@ def patch_hog(spark, sf_dir):
 
 _NCC = """b AS (SELECT label, vec_id, embedding FROM embeddings), e AS (SELECT label, vec_id, unnest(embedding)::DOUBLE AS e, unnest(range(64)) AS k FROM b), m AS (SELECT vec_id, avg(e) AS m FROM e GROUP BY vec_id),
     c AS (SELECT label, vec_id, k, e - m AS c FROM e JOIN m USING (vec_id)), n AS (SELECT vec_id, sqrt(sum(c * c)) AS n FROM c GROUP BY vec_id), s AS (SELECT label, vec_id, k, c / n AS s FROM c JOIN n USING (vec_id) WHERE n > 1e-6),
-    f AS (SELECT vec_id FROM (SELECT vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS r FROM b) WHERE r <= 8),
+    f AS (SELECT vec_id FROM b WHERE vec_id < (SELECT min(vec_id) + 0.1 * (max(vec_id) - min(vec_id) + 1) FROM b)),
     p AS (SELECT x.label, x.vec_id, y.vec_id AS bank, sum(x.s * y.s) AS ncc FROM s x JOIN s y ON x.label = y.label AND x.k = y.k AND x.vec_id <> y.vec_id WHERE y.vec_id IN (SELECT vec_id FROM f) GROUP BY 1, 2, 3)"""
 
 
 @query(f"WITH {_NCC} SELECT label, vec_id, {_r('max_ncc=max(ncc)', 'median_ncc=median(ncc)', 'residual_rms=sqrt(greatest(2 - 2 * max(ncc), 0) / 64)')}, max_by(bank, ncc) AS best_key FROM p GROUP BY label, vec_id")
 def ncc_bank(spark, sf_dir):
     rows = read(spark, sf_dir, "embeddings").select("label", "vec_id", "embedding")
-    bank = metrics.top_suspects(rows.withColumn("s", -F.col("vec_id")), ["label"], ["vec_id"], "s", 8)  # the first eight patches of each label
+    # The bank is all patches of the baseline period, the first tenth of the ids; a frame's patches meet those of their own unit.
+    period = rows.agg((F.min("vec_id") + 0.1 * (F.max("vec_id") - F.min("vec_id") + 1)).alias("end"))
+    bank = rows.join(F.broadcast(period), F.col("vec_id") < F.col("end")).drop("end")
     return rnd(patches.best_match(rows, bank, "label", "vec_id", "embedding"))
 
 
@@ -635,7 +640,7 @@ def _dish(spark, sf_dir):
 _DISH = """sz AS (SELECT c_nationkey AS row, count(*) % 20 + 5 AS size FROM customer GROUP BY 1), rt AS (SELECT row, size, coalesce(sum(size) OVER (ORDER BY row ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first FROM sz),
     ce AS (SELECT row, size, first, unnest(range(size)) AS col FROM rt)"""
 _EDGES = _DISH + """, e1 AS (SELECT first + col AS a, first + col + 1 AS b FROM ce WHERE col + 1 < size UNION ALL
-    SELECT c.first + c.col, n.first + c.col + s.d FROM ce c JOIN rt n ON n.row = c.row + 1, (SELECT unnest([-1, 0, 1]) AS d) s WHERE (CASE WHEN n.size < c.size THEN s.d IN (-1, 0) ELSE s.d IN (0, 1) END) AND c.col + s.d BETWEEN 0 AND n.size - 1),
+    SELECT c.first + c.col, n.first + c.col + s.d FROM ce c JOIN rt n ON n.row = c.row + 1, (SELECT unnest([-1, 0, 1]) AS d) s WHERE (CASE WHEN n.size < c.size THEN s.d IN (-1, 0) WHEN n.size > c.size THEN s.d IN (0, 1) ELSE s.d IN (-1, 0, 1) END) AND c.col + s.d BETWEEN 0 AND n.size - 1),
     ed AS (SELECT DISTINCT least(a, b)::INTEGER AS a, greatest(a, b)::INTEGER AS b FROM e1)"""
 
 
@@ -702,10 +707,85 @@ def crop_manifest(spark, sf_dir):
     return store.crop_manifest(rows).select("mirror_id", F.col("entry").cast("long").alias("entry"), "frame_id")
 
 
-@query(f"WITH {_RANK} SELECT frame, " + ", ".join(f"max(rank) FILTER (WHERE unit = {u}) AS u{u}" for u in range(1, 9)) + " FROM fr GROUP BY frame")
+@query(f"WITH {_RANK} SELECT frame, string_agg(unit || '=' || rank, ' ' ORDER BY unit) AS ranks FROM fr GROUP BY frame")
 def rank_table(spark, sf_dir):
-    wide = store.rank_table(_ranks(spark, sf_dir), "frame", "unit", "rank", list(range(1, 9)))
-    return wide.select("frame", *(F.col(str(u)).alias(f"u{u}") for u in range(1, 9)))
+    rows = store.rank_lists(_ranks(spark, sf_dir), "frame", "unit", "rank")
+    return rows.select("frame", F.array_join(F.transform("ranks", lambda r: F.concat_ws("=", r["unit"], r["rank"])), " ").alias("ranks"))
+
+
+@query(f"WITH {OBS_L} SELECT frame, unit, {_r(*L_FEATURES)}, (SELECT count(DISTINCT frame) FROM obs) AS n_images, (SELECT count(DISTINCT unit) FROM obs) AS n_mirrors FROM obs")
+def stored_observations(spark, sf_dir):
+    """Observations are written by day with their metadata, and read again."""
+    path = scratch(spark, "observations")
+    store.write_observations(obs_l(spark, sf_dir).withColumn("ts", F.to_timestamp("frame", "yyyy-MM")), path, frame="frame", unit="unit")
+    obs, meta = store.read_observations(spark, path)
+    return rnd(obs.select("frame", "unit", *L_FEATURES).join(F.broadcast(meta.select("n_images", "n_mirrors"))))
+
+
+@query(f"WITH {_Z} SELECT frame, unit, feature, {_r('z')} FROM z")
+def stored_baseline(spark, sf_dir):
+    """A baseline is written and read again, and observations are scored against it."""
+    obs, path = obs_l(spark, sf_dir), scratch(spark, "baseline")
+    store.write_table(baseline.robust_baseline(obs, "unit", L_FEATURES), path)
+    return rnd(score.z_scores(obs, store.read_table(spark, path), "frame", "unit", L_FEATURES).select("frame", "unit", "feature", "z"))
+
+
+@query("""SELECT mirror_id, place, mirror_id::BIGINT * 100 + place AS x, place * place AS y
+    FROM (SELECT c_nationkey::INTEGER AS mirror_id, unnest(range(count(*) % 5 + 3)) AS place FROM customer GROUP BY 1)""")
+def stored_calibration(spark, sf_dir):
+    """Polygons are written as a calibration file and read again."""
+    n = read(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").cast("int").alias("mirror_id")).agg((F.count("*") % 5 + 3).cast("int").alias("n"))
+    points = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda k: F.struct((F.col("mirror_id") * 100 + k).alias("x"), (k * k).alias("y")))
+    path = scratch(spark, "calibration")
+    calibration.write_calibration(n.select("mirror_id", points.alias("points")), "image.jpg", path)
+    facets = calibration.read_calibration(spark, path)
+    return facets.select("mirror_id", F.posexplode("points").alias("place", "p")).select("mirror_id", F.col("place").cast("long").alias("place"), F.col("p.x").cast("long").alias("x"), F.col("p.y").cast("long").alias("y"))
+
+
+@query("""SELECT strftime(ts, '%Y-%m-%d') AS file, (user_id % 249)::INTEGER AS mirror_id FROM events WHERE event_type = 'error' GROUP BY 1, 2""")
+def stored_annotations(spark, sf_dir):
+    """Annotations are written as JSON and read again."""
+    marks = read(spark, sf_dir, "events").where("event_type = 'error'").select(F.date_format("ts", "yyyy-MM-dd").alias("file"), (F.col("user_id") % 249).cast("int").alias("mirror_id"))
+    path = scratch(spark, "annotations")
+    annotations.write_annotations(marks, path)
+    return spark.read.schema("file string, marked_mirrors array<int>").json(path).select("file", F.explode("marked_mirrors").alias("mirror_id"))
+
+
+@query("""WITH p AS (SELECT s_suppkey // 10 AS i, s_suppkey % 10 AS j, s_acctbal AS x, s_nationkey AS y FROM supplier)
+    SELECT a.i * 9 + a.j AS grid_id, round(a.x + b.x + c.x + d.x + 1e-9, 4) + 0.0 AS sum_x, (a.y + b.y + c.y + d.y)::BIGINT AS sum_y, 5 AS n_points FROM p a JOIN p b ON b.i = a.i AND b.j = a.j + 1 JOIN p c ON c.i = a.i + 1 AND c.j = a.j + 1 JOIN p d ON d.i = a.i + 1 AND d.j = a.j""")
+def grid_polygons(spark, sf_dir):
+    """Cells of a grid of crossing points, here the suppliers in rows of ten."""
+    rows = read(spark, sf_dir, "supplier").select(F.floor(F.col("s_suppkey") / 10).alias("i"), (F.col("s_suppkey") % 10).alias("j"), F.col("s_acctbal").cast("double").alias("x"), F.col("s_nationkey").alias("y"))
+    corners = F.slice("points", 1, 4)
+    total = lambda k, zero: F.aggregate(corners, F.lit(zero), lambda s, p: s + p[k])
+    out = geometry.grid_cells(rows, 10).select("grid_id", total("x", 0.0).alias("sum_x"), F.aggregate(corners, F.lit(0).cast("long"), lambda s, p: s + p["y"]).alias("sum_y"), F.size("points").alias("n_points"))
+    return rnd(out)
+
+
+_LIGHT = """l AS (SELECT patch, stddev_pop(lap) AS sharpness FROM g GROUP BY patch),
+    q AS (SELECT patch, avg(v) AS mean_brightness, avg((v > 190)::INTEGER) AS bright_saturated_frac, abs(avg(v) FILTER (WHERE x < 4) - avg(v) FILTER (WHERE x >= 4)) AS lr_asymmetry FROM px GROUP BY patch),
+    w AS (SELECT patch, round(mean_brightness, 6) AS mean_brightness, round(bright_saturated_frac, 6) AS bright_saturated_frac, round(lr_asymmetry, 6) AS lr_asymmetry, round(sharpness, 6) AS sharpness FROM q JOIN l USING (patch))"""
+
+
+def _light(spark, sf_dir):
+    px = pixels(spark, sf_dir)
+    v, six = F.col("v"), lambda c: F.round(c, 6)
+    sharp = patches.convolve(px, {"lap": patches.LAPLACE}).groupBy("patch").agg(six(F.stddev_pop("lap")).alias("sharpness"))
+    side = F.abs(F.avg(F.when(F.col("x") < 4, v)) - F.avg(F.when(F.col("x") >= 4, v)))
+    light = px.groupBy("patch").agg(six(F.avg(v)).alias("mean_brightness"), six(F.avg((v > 190).cast("double"))).alias("bright_saturated_frac"), six(side).alias("lr_asymmetry"))
+    return light.join(sharp, "patch")
+
+
+def _frame_rule(rule: str, sql: str):
+    def run(spark, sf_dir):
+        return rnd(selection.good_frames(_light(spark, sf_dir), rule), 6)
+
+    run.__name__ = f"{rule}_rule_frames"
+    query(f"WITH {_NEAR}, g AS (SELECT patch, {_sql_kernel(patches.LAPLACE, 'lap')} FROM nb), {_LIGHT} SELECT patch, {_r('mean_brightness', 'bright_saturated_frac', 'lr_asymmetry', 'sharpness', digits=6)} FROM w WHERE {sql}")(run)
+
+
+_frame_rule("morning", "mean_brightness > 100 AND mean_brightness < 145 AND sharpness > 25")
+_frame_rule("even", "lr_asymmetry < 10 AND mean_brightness > 80 AND sharpness > 20")
 
 
 # Clusters and models.
@@ -719,7 +799,7 @@ def dbscan_noise(spark, sf_dir):
 
 @query()
 def dbscan_groups(spark, sf_dir):
-    rows = ml.dbscan(vectors(spark, sf_dir), "label", ["vec_id"], ["v0", "v1", "v2", "v3"], 0.08, 2)
+    rows = ml.dbscan(read(spark, sf_dir, "embeddings"), "label", ["vec_id"], "embedding", 1.15, 2)
     return rows.groupBy("label", "cluster").agg(F.count("*").alias("n"))
 
 
@@ -737,9 +817,9 @@ def variance_select(spark, sf_dir):
     return rnd(ml.variance_select(obs_l(spark, sf_dir), L_FEATURES))
 
 
-@query("SELECT vec_id, label, " + ", ".join(f"round((embedding[{i + 1}]::DOUBLE - avg(embedding[{i + 1}]::DOUBLE) OVER ()) / stddev_pop(embedding[{i + 1}]::DOUBLE) OVER () + 1e-9, 4) + 0.0 AS v{i}" for i in range(4)) + " FROM embeddings")
+@query("SELECT vec_id, label, " + ", ".join(f"round((embedding[{i + 1}]::DOUBLE - avg(embedding[{i + 1}]::DOUBLE) OVER ()) / stddev_pop(embedding[{i + 1}]::DOUBLE) OVER () + 1e-9, 4) + 0.0 AS v{i}" for i in range(64)) + " FROM embeddings")
 def standardize(spark, sf_dir):
-    return rnd(ml.standardize(vectors(spark, sf_dir), [f"v{i}" for i in range(4)]))
+    return rnd(ml.standardize(vectors(spark, sf_dir), [f"v{i}" for i in range(64)]))
 
 
 @query()
@@ -762,6 +842,27 @@ def pca_outliers(spark, sf_dir):
     return rnd(ml.pca_outliers(obs_l(spark, sf_dir), L_FEATURES, 2, 2.7).select("frame", "unit", "distance"))
 
 
+_STD2 = OBS_L + """, st AS (SELECT count(*) AS n, corr(quantity, tax) AS r, avg(quantity) AS mq, stddev_pop(quantity) AS sq, avg(tax) AS mt, stddev_pop(tax) AS tt FROM obs),
+    z2 AS (SELECT frame, unit, (quantity - mq) / sq AS a, (tax - mt) / tt AS b, r, n FROM obs, st)"""
+
+
+@query(f"WITH {_STD2} SELECT component::INTEGER AS component, {_r('share=CASE component WHEN 0 THEN (1 + abs(r)) / 2 ELSE (1 - abs(r)) / 2 END', 'cumulative=CASE component WHEN 0 THEN (1 + abs(r)) / 2 ELSE 1 END')} FROM st, (SELECT unnest([0, 1]) AS component)")
+def pca_variance_2d(spark, sf_dir):
+    return rnd(ml.explained(obs_l(spark, sf_dir), ["quantity", "tax"]).drop("needed"))
+
+
+@query(f"""WITH {_STD2}, d AS (SELECT frame, unit, sqrt((a * a - 2 * r * a * b + b * b) / (1 - r * r) * (n - 1) / n) AS distance FROM z2) SELECT frame, unit, {_r('distance')} FROM d WHERE distance > 2.7""")
+def pca_outliers_2d(spark, sf_dir):
+    return rnd(ml.pca_outliers(obs_l(spark, sf_dir), ["quantity", "tax"], 2, 2.7).select("frame", "unit", "distance"))
+
+
+@query()
+def ood_frames(spark, sf_dir):
+    """Prototypes by k-means, and how many vectors of each label are far from all of them."""
+    rows = read(spark, sf_dir, "embeddings")
+    return ml.ood_counts(ml.out_of_distribution(rows, ml.prototypes(rows, "embedding", 30), "embedding", 0.7), "label")
+
+
 @query()
 def isolation_scores(spark, sf_dir):
     return rnd(ml.isolation_forest(obs_l(spark, sf_dir), "frame", ["unit"], L_FEATURES))

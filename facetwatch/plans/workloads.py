@@ -45,9 +45,8 @@ def track(obs: DataFrame, frame: str = "frame_id", unit: str = "mirror_id", orde
     ranks = temporal.frame_rank(obs, frame, unit, features, lower)
     if order and order != [frame]:
         ranks = ranks.join(obs.select(frame, *(c for c in order if c != frame)).distinct(), frame)
-    hist = temporal.with_counts(temporal.history(ranks, frame, unit, order), unit)
+    hist = temporal.with_counts(temporal.history(ranks, frame, unit, order), unit, frame, order)
     n = hist.select(unit).distinct().agg(F.count("*").alias("_units"))
-    drops, trends = temporal.rank_drop(hist, unit, window), temporal.rank_trend(hist, unit, window)
-    runs = temporal.bottom_runs(hist.join(F.broadcast(n)), unit, F.col("_units"))
-    report = temporal.degradation_report(drops, trends, runs, unit, top=None)
-    return {"ranks": ranks, "history": hist, "report": report, "flagged": temporal.flagged_units(report, unit)}
+    signals = temporal.unit_signals(hist.join(F.broadcast(n)), unit, F.col("_units"), window)
+    report = temporal.signal_report(signals, unit, top=None)
+    return {"ranks": ranks, "history": hist, "signals": signals, "report": report, "flagged": temporal.flagged_units(report, unit)}

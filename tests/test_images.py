@@ -165,10 +165,11 @@ def test_grid_to_facets(spark, tmp_path):
 
 def test_dish_geometry(spark):
     rows = geometry.row_table(spark)
-    where, edges = geometry.hex_positions(rows), geometry.hex_edges(rows)
+    where, edges = geometry.hex_positions(rows), geometry.hex_edges(rows, touching=True)
     assert where.count() == 249 == sum(ROW_SIZES)
     counts = geometry.neighbour_count(edges)
     assert counts.agg(F.max("n_neighbours")).first()[0] <= 6 and edges.count() == 2 * geometry.undirected(edges).count()
+    assert (geometry.undirected(edges).count(), geometry.undirected(geometry.hex_edges(rows)).count()) == (688, 816)
 
 
 def test_annotations(spark, archive, tmp_path):
