@@ -1,75 +1,28 @@
-"""What several operators share: table paths, the shared folder, components."""
+"""What several operators share: table paths, the shared folder, components, rows without others."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from facetwatch.operators.lineage import components, cut, fewer, scratch, settled, shared_dir
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One input table, read by Spark from whatever store ``sf_dir`` names."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+__all__ = ["BROADCAST_IDS", "components", "cut", "fewer", "scratch", "settled", "shared_dir", "table", "without"]
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: ``spark.checkpoint.dir``.
-
-    Only where that is unset (single-process tests) a temporary one is made.
-    """
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = f"file://{tempfile.mkdtemp(prefix='facetwatch-')}"
-        spark.conf.set("spark.checkpoint.dir", where)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(where)
-    return where
+#: Rows up to which a table of ids is broadcast (about 16 bytes each).
+BROADCAST_IDS = 500_000
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows with lineage cut by a reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One input table, read by Spark from whatever store ``sf_dir`` names."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """Connected components of ``edges(a long, b long)`` as ``(node, component)``.
+def without(docs: DataFrame, lost: DataFrame, same: Column, broadcast_rows: int = BROADCAST_IDS) -> DataFrame:
+    """``docs`` without the rows that meet ``same`` with a row of ``lost``.
 
-    ``component`` is the smallest node that is reachable. Alternates the
-    large-star and small-star steps of Kiveris et al. (2014): each step links
-    the neighbours of a node to its smallest neighbour, so that every component
-    ends as one star. Only the smallest neighbour of a node is aggregated (with
-    map-side combining) and joined back, so a hub never becomes one task's
-    list; a hub's join partition is split by adaptive execution. Each round is
-    checkpointed. Edges with a null end or equal ends are ignored.
+    ``lost`` is written and counted; up to ``broadcast_rows`` rows it is
+    broadcast, so that texts stay where they are, beyond that it is a shuffled join.
     """
-    pairs = edges.where("a is not null and b is not null and a <> b")
-    pairs = pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    pairs = cut(pairs)
-    before = None
-    for _ in range(max_rounds):
-        # Large star: every neighbour above u goes to u's smallest neighbour.
-        both = pairs.select("u", "v").unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
-        # Small star: u and its smaller neighbours go to the smallest of them.
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        pairs = cut(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
-        now = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        if now == before:
-            break
-        before = now
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    roots = pairs.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
-
+    lost = cut(lost)
+    return docs.join(F.broadcast(lost) if lost.count() <= broadcast_rows else lost, same, "left_anti")
