@@ -4,8 +4,10 @@ One pass turns blocks of documents into rows ``(pre-token, documents of the
 block with their frequencies)``. These rows are shuffled by pre-token, so that
 every pre-token meets all its frequencies in one place; there the library
 counts its pieces once, and the counts are joined to the frequencies and summed
-per document. No token ids are kept. A pre-token that is in most documents of a
-block is salted by block, so no task receives all postings of a frequent word.
+per document. No token ids are kept. A pre-token with over ``WIDE`` postings in a
+block is salted there by a hash of task and block, with as many salts as there are
+shuffle partitions. So the postings of a frequent word are spread over all of
+these, and its pieces are counted once for each salt.
 
 Pre-tokens. The tokenizer drops white space and lower-cases, and its pieces
 never span white space. So any white-space-delimited stretch of a text can be
@@ -25,6 +27,7 @@ from __future__ import annotations
 
 import os
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -42,7 +45,8 @@ _OTHER = re.compile("[^\x00-įı-ſ]")
 _GAP, _CONTROL = re.compile(f"[{_SPACE}]+"), re.compile("[\x1c-\x1f]")
 #: (document, frequency) pairs that make a block.
 BLOCK_PAIRS = 2_000_000
-_PARTS = 16
+#: Postings in a block above which a pre-token is salted.
+WIDE = 64
 
 _models: dict[str, object] = {}
 
@@ -83,7 +87,12 @@ def count_pieces(path: str, parts: list[str]) -> np.ndarray:
     return np.fromiter((len(e.ids) for e in model(path).encode_batch_fast(parts, add_special_tokens=False)), np.int64, len(parts))
 
 
-def _block(base: int, docs: list[tuple[int | None, int]], names: dict[str, int], ids: list, codes: list) -> Iterator[pa.RecordBatch]:
+def salt_of(base: int, salts: int) -> int:
+    """The salt, from 1 on, that wide pre-tokens of a block get; ``base`` tells the task and the block."""
+    return zlib.crc32(base.to_bytes(8, "little")) % salts + 1
+
+
+def _block(base: int, salts: int, docs: list[tuple[int | None, int]], names: dict[str, int], ids: list, codes: list) -> Iterator[pa.RecordBatch]:
     """Rows of one block: its documents, then its pre-tokens with packed postings."""
     schema = pa.schema([("token", pa.string()), ("salt", pa.int64()), ("base", pa.int64()), ("codes", pa.list_(pa.int32())), ("doc_id", pa.int64()), ("n_bytes", pa.int64())])
     n = len(docs)
@@ -95,16 +104,16 @@ def _block(base: int, docs: list[tuple[int | None, int]], names: dict[str, int],
     ids, codes = np.concatenate(ids), np.concatenate(codes)
     order = np.argsort(ids, kind="stable")
     ends = np.concatenate([[0], np.cumsum(np.bincount(ids, minlength=len(names)))]).astype(np.int32)
-    codes, tokens, wide = codes[order], list(names), np.diff(ends) > max(64, n // 8)
-    salts = np.where(wide, (base >> 20) % _PARTS + 1, 0)
+    codes, tokens, wide = codes[order], list(names), np.diff(ends) > WIDE
+    salt = np.where(wide, salt_of(base, salts), 0)
     for lo in range(0, len(tokens), 50_000):
         hi = min(len(tokens), lo + 50_000)
         lists = pa.ListArray.from_arrays(pa.array(ends[lo : hi + 1] - ends[lo]), pa.array(codes[ends[lo] : ends[hi]]))
         m = hi - lo
-        yield pa.RecordBatch.from_arrays([pa.array(tokens[lo:hi]), pa.array(salts[lo:hi]), pa.array(np.full(m, base)), lists, pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64())], schema=schema)
+        yield pa.RecordBatch.from_arrays([pa.array(tokens[lo:hi]), pa.array(salt[lo:hi]), pa.array(np.full(m, base)), lists, pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64())], schema=schema)
 
 
-def _frequencies(split, block_pairs: int):
+def _frequencies(split, block_pairs: int, salts: int):
     """Maps documents to block rows; a posting is the document's place in its block, times 64, plus a frequency below 64."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,10 +138,10 @@ def _frequencies(split, block_pairs: int):
                         freq = freq - 63
                     pairs += k
                 if pairs >= block_pairs or len(docs) >= 1 << 20:
-                    yield from _block(base, docs, names, ids, codes)
+                    yield from _block(base, salts, docs, names, ids, codes)
                     base += 1 << 20
                     docs, names, ids, codes, pairs = [], {}, [], [], 0
-        yield from _block(base, docs, names, ids, codes)
+        yield from _block(base, salts, docs, names, ids, codes)
 
     return run
 
@@ -185,8 +194,9 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
 
         out = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).mapInArrow(whole, "doc_id long, n_bytes long, n_tokens long")
         return out.withColumn("over_limit", F.col("n_tokens") > limit)
+    salts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col))
-    rows = rows.mapInArrow(_frequencies(pre_tokens, block_pairs), "token string, salt long, base long, codes array<int>, doc_id long, n_bytes long")
+    rows = rows.mapInArrow(_frequencies(pre_tokens, block_pairs, salts), "token string, salt long, base long, codes array<int>, doc_id long, n_bytes long")
     rows = rows.repartition("token", "salt")
     rows = rows.mapInArrow(_sums(path), "row long, doc_id long, n_bytes long, n_tokens long")
     rows = rows.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"), F.sum("n_tokens").alias("n_tokens"))
