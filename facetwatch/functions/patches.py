@@ -21,6 +21,7 @@ SOBEL_Y = {(dy, dx): float(dy * (2 - abs(dx))) for dy in (-1, 0, 1) for dx in (-
 LAPLACE = {(0, 0): -4.0, (0, 1): 1.0, (0, -1): 1.0, (1, 0): 1.0, (-1, 0): 1.0}
 #: Offsets of the co-occurrence angles 0, 45, 90 and 135 degrees.
 ANGLES = [(0, 1), (-1, 1), (-1, 0), (-1, -1)]
+GLCM = ["contrast", "dissimilarity", "homogeneity", "energy", "correlation"]
 
 
 def pixel_table(df: DataFrame, key: str, array: str, width: int) -> DataFrame:
@@ -100,14 +101,14 @@ def edges(pixels: DataFrame) -> DataFrame:
     return g.groupBy("patch").agg(F.avg(mag).alias("sobel_mean"), F.avg(F.abs("lap")).alias("laplacian_mean"), F.stddev_pop(F.abs("lap")).alias("laplacian_std"))
 
 
-def glcm(pixels: DataFrame, levels: int = 16, distance: int = 1, symmetric: bool = True, drop_zero: bool = False) -> DataFrame:
+def glcm(pixels: DataFrame, levels: int = 16, distance: int = 1, symmetric: bool = True, drop_zero: bool = False, angles: int = 4) -> DataFrame:
     """Co-occurrence shares ``patch, angle, i, j, p`` of quantized levels.
 
     A pixel meets its neighbour in an equality join on the shifted place.
-    ``drop_zero`` leaves pairs with level 0 (background) out.
+    ``drop_zero`` leaves pairs with level 0 (background) out; ``angles`` takes the first of 0, 45, 90, 135 degrees.
     """
     q = pixels.select("patch", "y", "x", F.floor(F.col("v") * levels / 256).cast("int").alias("i"))
-    at = F.explode(F.array(*(F.struct(F.lit(a).alias("angle"), F.lit(dy * distance).alias("dy"), F.lit(dx * distance).alias("dx")) for a, (dy, dx) in enumerate(ANGLES))))
+    at = F.explode(F.array(*(F.struct(F.lit(a).alias("angle"), F.lit(dy * distance).alias("dy"), F.lit(dx * distance).alias("dx")) for a, (dy, dx) in enumerate(ANGLES[:angles]))))
     sent = q.select("patch", "y", "x", "i", at.alias("s")).select("patch", "s.angle", (F.col("y") + F.col("s.dy")).alias("y"), (F.col("x") + F.col("s.dx")).alias("x"), "i")
     pairs = sent.join(q.withColumnRenamed("i", "j"), ["patch", "y", "x"])
     if drop_zero:
@@ -119,8 +120,8 @@ def glcm(pixels: DataFrame, levels: int = 16, distance: int = 1, symmetric: bool
     return counts.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy("patch", "angle"))).drop("n")
 
 
-def glcm_features(shares: DataFrame) -> DataFrame:
-    """Contrast, dissimilarity, homogeneity, energy and correlation, averaged over angles.
+def glcm_by_angle(shares: DataFrame) -> DataFrame:
+    """``patch, angle, contrast, dissimilarity, homogeneity, energy, correlation``.
 
     Energy is the root of the sum of squares; correlation is 1 without spread.
     """
@@ -132,8 +133,17 @@ def glcm_features(shares: DataFrame) -> DataFrame:
     )
     vi, vj = F.greatest(F.col("ii") - F.col("mi") ** 2, F.lit(0.0)), F.greatest(F.col("jj") - F.col("mj") ** 2, F.lit(0.0))
     corr = F.when((vi > 1e-12) & (vj > 1e-12), (F.col("ij") - F.col("mi") * F.col("mj")) / F.sqrt(vi * vj)).otherwise(1.0)
-    per = per.withColumn("correlation", corr)
-    return per.groupBy("patch").agg(*(F.avg(c).alias(c) for c in ("contrast", "dissimilarity", "homogeneity", "energy", "correlation")))
+    return per.select("patch", "angle", *GLCM[:-1], corr.alias("correlation"))
+
+
+def glcm_features(shares: DataFrame) -> DataFrame:
+    """Contrast, dissimilarity, homogeneity, energy and correlation, averaged over angles."""
+    return glcm_by_angle(shares).groupBy("patch").agg(*(F.avg(c).alias(c) for c in GLCM))
+
+
+def glcm_spread(shares: DataFrame, prefix: str) -> DataFrame:
+    """Mean and deviation over angles of contrast, homogeneity and energy."""
+    return glcm_by_angle(shares).groupBy("patch").agg(*(f(c).alias(f"{prefix}_{c}_{n}") for c in ("contrast", "homogeneity", "energy") for n, f in (("mean", F.avg), ("std", F.stddev_pop))))
 
 
 def lbp_kernels(points: int = 8, radius: float = 1.0) -> dict[str, dict[tuple[int, int], float]]:
@@ -174,6 +184,93 @@ def lbp_features(pixels: DataFrame, points: int = 8, radius: float = 1.0, least:
     return out.select("patch", "places", *(F.when(F.col("places") >= least, F.col(c)).alias(c) for c in ("lbp_entropy", "lbp_uniformity", "lbp_nonuniform")))
 
 
+def lbp_moments(pixels: DataFrame, points: int = 8, radius: float = 1.0) -> DataFrame:
+    """Mean, deviation and entropy in bits of the patterns."""
+    codes = lbp_codes(pixels, points, radius)
+    counts = codes.groupBy("patch", "code").agg(F.count("*").alias("n"))
+    n, t, c = F.col("n").cast("double"), F.sum("n").cast("double"), F.col("code")
+    mean = F.sum(n * c) / t
+    return counts.groupBy("patch").agg(mean.alias("lbp_mean"), F.sqrt(F.greatest(F.sum(n * c * c) / t - mean * mean, F.lit(0.0))).alias("lbp_std"), (F.log2(t) - F.sum(n * F.log2(n)) / t).alias("lbp_entropy"))
+
+
+def level_entropy(pixels: DataFrame) -> DataFrame:
+    """Entropy in bits of the gray levels."""
+    counts = pixels.groupBy("patch", "v").agg(F.count("*").alias("n"))
+    n, t = F.col("n").cast("double"), F.sum("n").cast("double")
+    return counts.groupBy("patch").agg((F.log2(t) - F.sum(n * F.log2(n)) / t).alias("entropy"))
+
+
+def gradient(pixels: DataFrame) -> DataFrame:
+    """Mean and deviation of the Sobel magnitude, over places with all neighbours."""
+    g = convolve(pixels, {"gx": SOBEL_X, "gy": SOBEL_Y})
+    mag = F.sqrt(F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy"))
+    return g.groupBy("patch").agg(F.avg(mag).alias("gradient_mean"), F.stddev_pop(mag).alias("gradient_std"))
+
+
+def ranking(pixels: DataFrame) -> DataFrame:
+    """The eight numbers of the ranking: moments and entropy of patterns, plain co-occurrence at 0 degrees."""
+    return lbp_moments(pixels).join(glcm_features(glcm(pixels, 256, symmetric=False, angles=1)), "patch")
+
+
+def degradation(pixels: DataFrame) -> DataFrame:
+    """Level entropy, gradient mean and deviation, co-occurrence at 0 degrees, share of the most frequent pattern."""
+    texture = glcm_features(glcm(pixels, 256, angles=1)).select("patch", "homogeneity", "correlation", "contrast")
+    top = lbp_features(pixels, least=1).select("patch", F.col("lbp_uniformity").alias("lbp_dominance"))
+    return level_entropy(pixels).join(gradient(pixels), "patch").join(texture, "patch").join(top, "patch")
+
+
+def quality(pixels: DataFrame) -> DataFrame:
+    """Variance of the Laplacian, deviation of the gradient, and the share of places above their four neighbours."""
+    sides = {(0, 1): "e", (0, -1): "w", (1, 0): "s", (-1, 0): "n"}
+    c = convolve(pixels, {"lap": LAPLACE} | {name: {o: -1.0, (0, 0): 1.0} for o, name in sides.items()})
+    peak = (F.least(*sides.values()) > 0).cast("double")
+    return c.groupBy("patch").agg(F.var_pop("lap").alias("laplacian_var"), F.avg(peak).alias("peak_share")).join(gradient(pixels).select("patch", F.col("gradient_std").alias("roughness")), "patch")
+
+
+def statistics(pixels: DataFrame) -> DataFrame:
+    """Mean, deviation, smallest, largest, median and range."""
+    v = F.col("v").cast("double")
+    return pixels.groupBy("patch").agg(F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"), F.median(v).alias("median"), (F.max(v) - F.min(v)).alias("range"))
+
+
+def texture(pixels: DataFrame) -> DataFrame:
+    """Two scales: pattern entropies at radius 1 and 2, spread of co-occurrence at distance 1 and 3, mean and deviation of levels."""
+    v = F.col("v").cast("double")
+    out = pixels.groupBy("patch").agg(F.avg(v).alias("intensity_mean"), F.stddev_pop(v).alias("intensity_std"))
+    for radius, points in ((1, 8), (2, 16)):
+        out = out.join(lbp_moments(pixels, points, float(radius)).select("patch", F.col("lbp_entropy").alias(f"lbp{radius}_entropy")), "patch")
+    for distance in (1, 3):
+        out = out.join(glcm_spread(glcm(pixels, 32, distance, symmetric=False), f"glcm{distance}"), "patch")
+    return out
+
+
+#: Families by name, each a function of the pixel table.
+FAMILIES = {
+    "photometric": photometric, "moments": moments, "histogram": histogram_entropy, "edges": edges, "gradient": gradient, "statistics": statistics, "quality": quality, "degradation": degradation, "ranking": ranking, "texture": texture,
+    "glcm": lambda px: glcm_features(glcm(px, 256, symmetric=False)), "lbp": lambda px: lbp_features(px).drop("places"), "masked_glcm": lambda px: glcm_features(glcm(px, drop_zero=True)),
+}
+#: The standard vector, but for the edge density.
+STANDARD = ["glcm", "lbp", "edges"]
+
+
+def family_table(pixels: DataFrame, names: list[str] = STANDARD) -> DataFrame:
+    """One row per patch with the columns of some families; a column of two families is an error.
+
+    All families group by patch, so their shuffles of the pixel table are shared.
+    """
+    unknown = [n for n in names if n not in FAMILIES]
+    if unknown:
+        raise KeyError(f"unknown families: {unknown}")
+    parts = [FAMILIES[n](pixels) for n in names]
+    columns = [c for part in parts for c in part.columns if c != "patch"]
+    if len(set(columns)) < len(columns):
+        raise ValueError(f"families share columns: {sorted({c for c in columns if columns.count(c) > 1})}")
+    out = pixels.select("patch").distinct()
+    for part in parts:
+        out = out.join(part, "patch", "left")
+    return out
+
+
 def hog(pixels: DataFrame, cell: int = 4, bins: int = 9) -> DataFrame:
     """Histograms of gradient direction (unsigned, magnitude-weighted) per cell, as shares of the patch."""
     g = convolve(pixels, {"gx": {(0, 1): 1.0, (0, -1): -1.0}, "gy": {(1, 0): 1.0, (-1, 0): -1.0}})

@@ -52,6 +52,21 @@ PIXELS = """raw AS (SELECT vec_id AS patch, unnest(embedding) AS e, unnest(range
     px AS (SELECT patch, (k // 8)::INTEGER AS y, (k % 8)::INTEGER AS x, least(255, greatest(0, floor((e::DOUBLE + 0.5) * 255)))::INTEGER AS v FROM raw)"""
 
 
+def colours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings as 8 x 8 colour patches: a pixel's channels are three elements a third of the array apart."""
+    level = lambda e: F.least(F.lit(255), F.greatest(F.lit(0), F.floor((e.cast("double") + 0.5) * 255))).cast("int")
+    rows = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("patch"), "embedding", F.posexplode("embedding").alias("k", "e"))
+    other = {c: level(F.col("embedding")[(F.col("k") + at) % 64]).alias(c) for c, at in (("g", 21), ("b", 42))}
+    return rows.select("patch", F.floor(F.col("k") / 8).cast("int").alias("y"), (F.col("k") % 8).alias("x"), level(F.col("e")).alias("r"), *other.values())
+
+
+COLOURS = """raw AS (SELECT vec_id AS patch, unnest(embedding) AS e, unnest(range(64)) AS k FROM embeddings), lv AS (SELECT patch, k, least(255, greatest(0, floor((e::DOUBLE + 0.5) * 255)))::INTEGER AS v FROM raw),
+    rgb AS (SELECT a.patch, (a.k // 8)::INTEGER AS y, (a.k % 8)::INTEGER AS x, a.v AS r, g.v AS g, b.v AS b FROM lv a JOIN lv g ON g.patch = a.patch AND g.k = (a.k + 21) % 64 JOIN lv b ON b.patch = a.patch AND b.k = (a.k + 42) % 64),
+    mm AS (SELECT *, greatest(r, g, b)::DOUBLE AS val, (greatest(r, g, b) - least(r, g, b))::DOUBLE AS d, round(0.0 + r * 0.299::DOUBLE + g * 0.587::DOUBLE + b * 0.114::DOUBLE) AS v FROM rgb),
+    tn AS (SELECT *, CASE WHEN d = 0 THEN 0.0 WHEN val = r THEN 60 * (g - b) / d WHEN val = g THEN 120 + 60 * (b - r) / d ELSE 240 + 60 * (r - g) / d END::DOUBLE AS turn FROM mm),
+    hs AS (SELECT *, round(CASE WHEN turn < 0 THEN turn + 360 ELSE turn END / 2) % 180 AS h, round(CASE WHEN val > 0 THEN 255 * d / val ELSE 0 END) AS s FROM tn)"""
+
+
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Embeddings with their 64 elements as columns v0 .. v63."""
     rows = read(spark, sf_dir, "embeddings")

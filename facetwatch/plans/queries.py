@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from facetwatch.functions import colours as colour
 from facetwatch.functions import patches, times
 from facetwatch.operators import baseline, geometry, metrics, ml, score, selection, temporal
-from facetwatch.plans.inputs import E_FEATURES, L_FEATURES, L_LOWER, LONG_L, OBS_E, OBS_L, PIXELS, SUSPECTS, obs_e, obs_l, pixels, read, suspects, vectors
+from facetwatch.plans.inputs import COLOURS, E_FEATURES, L_FEATURES, L_LOWER, LONG_L, OBS_E, OBS_L, PIXELS, SUSPECTS, colours, obs_e, obs_l, pixels, read, suspects, vectors
 from facetwatch.operators.lineage import scratch
 from facetwatch.sources import annotations, calibration, store
 
@@ -629,6 +630,126 @@ def ncc_bank(spark, sf_dir):
     return rnd(patches.best_match(rows, bank, "label", "vec_id", "embedding"))
 
 
+# Colour, and families of features.
+
+
+def _moments(c: str, prefix: str) -> list[str]:
+    m, sd = f"avg({c})", f"stddev_pop({c})"
+    powers = [f"avg({c}::DOUBLE ** {k})" for k in (2, 3, 4)]
+    third = f"({powers[1]} - 3 * {m} * {powers[0]} + 2 * {m} ** 3)"
+    fourth = f"({powers[2]} - 4 * {m} * {powers[1]} + 6 * {m} ** 2 * {powers[0]} - 3 * {m} ** 4)"
+    return [f"{prefix}mean={m}", f"{prefix}std={sd}", f"{prefix}skew={third} / {sd} ** 3", f"{prefix}kurt={fourth} / {sd} ** 4 - 3"]
+
+
+@query(f"WITH {COLOURS} SELECT patch, {_r(*(x for c in 'rgb' for x in _moments(c, c + '_')), 'p75=quantile_cont(v, 0.75)', 'bright=avg((v > 200)::INTEGER)', 'dark=avg((v < 50)::INTEGER)')} FROM hs GROUP BY patch")
+def patch_colour_stats(spark, sf_dir):
+    return rnd(colour.channel_stats(colours(spark, sf_dir)))
+
+
+@query(f"""WITH {COLOURS}, a AS (SELECT patch, avg(r) AS r, avg(g) AS g, avg(b) AS b, avg(h) AS hm, stddev_pop(h) AS hd, avg(s) AS sm, stddev_pop(s) AS sd, avg(val) AS vm, stddev_pop(val) AS vd, 1 - 1 / (1 + var_pop(v)) AS smoothness FROM hs GROUP BY patch),
+    n AS (SELECT patch, floor(h * 16 / 180)::INTEGER AS bin, count(*) AS n FROM hs GROUP BY 1, 2), e AS (SELECT patch, -sum(n / (64 + 1e-6) * log2(n / (64 + 1e-6) + 1e-6)) AS hue_entropy, arg_max(bin, n * 100 - bin) AS hue_peak FROM n GROUP BY patch),
+    w AS (SELECT patch, v, count(*) AS n FROM hs GROUP BY 1, 2), u AS (SELECT patch, sum((n / (64 + 1e-6)) ** 2) AS uniformity FROM w GROUP BY patch)
+    SELECT patch, {_r('r_ratio=r / (r + g + b)', 'g_ratio=g / (r + g + b)', 'b_ratio=b / (r + g + b)', 'rg_ratio=r / (g + 1e-6)', 'rb_ratio=r / (b + 1e-6)', 'gb_ratio=g / (b + 1e-6)', 'hue_mean=hm', 'hue_std=hd', 'sat_mean=sm', 'sat_std=sd', 'val_mean=vm', 'val_std=vd', 'hue_entropy', 'uniformity', 'smoothness')}, hue_peak
+    FROM a JOIN e USING (patch) JOIN u USING (patch)""")
+def patch_colour_ratios(spark, sf_dir):
+    return rnd(colour.colour_ratios(colours(spark, sf_dir)))
+
+
+@query(f"""WITH {COLOURS}, n AS (SELECT patch, (least(7, floor(h * 8 / 180)) * 16 + least(3, floor(s / 64)) * 4 + least(3, floor(val / 64)))::INTEGER AS bin, count(*) AS n FROM hs GROUP BY 1, 2)
+    SELECT patch, bin, {_r('value=n / sqrt(sum(n * n) OVER (PARTITION BY patch))')} FROM n""")
+def patch_colour_hist(spark, sf_dir):
+    return rnd(colour.colour_histogram(colours(spark, sf_dir)))
+
+
+@query(f"""WITH {COLOURS}, n AS (SELECT patch, floor(v / 8) AS bin, count(*) AS n FROM hs GROUP BY 1, 2), e AS (SELECT patch, -sum(n / 64.0 * log2(n / 64.0)) AS entropy32 FROM n GROUP BY patch), q AS (SELECT patch, avg(s) AS saturation, {', '.join(f"{x.partition('=')[2]} AS {x.partition('=')[0]}" for x in _moments('v', 'g_'))} FROM hs GROUP BY patch)
+    SELECT patch, {_r('luminance=g_mean', 'saturation', 'variance=g_std * g_std', 'skew=g_skew', 'entropy32')} FROM q JOIN e USING (patch)""")
+def patch_small_set(spark, sf_dir):
+    return rnd(colour.small_set(colours(spark, sf_dir)))
+
+
+def _sql_glcm(levels: int, distance: int, symmetric: bool, angles: int, tag: str) -> str:
+    """CTE ``cc<tag>`` with the measures of each patch and angle; needs ``px``."""
+    at = [(0, 1), (-1, 1), (-1, 0), (-1, -1)][:angles]
+    rows = ", ".join(f"({k}, {dy * distance}, {dx * distance})" for k, (dy, dx) in enumerate(at))
+    both = f"SELECT * FROM pr{tag}" + (f" UNION ALL SELECT patch, angle, j, i FROM pr{tag}" if symmetric else "")
+    return f"""q{tag} AS (SELECT patch, y, x, floor(v * {levels} / 256)::INTEGER AS i FROM px), o{tag} AS (SELECT * FROM (VALUES {rows}) t(angle, dy, dx)),
+    pr{tag} AS (SELECT a.patch, angle, a.i, b.i AS j FROM q{tag} a, o{tag} o, q{tag} b WHERE b.patch = a.patch AND b.y = a.y + dy AND b.x = a.x + dx), sy{tag} AS ({both}),
+    ct{tag} AS (SELECT patch, angle, i, j, count(*) AS n FROM sy{tag} GROUP BY 1, 2, 3, 4), sh{tag} AS (SELECT patch, angle, i, j, n / sum(n) OVER (PARTITION BY patch, angle) AS p FROM ct{tag}),
+    mm{tag} AS (SELECT patch, angle, sum(p * (i - j) * (i - j)) AS contrast, sum(p * abs(i - j)) AS dissimilarity, sum(p / (1 + (i - j) * (i - j))) AS homogeneity, sqrt(sum(p * p)) AS energy, sum(p * i) AS mi, sum(p * j) AS mj, sum(p * i * i) AS ii, sum(p * j * j) AS jj, sum(p * i * j) AS ij FROM sh{tag} GROUP BY 1, 2),
+    cc{tag} AS (SELECT *, CASE WHEN ii - mi * mi > 1e-12 AND jj - mj * mj > 1e-12 THEN (ij - mi * mj) / sqrt((ii - mi * mi) * (jj - mj * mj)) ELSE 1 END AS correlation FROM mm{tag})"""
+
+
+def _sql_near(radius: int) -> str:
+    """CTE ``nb<radius>``: every place with its square of neighbours; needs ``px``."""
+    span = range(-radius, radius + 1)
+    cells = ", ".join(f"max(CASE WHEN n.y = c.y + ({dy}) AND n.x = c.x + ({dx}) THEN n.v END) AS a_{dy + radius}_{dx + radius}" for dy in span for dx in span)
+    inner = f"BETWEEN {radius} AND {7 - radius}"
+    return f"nb{radius} AS (SELECT c.patch, c.y, c.x, c.v, {cells} FROM px c JOIN px n ON n.patch = c.patch AND abs(n.y - c.y) <= {radius} AND abs(n.x - c.x) <= {radius} WHERE c.y {inner} AND c.x {inner} GROUP BY 1, 2, 3, 4)"
+
+
+def _sql_codes(points: int, radius: int) -> str:
+    """CTE ``hc<radius>``: counts of patterns; needs ``nb<radius>``."""
+    cols = ", ".join(" + ".join(f"({w})::DOUBLE * a_{dy + radius}_{dx + radius}" for (dy, dx), w in sorted(k.items())) + f" AS {n}" for n, k in patches.lbp_kernels(points, float(radius)).items())
+    bits = [f"(n{p} >= -1e-9)::INTEGER" for p in range(points)]
+    turns = " + ".join(f"abs({bits[p]} - {bits[p - 1]})" for p in range(points))
+    return f"k{radius} AS (SELECT patch, {cols} FROM nb{radius}), cd{radius} AS (SELECT patch, CASE WHEN {turns} <= 2 THEN {' + '.join(bits)} ELSE {points + 1} END AS code FROM k{radius}), hc{radius} AS (SELECT patch, code, count(*) AS n FROM cd{radius} GROUP BY 1, 2)"
+
+
+_GRAD = f"gr AS (SELECT patch, {_sql_kernel(patches.SOBEL_X, 'gx')}, {_sql_kernel(patches.SOBEL_Y, 'gy')}, {_sql_kernel(patches.LAPLACE, 'lap')}, (v > a_1_2 AND v > a_1_0 AND v > a_2_1 AND v > a_0_1)::INTEGER AS peak FROM nb1)"
+_FIVE = ("contrast", "dissimilarity", "homogeneity", "energy", "correlation")
+
+
+@query(f"WITH {PIXELS}, {_sql_glcm(256, 1, False, 4, '')} SELECT patch, {_r(*(f'{c}=avg({c})' for c in _FIVE))} FROM cc GROUP BY patch")
+def patch_glcm_plain(spark, sf_dir):
+    return rnd(patches.glcm_features(patches.glcm(pixels(spark, sf_dir), 256, symmetric=False)))
+
+
+@query(f"""WITH {PIXELS}, {_sql_glcm(16, 1, True, 4, '')}, kept AS (SELECT * FROM sy WHERE i > 0 AND j > 0), n2 AS (SELECT patch, angle, i, j, count(*) AS n FROM kept GROUP BY 1, 2, 3, 4), s2 AS (SELECT *, n / sum(n) OVER (PARTITION BY patch, angle) AS p FROM n2),
+    g2 AS (SELECT patch, angle, sum(p * (i - j) * (i - j)) AS contrast, sum(p / (1 + (i - j) * (i - j))) AS homogeneity FROM s2 GROUP BY 1, 2) SELECT patch, {_r('contrast=avg(contrast)', 'homogeneity=avg(homogeneity)')} FROM g2 GROUP BY patch""")
+def patch_glcm_masked(spark, sf_dir):
+    return rnd(patches.glcm_features(patches.glcm(pixels(spark, sf_dir), drop_zero=True)).select("patch", "contrast", "homogeneity"))
+
+
+@query(f"""WITH {PIXELS}, {_sql_near(1)}, {_sql_codes(8, 1)}, {_sql_glcm(256, 1, False, 1, '')}, l AS (SELECT patch, sum(n * code) / sum(n) AS lbp_mean, sqrt(greatest(sum(n * code * code) / sum(n) - (sum(n * code) / sum(n)) ** 2, 0)) AS lbp_std, log2(sum(n)) - sum(n * log2(n)) / sum(n) AS lbp_entropy FROM hc1 GROUP BY patch)
+    SELECT patch, {_r('lbp_mean', 'lbp_std', 'lbp_entropy', *_FIVE)} FROM l JOIN cc USING (patch)""")
+def patch_ranking(spark, sf_dir):
+    return rnd(patches.ranking(pixels(spark, sf_dir)))
+
+
+@query(f"""WITH {PIXELS}, {_sql_near(1)}, {_sql_codes(8, 1)}, {_GRAD}, {_sql_glcm(256, 1, True, 1, '')}, c AS (SELECT patch, v, count(*) AS n FROM px GROUP BY 1, 2), e AS (SELECT patch, -sum(n / 64.0 * log2(n / 64.0)) AS entropy FROM c GROUP BY patch),
+    m AS (SELECT patch, avg(sqrt(gx * gx + gy * gy)) AS gradient_mean, stddev_pop(sqrt(gx * gx + gy * gy)) AS gradient_std FROM gr GROUP BY patch), d AS (SELECT patch, max(n) / sum(n) AS lbp_dominance FROM hc1 GROUP BY patch)
+    SELECT patch, {_r('entropy', 'gradient_mean', 'gradient_std', 'homogeneity', 'correlation', 'contrast', 'lbp_dominance')} FROM e JOIN m USING (patch) JOIN d USING (patch) JOIN cc USING (patch)""")
+def patch_degradation(spark, sf_dir):
+    return rnd(patches.degradation(pixels(spark, sf_dir)))
+
+
+@query(f"WITH {PIXELS}, {_sql_near(1)}, {_GRAD} SELECT patch, {_r('laplacian_var=var_pop(lap)', 'peak_share=avg(peak)', 'roughness=stddev_pop(sqrt(gx * gx + gy * gy))')} FROM gr GROUP BY patch")
+def patch_quality(spark, sf_dir):
+    return rnd(patches.quality(pixels(spark, sf_dir)))
+
+
+@query(f"WITH {PIXELS} SELECT patch, {_r('mean=avg(v)', 'std=stddev_pop(v)', 'min=min(v)', 'max=max(v)', 'median=median(v)', 'range=max(v) - min(v)')} FROM px GROUP BY patch")
+def patch_statistics(spark, sf_dir):
+    return rnd(patches.statistics(pixels(spark, sf_dir)))
+
+
+@query(f"""WITH {PIXELS}, {_sql_near(1)}, {_sql_codes(8, 1)}, {_sql_near(2)}, {_sql_codes(16, 2)}, {_sql_glcm(32, 1, False, 4, 'a')}, {_sql_glcm(32, 3, False, 4, 'b')}, i AS (SELECT patch, avg(v) AS intensity_mean, stddev_pop(v) AS intensity_std FROM px GROUP BY patch),
+    l1 AS (SELECT patch, log2(sum(n)) - sum(n * log2(n)) / sum(n) AS lbp1_entropy FROM hc1 GROUP BY patch), l2 AS (SELECT patch, log2(sum(n)) - sum(n * log2(n)) / sum(n) AS lbp2_entropy FROM hc2 GROUP BY patch),
+    """ + ", ".join(f"g{d} AS (SELECT patch, " + ", ".join(f"{f}({c}) AS glcm{d}_{c}_{n}" for c in ("contrast", "homogeneity", "energy") for n, f in (("mean", "avg"), ("std", "stddev_pop"))) + f" FROM cc{t} GROUP BY patch)" for d, t in ((1, "a"), (3, "b"))) + f"""
+    SELECT patch, {_r('intensity_mean', 'intensity_std', 'lbp1_entropy', 'lbp2_entropy', *(f'glcm{d}_{c}_{n}' for d in (1, 3) for c in ('contrast', 'homogeneity', 'energy') for n in ('mean', 'std')))} FROM i JOIN l1 USING (patch) JOIN l2 USING (patch) JOIN g1 USING (patch) JOIN g3 USING (patch)""")
+def patch_texture(spark, sf_dir):
+    return rnd(patches.texture(pixels(spark, sf_dir)))
+
+
+@query(f"""WITH {PIXELS}, {_sql_near(1)}, {_sql_codes(8, 1)}, {_GRAD}, {_sql_glcm(256, 1, False, 4, '')}, a AS (SELECT patch, {', '.join(f'avg({c}) AS {c}' for c in _FIVE)} FROM cc GROUP BY patch),
+    b AS (SELECT patch, log2(sum(n)) - sum(n * log2(n)) / sum(n) AS lbp_entropy, max(n) / sum(n) AS lbp_uniformity, sum(CASE WHEN code = 9 THEN n ELSE 0 END) / sum(n) AS lbp_nonuniform FROM hc1 GROUP BY patch),
+    c AS (SELECT patch, avg(sqrt(gx * gx + gy * gy)) AS sobel_mean, avg(abs(lap)) AS laplacian_mean, stddev_pop(abs(lap)) AS laplacian_std FROM gr GROUP BY patch)
+    SELECT patch, {_r(*_FIVE, 'lbp_entropy', 'lbp_uniformity', 'lbp_nonuniform', 'sobel_mean', 'laplacian_mean', 'laplacian_std')} FROM a JOIN b USING (patch) JOIN c USING (patch)""")
+def patch_standard(spark, sf_dir):
+    """The registry's standard families in one table, a row per patch."""
+    return rnd(patches.family_table(pixels(spark, sf_dir)))
+
+
 # Geometry, from a table's own rows: a row of facets per nation, its size from the customers there.
 
 
