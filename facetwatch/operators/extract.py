@@ -2,19 +2,24 @@
 
 Each image is decoded once and all its facets are cut while it is in memory.
 What depends on the facet alone (mask, eroded core, nearest pixels inside) is
-made once per worker. Polygons are a few hundred rows; they are checked against
-``MAX_FACETS`` before they travel with the tasks.
+made once per worker. Polygons are a few hundred rows; they travel with the tasks
+in blocks of ``MAX_FACETS`` at most, one pass over the images for each block.
+
+``facet_pixels`` only cuts: it gives the pixels inside each facet as rows, and the
+families of ``functions.patches`` and ``functions.colours`` are then Spark jobs.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from facetwatch.functions import patches
 from facetwatch.functions import pixels as px
 from facetwatch.functions.families import STANDARD, Patch, columns, measure
 
@@ -43,12 +48,16 @@ class Facets:
         return {"polygons": self.polygons, "made": {}}
 
 
-def load_facets(facets: DataFrame) -> Facets:
-    """Polygons of ``mirror_id, points`` on the driver; more than ``MAX_FACETS`` are an error."""
-    rows = facets.limit(MAX_FACETS + 1).collect()
-    if len(rows) > MAX_FACETS:
-        raise ValueError(f"more than {MAX_FACETS} facets")
-    return Facets({r["mirror_id"]: [(p["x"], p["y"]) for p in r["points"]] for r in rows})
+def load_facets(facets: DataFrame) -> list[Facets]:
+    """Polygons of ``mirror_id, points`` on the driver, in blocks of ``MAX_FACETS`` at most."""
+    blocks = facets.count() // MAX_FACETS + 1
+    parts = [facets.where(F.pmod(F.xxhash64("mirror_id"), F.lit(blocks)) == k) for k in range(blocks)] if blocks > 1 else [facets]
+    return [Facets({r["mirror_id"]: [(p["x"], p["y"]) for p in r["points"]] for r in part.collect()}) for part in parts]
+
+
+def _over(facets: DataFrame, one: Callable[[Facets], DataFrame]) -> DataFrame:
+    """``one`` of each block of facets, one after the other."""
+    return reduce(DataFrame.unionByName, map(one, load_facets(facets)))
 
 
 def _images(batches: Iterator[pd.DataFrame]):
@@ -67,8 +76,11 @@ def extract(frames: DataFrame, facets: DataFrame, families: list[str] | None = N
     ``valid`` is False, and features are NULL, where a frame or feature fails.
     """
     families = families or STANDARD
-    names, known = columns(families), load_facets(facets)
+    names = columns(families)
+    return _over(facets, lambda known: _extract(frames, known, families, names))
+
 
+def _extract(frames: DataFrame, known: Facets, families: list[str], names: list[str]) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for r, img in _images(batches):
             g = None if img is None else px.gray(img)
@@ -84,8 +96,10 @@ def extract(frames: DataFrame, facets: DataFrame, families: list[str] | None = N
 
 def crops(frames: DataFrame, facets: DataFrame, color: bool = True) -> DataFrame:
     """``frame_id, ts, mirror_id, h, w, channels, data`` of every facet in every readable frame."""
-    known = load_facets(facets)
+    return _over(facets, lambda known: _crops(frames, known, color))
 
+
+def _crops(frames: DataFrame, known: Facets, color: bool) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for r, img in _images(batches):
             if img is None:
@@ -97,6 +111,40 @@ def crops(frames: DataFrame, facets: DataFrame, color: bool = True) -> DataFrame
     return frames.select("frame_id", "ts", "height", "width", "channels", "data").mapInPandas(run, f"{_KEYS}, h int, w int, channels int, data binary")
 
 
+def facet_pixels(frames: DataFrame, facets: DataFrame) -> DataFrame:
+    """``patch, frame_id, ts, mirror_id, y, x, v, r, g, b`` of the pixels inside each facet of each readable frame.
+
+    A row per facet leaves Python with its pixels as arrays; they become rows in the JVM.
+    """
+
+    def one(known: Facets) -> DataFrame:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for r, img in _images(batches):
+                if img is None:
+                    continue
+                rgb = np.repeat(img[:, :, None], 3, axis=2) if img.ndim == 2 else img[:, :, ::-1]
+                gray, rows = np.rint(px.gray(img)).astype(np.uint8), []
+                for m in known.polygons:
+                    points, mask, _, _ = known[m]
+                    y, x = np.nonzero(mask)
+                    inside = [px.cut(a, points, mask)[mask] for a in (gray, *(rgb[:, :, k] for k in range(3)))]
+                    rows.append([r.frame_id, r.ts, m, y, x, *(a.astype(np.int32) for a in inside)])
+                yield pd.DataFrame(rows, columns=["frame_id", "ts", "mirror_id", *names])
+
+        lists = "".join(f", {n} array<int>" for n in names)
+        return frames.select("frame_id", "ts", "height", "width", "channels", "data").mapInPandas(run, _KEYS + lists)
+
+    names = ["y", "x", "v", "r", "g", "b"]
+    rows = _over(facets, one).select("frame_id", "ts", "mirror_id", F.explode(F.arrays_zip(*names)).alias("p"))
+    return rows.select(F.struct("frame_id", "mirror_id").alias("patch"), "frame_id", "ts", "mirror_id", "p.*")
+
+
+def features(frames: DataFrame, facets: DataFrame, families: list[str] = patches.STANDARD) -> DataFrame:
+    """``frame_id, mirror_id, <features>`` by the families of ``functions.patches``, over the pixels inside each facet."""
+    out = patches.family_table(facet_pixels(frames, facets).select("patch", "y", "x", "v"), families)
+    return out.select("patch.*", *(c for c in out.columns if c != "patch"))
+
+
 def frame_measures(frames: DataFrame, kind: str = "quality") -> DataFrame:
     """One row of frame measures per readable image: ``quality``, ``details``, ``sky`` or ``sun``."""
     functions = {"quality": px.frame_quality, "details": px.frame_details, "sky": px.sky_measures, "sun": lambda img: {"sun_score": px.sun_score(img)}}
@@ -116,8 +164,10 @@ def frame_measures(frames: DataFrame, kind: str = "quality") -> DataFrame:
 def facet_masks(frames: DataFrame, facets: DataFrame, threshold: float = 0) -> DataFrame:
     """``mirror_id, h, w, mask`` from the pixels of one reference frame (the first by time)."""
     first = frames.orderBy("ts", "frame_id").limit(1)
-    known = load_facets(facets)
+    return _over(facets, lambda known: _facet_masks(first, known, threshold))
+
 
+def _facet_masks(first: DataFrame, known: Facets, threshold: float) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for _, img in _images(batches):
             if img is not None:

@@ -29,6 +29,25 @@ def archive(tmp_path_factory):
     return top
 
 
+def test_facets_in_blocks_and_pixels_as_rows(spark, archive, monkeypatch):
+    frames = images.read_frames(spark, str(archive / "2025"), "*.png").limit(4).cache()
+    facets = calibration.read_calibration(spark, str(archive / "calibration.json"))
+    whole = sorted(map(repr, extract.extract(frames, facets, ["photometric"]).collect()))
+    one = {(r.frame_id, r.mirror_id): r for r in extract.extract(frames, facets, ["photometric"]).collect()}
+    got = extract.features(frames, facets, ["photometric", "gradient"]).collect()
+    assert len(got) == 2 * frames.where("height is not null").count() and got
+    for r in got:
+        for c in ("median", "cov", "robust_cov", "iqr_norm", "sat_frac"):
+            assert r[c] == pytest.approx(one[r.frame_id, r.mirror_id][c], abs=0.02)
+    monkeypatch.setattr(extract, "MAX_FACETS", 1)
+    assert len(extract.load_facets(facets)) == 3
+    assert sorted(map(repr, extract.extract(frames, facets, ["photometric"]).collect())) == whole
+    with pytest.raises(KeyError):
+        extract.features(frames, facets, ["nothing"])
+    with pytest.raises(ValueError):
+        extract.features(frames, facets, ["edges", "edges"])
+
+
 def test_polygon_border_counts():
     m = px.polygon_mask(np.array([[2, 3], [6, 3], [6, 8], [2, 8]]))
     assert m.shape == (6, 5) and m.all()
