@@ -178,27 +178,59 @@ def _facet_masks(first: DataFrame, known: Facets, threshold: float) -> DataFrame
     return first.select("height", "width", "channels", "data").mapInPandas(run, "mirror_id int, h int, w int, mask binary")
 
 
-def stack_images(frames: DataFrame, tile: int = 64) -> DataFrame:
-    """Median and mean image of a stack, by tiles: ``tile_y, tile_x, h, w, median, mean``.
+def stack_images(frames: DataFrame, tile: int = 64, part: int = 512) -> DataFrame:
+    """Median and mean image of a stack, by tiles: ``tile_y, tile_x, h, w, n_frames, median, mean``.
 
-    Images are cut into tiles, and a tile's stack is what one task holds. Frames
-    are split by their share of the tile, never exploded into pixels.
+    Images are cut into tiles. A tile's frames become level counts of each pixel,
+    ``part`` frames at a time, and counts are added sixteen at a time, so that what a
+    task holds does not grow with the archive. Both results are exact.
     """
+    keys = ["tile_y", "tile_x", "h", "w"]
+    parts = -(-max(1, frames.count()) // part)
 
     def tiles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for _, img in _images(batches):
+        for r, img in _images(batches):
             if img is not None:
                 g = px.gray(img).astype(np.uint8)
-                rows = [[y, x, *g[y : y + tile, x : x + tile].shape, g[y : y + tile, x : x + tile].tobytes()] for y in range(0, g.shape[0], tile) for x in range(0, g.shape[1], tile)]
-                yield pd.DataFrame(rows, columns=["tile_y", "tile_x", "h", "w", "data"])
+                rows = [[y, x, *g[y : y + tile, x : x + tile].shape, r.part, g[y : y + tile, x : x + tile].tobytes()] for y in range(0, g.shape[0], tile) for x in range(0, g.shape[1], tile)]
+                yield pd.DataFrame(rows, columns=[*keys, "part", "data"])
+
+    def counted(pdf: pd.DataFrame, add) -> pd.DataFrame:
+        size = int(pdf["h"].iloc[0]) * int(pdf["w"].iloc[0])
+        counts = np.zeros((size, 256), np.int32)
+        for d in pdf["data"]:
+            add(counts, d, np.arange(size))
+        return pd.DataFrame([[*pdf[keys].iloc[0], pdf["part"].iloc[0], counts.tobytes()]], columns=[*keys, "part", "data"])
+
+    def first(pdf: pd.DataFrame) -> pd.DataFrame:
+        def add(counts, d, at):
+            counts[at, np.frombuffer(d, np.uint8)] += 1
 
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        h, w = int(pdf["h"].iloc[0]), int(pdf["w"].iloc[0])
-        stack = np.stack([np.frombuffer(d, np.uint8).reshape(h, w) for d in pdf["data"]])
-        return pd.DataFrame([[pdf["tile_y"].iloc[0], pdf["tile_x"].iloc[0], h, w, len(stack), np.median(stack, axis=0).ravel().tolist(), stack.mean(axis=0).ravel().tolist()]], columns=["tile_y", "tile_x", "h", "w", "n_frames", "median", "mean"])
+        return counted(pdf, add)
 
-    cut = frames.select("height", "width", "channels", "data").mapInPandas(tiles, "tile_y int, tile_x int, h int, w int, data binary")
-    return cut.groupBy("tile_y", "tile_x", "h", "w").applyInPandas(merge, "tile_y int, tile_x int, h int, w int, n_frames int, median array<double>, mean array<double>")
+    def more(pdf: pd.DataFrame) -> pd.DataFrame:
+        def add(counts, d, at):
+            counts += np.frombuffer(d, np.int32).reshape(counts.shape)
+
+        return counted(pdf, add)
+
+    def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for r in pdf.itertuples(index=False):
+                counts = np.frombuffer(r.data, np.int32).reshape(-1, 256)
+                n, up = int(counts[0].sum()), counts.cumsum(axis=1)
+                low, high = (up > (n - 1) // 2).argmax(axis=1), (up > n // 2).argmax(axis=1)
+                rows.append([r.tile_y, r.tile_x, r.h, r.w, n, ((low + high) / 2).tolist(), (counts @ np.arange(256) / n).tolist()])
+            yield pd.DataFrame(rows, columns=[*keys, "n_frames", "median", "mean"])
+
+    schema = "tile_y int, tile_x int, h int, w int, part int, data binary"
+    rows = frames.select("height", "width", "channels", "data", F.pmod(F.xxhash64("frame_id", "ts"), F.lit(parts)).cast("int").alias("part")).mapInPandas(tiles, schema)
+    rows = rows.groupBy(*keys, "part").applyInPandas(first, schema)
+    while parts > 1:
+        parts = -(-parts // 16)
+        rows = rows.withColumn("part", F.floor(F.col("part") / 16).cast("int")).groupBy(*keys, "part").applyInPandas(more, schema)
+    return rows.mapInPandas(finish, "tile_y int, tile_x int, h int, w int, n_frames int, median array<double>, mean array<double>")
 
 
 def crop_window(frames: DataFrame, top: int, left: int, height: int, width: int) -> DataFrame:

@@ -48,6 +48,17 @@ def test_facets_in_blocks_and_pixels_as_rows(spark, archive, monkeypatch):
         extract.features(frames, facets, ["edges", "edges"])
 
 
+def test_stack_in_parts(spark, archive):
+    frames = images.read_frames(spark, str(archive / "2025"), "*.png")
+    whole = {(r.tile_y, r.tile_x): r for r in extract.stack_images(frames, 32).collect()}
+    parts = {(r.tile_y, r.tile_x): r for r in extract.stack_images(frames, 32, part=1).collect()}
+    assert len(whole) == 6 and whole == parts
+    stack = np.stack([px.gray(px.decode(r.height, r.width, r.channels, r.data)).astype(np.uint8) for r in frames.where("height is not null").collect()])
+    for (y, x), r in whole.items():
+        own = stack[:, y : y + 32, x : x + 32]
+        assert r.n_frames == len(stack) and r.median == np.median(own, axis=0).ravel().tolist() and r.mean == pytest.approx(own.mean(axis=0).ravel().tolist())
+
+
 def test_polygon_border_counts():
     m = px.polygon_mask(np.array([[2, 3], [6, 3], [6, 8], [2, 8]]))
     assert m.shape == (6, 5) and m.all()
