@@ -48,6 +48,8 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _PAGE, _NO_PAGE = 0x66616365_7477_4000 << 64, 0x66616365_7477_4001 << 64
 _MASK = (1 << 64) - 1
 STEP = 1 << 16
+#: Bytes of archives that a reading task gets.
+TASK_BYTES = 128 << 20
 
 
 class WarcError(ValueError):
@@ -223,8 +225,16 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     return cut(rows.select("page_id", "url", "payload", "refers_to").mapInArrow(run, "path string, n_records long, n_bytes long"))
 
 
-def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
-    """All records of the archives in column ``path``, one archive after the other in each task."""
+def read_archives(archives: DataFrame, payloads: bool = True, readers: int | None = None) -> DataFrame:
+    """All records of the archives in column ``path``, one archive after the other in each task.
+
+    Archives are dealt evenly to ``readers`` tasks; by default to as many as their
+    bytes ask for, two for each core at least, and no more than there are archives.
+    """
+    if readers is None:
+        size = F.sum("n_bytes") if "n_bytes" in archives.columns else F.lit(None).cast("long")
+        n, total = archives.agg(F.count("*"), size).first()
+        readers = max(1, min(n, max(2 * archives.sparkSession.sparkContext.defaultParallelism, -(-(total or n * TASK_BYTES) // TASK_BYTES))))
     schema = "path string, record_id string, record_type string, target_uri string, page_id long, refers_to long, payload_bytes long, payload_digest string" + ", payload binary" * payloads
     names = [x.split()[0] for x in schema.split(", ")]
 
@@ -248,4 +258,4 @@ def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
                 if rows:
                     yield batch(rows)
 
-    return archives.select("path").repartition("path").mapInArrow(run, schema)
+    return archives.select("path").repartition(readers).mapInArrow(run, schema)
