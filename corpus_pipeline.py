@@ -2,7 +2,18 @@
 
 Each stage takes ``(spark, docs, sf_dir)``; its result is written as Parquet in
 the shared folder and read again as the next stage's ``docs``. All but the last
-return the columns of ``documents``.
+return the columns of ``documents``; further columns of their table pass through
+the stages, whatever their names.
+
+Near-dedup. The stage keeps one document of each group that is linked by a Jaccard
+similarity of 0.8 on 5-word shingles. SimHash anchors find those within 2 bits and
+an exact similarity join the rest; see ``facetwatch.llm.near_copies``.
+
+Defined cases: rows with null or empty text, or without a letter, go in the first
+stage; rows with a null id are kept by all stages and packed; rows that repeat an
+id are judged each, and near-dedup keeps all that bear the smallest id of their
+group; of equal texts the smallest id stays, of tied languages the first in order;
+``n_chars`` follows the text where lines went; an empty table passes as empty.
 """
 
 from __future__ import annotations
@@ -10,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from facetwatch.llm.common import scratch, table
+from facetwatch.llm.common import remove, scratch, table
 from facetwatch.llm.decontaminate import decontaminate
 from facetwatch.llm.language import identify
 from facetwatch.llm.line_dedup import line_dedup
@@ -46,7 +57,7 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs what is left into sequences; one row per piece."""
-    rows = pack(docs, vocabulary())
+    rows = pack(docs, vocabulary(), cache=60_000)  # the stages before it leave little memory
     return rows.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "sequence_tokens")
 
 
@@ -57,12 +68,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over ``documents``; a stage's table is deleted once the next one is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             path = scratch(spark, f"pipeline-{name}")
             docs.write.parquet(path)
             docs = spark.read.parquet(path)
+            if before:
+                remove(spark, before)
+            before = path
     return docs

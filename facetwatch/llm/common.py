@@ -5,17 +5,32 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from facetwatch.operators.lineage import components, cut, fewer, scratch, settled, shared_dir
+from facetwatch.operators.lineage import components, cut, fewer, remove, scratch, settled, shared_dir
 
-__all__ = ["BROADCAST_IDS", "components", "cut", "fewer", "scratch", "settled", "shared_dir", "table", "without"]
+__all__ = ["BROADCAST_IDS", "components", "claim", "cut", "fewer", "remove", "scratch", "settled", "shared_dir", "table", "without"]
+
+#: What an operator keeps in a Python worker from one task to the next.
+_kept: dict[str, dict] = {}
 
 #: Rows up to which a table of ids is broadcast (about 16 bytes each).
 BROADCAST_IDS = 500_000
 
 
+def claim(operator: str) -> dict:
+    """The worker's cache of an operator. A worker serves one operator after another; what earlier ones left is dropped."""
+    for other in [k for k in _kept if k != operator]:
+        del _kept[other]
+    return _kept.setdefault(operator, {})
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One input table, read by Spark from whatever store ``sf_dir`` names."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """One input table, read by Spark from whatever store ``sf_dir`` names.
+
+    A table in fewer splits than the session has cores (one file with one row group,
+    say) is dealt out again, so that work on texts does not wait for one task.
+    """
+    rows, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
 
 
 def without(docs: DataFrame, lost: DataFrame, same: Column, broadcast_rows: int = BROADCAST_IDS) -> DataFrame:

@@ -32,6 +32,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from facetwatch.llm.common import claim
+
 BUCKETS = 1 << 15
 _LETTER = re.compile(r"[^\W\d_]")
 #: Characters that are counted at a time.
@@ -103,6 +105,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_l
     """Counts trigrams per language over all given rows with a text and a language."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("language")
         held: dict[str, np.ndarray] = {}
 
         def flush() -> Iterator[pa.RecordBatch]:

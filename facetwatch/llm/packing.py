@@ -39,6 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from facetwatch.llm.common import claim
 from facetwatch.llm.tokens import model, stretches
 
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, sequence_tokens long, loss_tokens long, ids binary"
@@ -85,14 +86,12 @@ class Encoder:
             yield b"".join([get(x) if ids is None else ids for x, ids in zip(w, f, strict=True)])
 
 
-_encoders: dict[str, Encoder] = {}
-
-
-def encoder(path: str) -> Encoder:
+def encoder(path: str, keep: int) -> Encoder:
     """One encoder per Python worker, so its cache serves all tasks there."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    kept = claim("packing")
+    if path not in kept:
+        kept[path] = Encoder(path, keep)
+    return kept[path]
 
 
 class Packer:
@@ -171,21 +170,22 @@ class Packer:
 
 def pack(
     docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", loss_start_col: str | None = None, prompt_col: str | None = None,
-    max_tokens: int = 4096, max_segments: int = 1024, max_loss: int = 4096, end_id: int = 2, window: int = 256,
+    max_tokens: int = 4096, max_segments: int = 1024, max_loss: int = 4096, end_id: int = 2, window: int = 256, cache: int = 600_000,
 ) -> DataFrame:
     """One row per piece, with its ids; see ``SCHEMA``.
 
     ``prompt_col`` names the prompt of an instruction example: its tokens go
     before those of the text and bear no loss. ``loss_start_col`` tells instead
     how many leading tokens of the text bear none. ``path`` is a tokenizer file
-    that every executor can open.
+    that every executor can open. A Python worker keeps the ids of up to twice
+    ``cache`` stretches of text, about 200 bytes each.
     """
     if max_tokens < 1 or max_segments < 1 or max_loss < 1 or window < 1:
         raise ValueError("limits and window must be positive")
     end = struct.pack("<I", end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, packer = encoder(path), Packer(max_tokens, max_segments, max_loss, window)
+        encode, packer = encoder(path, cache), Packer(max_tokens, max_segments, max_loss, window)
         sequence, rows = TaskContext.get().partitionId() << 40, []
 
         def finished(bins: Iterator[list[list]]) -> None:

@@ -35,9 +35,9 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -52,6 +52,20 @@ SEED = 42
 BLOCK = 1 << 15
 
 
+def bit_sums(h: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each bit set."""
+    return np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
+def _bits(ones: np.ndarray, n: int) -> int:
+    return int(np.packbits((2 * ones > n).astype(np.uint8), bitorder="little").view(np.uint64)[0])
+
+
+def majority(h: np.ndarray) -> int:
+    """The fingerprint of a text from all its shingle hashes; 0 without any."""
+    return _bits(sum((bit_sums(h[at : at + BLOCK]) for at in range(0, len(h), BLOCK)), np.zeros(64, np.int64)), len(h)) if len(h) else 0
+
+
 def fingerprint(text: str | None, shingle: int = 3) -> int:
     """The unsigned 64-bit fingerprint of one text."""
     # bytes.lower() and bytes.split() touch ASCII only; split() parts at \x20 and \x09-\x0D.
@@ -67,10 +81,8 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
             grams = map(b" ".join, zip(*(part[k:] for k in range(shingle)), strict=False))
         else:
             grams = iter([b" ".join(part)])
-        h = np.fromiter((digest(g, SEED) for g in grams), np.uint64)
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = (2 * ones > n).astype(np.uint8)
-    return int(np.packbits(bits, bitorder="little").view(np.uint64)[0])
+        ones += bit_sums(np.fromiter((digest(g, SEED) for g in grams), np.uint64))
+    return _bits(ones, n)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
@@ -101,10 +113,29 @@ def anchor_masks() -> list[list[int]]:
     return out
 
 
-def at_anchors(fps: DataFrame) -> DataFrame:
+def anchors_within(reach: int) -> list[tuple[int, int]]:
+    """``(syndrome, mask)`` of all anchors within ``reach`` flips, for wider thresholds than two."""
+    out = []
+    for n in range(reach + 1):
+        for at in combinations(range(1, 64), n):
+            s = mask = 0
+            for i in at:
+                s, mask = s ^ i, mask | 1 << (i - 1)
+            out.append((s, mask))
+            if n < reach:
+                out.append((s, mask | -(1 << 63)))
+    return out
+
+
+def at_anchors(fps: DataFrame, threshold: int = 2) -> DataFrame:
     """Replicates ``fps(rep, fp)`` to ``(anchor, rep, fp)``."""
     checks = [sum(1 << p for p in range(63) if (p + 1) >> k & 1) for k in range(6)]
     syndrome = sum((F.bit_count(F.col("fp").bitwiseAND(F.lit(c).cast("long"))) % 2 * (1 << k) for k, c in enumerate(checks)), F.lit(0))
+    if threshold > 2:
+        reach = 1 + (threshold + 1) // 2
+        masks = fps.sparkSession.createDataFrame(anchors_within(reach), "s int, mask long")
+        met = fps.withColumn("s", syndrome.cast("int")).join(F.broadcast(masks), "s")  # 640,000 masks at most
+        return met.select(F.col("fp").bitwiseXOR(F.col("mask")).alias("anchor"), "rep", "fp")
     table = "array(" + ", ".join("array(" + ", ".join("-9223372036854775808L" if m == -(1 << 63) else f"{m}L" for m in row) + ")" for row in anchor_masks()) + ")"
     table = table.replace("-9223372036854775808L", "cast('-9223372036854775808' as bigint)")
     masks = F.element_at(F.expr(table), syndrome.cast("int") + 1)
@@ -133,11 +164,12 @@ def _local_edges(reps: np.ndarray, fps: np.ndarray, threshold: int) -> tuple[np.
 def links(fps: DataFrame, threshold: int = 2) -> DataFrame:
     """Spanning edges ``(a, b)`` between the representatives of linked fingerprints.
 
-    ``fps`` has one row ``(rep, fp)`` per different fingerprint.
+    ``fps`` has one row ``(rep, fp)`` per different fingerprint. Thresholds of 3 or 4
+    reach some 700 anchors, 5 or 6 some 10,000; beyond that replication is no method.
     """
-    if threshold > 2:
-        raise ValueError("this covering code serves thresholds up to 2")
-    held = at_anchors(fps).groupBy("anchor").agg(F.collect_list(F.struct("rep", "fp")).alias("at"), F.count("*").alias("n"))
+    if threshold > 6:
+        raise ValueError("anchors multiply too fast for thresholds above 6")
+    held = at_anchors(fps, threshold).groupBy("anchor").agg(F.collect_list(F.struct("rep", "fp")).alias("at"), F.count("*").alias("n"))
     held = held.where("n > 1").select(F.col("at.rep").alias("rep"), F.col("at.fp").alias("fp"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,6 +1,7 @@
 import corpus_pipeline
 from test_decontaminate import brute
-from test_dedup import brute_components, brute_lines, plain_fingerprint
+from test_dedup import brute_lines
+from test_near_copies import brute as brute_alike
 from test_tokens import check_packing
 
 from facetwatch.llm import packing, registry
@@ -31,8 +32,7 @@ def test_stages_follow_brute_force(spark, docs, vocabulary):
     assert rows_of(b) == sorted(map(repr, want))
 
     c = stored(spark, stages["near_copies"](spark, b, d))
-    fps = [(r.doc_id, plain_fingerprint(r.text, 5)) for r in b.collect()]
-    assert {r.doc_id for r in c.collect()} == set(brute_components(fps))
+    assert {r.doc_id for r in c.collect()} == brute_alike([(r.doc_id, r.text) for r in b.collect()])
 
     e = stored(spark, stages["benchmark"](spark, c, d))
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{d}/benchmark.parquet").collect()]
