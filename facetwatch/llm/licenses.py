@@ -9,6 +9,11 @@ steps for replaceable ones. All templates share one automaton whose reachable
 state sets are built as they are met and remembered. A text is accepted where
 the automaton runs through: every mandatory word must stand there exactly.
 
+There are templates of three kinds: whole license texts with all their clauses,
+notices that name a license and its version, and fragments (a license's first
+sentence), whose labels end in ``-fragment`` because what follows decides. A label
+of the first two kinds scores 1, a fragment or a base phrase alone 0.5.
+
 Base phrases are found at the same time and give their labels in any case.
 
 Each document is one row in and one row out, no shuffle; whole texts are read.
@@ -36,37 +41,124 @@ BASE = {
     "mit license": "mit",
 }
 
-#: License notices as templates; wording of the public licenses themselves.
-TEMPLATES = {
-    "apache-2.0": [
-        "licensed under the apache license <<beginOptional>>version<<endOptional>> 2 <<beginOptional>>0<<endOptional>>",
-        "you may not use this <<var;words=1-2>> except in compliance with the license <<var;words=0-12>> you may obtain a copy of the license at",
+#: Wording that several public licenses share.
+_MIT_GRANT = """permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software
+    to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software
+    and to permit persons to whom the software is furnished to do so"""
+_MIT_NOTICE = "subject to the following conditions the above copyright notice and this permission notice <<beginOptional>>including the next paragraph<<endOptional>> shall be included in all copies or substantial portions of the software"
+_MIT_WARRANTY = """the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement
+    in no event shall <<var;words=1-12>> be liable for any claim damages or other liability whether in an action of contract tort or otherwise
+    arising from out of or in connection with the software or the use or other dealings in the software"""
+_BSD_GRANT = """redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met
+    <<beginOptional>>1<<endOptional>> redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer
+    <<beginOptional>>2<<endOptional>> redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"""
+_BSD_NAME = "neither the name of <<var;words=1-12>> nor the names of <<beginOptional>>its<<endOptional>> <<beginOptional>>their<<endOptional>> contributors may be used to endorse or promote products derived from this software without specific prior written permission"
+_BSD_WARRANTY = """this software is provided by <<var;words=1-12>> as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed
+    in no event shall <<var;words=1-12>> be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services
+    loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise
+    arising in any way out of the use of this software even if advised of the possibility of such damage"""
+_ISC_GRANT = "permission to use copy modify and <<beginOptional>>or<<endOptional>> distribute this software for any purpose with or without fee is hereby granted"
+_ISC_WARRANTY = """the software is provided as is and <<var;words=1-6>> disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness
+    in no event shall <<var;words=1-6>> be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits
+    whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software"""
+
+#: Whole texts of licenses, all mandatory clauses to the end; wording of the public licenses themselves.
+WHOLE = {
+    "mit": [f"{_MIT_GRANT} {_MIT_NOTICE} {_MIT_WARRANTY}"],
+    "mit-0": [f"{_MIT_GRANT} {_MIT_WARRANTY}"],
+    "json": [f"{_MIT_GRANT} {_MIT_NOTICE} the software shall be used for good not evil {_MIT_WARRANTY}"],
+    "bsd-2-clause": [f"{_BSD_GRANT} {_BSD_WARRANTY}"],
+    "bsd-3-clause": [f"{_BSD_GRANT} <<beginOptional>>3<<endOptional>> {_BSD_NAME} {_BSD_WARRANTY}"],
+    "bsd-4-clause": [
+        f"""{_BSD_GRANT} <<beginOptional>>3<<endOptional>> all advertising materials mentioning features or use of this software must display the following acknowledgement
+        this product includes software developed by <<var;words=1-20>> <<beginOptional>>4<<endOptional>> {_BSD_NAME} {_BSD_WARRANTY}"""
     ],
-    "mit": [
-        "<<var;words=0-1>> under <<beginOptional>>the terms of<<endOptional>> the mit license",
-        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction",
+    "isc": [f"{_ISC_GRANT} provided that the above copyright notice and this permission notice appear in all copies {_ISC_WARRANTY}"],
+    "0bsd": [f"{_ISC_GRANT} {_ISC_WARRANTY}"],
+    "zlib": [
+        """this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software
+        permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions
+        <<beginOptional>>1<<endOptional>> the origin of this software must not be misrepresented you must not claim that you wrote the original software
+        if you use this software in a product an acknowledgment in the product documentation would be appreciated but is not required
+        <<beginOptional>>2<<endOptional>> altered source versions must be plainly marked as such and must not be misrepresented as being the original software
+        <<beginOptional>>3<<endOptional>> this notice may not be removed or altered from any source distribution"""
     ],
-    "gpl-2.0": [
-        "licensed under <<beginOptional>>the terms of<<endOptional>> the gnu general public license <<beginOptional>>as published by the free software foundation<<endOptional>> <<beginOptional>>either<<endOptional>> version 2",
-        "under the terms of the gnu general public license as published by the free software foundation <<beginOptional>>either<<endOptional>> version 2",
+    "unlicense": [
+        f"""this is free and unencumbered software released into the public domain
+        anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means
+        in jurisdictions that recognize copyright laws the author or authors of this software dedicate any and all copyright interest in the software to the public domain
+        we make this dedication for the benefit of the public at large and to the detriment of our heirs and successors
+        we intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law {_MIT_WARRANTY}"""
     ],
-    "gpl-3.0": [
-        "licensed under <<beginOptional>>the terms of<<endOptional>> the gnu general public license <<beginOptional>>as published by the free software foundation<<endOptional>> <<beginOptional>>either<<endOptional>> version 3",
-        "under the terms of the gnu general public license as published by the free software foundation <<beginOptional>>either<<endOptional>> version 3",
+    "bsl-1.0": [
+        """permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software
+        to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following
+        the copyright notices in the software and this entire statement including the above license grant this restriction and the following disclaimer must be included in all copies of the software in whole or in part
+        and all derivative works of the software unless such copies or derivative works are solely in the form of machine executable object code generated by a source language processor
+        the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose title and non infringement
+        in no event shall the copyright holders or anyone distributing the software be liable for any damages or other liability whether in contract tort or otherwise
+        arising from out of or in connection with the software or the use or other dealings in the software"""
     ],
-    "lgpl": ["gnu lesser general public license <<beginOptional>>as published by the free software foundation<<endOptional>>"],
-    "agpl-3.0": ["gnu affero general public license"],
-    "mpl-2.0": ["subject to the terms of the mozilla public license <<beginOptional>>version<<endOptional>> 2 0"],
+}
+
+#: First sentences and the like, which alone do not tell the license; their labels end in -fragment.
+FRAGMENTS = {
+    "apache-2.0": ["you may not use this <<var;words=1-2>> except in compliance with the license <<var;words=0-12>> you may obtain a copy of the license at"],
+    "mit": [_MIT_GRANT],
     "bsd": ["redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"],
-    "isc": ["permission to use copy modify and <<beginOptional>>or<<endOptional>> distribute this software for any purpose with or without fee is hereby granted"],
+    "isc": [_ISC_GRANT],
     "zlib": ["this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software"],
     "unlicense": ["this is free and unencumbered software released into the public domain"],
-    "cc-by-4.0": ["<<var;words=0-1>> under <<beginOptional>>a<<endOptional>> cc by 4 0", "creative commons attribution 4 0 <<beginOptional>>international<<endOptional>> license"],
-    "cc-by-sa-4.0": ["<<var;words=0-1>> under <<beginOptional>>a<<endOptional>> cc by sa 4 0", "creative commons attribution sharealike 4 0 <<beginOptional>>international<<endOptional>> license"],
-    "cc-by-nc-4.0": ["<<var;words=0-1>> under <<beginOptional>>a<<endOptional>> cc by nc 4 0", "creative commons attribution noncommercial 4 0 <<beginOptional>>international<<endOptional>> license"],
-    "cc0-1.0": ["cc0 1 0 <<beginOptional>>universal<<endOptional>>"],
 }
 
+#: Families of licenses that notices name together with a version.
+_GNU = {"general": ("gpl", "1 2 3"), "lesser general": ("lgpl", "2.1 3"), "library general": ("lgpl", "2"), "affero general": ("agpl", "1 3")}
+_CC = ["by", "by sa", "by nc", "by nd", "by nc sa", "by nc nd"]
+_CC_WORDS = {"by": "attribution", "sa": "sharealike", "nc": "noncommercial", "nd": "noderivatives"}
+_CC_VERSIONS = "1.0 2.0 2.5 3.0 4.0"
+_VERSION = "<<beginOptional>>version<<endOptional>> <<beginOptional>>v<<endOptional>>"
+_TERMS = "<<beginOptional>>the terms of<<endOptional>>"
+
+
+def _notices() -> dict[str, list[str]]:
+    """Notices that name a license and its version."""
+    out = {
+        "apache-2.0": [f"licensed under the apache license {_VERSION} 2 <<beginOptional>>0<<endOptional>>", "apache license version 2 0", "spdx license identifier apache 2 0"],
+        "mit": [f"<<var;words=0-1>> under {_TERMS} the mit license", "spdx license identifier mit"],
+        "cc0-1.0": ["cc0 1 0 <<beginOptional>>universal<<endOptional>>"],
+    }
+    for name, version in (("mozilla", "1.1"), ("mozilla", "2.0"), ("eclipse", "1.0"), ("eclipse", "2.0")):
+        spoken = " ".join(version.split("."))
+        out[f"{name[0]}pl-{version}"] = [f"{name} public license {_VERSION} {spoken}", f"spdx license identifier {name[0]}pl {spoken}"]
+    for clauses in "234":
+        out[f"bsd-{clauses}-clause"] = [f"bsd {clauses} clause <<beginOptional>>license<<endOptional>>"]
+    for name, (short, versions) in _GNU.items():
+        for version in versions.split():
+            spoken, label = " ".join(version.split(".")), f"{short}-{version}" if "." in version else f"{short}-{version}.0"
+            whole = f"gnu {name} public license <<beginOptional>>as published by the free software foundation<<endOptional>> <<beginOptional>>either<<endOptional>>"
+            forms = [f"under {_TERMS} the {whole} version {spoken}", f"{whole} v{version.split('.')[0]} {' '.join(version.split('.')[1:])}", f"spdx license identifier {short} {' '.join(label.rpartition('-')[2].split('.'))}"]
+            out.setdefault(label, []).extend(forms)
+            later = "<<beginOptional>>of the license<<endOptional>> or <<beginOptional>>at your option<<endOptional>> any later version"
+            out.setdefault(f"{label}-or-later", []).extend([f"{forms[0]} {later}", f"{forms[2]} or later"])
+    for kind in _CC:
+        for version in _CC_VERSIONS.split():
+            spoken = " ".join(version.split("."))
+            named = " ".join(_CC_WORDS[k] for k in kind.split())
+            out[f"cc-{kind.replace(' ', '-')}-{version}"] = [f"cc {kind} {spoken}", f"creative commons {named} {spoken} <<var;words=0-1>> <<beginOptional>>public<<endOptional>> license"]
+    return out
+
+
+def _templates() -> dict[str, list[str]]:
+    out = {f"{label}-fragment": list(texts) for label, texts in FRAGMENTS.items()}
+    for part in (WHOLE, _notices()):
+        for label, texts in part.items():
+            out.setdefault(label, []).extend(texts)
+    return out
+
+
+#: All templates by label.
+TEMPLATES = _templates()
+
 _MARKUP = re.compile(r"<<(beginOptional|endOptional|var;words=(\d+)-(\d+))>>")
 
 
@@ -188,7 +280,7 @@ class Scanner:
             if words[i] in self.automaton.first:
                 for t in self.automaton.accepted(words, i):
                     more |= self.label[t]
-        score = 1.0 if more else 0.5 if base else 0.0
+        score = 1.0 if any(not x.endswith("-fragment") for x in more) else 0.5 if base or more else 0.0
         return len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(base | more)), score
 
 

@@ -86,7 +86,6 @@ def op10_licenses(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (op1_packing, op2_quality, op3_decontamination, op4_language_id, op5_simhash, op6_line_dedup, op7_warc, op8_token_counts, op9_exact_dedup, op10_licenses)}
 
 
-
 def _pattern(template: str) -> str:
     """A license template as a regular expression over words with a space before and after each."""
     from facetwatch.llm import licenses
@@ -112,7 +111,7 @@ def _license_sql() -> str:
         p AS (SELECT doc_id, w, ' ' || array_to_string(w, ' ') || ' ' AS s, {", ".join(f"{e} AS p_{k}" for k, e in enumerate(found.values()))} FROM t),
         q AS (SELECT doc_id, len(w) AS n_words, flatten([{", ".join(f"p_{k}" for k in range(len(found)))}]) AS places, [x FOR x IN {base} IF x IS NOT NULL] AS b, [x FOR x IN {more} IF x IS NOT NULL] AS m FROM p)
         SELECT doc_id, n_words, len(places)::BIGINT AS n_base, list_min(places) AS first_word, list_max(places) AS last_word, coalesce(array_to_string(list_sort(b), ','), '') AS base_labels,
-            coalesce(array_to_string(list_sort(list_distinct(list_concat(b, m))), ','), '') AS labels, CASE WHEN len(m) > 0 THEN 1.0 WHEN len(b) > 0 THEN 0.5 ELSE 0.0 END::DOUBLE AS score FROM q
+            coalesce(array_to_string(list_sort(list_distinct(list_concat(b, m))), ','), '') AS labels, CASE WHEN len([x FOR x IN m IF NOT suffix(x, '-fragment')]) > 0 THEN 1.0 WHEN len(b) + len(m) > 0 THEN 0.5 ELSE 0.0 END::DOUBLE AS score FROM q
     """
 
 
