@@ -20,7 +20,9 @@ def vocabulary() -> str:
 def op1_packing(spark, sf_dir):
     from facetwatch.llm.packing import pack
 
-    rows = pack(table(spark, sf_dir, "documents"), vocabulary())
+    # A document's first token has nothing before it that could tell it, and bears no loss.
+    docs = table(spark, sf_dir, "documents").withColumn("loss_start", F.lit(1))
+    rows = pack(docs, vocabulary(), loss_start_col="loss_start")
     return rows.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "sequence_tokens", "loss_tokens")
 
 
