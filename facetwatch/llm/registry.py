@@ -1,4 +1,4 @@
-"""Queries of the ten operators, with production parameters over whole tables."""
+"""Queries of the thirteen operators, with production parameters over whole tables."""
 
 from __future__ import annotations
 
@@ -85,7 +85,35 @@ def op10_licenses(spark, sf_dir):
     return license_scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_quality, op3_decontamination, op4_language_id, op5_simhash, op6_line_dedup, op7_warc, op8_token_counts, op9_exact_dedup, op10_licenses)}
+def op11_sharding(spark, sf_dir):
+    from facetwatch.llm.sharding import shard_digest
+
+    rows = shard_digest(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "size", "text_crc32", "law", F.col("shard").cast("int").alias("shard"), "slot", F.col("grown_shard").cast("int").alias("grown_shard"), "region", "rack")
+
+
+def op12_hard_negatives(spark, sf_dir):
+    from facetwatch.llm.negatives import hard_negatives
+
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    found = hard_negatives(rows.withColumn("label", label), F.col("id") % 50 == 0)
+    return found.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
+
+
+def op13_whitening(spark, sf_dir):
+    from facetwatch.llm.whitening import whiten
+
+    rows = whiten(table(spark, sf_dir, "embeddings"))
+    return rows.withColumn("deviation", F.col("deviation").cast("long"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_packing, op2_quality, op3_decontamination, op4_language_id, op5_simhash, op6_line_dedup, op7_warc, op8_token_counts, op9_exact_dedup, op10_licenses, op11_sharding, op12_hard_negatives, op13_whitening
+    )
+}
 
 
 def _pattern(template: str) -> str:
@@ -118,6 +146,14 @@ def _license_sql() -> str:
 
 
 ORACLE_SQL = {
+    "op12_hard_negatives": """
+        WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [floor(256 * c::DOUBLE) FOR c IN embedding] AS x FROM embeddings
+            WHERE label IS NOT NULL AND embedding IS NOT NULL AND len([c FOR c IN embedding IF c IS NULL OR NOT isfinite(c)]) = 0),
+        s AS (SELECT a.vec_id AS anchor_id, e.vec_id AS id, a.label = e.label AS same, list_inner_product(a.x, e.x)::BIGINT AS score FROM e a JOIN e ON a.vec_id <> e.vec_id WHERE a.vec_id % 50 = 0),
+        p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+        SELECT anchor_id, positive_id, (row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id))::INTEGER AS rank, id AS negative_id, positive_score, score AS negative_score
+        FROM p JOIN s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score QUALIFY rank <= 3
+    """,
     "op10_licenses": _license_sql(),
     "op9_exact_dedup": r"""
         WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents)
