@@ -244,23 +244,33 @@ def texture(pixels: DataFrame) -> DataFrame:
     return out
 
 
+def edge_density(pixels: DataFrame) -> DataFrame:
+    """The share of pixels on connected edges; see ``regions``."""
+    from facetwatch.functions import regions
+
+    return regions.edge_density(pixels)
+
+
 #: Families by name, each a function of the pixel table.
 FAMILIES = {
     "photometric": photometric, "moments": moments, "histogram": histogram_entropy, "edges": edges, "gradient": gradient, "statistics": statistics, "quality": quality, "degradation": degradation, "ranking": ranking, "texture": texture,
-    "glcm": lambda px: glcm_features(glcm(px, 256, symmetric=False)), "lbp": lambda px: lbp_features(px).drop("places"), "masked_glcm": lambda px: glcm_features(glcm(px, drop_zero=True)),
+    "edge_density": edge_density, "glcm": lambda px: glcm_features(glcm(px, 256, symmetric=False)), "lbp": lambda px: lbp_features(px).drop("places"), "masked_glcm": lambda px: glcm_features(glcm(px, drop_zero=True)),
 }
-#: The standard vector, but for the edge density.
-STANDARD = ["glcm", "lbp", "edges"]
+#: The standard vector.
+STANDARD = ["glcm", "lbp", "edges", "edge_density"]
 
 
 def family_table(pixels: DataFrame, names: list[str] = STANDARD) -> DataFrame:
     """One row per patch with the columns of some families; a column of two families is an error.
 
-    All families group by patch, so their shuffles of the pixel table are shared.
+    The pixel table is dealt out by patch once; that exchange is shared by all families, and
+    what groups by patch and more needs none of its own. A patch for which a family has no
+    row keeps NULLs in its columns.
     """
     unknown = [n for n in names if n not in FAMILIES]
     if unknown:
         raise KeyError(f"unknown families: {unknown}")
+    pixels = pixels.select("patch", "y", "x", "v").repartition("patch")
     parts = [FAMILIES[n](pixels) for n in names]
     columns = [c for part in parts for c in part.columns if c != "patch"]
     if len(set(columns)) < len(columns):

@@ -741,15 +741,6 @@ def patch_texture(spark, sf_dir):
     return rnd(patches.texture(pixels(spark, sf_dir)))
 
 
-@query(f"""WITH {PIXELS}, {_sql_near(1)}, {_sql_codes(8, 1)}, {_GRAD}, {_sql_glcm(256, 1, False, 4, '')}, a AS (SELECT patch, {', '.join(f'avg({c}) AS {c}' for c in _FIVE)} FROM cc GROUP BY patch),
-    b AS (SELECT patch, log2(sum(n)) - sum(n * log2(n)) / sum(n) AS lbp_entropy, max(n) / sum(n) AS lbp_uniformity, sum(CASE WHEN code = 9 THEN n ELSE 0 END) / sum(n) AS lbp_nonuniform FROM hc1 GROUP BY patch),
-    c AS (SELECT patch, avg(sqrt(gx * gx + gy * gy)) AS sobel_mean, avg(abs(lap)) AS laplacian_mean, stddev_pop(abs(lap)) AS laplacian_std FROM gr GROUP BY patch)
-    SELECT patch, {_r(*_FIVE, 'lbp_entropy', 'lbp_uniformity', 'lbp_nonuniform', 'sobel_mean', 'laplacian_mean', 'laplacian_std')} FROM a JOIN b USING (patch) JOIN c USING (patch)""")
-def patch_standard(spark, sf_dir):
-    """The registry's standard families in one table, a row per patch."""
-    return rnd(patches.family_table(pixels(spark, sf_dir)))
-
-
 # Geometry, from a table's own rows: a row of facets per nation, its size from the customers there.
 
 
