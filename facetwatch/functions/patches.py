@@ -270,12 +270,14 @@ def family_table(pixels: DataFrame, names: list[str] = STANDARD) -> DataFrame:
     unknown = [n for n in names if n not in FAMILIES]
     if unknown:
         raise KeyError(f"unknown families: {unknown}")
-    pixels = pixels.select("patch", "y", "x", "v").repartition("patch")
+    # Families ask for places that are not null; asked for here, the filter is below the exchange of all alike.
+    pixels = pixels.select("patch", "y", "x", "v").where("patch is not null and y is not null and x is not null").repartition("patch")
     parts = [FAMILIES[n](pixels) for n in names]
     columns = [c for part in parts for c in part.columns if c != "patch"]
     if len(set(columns)) < len(columns):
         raise ValueError(f"families share columns: {sorted({c for c in columns if columns.count(c) > 1})}")
-    out = pixels.select("patch").distinct()
+    # All columns are asked for here too; with fewer this would be an exchange of its own.
+    out = pixels.groupBy("patch").agg((F.max("y") + F.max("x")).alias("_place"), F.max("v").alias("_level")).where("_place is not null or _level is not null").select("patch")
     for part in parts:
         out = out.join(part, "patch", "left")
     return out

@@ -81,17 +81,48 @@ def neighbours(rows: DataFrame, value: str, offsets: dict[str, tuple[int, int]],
     return out.where("_own").drop("_own")
 
 
-def padded(pixels: DataFrame) -> DataFrame:
-    """``pixels`` with one more pixel on each side, equal to the nearest of the patch."""
+def padded(pixels: DataFrame, values: tuple[str, ...] = ("v",), mirror: bool = False) -> DataFrame:
+    """``pixels`` with one more pixel on each side: the border's own, or with ``mirror`` the one behind it (a side of one pixel repeats it)."""
     w = Window.partitionBy("patch")
-    rows = pixels.select("patch", "y", "x", "v", F.max("y").over(w).alias("_h"), F.max("x").over(w).alias("_w"))
-    spread = lambda c, end: F.explode(F.array_compact(F.array(F.col(c), F.when(F.col(c) == 0, F.lit(-1)), F.when(F.col(c) == F.col(end), F.col(c) + 1))))
+    rows = pixels.select("patch", "y", "x", *values, F.max("y").over(w).alias("_h"), F.max("x").over(w).alias("_w"))
+    step = (lambda end: F.least(F.lit(1), F.col(end))) if mirror else (lambda end: F.lit(0))
+
+    def spread(c: str, end: str) -> Column:
+        before, after = F.when(F.col(c) == step(end), F.lit(-1)), F.when(F.col(c) == F.col(end) - step(end), F.col(end) + 1)
+        return F.explode(F.array_compact(F.array(F.col(c), before, after)))
+
     return rows.withColumn("y", spread("y", "_h")).withColumn("x", spread("x", "_w")).drop("_h", "_w")
 
 
-def gradients(pixels: DataFrame) -> DataFrame:
-    """``patch, y, x, gx, gy, lap`` of every pixel; beyond the border the nearest pixel counts."""
-    return convolve(padded(pixels), {"gx": SOBEL_X, "gy": SOBEL_Y, "lap": LAPLACE})
+def gradients(pixels: DataFrame, mirror: bool = False) -> DataFrame:
+    """``patch, y, x, gx, gy, lap`` of every pixel; ``mirror`` says what counts beyond the border, see ``padded``."""
+    return convolve(padded(pixels, mirror=mirror), {"gx": SOBEL_X, "gy": SOBEL_Y, "lap": LAPLACE})
+
+
+#: Weight of the trace in the corner measure, and the share of the largest that makes a corner.
+CORNER_K, CORNER_SHARE = 0.04, 0.01
+
+
+def corners(pixels: DataFrame) -> DataFrame:
+    """``patch, direction_std, corner_density``: spread of the gradient's direction, and the share of pixels with a strong corner measure.
+
+    The structure tensor is a second sum, over squares of two by two pixels, of products of
+    gradients; a corner's measure is above a hundredth of the largest in its patch.
+    """
+    g = gradients(pixels, mirror=True)
+    turns = g.groupBy("patch").agg(F.stddev_pop(F.atan2("gy", "gx")).alias("direction_std"))
+    parts = ("xx", "yy", "xy")
+    products = padded(g.select("patch", "y", "x", (F.col("gx") * F.col("gx")).alias("xx"), (F.col("gy") * F.col("gy")).alias("yy"), (F.col("gx") * F.col("gy")).alias("xy")), parts, mirror=True)
+    spread = lambda c: F.explode(F.array(F.col(c), F.col(c) + 1)).alias(c)
+    sums = products.select("patch", spread("y"), "x", *parts).select("patch", "y", spread("x"), *parts).groupBy("patch", "y", "x").agg(F.count("*").alias("_n"), *(F.sum(c).alias(c) for c in parts))
+    # Squares reach one pixel up and left; those below the lower and right border are of no pixel.
+    ends = pixels.groupBy("patch").agg(F.max("y").alias("_h"), F.max("x").alias("_w"))
+    sums = sums.join(ends, "patch").where((F.col("y") >= 0) & (F.col("x") >= 0) & (F.col("y") <= F.col("_h")) & (F.col("x") <= F.col("_w")))
+    trace = F.col("xx") + F.col("yy")
+    scored = sums.withColumn("_r", F.col("xx") * F.col("yy") - F.col("xy") * F.col("xy") - CORNER_K * trace * trace)
+    top = F.max("_r").over(Window.partitionBy("patch"))
+    share = scored.withColumn("_c", (F.col("_r") > CORNER_SHARE * top).cast("double")).groupBy("patch").agg(F.avg("_c").alias("corner_density"))
+    return turns.join(share, "patch")
 
 
 AROUND = {"nw": (-1, -1), "n": (-1, 0), "ne": (-1, 1), "w": (0, -1), "e": (0, 1), "sw": (1, -1), "s": (1, 0), "se": (1, 1)}

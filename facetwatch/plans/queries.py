@@ -738,7 +738,7 @@ def patch_statistics(spark, sf_dir):
     """ + ", ".join(f"g{d} AS (SELECT patch, " + ", ".join(f"{f}({c}) AS glcm{d}_{c}_{n}" for c in ("contrast", "homogeneity", "energy") for n, f in (("mean", "avg"), ("std", "stddev_pop"))) + f" FROM cc{t} GROUP BY patch)" for d, t in ((1, "a"), (3, "b"))) + f"""
     SELECT patch, {_r('intensity_mean', 'intensity_std', 'lbp1_entropy', 'lbp2_entropy', *(f'glcm{d}_{c}_{n}' for d in (1, 3) for c in ('contrast', 'homogeneity', 'energy') for n in ('mean', 'std')))} FROM i JOIN l1 USING (patch) JOIN l2 USING (patch) JOIN g1 USING (patch) JOIN g3 USING (patch)""")
 def patch_texture(spark, sf_dir):
-    return rnd(patches.texture(pixels(spark, sf_dir)))
+    return rnd(patches.family_table(pixels(spark, sf_dir), ["texture"]))
 
 
 # Geometry, from a table's own rows: a row of facets per nation, its size from the customers there.
