@@ -251,10 +251,31 @@ def edge_density(pixels: DataFrame) -> DataFrame:
     return regions.edge_density(pixels)
 
 
+def corners(pixels: DataFrame) -> DataFrame:
+    """Spread of the gradient's direction and share of corners; see ``regions``."""
+    from facetwatch.functions import regions
+
+    return regions.corners(pixels)
+
+
+def spectrum(pixels: DataFrame) -> DataFrame:
+    """Magnitudes in the middle and at the border of the spectrum, and their ratio; see ``spectra``."""
+    from facetwatch.functions import spectra
+
+    return spectra.spectrum_bands(spectra.dft(pixels))
+
+
+def high_frequency(pixels: DataFrame) -> DataFrame:
+    """Share of the stretched patch's magnitudes outside the middle third of its spectrum; see ``spectra``."""
+    from facetwatch.functions import spectra
+
+    return spectra.high_frequency(pixels)
+
+
 #: Families by name, each a function of the pixel table.
 FAMILIES = {
     "photometric": photometric, "moments": moments, "histogram": histogram_entropy, "edges": edges, "gradient": gradient, "statistics": statistics, "quality": quality, "degradation": degradation, "ranking": ranking, "texture": texture,
-    "edge_density": edge_density, "glcm": lambda px: glcm_features(glcm(px, 256, symmetric=False)), "lbp": lambda px: lbp_features(px).drop("places"), "masked_glcm": lambda px: glcm_features(glcm(px, drop_zero=True)),
+    "edge_density": edge_density, "corners": corners, "spectrum": spectrum, "high_frequency": high_frequency, "glcm": lambda px: glcm_features(glcm(px, 256, symmetric=False)), "lbp": lambda px: lbp_features(px).drop("places"), "masked_glcm": lambda px: glcm_features(glcm(px, drop_zero=True)),
 }
 #: The standard vector.
 STANDARD = ["glcm", "lbp", "edges", "edge_density"]

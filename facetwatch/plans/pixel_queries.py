@@ -7,9 +7,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from facetwatch.functions import patches, raster, regions
+from facetwatch.functions import frames, patches, raster, regions, spectra
 from facetwatch.functions.patches import LAPLACE, SOBEL_X, SOBEL_Y
-from facetwatch.plans.inputs import PIXELS, pixels, read
+from facetwatch.plans.inputs import COLOURS, PIXELS, colours, pixels, read
 from facetwatch.plans.queries import _FIVE, _GRAD, _r, _sql_codes, _sql_glcm, _sql_near, query, rnd
 
 # Polygons.
@@ -117,3 +117,108 @@ def patch_masked_edges(spark, sf_dir):
 def patch_standard(spark, sf_dir):
     """The registry's standard families in one table, a row per patch."""
     return rnd(patches.family_table(pixels(spark, sf_dir)))
+
+
+# Spectra, resampling, block histograms, corners.
+
+_STRETCH = "lh AS (SELECT patch, min(v) AS lo, max(v) AS hi FROM px GROUP BY patch), st AS (SELECT patch, y, x, CASE WHEN hi > lo THEN round((v - lo) * 255.0 / (hi - lo)) ELSE 0 END::DOUBLE AS v FROM px JOIN lh USING (patch))"
+
+
+def _sql_dft(source: str, tag: str) -> str:
+    """CTE ``tag``: magnitudes with their place ``i``, ``j`` in the centred spectrum of 8 x 8 patches."""
+    a, b = "2 * pi() * ((l * x) % 8) / 8", "2 * pi() * ((k * y) % 8) / 8"
+    return f"""a{tag} AS (SELECT patch, y, l, sum(v * cos({a})) AS re, -sum(v * sin({a})) AS im FROM {source}, (SELECT unnest(range(8)) AS l) GROUP BY 1, 2, 3),
+    b{tag} AS (SELECT patch, k, l, sum(re * cos({b}) + im * sin({b})) AS re, sum(im * cos({b}) - re * sin({b})) AS im FROM a{tag}, (SELECT unnest(range(8)) AS k) GROUP BY 1, 2, 3),
+    {tag} AS (SELECT patch, (k + 4) % 8 AS i, (l + 4) % 8 AS j, sqrt(re * re + im * im) AS m FROM b{tag})"""
+
+
+_HIGH = f"{_STRETCH}, {_sql_dft('st', 'ds')}, hf AS (SELECT patch, coalesce(sum(m) FILTER (WHERE NOT (i BETWEEN 3 AND 4 AND j BETWEEN 3 AND 4)), 0) / (sum(m) + 1e-6) AS high_frequency FROM ds GROUP BY patch)"
+
+
+@query(f"""WITH {PIXELS}, {_sql_dft('px', 'dp')}, w AS (SELECT *, (i < 2)::INTEGER + (i >= 6)::INTEGER + (j < 2)::INTEGER + (j >= 6)::INTEGER AS n FROM dp),
+    s AS (SELECT patch, avg(m) FILTER (WHERE i BETWEEN 2 AND 5 AND j BETWEEN 2 AND 5) AS fft_low, sum(m * n) / sum(n) AS fft_high FROM w GROUP BY patch) SELECT patch, {_r('fft_low', 'fft_high', 'fft_ratio=fft_high / (fft_low + 1e-6)')} FROM s""")
+def patch_spectrum(spark, sf_dir):
+    return rnd(spectra.spectrum_bands(spectra.dft(pixels(spark, sf_dir))))
+
+
+@query(f"""WITH {PIXELS}, {_sql_near(1)}, {_GRAD}, {_HIGH}, q AS (SELECT patch, var_pop(lap) AS laplacian_var, avg(peak) AS peak_share, stddev_pop(sqrt(gx * gx + gy * gy)) AS roughness FROM gr GROUP BY patch)
+    SELECT patch, {_r('laplacian_var', 'peak_share', 'roughness', 'high_frequency')} FROM q JOIN hf USING (patch)""")
+def patch_quality(spark, sf_dir):
+    return rnd(patches.family_table(pixels(spark, sf_dir), ["quality", "high_frequency"]))
+
+
+def _sql_resized(height: int, width: int) -> str:
+    """CTE ``rs``: area means of 8 x 8 patches, by the overlap of each pixel with each cell."""
+    over = lambda c, cell, many: f"greatest(0, least(({cell} + 1) * {8 / many!r}, {c} + 1) - greatest({cell} * {8 / many!r}, {c})) / {8 / many!r}"
+    return f"rs AS (SELECT patch, i::INTEGER AS y, j::INTEGER AS x, sum(v * {over('y', 'i', height)} * {over('x', 'j', width)}) AS v FROM px, (SELECT unnest(range({height})) AS i), (SELECT unnest(range({width})) AS j) GROUP BY 1, 2, 3)"
+
+
+@query(f"WITH {PIXELS}, {_sql_resized(6, 5)} SELECT patch, y, x, {_r('v')} FROM rs")
+def patch_resized(spark, sf_dir):
+    return rnd(spectra.resized(pixels(spark, sf_dir), 6, 5))
+
+
+@query(f"""WITH {PIXELS}, {_sql_resized(13, 12)}, g AS (SELECT c.patch, c.y, c.x, CASE WHEN c.x BETWEEN 1 AND 10 THEN max(CASE WHEN n.x = c.x + 1 THEN n.v END) - max(CASE WHEN n.x = c.x - 1 THEN n.v END) ELSE 0 END AS gx,
+        CASE WHEN c.y BETWEEN 1 AND 11 THEN max(CASE WHEN n.y = c.y + 1 THEN n.v END) - max(CASE WHEN n.y = c.y - 1 THEN n.v END) ELSE 0 END AS gy FROM rs c JOIN rs n ON n.patch = c.patch AND abs(n.y - c.y) + abs(n.x - c.x) = 1 GROUP BY 1, 2, 3),
+    t AS (SELECT patch, y // 4 AS cy, x // 4 AS cx, (floor(round((((degrees(atan2(gy, gx)) % 180) + 180) % 180) / 20, 9)) % 9)::INTEGER AS bin, sqrt(gx * gx + gy * gy) AS m FROM g WHERE y < 12),
+    c AS (SELECT patch, cy, cx, bin, sum(m) / 16 AS v FROM t GROUP BY 1, 2, 3, 4 HAVING sum(m) > 0), b AS (SELECT patch, b_y, b_x, cy - b_y AS cell_y, cx - b_x AS cell_x, bin, v FROM c, (SELECT unnest(range(2)) AS b_y), (SELECT unnest(range(2)) AS b_x) WHERE cy - b_y IN (0, 1) AND cx - b_x IN (0, 1)),
+    n AS (SELECT * REPLACE (least(0.2, v / sqrt(sum(v * v) OVER (PARTITION BY patch, b_y, b_x) + 1e-10)) AS v) FROM b)
+    SELECT patch, b_y AS block_y, b_x AS block_x, cell_y, cell_x, bin, {_r('value=v / sqrt(sum(v * v) OVER (PARTITION BY patch, b_y, b_x) + 1e-10)')} FROM n""")
+def patch_hog_blocks(spark, sf_dir):
+    """Patches brought to 13 x 12 pixels; the last row is beyond the last whole cell."""
+    return rnd(spectra.hog_blocks(spectra.resized(pixels(spark, sf_dir), 13, 12)))
+
+
+def _mirror(p: str) -> str:
+    return f"CASE WHEN {p} < 0 THEN -({p}) WHEN {p} > 7 THEN 14 - ({p}) ELSE {p} END"
+
+
+def _sql_mirrored(source: str, tag: str) -> str:
+    """CTE ``tag``: gradients of all places, with the pixels behind the border beyond it."""
+    return _sql_slopes(source, tag).replace("least(7, greatest(0, c.y + dy))", _mirror("c.y + dy")).replace("least(7, greatest(0, c.x + dx))", _mirror("c.x + dx"))
+
+
+@query(f"""WITH {PIXELS}, {_sql_mirrored('px', 'sl')}, tn AS (SELECT c.patch, c.y, c.x, sum(n.gx * n.gx) AS a, sum(n.gy * n.gy) AS b, sum(n.gx * n.gy) AS c2 FROM sl c CROSS JOIN (VALUES (0, 0), (0, -1), (-1, 0), (-1, -1)) o(dy, dx)
+        JOIN sl n ON n.patch = c.patch AND n.y = {_mirror('c.y + dy')} AND n.x = {_mirror('c.x + dx')} GROUP BY 1, 2, 3), rr AS (SELECT patch, a * b - c2 * c2 - 0.04::DOUBLE * (a + b) * (a + b) AS r FROM tn),
+    mx AS (SELECT patch, max(r) AS top FROM rr GROUP BY patch), sh AS (SELECT patch, avg((r > 0.01::DOUBLE * top)::INTEGER) AS corner_density FROM rr JOIN mx USING (patch) GROUP BY patch), dr AS (SELECT patch, stddev_pop(atan2(gy, gx)) AS direction_std FROM sl GROUP BY patch)
+    SELECT patch, {_r('direction_std', 'corner_density')} FROM dr JOIN sh USING (patch)""")
+def patch_corners(spark, sf_dir):
+    return rnd(regions.corners(pixels(spark, sf_dir)))
+
+
+# Frame measures; colour patches of 8 x 8 pixels stand for frames.
+
+_LAB = "lin AS (SELECT *, " + ", ".join(f"CASE WHEN {c} / 255.0::DOUBLE > 0.04045 THEN pow(({c} / 255.0::DOUBLE + 0.055::DOUBLE) / 1.055::DOUBLE, 2.4) ELSE {c} / 255.0::DOUBLE / 12.92::DOUBLE END AS l{c}" for c in "rgb") + " FROM hs), "
+_LAB += "xz AS (SELECT *, " + ", ".join("0.0 + " + " + ".join(f"l{c} * {w!r}::DOUBLE" for c, w in zip("rgb", ws)) + f" AS c{n}" for n, ws in frames.XYZ.items()) + " FROM lin), "
+_LAB += "cv AS (SELECT *, " + ", ".join(f"CASE WHEN c{n} > 0.008856 THEN cbrt(c{n}) ELSE 7.787::DOUBLE * c{n} + 16 / 116::DOUBLE END AS f{n}" for n in "xyz") + " FROM xz), lb AS (SELECT *, least(255, greatest(0, round(500 * (fx - fy) + 128))) AS la, least(255, greatest(0, round(200 * (fy - fz) + 128))) AS lbb FROM cv)"
+_WARM = "(h < 25 OR h > 160) AND val > 180 AND s > 60"
+_GRAYPX = "gp AS (SELECT patch, y, x, v::INTEGER AS v FROM hs)"
+_SHARP = f"{_GRAYPX}, {_sql_mirrored('gp', 'sl')}, sp AS (SELECT patch, stddev_pop(lap) AS sharpness FROM sl GROUP BY patch)"
+
+
+@query(f"""WITH {COLOURS}, {_SHARP}, q AS (SELECT patch, avg(v) FILTER (WHERE free) AS mean_brightness, stddev_pop(v) FILTER (WHERE free) AS std_brightness, 100 * avg(({_WARM})::INTEGER) AS warm_pixel_ratio, avg((val > 200 AND s > 80)::INTEGER) FILTER (WHERE free) AS bright_saturated_frac
+    FROM (SELECT *, (y - 3) ** 2 + (x - 5) ** 2 > 1 AS free FROM hs) GROUP BY patch) SELECT patch, {_r('mean_brightness', 'std_brightness', 'warm_pixel_ratio', 'bright_saturated_frac', 'sharpness')} FROM q JOIN sp USING (patch)""")
+def frame_quality(spark, sf_dir):
+    return rnd(frames.frame_quality(colours(spark, sf_dir), 8, 8))
+
+
+_DETAILS = {
+    "mean_brightness": "avg(v) FILTER (WHERE free)", "std_brightness": "stddev_pop(v) FILTER (WHERE free)", "dark_fraction": "avg((v < 40)::INTEGER) FILTER (WHERE free)", "bright_fraction": "avg((v > 220)::INTEGER) FILTER (WHERE free)",
+    "lr_signed": "avg(v) FILTER (WHERE x < 2) - avg(v) FILTER (WHERE x >= 5)", "tb_signed": "avg(v) FILTER (WHERE y < 2) - avg(v) FILTER (WHERE y >= 5)", "sky_brightness": "avg(v) FILTER (WHERE y < 1)",
+    "p10_brightness": "quantile_cont(v, 0.1) FILTER (WHERE free)", "p90_brightness": "quantile_cont(v, 0.9) FILTER (WHERE free)", "warm_bright_fraction": f"avg(({_WARM})::INTEGER) FILTER (WHERE free)", "bright_saturated_frac": "avg((val > 200 AND s > 80)::INTEGER) FILTER (WHERE free)",
+    "sky_blue_ratio": "avg(b) FILTER (WHERE y < 1) / (avg(r) FILTER (WHERE y < 1) + 1)", "mean_saturation": "avg(s) FILTER (WHERE free)", "mean_hue": "avg(h) FILTER (WHERE free)", "br_ratio": "(avg(b) + 1) / (avg(r) + 1)", "mean_a": "avg(la)", "mean_b": "avg(lbb)",
+    "overexposed_pct": "100 * avg((val > 250)::INTEGER) FILTER (WHERE y < 2)",
+}
+
+
+@query(f"""WITH {COLOURS}, {_SHARP}, {_LAB}, z AS (SELECT *, (y - 3) ** 2 + (x - 4) ** 2 > 0 AS free FROM lb), q AS (SELECT patch, {', '.join(f'{e} AS {n}' for n, e in _DETAILS.items())} FROM z GROUP BY patch),
+    c AS (SELECT patch, v, count(*) AS n FROM z WHERE free GROUP BY 1, 2), e AS (SELECT patch, log2(sum(n)) - sum(n * log2(n)) / sum(n) AS entropy FROM c GROUP BY patch)
+    SELECT patch, {_r(*_DETAILS, 'dynamic_range=p90_brightness - p10_brightness', 'lr_asymmetry=abs(lr_signed)', 'tb_asymmetry=abs(tb_signed)', 'entropy', 'sharpness')} FROM q JOIN e USING (patch) JOIN sp USING (patch)""")
+def frame_details(spark, sf_dir):
+    return rnd(frames.frame_details(colours(spark, sf_dir), 8, 8))
+
+
+@query(f"""WITH {COLOURS} SELECT patch, {', '.join(f"round({e} + 1e-9, 1) + 0.0 AS {n}" for n, e in (("sat_mean", "avg(s)"), ("val_mean", "avg(val)"), ("val_std", "stddev_pop(val)"), ("overexposed_pct", "100 * avg((val > 250)::INTEGER)"), ("gray_pct", "100 * avg((s < 30 AND val > 150)::INTEGER)")))},
+    round(avg(b / (r + g + b + 1e-6)) + 1e-9, 3) + 0.0 AS blue_ratio FROM hs WHERE y < 2 GROUP BY patch""")
+def frame_sky(spark, sf_dir):
+    return frames.frame_sky(colours(spark, sf_dir), 8)

@@ -723,11 +723,6 @@ def patch_degradation(spark, sf_dir):
     return rnd(patches.degradation(pixels(spark, sf_dir)))
 
 
-@query(f"WITH {PIXELS}, {_sql_near(1)}, {_GRAD} SELECT patch, {_r('laplacian_var=var_pop(lap)', 'peak_share=avg(peak)', 'roughness=stddev_pop(sqrt(gx * gx + gy * gy))')} FROM gr GROUP BY patch")
-def patch_quality(spark, sf_dir):
-    return rnd(patches.quality(pixels(spark, sf_dir)))
-
-
 @query(f"WITH {PIXELS} SELECT patch, {_r('mean=avg(v)', 'std=stddev_pop(v)', 'min=min(v)', 'max=max(v)', 'median=median(v)', 'range=max(v) - min(v)')} FROM px GROUP BY patch")
 def patch_statistics(spark, sf_dir):
     return rnd(patches.statistics(pixels(spark, sf_dir)))
