@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from facetwatch.operators.lineage import components, cut
+from facetwatch.operators import nearness
+from facetwatch.operators.lineage import cut
 from facetwatch.operators.score import dot
 from facetwatch.schemas import observations
 
@@ -123,72 +123,62 @@ def dbscan_labels(x: np.ndarray, eps: float, min_samples: int, block: int = 1024
     return labels
 
 
-def near_pairs(points: DataFrame, group: str, key: str, array: str, eps: float, dims: int = 2) -> DataFrame:
-    """``group, a, b``: keys of the rows of a group whose vectors are within ``eps``, each pair once.
-
-    Rows lie in cells of side ``eps`` along the ``dims`` elements that vary most, and
-    a row meets the rows of the cells around its own in an equality join, so that
-    far rows are never compared and full cells are split by adaptive execution.
-    Rows without a group are near to none.
-    """
-    spread = points.select(F.posexplode(array).alias("d", "v")).groupBy("d").agg(F.var_pop(F.col("v").cast("double")).alias("var"))
-    most = [r["d"] for r in spread.orderBy(F.desc("var"), "d").limit(dims).collect()]
-    side = max(eps, 1e-12) * (1 + 1e-9)
-    cells = [F.floor(F.col(array)[d].cast("double") / side) for d in most]
-    right = points.select(group, F.col(key).alias("b"), F.col(array).alias("_b"), *(c.alias(f"_c{i}") for i, c in enumerate(cells)))
-    left = points.select(group, F.col(key).alias("a"), F.col(array).alias("_a"), *(c.alias(f"_c{i}") for i, c in enumerate(cells)))
-    for i in range(len(cells)):
-        left = left.withColumn(f"_c{i}", F.explode(F.array(*(F.col(f"_c{i}") + k for k in (-1, 0, 1)))))
-    d = F.aggregate(F.zip_with("_a", "_b", lambda x, y: (x - y).cast("double") * (x - y).cast("double")), F.lit(0.0), lambda s, x: s + x)
-    return left.join(right, [group, *(f"_c{i}" for i in range(len(cells)))]).where((F.col("a") < F.col("b")) & (d <= eps * eps + 1e-12)).select(group, "a", "b")
+def _points(df: DataFrame, group: str, keys: list[str], features: str | list[str]) -> DataFrame:
+    """``group, keys, _x, _id``: the vector of each row, NULL where an element is missing, and a number of its own."""
+    array = F.transform(F.col(features), lambda v: v.cast("double")) if isinstance(features, str) else F.array(*(F.col(f).cast("double") for f in features))
+    rows = df if isinstance(features, str) else observations(df.select(group, *keys, *features), features)
+    rows = rows.select(group, *keys, array.alias("_x"))
+    missing = F.col("_x").isNull() | F.exists("_x", lambda v: v.isNull() | F.isnan(v))
+    return cut(rows.withColumn("_x", F.when(~missing, F.col("_x"))).withColumn("_id", F.monotonically_increasing_id()))
 
 
 def dbscan(df: DataFrame, group: str, keys: list[str], features: str | list[str], eps: float = 1.75, min_samples: int = 2) -> DataFrame:
     """``group, keys, cluster`` per group; rows with a missing feature get a NULL cluster, noise gets -1.
 
-    ``features``: columns, or one array column. Neighbours come from a join on
-    cells, core points from their number, clusters from connected components of
+    ``features``: columns, or one array column. Neighbours come from metric blocks
+    (``nearness``), core points from their number, clusters from connected components of
     neighbouring core points. Clusters are numbered in key order of their first core
-    point, and a border point joins the first of the clusters that reach it.
+    point, and a border point joins the first of the clusters that reach it. Rows without a
+    group are near to none.
     """
-    array = F.transform(F.col(features), lambda v: v.cast("double")) if isinstance(features, str) else F.array(*(F.col(f).cast("double") for f in features))
-    rows = df if isinstance(features, str) else observations(df.select(group, *keys, *features), features)
-    rows = rows.select(group, *keys, array.alias("_x"))
-    missing = F.col("_x").isNull() | F.exists("_x", lambda v: v.isNull() | F.isnan(v))
-    rows = cut(rows.withColumn("_x", F.when(~missing, F.col("_x"))).withColumn("_id", F.monotonically_increasing_id()))
-    whole = rows.where("_x is not null")
-    pairs = cut(near_pairs(whole, group, "_id", "_x", eps).select("a", "b"))
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    # A point counts as its own neighbour.
-    core = whole.select(F.col("_id").alias("a"), group, F.struct(*keys).alias("_first"))
-    if min_samples > 1:
-        core = core.join(both.groupBy("a").agg((F.count("*") + 1).alias("n")).where(F.col("n") >= min_samples).select("a"), "a", "left_semi")
-    core = cut(core)
-    inner = both.join(core.select("a"), "a", "left_semi").join(core.select(F.col("a").alias("b")), "b", "left_semi")
-    core = core.join(components(inner).withColumnRenamed("node", "a"), "a", "left").withColumn("component", F.coalesce("component", "a"))
-    order = core.groupBy(group, "component").agg(F.min("_first").alias("_first"))
-    order = order.select("component", (F.dense_rank().over(Window.partitionBy(group).orderBy("_first")) - 1).alias("cluster"))
-    core = cut(core.select("a", "component").join(order, "component").select("a", "cluster"))
-    border = both.join(core, "a").groupBy(F.col("b").alias("a")).agg(F.min("cluster").alias("cluster")).join(core, "a", "left_anti")
-    named = core.unionByName(border).select(F.col("a").alias("_id"), "cluster")
-    out = rows.join(named, "_id", "left")
+    rows = _points(df, group, keys, features)
+    whole = rows.where("_x is not null").select(F.col(group).alias("group"), F.col("_id").alias("id"), F.col("_x").alias("x"), F.struct(*keys).alias("first"))
+    named = nearness.dbscan(whole, eps, min_samples, "first")
+    out = rows.join(named.withColumnRenamed("id", "_id"), "_id", "left")
     return out.select(group, *keys, F.when(F.col("_x").isNotNull(), F.coalesce("cluster", F.lit(-1))).cast("int").alias("cluster"))
 
 
-def per_group(df: DataFrame, group: str, keys: list[str], features: list[str], extract: Callable[[np.ndarray], np.ndarray], cluster: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
-    """Any extractor and cluster function per group, over the matrix of features in key order."""
-    rows = observations(df.select(group, *keys, *features), features)
-    schema = rows.select(group, *keys).schema.add("cluster", T.IntegerType())
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(keys)
-        whole = pdf[features].notna().all(axis=1).to_numpy()
-        label = pd.array([None] * len(pdf), dtype="Int32")
-        if whole.any():
-            label[whole] = np.asarray(cluster(extract(pdf.loc[whole, features].to_numpy(float)))).astype("int32")
-        return pdf[[group, *keys]].assign(cluster=label)
+def grouped_kmeans(df: DataFrame, group: str, key: str, array: str, k: int = 3, rounds: int = 20) -> tuple[DataFrame, DataFrame]:
+    """``group, key, cluster`` with k centres for each group, fitted for all groups at once; and ``group, cluster, centre``.
 
-    return rows.groupBy(group).applyInPandas(run, schema)
+    Centres begin at the first k different vectors in order of a hash of the key, and move to
+    the means of their rows until nothing changes or ``rounds`` are over. A group's centres are one
+    short array that its rows meet by group; means are mergeable sums. A group with fewer
+    different vectors than k has fewer clusters; a row of equal distances joins the smaller
+    number; rows without a vector, or with a missing element, or without a group, are left out.
+    """
+    x = F.transform(array, lambda v: v.cast("double"))
+    rows = df.select(group, key, x.alias("_x")).where(F.col(group).isNotNull() & F.col("_x").isNotNull() & ~F.exists("_x", lambda v: v.isNull() | F.isnan(v)))
+    rows = cut(rows)
+    start = rows.groupBy(group, "_x").agg(F.min(F.struct(F.xxhash64(key).alias("h"), F.col(key).alias("k"))).alias("_o"))
+    w = Window.partitionBy(group).orderBy("_o")
+    start = start.withColumn("cluster", (F.row_number().over(w) - 1).cast("int")).where(F.col("cluster") < k)
+    centres = cut(start.select(group, "cluster", F.col("_x").alias("centre")))
+
+    def assigned(centres: DataFrame) -> DataFrame:
+        banks = centres.groupBy(group).agg(F.sort_array(F.collect_list(F.struct("cluster", "centre"))).alias("_bank"))
+        gap = lambda c: F.aggregate(F.zip_with("_x", c["centre"], lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
+        best = F.array_min(F.transform("_bank", lambda c: F.struct(gap(c).alias("d"), c["cluster"].alias("cluster"))))
+        return rows.join(banks, group).select(group, key, "_x", best["cluster"].alias("cluster"))
+
+    for _ in range(rounds):
+        means = assigned(centres).groupBy(group, "cluster").agg(vector_to_array(Summarizer.mean(array_to_vector("_x"))).alias("_mean"))
+        moved = centres.join(means, [group, "cluster"], "left").select(group, "cluster", F.coalesce("_mean", "centre").alias("centre"), (F.coalesce("_mean", "centre") != F.col("centre")).alias("_moved"))
+        moved = cut(moved)
+        centres = moved.drop("_moved")
+        if not moved.where("_moved").limit(1).count():
+            break
+    return assigned(centres).drop("_x"), centres
 
 
 def noise(labels: DataFrame) -> DataFrame:
@@ -198,9 +188,11 @@ def noise(labels: DataFrame) -> DataFrame:
 
 def neighbour_noise(df: DataFrame, group: str, key: str, array: str, eps: float) -> DataFrame:
     """Noise for ``min_samples = 2``: rows without a neighbour within eps in their group."""
-    near = near_pairs(df.select(group, key, array), group, key, array, eps)
-    met = near.select(group, F.explode(F.array("a", "b")).alias(key)).distinct()
-    return df.select(group, key).join(met, [group, key], "left_anti")
+    rows = _points(df, group, [key], array)
+    whole = rows.where("_x is not null").select(F.col(group).alias("group"), F.col("_id").alias("id"), F.col("_x").alias("x"))
+    placed, blocks = nearness.blocked(whole)
+    met = nearness.neighbour_counts(placed, cut(nearness.block_pairs(blocks, eps)), blocks, eps).where("n > 0")
+    return rows.join(met.select(F.col("id").alias("_id")), "_id", "left_anti").select(group, key)
 
 
 def _depth_left(k: int) -> float:
@@ -252,31 +244,63 @@ def isolation_scores(x: np.ndarray, trees: int = 100, sample: int = 256, seed: i
     return forest_scores(isolation_trees(x, trees, sample, seed), x, min(sample, len(x)))
 
 
-def isolation_forest(df: DataFrame, group: str, keys: list[str], features: list[str], contamination: float = 0.05, trees: int = 100, seed: int = 0, sample: int = 256, part_rows: int = 50_000) -> DataFrame:
-    """``group, keys, score, is_outlier`` per group; the cut is a percentile of the scores.
+def grow_forest(df: DataFrame, group: str, keys: list[str], features: list[str], trees: int = 100, seed: int = 0, sample: int = 256) -> DataFrame:
+    """``group, sampled, tree, node, feature, threshold, below, above, depth``: the nodes of each group's trees, grown once.
 
-    A tree is grown on ``sample`` rows. All trees of a group draw theirs from a pool
-    of about ``trees * sample`` of its rows (all rows of a smaller group), chosen by
-    hash. Rows are scored in parts of about ``part_rows``: each part meets its group's
-    pool and grows the same trees, so that no task holds a group.
+    ``feature`` is -1 for a leaf, whose ``depth`` is the mean depth of what it stands for;
+    other nodes send values under the threshold to ``below``. A tree is grown on ``sample`` rows,
+    drawn from a pool of about ``trees * sample`` of the group's rows (all rows of a smaller
+    group) that is chosen by hash; so a task holds a bounded pool and no group.
     """
     rows = observations(df.select(group, *keys, *features), features).dropna(subset=features)
     n = rows.groupBy(F.col(group).alias("_g")).agg(F.count("*").alias("_n"))
-    rows = rows.join(n, F.col(group).eqNullSafe(F.col("_g"))).drop("_g").withColumn("_parts", F.ceil(F.col("_n") / part_rows).cast("int"))
     draw = F.xxhash64(*keys, F.lit(seed)) / 2.0**64 + 0.5
-    pool = rows.where(draw * F.col("_n") < trees * sample).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_n", "_parts")
-    pool = pool.toDF(*pool.columns)  # columns of its own, for the cogroup
-    rows = rows.withColumn("_part", F.pmod(F.xxhash64(*keys, F.lit("part")), F.col("_parts")).cast("int")).drop("_n", "_parts")
+    pool = rows.join(n, F.col(group).eqNullSafe(F.col("_g"))).where(draw * F.col("_n") < trees * sample).drop("_g", "_n")
+    names = ["feature", "threshold", "below", "above", "depth"]
+    schema = rows.select(group).schema
+    for name, kind in [("sampled", T.LongType()), ("tree", T.IntegerType()), ("node", T.IntegerType()), *zip(names, (T.IntegerType(), T.DoubleType(), T.IntegerType(), T.IntegerType(), T.DoubleType()))]:
+        schema = schema.add(name, kind)
+
+    def run(own: pd.DataFrame) -> pd.DataFrame:
+        x = own.sort_values(keys)[features].to_numpy(float)
+        forest = isolation_trees(x, trees, sample, seed)
+        out = pd.DataFrame(np.concatenate(forest), columns=names).astype({"feature": "int32", "below": "int32", "above": "int32"})
+        out.insert(0, "node", np.concatenate([np.arange(len(t)) for t in forest]))
+        out.insert(0, "tree", np.repeat(np.arange(len(forest)), [len(t) for t in forest]))
+        out.insert(0, "sampled", min(sample, len(x)))
+        out.insert(0, group, own[group].iloc[0])
+        return out
+
+    return cut(pool.groupBy(group).applyInPandas(run, schema))
+
+
+def score_forest(df: DataFrame, nodes: DataFrame, group: str, keys: list[str], features: list[str], part_rows: int = 50_000) -> DataFrame:
+    """``group, keys, score`` of the complete rows, by their group's trees; larger is more unusual.
+
+    A group's rows come in parts of about ``part_rows``, by hash; each part meets the nodes.
+    """
+    rows = observations(df.select(group, *keys, *features), features).dropna(subset=features)
+    n = rows.groupBy(F.col(group).alias("_g")).agg(F.ceil(F.count("*") / part_rows).cast("int").alias("_parts"))
+    known = nodes.join(n, F.col(group).eqNullSafe(F.col("_g"))).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_g", "_parts")
+    known = known.toDF(*known.columns)  # columns of its own, for the cogroup
+    rows = rows.join(n, F.col(group).eqNullSafe(F.col("_g"))).withColumn("_part", F.pmod(F.xxhash64(*keys, F.lit("part")), F.col("_parts")).cast("int")).drop("_g", "_parts")
     schema = rows.select(group, *keys).schema.add("score", T.DoubleType())
 
-    def run(part: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        x = known.sort_values(keys)[features].to_numpy(float)
+    def run(part: pd.DataFrame, nodes: pd.DataFrame) -> pd.DataFrame:
         if not len(part):
             return part[[group, *keys]].assign(score=np.zeros(0))
-        scores = forest_scores(isolation_trees(x, trees, sample, seed), part[features].to_numpy(float), min(sample, len(x)))
-        return part[[group, *keys]].assign(score=scores)
+        nodes = nodes.sort_values(["tree", "node"])
+        table, size = nodes[["feature", "threshold", "below", "above", "depth"]].to_numpy(float), nodes.groupby("tree").size().to_numpy()
+        forest = np.split(table, np.cumsum(size)[:-1])
+        return part[[group, *keys]].assign(score=forest_scores(forest, part[features].to_numpy(float), int(nodes["sampled"].iloc[0])))
 
-    scored = cut(rows.groupBy(group, "_part").cogroup(pool.groupBy(group, "_part")).applyInPandas(run, schema))
+    return rows.groupBy(group, "_part").cogroup(known.groupBy(group, "_part")).applyInPandas(run, schema)
+
+
+def isolation_forest(df: DataFrame, group: str, keys: list[str], features: list[str], contamination: float = 0.05, trees: int = 100, seed: int = 0, sample: int = 256, part_rows: int = 50_000) -> DataFrame:
+    """``group, keys, score, is_outlier`` per group; the cut is a percentile of the scores. Trees are grown once, as a table."""
+    nodes = grow_forest(df, group, keys, features, trees, seed, sample)
+    scored = cut(score_forest(df, nodes, group, keys, features, part_rows))
     top = scored.groupBy(F.col(group).alias("_g")).agg(F.percentile("score", 1 - contamination).alias("_top"))
     return scored.join(top, F.col(group).eqNullSafe(F.col("_g"))).select(group, *keys, "score", (F.col("score") > F.col("_top")).alias("is_outlier"))
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from facetwatch.functions import frames, patches, raster, regions, spectra
 from facetwatch.functions.patches import LAPLACE, SOBEL_X, SOBEL_Y
+from facetwatch.operators import pluggable
 from facetwatch.plans.inputs import COLOURS, PIXELS, colours, pixels, read
 from facetwatch.plans.queries import _FIVE, _GRAD, _r, _sql_codes, _sql_glcm, _sql_near, query, rnd
 
@@ -222,3 +223,37 @@ def frame_details(spark, sf_dir):
     round(avg(b / (r + g + b + 1e-6)) + 1e-9, 3) + 0.0 AS blue_ratio FROM hs WHERE y < 2 GROUP BY patch""")
 def frame_sky(spark, sf_dir):
     return frames.frame_sky(colours(spark, sf_dir), 8)
+
+
+# Extractor and clusterer, for all units at once; a label stands for a unit, ten vectors for a frame.
+
+_EPS = {"raw": 1.15, "statistics": 12.0}
+_VECTORS = f"""{PIXELS}, fv AS (SELECT patch, 'raw' AS extractor, 1.15 AS eps, list(v / 255.0::DOUBLE ORDER BY y, x) AS f FROM px GROUP BY patch
+    UNION ALL SELECT patch, 'statistics', 12.0, [avg(v), stddev_pop(v), min(v)::DOUBLE, max(v)::DOUBLE, quantile_cont(v, 0.25), quantile_cont(v, 0.75)] FROM px GROUP BY patch), fu AS (SELECT fv.*, label AS unit FROM fv JOIN embeddings ON vec_id = patch)"""
+
+
+def _units(spark, sf_dir):
+    return read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("patch"), F.col("label").alias("unit"), F.floor(F.col("vec_id") / 10).alias("frame"))
+
+
+@query(f"WITH {_VECTORS} SELECT DISTINCT extractor, patch // 10 AS frame, unit FROM fu a WHERE NOT EXISTS (SELECT 1 FROM fu b WHERE b.extractor = a.extractor AND b.unit = a.unit AND b.patch <> a.patch AND list_distance(a.f, b.f) <= a.eps)")
+def facet_noise(spark, sf_dir):
+    """The units that are noise in each frame, by two extractors and DBSCAN."""
+    px, units = pixels(spark, sf_dir), _units(spark, sf_dir)
+    parts = [pluggable.noise_of_frames(pluggable.process(px, units, name, pluggable.by_dbscan(eps, 2)), units).select(F.lit(name).alias("extractor"), "frame", "unit") for name, eps in _EPS.items()]
+    return parts[0].unionByName(parts[1])
+
+
+@query()
+def facet_clusters(spark, sf_dir):
+    """Cluster sizes of each unit, by two extractors times DBSCAN and k-means."""
+    px, units = pixels(spark, sf_dir), _units(spark, sf_dir)
+    parts = []
+    for name, eps in _EPS.items():
+        for clusterer, by in (("dbscan", pluggable.by_dbscan(eps, 2)), ("kmeans", pluggable.by_kmeans(3))):
+            sizes = pluggable.process(px, units, name, by).groupBy("unit", "cluster").agg(F.count("*").alias("n"))
+            parts.append(sizes.select(F.lit(name).alias("extractor"), F.lit(clusterer).alias("clusterer"), "unit", "cluster", "n"))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out

@@ -904,7 +904,10 @@ def dbscan_noise(spark, sf_dir):
     return ml.neighbour_noise(read(spark, sf_dir, "embeddings"), "label", "vec_id", "embedding", 1.15)
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT a.label, a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON b.label = a.label AND b.vec_id <> a.vec_id AND list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) <= 1.15),
+    r AS (SELECT DISTINCT label, a AS v, a AS root FROM e UNION SELECT r.label, e.b, r.root FROM r JOIN e ON e.a = r.v WHERE e.b > r.root), c AS (SELECT label, v, min(root) AS root FROM r GROUP BY 1, 2),
+    k AS (SELECT label, v, dense_rank() OVER (PARTITION BY label ORDER BY root) - 1 AS cluster FROM c)
+    SELECT m.label, coalesce(k.cluster, -1)::INTEGER AS cluster, count(*) AS n FROM embeddings m LEFT JOIN k ON k.v = m.vec_id GROUP BY 1, 2""")
 def dbscan_groups(spark, sf_dir):
     rows = ml.dbscan(read(spark, sf_dir, "embeddings"), "label", ["vec_id"], "embedding", 1.15, 2)
     return rows.groupBy("label", "cluster").agg(F.count("*").alias("n"))

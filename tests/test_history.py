@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from facetwatch.operators import geometry, ml, score, selection, temporal
+from facetwatch.operators import geometry, ml, nearness, score, selection, temporal
 from facetwatch.schemas import ROW_SIZES
 
 
@@ -91,6 +91,31 @@ def test_clusters_equal_plain_dbscan(spark):
     assert noise == {(r.unit, r.frame) for r in ml.noise(ml.dbscan(df, "unit", ["frame"], "x", 0.5, 2)).collect()}
 
 
+def test_metric_blocks_spare_distances_and_lose_no_pair(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(0, 20, (30, 16))
+    x = np.concatenate([c + rng.normal(0, 0.3, (60, 16)) for c in centres])
+    points = spark.createDataFrame([(1, i, [float(v) for v in p]) for i, p in enumerate(x)], "group int, id long, x array<double>")
+    want = (((x[:, None] - x[None]) ** 2).sum(axis=2) <= 1.5**2).sum(axis=1) - 1
+    for size in (4096, 25):
+        rows, blocks = nearness.blocked(points, block_rows=size)
+        assert rows.groupBy("block").count().agg(F.max("count")).first()[0] <= max(200, 3 * size)
+        found = {r.id: r for r in nearness.neighbour_counts(rows, nearness.block_pairs(blocks, 1.5), blocks, 1.5).collect()}
+        assert {i: r.n for i, r in found.items() if r.n} == {i: n for i, n in enumerate(want) if n}
+        # A tenth of all pairs at most is measured, though no element alone tells the clusters apart.
+        assert sum(r.measured for r in found.values()) < len(x) ** 2 / 10
+        links = nearness.core_links(rows, nearness.block_pairs(blocks, 1.5), blocks, 1.5)
+        assert links.count() < sum(want) / 4  # a few for each row, not all pairs
+
+
+def test_dbscan_of_odd_rows(spark):
+    rows = [(1, 1, [0.0, 0.0]), (1, 1, [0.0, 0.0]), (1, 2, None), (1, 3, [0.0, None]), (None, 4, [0.0, 0.0]), (2, 5, [float("nan"), 0.0]), (2, 6, [5.0, 5.0])]
+    df = spark.createDataFrame(rows, "unit int, frame int, x array<double>")
+    got = sorted(((r.unit or 0, r.frame, r.cluster) for r in ml.dbscan(df, "unit", ["frame"], "x", 0.5, 2).collect()), key=repr)
+    assert got == sorted([(1, 1, 0), (1, 1, 0), (1, 2, None), (1, 3, None), (0, 4, -1), (2, 5, None), (2, 6, -1)], key=repr)
+    assert ml.dbscan(df.limit(0), "unit", ["frame"], "x", 0.5, 2).collect() == []
+
+
 def test_forest_in_parts(spark):
     rng = np.random.default_rng(0)
     rows = [(1, i, *map(float, v)) for i, v in enumerate(np.concatenate([rng.normal(0, 1, (400, 2)), [[9.0, 9.0]]]))] + [(None, 0, 1.0, 1.0), (2, 1, None, 2.0)]
