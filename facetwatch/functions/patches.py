@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -324,11 +326,14 @@ def sun_score(pixels: DataFrame, width: int, segments: int = 5, top: int = 2) ->
     return means.groupBy("patch").agg((F.max("mean") - F.median("mean")).alias("sun_score"))
 
 
-def best_match(patches: DataFrame, bank: DataFrame, unit: str, key: str, array: str, least: float = 1e-6) -> DataFrame:
+def best_match(patches: DataFrame, bank: DataFrame, unit: str, key: str, array: str, least: float = 1e-6, part_rows: int = 50_000) -> DataFrame:
     """Normalized cross-correlation to the bank's patches of the same unit.
 
     ``max_ncc, median_ncc, best_key``, and ``residual_rms`` to the best match
-    (both centred and scaled). A patch without contrast, or itself, is not a match.
+    (both centred and scaled). A patch without contrast, or itself, is not a match; of equal
+    matches the one with the smallest key is the best. ``bank`` must be bounded for each
+    unit, by a period or number; a unit's patches meet it in parts of about ``part_rows``, as
+    one product of matrices for each part. Keys are whole numbers.
     """
 
     def scaled(df: DataFrame, names: tuple[str, str]) -> DataFrame:
@@ -337,8 +342,32 @@ def best_match(patches: DataFrame, bank: DataFrame, unit: str, key: str, array:
         rows = rows.withColumn("_n", F.sqrt(F.aggregate("_c", F.lit(0.0), lambda s, x: s + x * x))).where(F.col("_n") > least)
         return rows.select(unit, F.col(key).alias(names[0]), F.transform("_c", lambda x: x / F.col("_n")).alias(names[1]))
 
-    both = scaled(patches, (key, "_a")).join(scaled(bank, ("_bank", "_b")), unit).where(F.col(key) != F.col("_bank"))
-    ncc = F.aggregate(F.zip_with("_a", "_b", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    rows = both.select(unit, key, "_bank", ncc.alias("ncc"), F.size("_a").alias("_k"))
-    out = rows.groupBy(unit, key).agg(F.max("ncc").alias("max_ncc"), F.median("ncc").alias("median_ncc"), F.max_by("_bank", F.struct("ncc", -F.col("_bank"))).alias("best_key"), F.max("_k").alias("_k"))
-    return out.withColumn("residual_rms", F.sqrt(F.greatest(2 - 2 * F.col("max_ncc"), F.lit(0.0)) / F.col("_k"))).drop("_k")
+    rows, known = scaled(patches, (key, "_a")), scaled(bank, ("_bank", "_b"))
+    n = rows.groupBy(unit).agg(F.ceil(F.count("*") / part_rows).cast("int").alias("_parts"))
+    rows = rows.join(n, unit).withColumn("_part", F.pmod(F.xxhash64(key), "_parts").cast("int")).drop("_parts")
+    known = known.join(n, unit).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+    known = known.toDF(*known.columns)  # columns of its own, for the cogroup
+    kind, keys = patches.schema[key].dataType.simpleString(), patches.schema[unit].dataType.simpleString()
+
+    def match(own: pa.Table, held: pa.Table) -> pa.Table:
+        ids, theirs = own.column(key).to_numpy(), held.column("_bank").to_numpy()
+        order = np.argsort(theirs, kind="stable")
+        a, b = (t.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1) for t, c in ((own, "_a"), (held, "_b")))
+        out = {c: [] for c in ("at", "max_ncc", "median_ncc", "best_key", "residual_rms")}
+        theirs, b = theirs[order], b[order]
+        step = max(1, (1 << 20) // max(1, len(b)))
+        for at in range(0, len(a) if len(b) else 0, step):
+            ncc = np.round(a[at : at + step] @ b.T, 12)
+            ncc[ids[at : at + step, None] == theirs[None]] = np.nan
+            some = np.flatnonzero(~np.isnan(ncc).all(axis=1))
+            ncc = ncc[some]
+            best = np.nanargmax(ncc, axis=1) if len(some) else some
+            top = ncc[np.arange(len(some)), best]
+            for c, v in (("at", at + some), ("max_ncc", top), ("median_ncc", np.nanmedian(ncc, axis=1) if len(some) else top), ("best_key", theirs[best]), ("residual_rms", np.sqrt(np.maximum(2 - 2 * top, 0) / a.shape[1]))):
+                out[c].append(v)
+        got = {c: np.concatenate(v) if v else np.zeros(0, np.int64 if c in ("at", "best_key") else float) for c, v in out.items()}
+        places = got.pop("at").astype(np.int64)
+        return pa.table({unit: own.column(unit).take(pa.array(places)), key: own.column(key).take(pa.array(places))} | {c: pa.array(v) for c, v in got.items()})
+
+    schema = f"{unit} {keys}, {key} {kind}, max_ncc double, median_ncc double, best_key {kind}, residual_rms double"
+    return rows.groupBy(unit, "_part").cogroup(known.groupBy(unit, "_part")).applyInArrow(match, schema)

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from facetwatch.operators.ranks import percentiles
 from facetwatch.schemas import long, observations
 
 #: Scale of the median absolute deviation, and the least spread.
@@ -152,10 +153,8 @@ def above_mean(baseline_obs: DataFrame, new: DataFrame, unit: str, feature: str)
 
 
 def score_percentiles(df: DataFrame, score: str, at: list[float] = [0.01, 0.05, 0.5, 0.95], by: list[str] | None = None) -> DataFrame:  # noqa: B006
-    """Exact percentiles of a score: one row per percentile (and group)."""
-    keys = by or []
-    grouped = observations(df, [score]).groupBy(*keys).agg(F.percentile(score, F.array(*map(F.lit, at))).alias("p"))
-    return grouped.select(*keys, F.posexplode("p").alias("_k", "value")).select(*keys, F.element_at(F.array(*map(F.lit, at)), F.col("_k") + 1).alias("percentile"), "value")
+    """Exact percentiles of a score: one row per percentile (and group), from ranks in ranges of values."""
+    return percentiles(observations(df, [score]), score, at, by or [])
 
 
 def common_mode(obs: DataFrame, frame: str, features: list[str]) -> DataFrame:

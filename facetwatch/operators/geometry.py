@@ -77,8 +77,13 @@ def grid_points(flat: DataFrame, points: str, width: int = 18) -> DataFrame:
 
 
 def grid_map(ranges: DataFrame) -> DataFrame:
-    """``mirror_id, row, grid_id`` from inclusive ranges ``row, grid_id_start, grid_id_stop``; facets are numbered in order."""
-    cells = ranges.where("grid_id_stop >= grid_id_start").select("row", F.explode(F.sequence("grid_id_start", "grid_id_stop")).alias("grid_id"))
-    # A calibration has a few hundred cells: one ordered partition is the table itself.
-    w = Window.partitionBy(F.lit(0)).orderBy("row", "grid_id")
-    return cells.select((F.row_number().over(w) - 1).alias("mirror_id"), "row", "grid_id")
+    """``mirror_id, row, grid_id`` from inclusive ranges ``row, grid_id_start, grid_id_stop``; facets are numbered in order.
+
+    Ranges of a row must not overlap. Only the ranges, one for each row of the dish, are put in
+    order; their cells are numbered from what comes before.
+    """
+    n = F.col("grid_id_stop") - F.col("grid_id_start") + 1
+    w = Window.partitionBy(F.lit(0)).orderBy("row", "grid_id_start").rowsBetween(Window.unboundedPreceding, -1)
+    first = ranges.where("grid_id_stop >= grid_id_start").withColumn("_first", F.coalesce(F.sum(n).over(w), F.lit(0)))
+    cells = first.select("row", "_first", "grid_id_start", F.explode(F.sequence("grid_id_start", "grid_id_stop")).alias("grid_id"))
+    return cells.select((F.col("_first") + F.col("grid_id") - F.col("grid_id_start")).cast("int").alias("mirror_id"), "row", "grid_id")

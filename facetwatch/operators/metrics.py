@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from facetwatch.operators.ranks import ranked
+
 
 def _ratio(a: Column, b: Column) -> Column:
     """a / b, and 0 where b is 0."""
@@ -41,13 +43,12 @@ def average_precision(scored: DataFrame, truth: DataFrame, keys: list[str], scor
     """Area under the precision-recall steps of a ranking, per ``by``.
 
     Ties in the score are broken by the other keys. ``n_truth`` counts all true
-    rows, also those without a score.
+    rows, also those without a score. Rows are ranked in ranges of scores, so a
+    group may be of any size.
     """
     rows = scored.select(*keys, score).where(F.col(score).isNotNull()).join(truth.select(*keys).distinct().withColumn("_hit", F.lit(1)), keys, "left")
-    rest = [k for k in keys if k not in by]
-    w = Window.partitionBy(*by).orderBy(F.desc(score), *rest)
-    rows = rows.withColumn("_hit", F.coalesce("_hit", F.lit(0))).withColumn("_pos", F.row_number().over(w))
-    rows = rows.withColumn("_cum", F.sum("_hit").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    rest = [F.col(k) for k in keys if k not in by]
+    rows = ranked(rows.withColumn("_hit", F.coalesce("_hit", F.lit(0))), by, [F.desc(score), *rest], {"_cum": F.col("_hit")})
     area = rows.groupBy(*by).agg(F.sum(F.col("_hit") * F.col("_cum") / F.col("_pos")).alias("_area"))
     n = truth.select(*keys).distinct().groupBy(*by).agg(F.count("*").alias("n_truth"))
     return n.join(area, by, "left").select(*by, "n_truth", _ratio(F.coalesce("_area", F.lit(0.0)), F.col("n_truth")).alias("ap"))

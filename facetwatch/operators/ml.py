@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans
@@ -65,8 +67,34 @@ def top_loadings(df: DataFrame, features: list[str], k: int, top: int = 3) -> Da
     return df.sparkSession.createDataFrame(rows, "component int, position int, feature string, loading double")
 
 
-def pca_outliers(df: DataFrame, features: list[str], k: int, cut: float) -> DataFrame:
-    """Rows whose distance in component space, in standard deviations, is above ``cut``."""
+def chi_square_quantile(k: int, share: float = 0.975) -> float:
+    """The value that a chi-square variable with ``k`` degrees of freedom stays below with probability ``share``."""
+
+    def below(x: float) -> float:
+        # Series of the lower incomplete gamma function, over the complete one.
+        term = total = 1.0 / (k / 2)
+        n = k / 2
+        while term > total * 1e-17:
+            n += 1
+            term *= x / 2 / n
+            total += term
+        return total * math.exp(-x / 2 + k / 2 * math.log(x / 2) - math.lgamma(k / 2)) if x > 0 else 0.0
+
+    low, high = 0.0, float(k)
+    while below(high) < share:
+        high *= 2
+    for _ in range(200):
+        middle = (low + high) / 2
+        low, high = (middle, high) if below(middle) < share else (low, middle)
+    return (low + high) / 2
+
+
+def pca_outliers(df: DataFrame, features: list[str], k: int, cut: float | None = None, share: float = 0.975) -> DataFrame:
+    """Rows whose distance in component space, in standard deviations, is above ``cut``.
+
+    Without ``cut`` it is the root of the chi-square quantile of ``share`` with ``k`` degrees of freedom.
+    """
+    cut = math.sqrt(chi_square_quantile(k, share)) if cut is None else cut
     rows, _, _ = pca(df, features, k)
     var = rows.agg(*(F.var_samp(f"pc{i}").alias(f"_v{i}") for i in range(k)))
     d = sum((F.col(f"pc{i}") * F.col(f"pc{i}") / F.col(f"_v{i}") for i in range(k)), F.lit(0.0))

@@ -32,6 +32,12 @@ def outlier_lists(outliers: DataFrame, unit: str, by: list[str]) -> DataFrame:
     return outliers.groupBy(*by).agg(F.sort_array(F.collect_set(unit)).alias("units"))
 
 
+def outlier_rows(outliers: DataFrame, unit: str, by: list[str]) -> DataFrame:
+    """Each unit once per ``by`` columns, with the number of units there: the lists as rows, for any number of units."""
+    rows = outliers.select(*by, unit).distinct()
+    return rows.join(rows.groupBy(*by).agg(F.count("*").alias("n_units")), by)
+
+
 def _vector(features: list[str]) -> Column:
     return F.array(*map(F.col, features))
 

@@ -100,11 +100,12 @@ def good_frames(quality: DataFrame, rule: str = "good") -> DataFrame:
 
 def classify_weather(metrics: DataFrame, min_sat: float = 35, max_overexp: float = 15, max_gray: float = 40, min_blue: float = 0.33) -> DataFrame:
     """``verdict`` GOOD or BAD, and the ``reasons`` joined as text."""
+    shown = lambda c, digits: F.round(F.col(c) + 1e-9, digits)  # noqa: E731  halves are rounded up before they are shown
     reasons = F.concat_ws(
         "; ",
-        F.when(F.col("sat_mean") < min_sat, F.format_string("low saturation (%.1f)", "sat_mean")),
-        F.when(F.col("overexposed_pct") > max_overexp, F.format_string("overexposed (%.1f%%)", "overexposed_pct")),
-        F.when(F.col("gray_pct") > max_gray, F.format_string("gray sky (%.1f%%)", "gray_pct")),
-        F.when(F.col("blue_ratio") < min_blue, F.format_string("little blue (%.2f)", "blue_ratio")),
+        F.when(F.col("sat_mean") < min_sat, F.format_string("low saturation (%.1f)", shown("sat_mean", 1))),
+        F.when(F.col("overexposed_pct") > max_overexp, F.format_string("overexposed (%.1f%%)", shown("overexposed_pct", 1))),
+        F.when(F.col("gray_pct") > max_gray, F.format_string("gray sky (%.1f%%)", shown("gray_pct", 1))),
+        F.when(F.col("blue_ratio") < min_blue, F.format_string("little blue (%.2f)", shown("blue_ratio", 2))),
     )
     return metrics.withColumn("reasons", reasons).withColumn("verdict", F.when(F.col("reasons") == "", "GOOD").otherwise("BAD"))

@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from facetwatch.operators.lineage import cut
 from facetwatch.operators.score import composite_of, frame_z
 from facetwatch.schemas import COMPOSITE_FEATURES, LOWER_IS_BETTER, observations
 
@@ -77,6 +78,7 @@ def with_counts(hist: DataFrame, unit: str, frame: str = "frame", order: list[st
     all rows as one row.
     """
     by = order or [frame]
+    hist = cut(hist)  # the ranks are made once; frames, counts and signals all read them
     numbered = hist.select(*by).distinct().withColumn("_no", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*by)))
     n = numbered.agg(F.count("*").alias("_n")).withColumn("n_base", baseline_frames(F.col("_n"), share, least))
     last = numbered.join(F.broadcast(n), F.col("_no") == F.col("n_base")).select("n_base", F.struct(*by).alias("_last"))

@@ -175,10 +175,9 @@ def max_abs_z(spark, sf_dir):
     return rnd(score.max_abs_z(_new_outliers(spark, sf_dir), "frame", "unit"))
 
 
-@query(f"WITH {_EARLY} SELECT frame, feature, list_aggregate(list_sort(list(DISTINCT unit)), 'string_agg', ',') AS units FROM o GROUP BY frame, feature")
+@query(f"WITH {_EARLY}, u AS (SELECT DISTINCT frame, feature, unit FROM o) SELECT frame, feature, unit, count(*) OVER (PARTITION BY frame, feature) AS n_units FROM u")
 def outlier_lists(spark, sf_dir):
-    out = score.outlier_lists(_new_outliers(spark, sf_dir), "unit", ["frame", "feature"])
-    return out.withColumn("units", F.array_join(F.transform("units", lambda u: u.cast("string")), ","))
+    return score.outlier_rows(_new_outliers(spark, sf_dir), "unit", ["frame", "feature"])
 
 
 @query(f"""WITH {_Z}, s AS (SELECT frame, unit, avg(CASE WHEN feature IN ('discount', 'tax') THEN -z ELSE z END) AS composite FROM z GROUP BY frame, unit)
@@ -277,25 +276,26 @@ def mean_abs_z(spark, sf_dir):
 
 
 _PAIR = OBS_L + """, fr AS (SELECT frame_a, frame_b FROM (SELECT lag(frame) OVER (ORDER BY frame) AS frame_a, frame AS frame_b FROM (SELECT DISTINCT frame FROM obs)) WHERE frame_a IS NOT NULL),
-    un AS (SELECT frame_a, frame_b, quantity, tax FROM fr JOIN obs ON frame IN (frame_a, frame_b)),
-    sd AS (SELECT frame_a, frame_b, stddev_pop(quantity) AS sq, stddev_pop(tax) AS st FROM un GROUP BY 1, 2),
-    df AS (SELECT frame_a, frame_b, a.unit, CASE WHEN sq > 1e-12 THEN (b.quantity - a.quantity) / sq ELSE 0 END AS d_quantity, CASE WHEN st > 1e-12 THEN (b.tax - a.tax) / st ELSE 0 END AS d_tax
-           FROM sd JOIN obs a ON a.frame = frame_a JOIN obs b ON b.frame = frame_b AND b.unit = a.unit)"""
+    un AS (SELECT frame_a, frame_b, obs.* FROM fr JOIN obs ON frame IN (frame_a, frame_b)), sd AS (SELECT frame_a, frame_b, """ + ", ".join(f"stddev_pop({f}) AS s_{f}" for f in L_FEATURES) + """ FROM un GROUP BY 1, 2),
+    df AS (SELECT frame_a, frame_b, a.unit, """ + ", ".join(f"CASE WHEN s_{f} > 1e-12 THEN (b.{f} - a.{f}) / s_{f} ELSE 0 END AS d_{f}" for f in L_FEATURES) + """ FROM sd JOIN obs a ON a.frame = frame_a JOIN obs b ON b.frame = frame_b AND b.unit = a.unit)"""
+_DISTANCE = "sqrt(" + " + ".join(f"d_{f} * d_{f}" for f in L_FEATURES) + ")"
 
 
-@query(f"WITH {_PAIR} SELECT frame_a, frame_b, unit, {_r('distance=sqrt(d_quantity * d_quantity + d_tax * d_tax)', 'd_quantity', 'd_tax')} FROM df")
-def frame_pair_diff(spark, sf_dir):
+def _pair_diffs(spark, sf_dir):
     obs = obs_l(spark, sf_dir)
-    return rnd(score.frame_pair_diff(obs, score.consecutive_pairs(obs, "frame", F.substring("frame", 1, 4)), "frame", "unit", ["quantity", "tax"]))
+    return score.frame_pair_diff(obs, score.consecutive_pairs(obs, "frame", F.substring("frame", 1, 4)), "frame", "unit", L_FEATURES)
+
+
+@query(f"WITH {_PAIR} SELECT frame_a, frame_b, unit, {_r(f'distance={_DISTANCE}', *(f'd_{f}' for f in L_FEATURES))} FROM df")
+def frame_pair_diff(spark, sf_dir):
+    return rnd(_pair_diffs(spark, sf_dir))
 
 
-@query(f"""WITH {_PAIR}, t AS (SELECT *, round(sqrt(d_quantity * d_quantity + d_tax * d_tax), 6) AS distance FROM df), p AS (SELECT *, row_number() OVER (PARTITION BY frame_a, frame_b ORDER BY distance DESC, unit) AS position FROM t)
-    SELECT frame_a, frame_b, unit, position::INTEGER AS position, {_r('distance')},
-    CASE WHEN abs(d_quantity) >= abs(d_tax) THEN printf('quantity=%+.2f; tax=%+.2f', d_quantity, d_tax) ELSE printf('tax=%+.2f; quantity=%+.2f', d_tax, d_quantity) END AS reasons FROM p WHERE position <= 10""")
+@query(f"""WITH {_PAIR}, t AS (SELECT *, round({_DISTANCE}, 6) AS distance FROM df), p AS (SELECT *, row_number() OVER (PARTITION BY frame_a, frame_b ORDER BY distance DESC, unit) AS position FROM t),
+    r AS (SELECT *, list_sort([{', '.join(f"{{'s': -abs(d_{f}), 'f': '{f}', 'd': d_{f}}}" for f in L_FEATURES)}])[1:3] AS three FROM p WHERE position <= 10)
+    SELECT frame_a, frame_b, unit, position::INTEGER AS position, {_r('distance')}, array_to_string([printf('%s=%+.2f', x.f, x.d) FOR x IN three], '; ') AS reasons FROM r""")
 def pair_top_units(spark, sf_dir):
-    obs = obs_l(spark, sf_dir)
-    diffs = score.frame_pair_diff(obs, score.consecutive_pairs(obs, "frame", F.substring("frame", 1, 4)), "frame", "unit", ["quantity", "tax"]).withColumn("distance", F.round("distance", 6))
-    return rnd(score.pair_report(diffs, "unit", ["quantity", "tax"]))
+    return rnd(score.pair_report(_pair_diffs(spark, sf_dir).withColumn("distance", F.round("distance", 6)), "unit", L_FEATURES))
 
 
 # Ranking and history.
@@ -370,20 +370,19 @@ _REPORT = _DROP + """, sig AS (SELECT 'rank_drop' AS signal, unit, round(drop, 6
     rp AS (SELECT *, row_number() OVER (PARTITION BY signal ORDER BY severity DESC, unit)::INTEGER AS position FROM sig)"""
 
 
-def _signals(spark, sf_dir):
-    hist = _history(spark, sf_dir)
+def _signals(hist):
     signals = temporal.unit_signals(hist.join(F.broadcast(_n_units(hist))), "unit", F.col("_units"))
     return temporal.signal_report(signals.withColumns({c: F.round(c, 6) for c in ("drop", "slope")}), "unit", drop=1.0, run=2, top=None)
 
 
 @query(f"WITH {_REPORT} SELECT signal, unit, {_r('severity')}, position FROM rp WHERE position <= 10")
 def degradation_report(spark, sf_dir):
-    return rnd(_signals(spark, sf_dir).where("position <= 10"))
+    return rnd(_signals(_history(spark, sf_dir)).where("position <= 10"))
 
 
 @query(f"WITH {_REPORT} SELECT unit, count(DISTINCT signal) AS n_signals FROM rp GROUP BY unit")
 def flagged_units(spark, sf_dir):
-    return temporal.flagged_units(_signals(spark, sf_dir), "unit")
+    return temporal.flagged_units(_signals(_history(spark, sf_dir)), "unit")
 
 
 @query(f"""WITH {_RANK}, l AS (SELECT * FROM fr WHERE frame = (SELECT max(frame) FROM fr)),
@@ -396,7 +395,8 @@ def frame_summary(spark, sf_dir):
 @query(f"""WITH {_REPORT}, rc AS (SELECT unit, median(rank) AS recent_rank FROM hb WHERE from_end <= 5 GROUP BY unit)
     SELECT unit, base_rank, recent_rank, unit IN (SELECT unit FROM rp) AS flagged FROM rb JOIN rc USING (unit)""")
 def degradation_scatter(spark, sf_dir):
-    return temporal.degradation_scatter(_history(spark, sf_dir), temporal.flagged_units(_signals(spark, sf_dir), "unit"), "unit")
+    hist = _history(spark, sf_dir)
+    return temporal.degradation_scatter(hist, temporal.flagged_units(_signals(hist), "unit"), "unit")
 
 
 @query(f"WITH {_RANK} SELECT unit, frame_idx::INTEGER AS frame_idx, rank, median(rank) OVER (PARTITION BY unit) AS median_rank FROM hb")
@@ -514,12 +514,12 @@ def obs_long(spark, sf_dir):
     return rnd(selection.observation_rows(obs_e(spark, sf_dir), ["frame", "unit"], E_FEATURES))
 
 
-@query("SELECT vec_id AS frame, (k // 4)::INTEGER AS mirror_id, round(embedding[4 * (k // 4) + 1]::DOUBLE + 1e-10, 5) + 0.0 AS f0, round(embedding[4 * (k // 4) + 2]::DOUBLE + 1e-10, 5) + 0.0 AS f1 FROM embeddings, (SELECT unnest(range(0, 64, 4)) AS k)")
+@query("SELECT vec_id AS frame, (k // 4)::INTEGER AS mirror_id, " + ", ".join(f"round(embedding[4 * (k // 4) + {i + 1}]::DOUBLE + 1e-10, 5) + 0.0 AS f{i}" for i in range(4)) + " FROM embeddings, (SELECT unnest(range(0, 64, 4)) AS k)")
 def tensor_rows(spark, sf_dir):
-    cells = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda m: F.slice(F.col("embedding"), m * 4 + 1, F.lit(4)))
+    cells, names = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda m: F.slice(F.col("embedding"), m * 4 + 1, F.lit(4))), [f"f{i}" for i in range(4)]
     rows = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("frame"), cells.alias("cells"))
-    out = selection.flatten(rows, "frame", "cells", ["f0", "f1"])
-    return rnd(out.withColumns({f: F.col(f).cast("double") for f in ("f0", "f1")}), 5)
+    out = selection.flatten(rows, "frame", "cells", names)
+    return rnd(out.withColumns({f: F.col(f).cast("double") for f in names}), 5)
 
 
 @query("SELECT event_type, count(*) AS n, avg(CAST(json_extract_string(props, '$.k') AS INTEGER)) AS mean_k FROM events GROUP BY event_type")
@@ -617,16 +617,16 @@ def patch_hog(spark, sf_dir):
 
 _NCC = """b AS (SELECT label, vec_id, embedding FROM embeddings), e AS (SELECT label, vec_id, unnest(embedding)::DOUBLE AS e, unnest(range(64)) AS k FROM b), m AS (SELECT vec_id, avg(e) AS m FROM e GROUP BY vec_id),
     c AS (SELECT label, vec_id, k, e - m AS c FROM e JOIN m USING (vec_id)), n AS (SELECT vec_id, sqrt(sum(c * c)) AS n FROM c GROUP BY vec_id), s AS (SELECT label, vec_id, k, c / n AS s FROM c JOIN n USING (vec_id) WHERE n > 1e-6),
-    f AS (SELECT vec_id FROM b WHERE vec_id < (SELECT min(vec_id) + 0.1 * (max(vec_id) - min(vec_id) + 1) FROM b)),
+    f AS (SELECT vec_id FROM b WHERE vec_id < (SELECT min(vec_id) + 400 FROM b)),
     p AS (SELECT x.label, x.vec_id, y.vec_id AS bank, sum(x.s * y.s) AS ncc FROM s x JOIN s y ON x.label = y.label AND x.k = y.k AND x.vec_id <> y.vec_id WHERE y.vec_id IN (SELECT vec_id FROM f) GROUP BY 1, 2, 3)"""
 
 
 @query(f"WITH {_NCC} SELECT label, vec_id, {_r('max_ncc=max(ncc)', 'median_ncc=median(ncc)', 'residual_rms=sqrt(greatest(2 - 2 * max(ncc), 0) / 64)')}, max_by(bank, ncc) AS best_key FROM p GROUP BY label, vec_id")
 def ncc_bank(spark, sf_dir):
     rows = read(spark, sf_dir, "embeddings").select("label", "vec_id", "embedding")
-    # The bank is all patches of the baseline period, the first tenth of the ids; a frame's patches meet those of their own unit.
-    period = rows.agg((F.min("vec_id") + 0.1 * (F.max("vec_id") - F.min("vec_id") + 1)).alias("end"))
-    bank = rows.join(F.broadcast(period), F.col("vec_id") < F.col("end")).drop("end")
+    # The bank is all patches of a baseline period of fixed length, the first 400 ids: it does not grow with the archive.
+    begin = rows.agg(F.min("vec_id").alias("begin"))
+    bank = rows.join(F.broadcast(begin), F.col("vec_id") < F.col("begin") + 400).drop("begin")
     return rnd(patches.best_match(rows, bank, "label", "vec_id", "embedding"))
 
 
@@ -705,9 +705,10 @@ def patch_glcm_plain(spark, sf_dir):
 
 
 @query(f"""WITH {PIXELS}, {_sql_glcm(16, 1, True, 4, '')}, kept AS (SELECT * FROM sy WHERE i > 0 AND j > 0), n2 AS (SELECT patch, angle, i, j, count(*) AS n FROM kept GROUP BY 1, 2, 3, 4), s2 AS (SELECT *, n / sum(n) OVER (PARTITION BY patch, angle) AS p FROM n2),
-    g2 AS (SELECT patch, angle, sum(p * (i - j) * (i - j)) AS contrast, sum(p / (1 + (i - j) * (i - j))) AS homogeneity FROM s2 GROUP BY 1, 2) SELECT patch, {_r('contrast=avg(contrast)', 'homogeneity=avg(homogeneity)')} FROM g2 GROUP BY patch""")
+    m2 AS (SELECT patch, angle, sum(p * (i - j) * (i - j)) AS contrast, sum(p * abs(i - j)) AS dissimilarity, sum(p / (1 + (i - j) * (i - j))) AS homogeneity, sqrt(sum(p * p)) AS energy, sum(p * i) AS mi, sum(p * j) AS mj, sum(p * i * i) AS ii, sum(p * j * j) AS jj, sum(p * i * j) AS ij FROM s2 GROUP BY 1, 2),
+    g2 AS (SELECT *, CASE WHEN ii - mi * mi > 1e-12 AND jj - mj * mj > 1e-12 THEN (ij - mi * mj) / sqrt((ii - mi * mi) * (jj - mj * mj)) ELSE 1 END AS correlation FROM m2) SELECT patch, {_r(*(f"{c}=avg({c})" for c in _FIVE))} FROM g2 GROUP BY patch""")
 def patch_glcm_masked(spark, sf_dir):
-    return rnd(patches.glcm_features(patches.glcm(pixels(spark, sf_dir), drop_zero=True)).select("patch", "contrast", "homogeneity"))
+    return rnd(patches.glcm_features(patches.glcm(pixels(spark, sf_dir), drop_zero=True)))
 
 
 @query(f"""WITH {PIXELS}, {_sql_near(1)}, {_sql_codes(8, 1)}, {_sql_glcm(256, 1, False, 1, '')}, l AS (SELECT patch, sum(n * code) / sum(n) AS lbp_mean, sqrt(greatest(sum(n * code * code) / sum(n) - (sum(n * code) / sum(n)) ** 2, 0)) AS lbp_std, log2(sum(n)) - sum(n * log2(n)) / sum(n) AS lbp_entropy FROM hc1 GROUP BY patch)
@@ -787,14 +788,14 @@ def good_frames(spark, sf_dir):
 
 
 @query(f"""WITH {PIXELS}, m AS (SELECT patch, round(stddev_pop(v), 6) AS sat_mean, 100.0 * avg((v > 200)::INTEGER) AS overexposed_pct, 100.0 * avg((v BETWEEN 110 AND 140)::INTEGER) AS gray_pct, round(avg(v) / 381, 6) AS blue_ratio FROM px GROUP BY patch),
-    r AS (SELECT patch, (sat_mean < 30)::INTEGER + (overexposed_pct > 2)::INTEGER + (gray_pct > 45)::INTEGER + (blue_ratio < 0.33)::INTEGER AS n_reasons FROM m)
-    SELECT patch, n_reasons, CASE WHEN n_reasons = 0 THEN 'GOOD' ELSE 'BAD' END AS verdict FROM r""")
+    r AS (SELECT patch, concat_ws('; ', CASE WHEN sat_mean < 30 THEN printf('low saturation (%.1f)', round(sat_mean + 1e-9, 1)) END, CASE WHEN overexposed_pct > 2 THEN printf('overexposed (%.1f%%)', round(overexposed_pct + 1e-9, 1)) END,
+        CASE WHEN gray_pct > 45 THEN printf('gray sky (%.1f%%)', round(gray_pct + 1e-9, 1)) END, CASE WHEN blue_ratio < 0.33 THEN printf('little blue (%.2f)', round(blue_ratio + 1e-9, 2)) END) AS reasons FROM m)
+    SELECT patch, reasons, CASE WHEN reasons = '' THEN 'GOOD' ELSE 'BAD' END AS verdict FROM r""")
 def weather_verdict(spark, sf_dir):
     v = F.col("v")
     share = lambda c: 100 * F.avg(c.cast("double"))
     m = pixels(spark, sf_dir).groupBy("patch").agg(F.round(F.stddev_pop(v), 6).alias("sat_mean"), share(v > 200).alias("overexposed_pct"), share(v.between(110, 140)).alias("gray_pct"), F.round(F.avg(v) / 381, 6).alias("blue_ratio"))
-    out = selection.classify_weather(m, 30, 2, 45, 0.33)
-    return out.select("patch", F.when(F.col("reasons") == "", 0).otherwise(F.size(F.split("reasons", "; "))).alias("n_reasons"), "verdict")
+    return selection.classify_weather(m, 30, 2, 45, 0.33).select("patch", "reasons", "verdict")
 
 
 @query("""SELECT strftime(ts, '%Y-%m-%d') AS file, array_to_string(list_sort(list(DISTINCT user_id % 249)), ',') AS marked FROM events WHERE event_type = 'error' GROUP BY 1""")
@@ -814,10 +815,12 @@ def crop_manifest(spark, sf_dir):
     return store.crop_manifest(rows).select("mirror_id", F.col("entry").cast("long").alias("entry"), "frame_id")
 
 
-@query(f"WITH {_RANK} SELECT frame, string_agg(unit || '=' || rank, ' ' ORDER BY unit) AS ranks FROM fr GROUP BY frame")
+@query(f"WITH {_RANK} SELECT frame, unit, rank FROM fr")
 def rank_table(spark, sf_dir):
-    rows = store.rank_lists(_ranks(spark, sf_dir), "frame", "unit", "rank")
-    return rows.select("frame", F.array_join(F.transform("ranks", lambda r: F.concat_ws("=", r["unit"], r["rank"])), " ").alias("ranks"))
+    """Ranks are written as a table and read again, a row for each unit of a frame."""
+    path = scratch(spark, "ranks")
+    store.write_table(_ranks(spark, sf_dir).select("frame", "unit", "rank"), path)
+    return store.read_table(spark, path)
 
 
 @query(f"WITH {OBS_L} SELECT frame, unit, {_r(*L_FEATURES)}, (SELECT count(DISTINCT frame) FROM obs) AS n_images, (SELECT count(DISTINCT unit) FROM obs) AS n_mirrors FROM obs")
@@ -949,7 +952,7 @@ def pca_loadings(spark, sf_dir):
 
 @query()
 def pca_outliers(spark, sf_dir):
-    return rnd(ml.pca_outliers(obs_l(spark, sf_dir), L_FEATURES, 2, 2.7).select("frame", "unit", "distance"))
+    return rnd(ml.pca_outliers(obs_l(spark, sf_dir), L_FEATURES, 2).select("frame", "unit", "distance"))
 
 
 _STD2 = OBS_L + """, st AS (SELECT count(*) AS n, corr(quantity, tax) AS r, avg(quantity) AS mq, stddev_pop(quantity) AS sq, avg(tax) AS mt, stddev_pop(tax) AS tt FROM obs),
@@ -961,9 +964,9 @@ def pca_variance_2d(spark, sf_dir):
     return rnd(ml.explained(obs_l(spark, sf_dir), ["quantity", "tax"]).drop("needed"))
 
 
-@query(f"""WITH {_STD2}, d AS (SELECT frame, unit, sqrt((a * a - 2 * r * a * b + b * b) / (1 - r * r) * (n - 1) / n) AS distance FROM z2) SELECT frame, unit, {_r('distance')} FROM d WHERE distance > 2.7""")
+@query(f"""WITH {_STD2}, d AS (SELECT frame, unit, sqrt((a * a - 2 * r * a * b + b * b) / (1 - r * r) * (n - 1) / n) AS distance FROM z2) SELECT frame, unit, {_r('distance')} FROM d WHERE distance > sqrt(-2 * ln(0.025::DOUBLE))""")
 def pca_outliers_2d(spark, sf_dir):
-    return rnd(ml.pca_outliers(obs_l(spark, sf_dir), ["quantity", "tax"], 2, 2.7).select("frame", "unit", "distance"))
+    return rnd(ml.pca_outliers(obs_l(spark, sf_dir), ["quantity", "tax"], 2).select("frame", "unit", "distance"))
 
 
 @query()
