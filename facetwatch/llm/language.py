@@ -12,11 +12,12 @@ chosen by penalised likelihood: it starts with the best single language and
 takes in the language that raises the likelihood most, as long as the gain in
 log likelihood is above the penalty ``penalty * log(trigrams)`` for one more
 proportion. If even the mixture of all languages gains less than that, the
-single language stands. The prediction is the language with the largest
-proportion, and the score is that proportion.
+single language stands. Languages whose proportion in the mixture of all is ``least``
+or less are not tried, and estimation ends after ``rounds`` rounds. The prediction is the
+language with the largest proportion, and the score is that proportion.
 
-Defined cases: null text and text without a letter give ``und`` with score 0,
-as does a model without languages; ties go to the language that sorts first;
+Defined cases: null text and text without a letter (digits, fractions, raised and
+circled numbers are none) give ``und`` with score 0, as does a model without languages; ties go to the language that sorts first;
 texts of any length are read whole, in blocks; rows that repeat an id are
 judged each; a null id is never held out; an empty table gives an empty
 result; other columns are ignored.
@@ -35,6 +36,7 @@ from pyspark.sql import functions as F
 from facetwatch.llm.common import claim
 
 BUCKETS = 1 << 15
+#: Letters, and numbers that are not decimal digits.
 _LETTER = re.compile(r"[^\W\d_]")
 #: Characters that are counted at a time.
 _BLOCK = 1 << 20
@@ -42,6 +44,10 @@ _BLOCK = 1 << 20
 _FOLD = np.array([c if chr(c).isalpha() else 32 for c in range(0x250)], np.uint32)
 
 
+def has_letter(text: str) -> bool:
+    return any(m[0].isalpha() for m in _LETTER.finditer(text))
+
+
 def trigrams(text: str) -> np.ndarray:
     """Bucket counts of the trigrams of a text in lower case."""
     text, out = f" {text.lower()} ", np.zeros(BUCKETS, np.int64)
@@ -57,9 +63,9 @@ def trigrams(text: str) -> np.ndarray:
 class Model:
     """Trigram distributions of the languages, in sorted order."""
 
-    def __init__(self, counts: dict[str, np.ndarray], smoothing: float = 0.5, penalty: float = 3.0):
+    def __init__(self, counts: dict[str, np.ndarray], smoothing: float = 0.5, penalty: float = 3.0, least: float = 0.01, rounds: int = 30):
         self.languages = sorted(counts)
-        self.penalty = penalty
+        self.penalty, self.least, self.rounds = penalty, least, rounds
         n = np.array([counts[x] for x in self.languages], float).reshape(len(self.languages), BUCKETS).T + smoothing
         self.p = n / n.sum(axis=0)
 
@@ -78,7 +84,7 @@ class Model:
 
     def infer(self, text: str | None) -> dict[str, float]:
         """Proportions of the languages in the chosen set; empty for ``und``."""
-        if not self.languages or not text or not _LETTER.search(text):
+        if not self.languages or not text or not has_letter(text):
             return {}
         counts = trigrams(text)
         at = np.flatnonzero(counts)
@@ -88,10 +94,10 @@ class Model:
         share = np.ones(1)
         if len(self.languages) > 1:
             cost = self.penalty * np.log(n.sum() + 1)
-            whole, top = self.mixture(n, p)
+            whole, top = self.mixture(n, p, self.rounds)
             while top - best > cost:
-                rest = [k for k in np.flatnonzero(whole > 0.01).tolist() if k not in chosen]
-                tried = [(self.mixture(n, p[:, [*chosen, k]]), k) for k in rest]
+                rest = [k for k in np.flatnonzero(whole > self.least).tolist() if k not in chosen]
+                tried = [(self.mixture(n, p[:, [*chosen, k]], self.rounds), k) for k in rest]
                 if not tried:
                     break
                 (new, value), k = max(tried, key=lambda x: x[0][1])

@@ -143,3 +143,15 @@ def test_pseudo_labels_cross_over():
     zc, zm = (v.dot(w[:-1]) + w[-1] for v, w in ((words, m.content), (meta, m.meta)))
     a, b, c = m.scores(zc, zm)
     assert ((c > 0.5) == (y > 0.5)).mean() > 0.99 and ((b > 0.5) == (y > 0.5)).mean() > 0.85
+
+
+def test_numbers_that_are_no_digits_are_no_letters(spark, docs):
+    texts = ["\u00bd", "\u00b2\u00b3", "\u2460\u2461", "12 \u00bd \u2166", "", "_ 7", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(99, "\u00bd of the words here are English words and so is this text")], "doc_id long, text string")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language.predict(df, language.train(docs)).collect()}
+    assert all(got[i] == ("und", 0.0) for i in range(len(texts))) and got[99][0] == "en"
+
+
+def test_small_languages_are_tried_as_asked(spark, docs):
+    model = language.train(docs, least=0.5, rounds=5)
+    assert (model.least, model.rounds) == (0.5, 5)
