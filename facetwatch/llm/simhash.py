@@ -192,10 +192,13 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     ``component_id`` is the smallest id reachable over links, the row's own included.
     """
     rows = cut(fingerprints(docs, id_col, text_col, shingle))
-    reps = rows.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    known = reps.where("rep is not null")
-    found = components(links(known, threshold)).withColumnRenamed("node", "rep")
-    named = reps.join(found, "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    # Fingerprints are the nodes, so that an id with several texts joins nothing; then each component has its smallest id.
+    reps = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    known = reps.where("least is not null").select(F.col("fp").alias("rep"), "fp")
+    found = components(links(known, threshold)).withColumnRenamed("node", "fp")
+    named = cut(reps.join(found, "fp", "left").withColumn("component", F.coalesce("component", "fp")))
+    smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = named.join(smallest, "component").select("fp", "component_id")
     return rows.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 

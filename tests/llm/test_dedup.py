@@ -164,3 +164,11 @@ def test_line_dedup(spark, docs, odd, empty):
             assert as_set(got) == sorted(map(repr, brute_lines([(r.doc_id, r.text, r.source) for r in df.collect()])))
     assert line_dedup(empty).count() == 0
     assert boilerplate(planted).count() == 1
+
+
+def test_ids_with_several_texts_join_no_components(spark):
+    a, b = "alpha beta gamma delta " * 30, "other words stand in this text " * 30
+    for rows in ([(1, a), (1, b), (0, b), (4, a)], [(1, a), (2, a), (2, b), (3, b)]):
+        got = sorted((r.doc_id, r.component_id) for r in simhash.simhash_components(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+        least = {t: min(i for i, u in rows if u == t) for t in (a, b)}
+        assert got == sorted((i, least[t]) for i, t in rows)
