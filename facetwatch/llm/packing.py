@@ -9,8 +9,9 @@ enough and what waits reaches one of the limits; so the window holds less than
 waiting pieces that fit all three remaining capacities, the one with the
 largest dot product of its demands and the remaining capacities, both relative
 to the limits. When none fits, the piece with the largest dot product is cut to
-what is left of the bin, and its rest waits on. Tails of a partition that cannot
-fill a bin are cut into sequences of powers of two, which need no padding.
+what is left of the bin, and its rest waits on. A sequence that is not full, because
+the segment or loss limit was reached or the partition ends, is cut to the largest power
+of two in it and needs no padding; what is cut off waits on.
 
 Scale. Packing happens where the text is read: no shuffle, no group, no state
 beyond the window. The only cost of packing partitions apart is their tails,
@@ -145,11 +146,33 @@ class Packer:
         if off.any():
             self.pieces = [p for p, gone in zip(self.pieces, off, strict=True) if not gone]
             self.need = self.need[~off]
-        return taken
+        return self._trimmed(taken)
+
+    def _even(self, n: int) -> int:
+        """The tokens of a sequence that can hold ``n``: all, or the largest power of two."""
+        return n if n >= self.limit[0] else 1 << (n.bit_length() - 1)
+
+    def _trimmed(self, taken: list[list]) -> list[list]:
+        """The pieces of a sequence of even size; the rest goes back to the window."""
+        room = self._even(sum(len(p[2]) // 4 for p in taken))
+        kept = []
+        for piece in taken:
+            n = len(piece[2]) // 4
+            if n > room:
+                rest = piece
+                if room:
+                    head, rest = self._split(piece, room)
+                    kept.append(head)
+                self._put(rest)
+                room = 0
+            else:
+                kept.append(piece)
+                room -= n
+        return kept
 
     def add(self, piece: list) -> Iterator[list[list]]:
         while len(piece[2]) // 4 >= self.limit[0]:
-            n = self._longest(piece, self.limit)
+            n = self._even(self._longest(piece, self.limit))
             head, piece = self._split(piece, n)
             yield [head]
         if piece[2]:

@@ -28,8 +28,33 @@ def test_segments_bind_for_empty_texts():
 
 
 def test_loss_binds_and_window_stays_bounded():
-    packer = Packer(4096, 1024, 600, 256)
+    packer, put = Packer(4096, 1024, 600, 256), 0
     for i in range(3000):
         for b in packer.add([i, 0, b"\2\0\0\0" * 6, 6, 4]):
-            assert sum(packer._loss(p) for p in b) == 600
+            # 600 tokens with loss lie in some 1,800; the sequence is cut to a power of two.
+            assert 300 < sum(packer._loss(p) for p in b) <= 600
+            assert sum(len(p[2]) // 4 for p in b) == 1024
+            put += 1024
         assert len(packer.pieces) < 1024
+    assert put + sum(len(p[2]) // 4 for b in packer.finish() for p in b) == 18_000
+
+
+def test_no_padding_where_segments_or_loss_bind(spark, vocabulary):
+    for texts, least in ((["", "a", "b"], 1024), (["a b", "c d e"], 1024), (["one word more", ""], 512)):
+        docs = spark.createDataFrame([(i, texts[i % len(texts)]) for i in range(9001)], "doc_id long, text string").coalesce(1)
+        rows = pack(docs, vocabulary, max_segments=least).collect()
+        size, ids = Counter(), Counter()
+        for r in rows:
+            size[r.sequence_id] += r.length
+            ids[r.doc_id] += r.length
+        assert all(n & (n - 1) == 0 for n in size.values())
+        assert all(ids[r.doc_id] == r.doc_tokens for r in rows) and len(ids) == 9001
+        assert max(Counter(r.sequence_id for r in rows).values()) <= least
+
+
+def test_long_documents_under_a_small_loss_limit_need_no_padding():
+    packer = Packer(4096, 1024, 600, 256)
+    bins = [b for b in packer.add([1, 0, b"\2\0\0\0" * 9000, 9000, 100])]
+    bins += list(packer.finish())
+    sizes = [sum(len(p[2]) // 4 for p in b) for b in bins]
+    assert sum(sizes) == 9000 and all(n & (n - 1) == 0 for n in sizes)
