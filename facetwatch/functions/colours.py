@@ -10,9 +10,20 @@ GRAY = {"r": 0.299, "g": 0.587, "b": 0.114}
 STEP = 1e-6
 
 
-def gray(pixels: DataFrame) -> DataFrame:
-    """``patch, y, x, v``: gray levels, for the measures in ``patches``."""
-    return pixels.select("patch", "y", "x", F.round(sum((F.col(c) * w for c, w in GRAY.items()), F.lit(0.0))).cast("int").alias("v"))
+def gray(pixels: DataFrame, rounded: bool = True, key: str = "patch") -> DataFrame:
+    """``patch, y, x, v``: gray levels, for the measures in ``patches``; rounded, or cut off."""
+    v = sum((F.col(c) * w for c, w in GRAY.items()), F.lit(0.0))
+    return pixels.select(key, "y", "x", (F.round(v) if rounded else F.floor(v + 1e-9)).cast("int").alias("v"))
+
+
+def levels_and_slopes(pixels: DataFrame) -> DataFrame:
+    """``patch, entropy, gradient``: entropy of the gray levels in bits, and the mean Sobel magnitude of all pixels, with the pixel behind the border beyond it."""
+    from facetwatch.functions.patches import level_entropy
+    from facetwatch.functions.regions import gradients
+
+    rows = gray(pixels)
+    slope = F.sqrt(F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy"))
+    return level_entropy(rows).join(gradients(rows, mirror=True).groupBy("patch").agg(F.avg(slope).alias("gradient")), "patch")
 
 
 def hsv(pixels: DataFrame) -> DataFrame:
@@ -26,10 +37,11 @@ def hsv(pixels: DataFrame) -> DataFrame:
 
 
 def channel_stats(pixels: DataFrame) -> DataFrame:
-    """Mean, deviation, skewness and excess kurtosis of each channel; quartile, bright and dark share of the gray level."""
+    """Mean, deviation, skewness and excess kurtosis of each channel; quartile, bright and dark share, entropy and gradient of the gray level."""
     v = F.round(sum((F.col(c) * w for c, w in GRAY.items()), F.lit(0.0)))
     one = [f(F.col(c).cast("double")).alias(f"{c}_{n}") for c in "rgb" for n, f in (("mean", F.avg), ("std", F.stddev_pop), ("skew", F.skewness), ("kurt", F.kurtosis))]
-    return pixels.groupBy("patch").agg(*one, F.percentile(v, 0.75).alias("p75"), F.avg((v > 200).cast("double")).alias("bright"), F.avg((v < 50).cast("double")).alias("dark"))
+    out = pixels.groupBy("patch").agg(*one, F.percentile(v, 0.75).alias("p75"), F.avg((v > 200).cast("double")).alias("bright"), F.avg((v < 50).cast("double")).alias("dark"))
+    return out.join(levels_and_slopes(pixels), "patch")
 
 
 def _shares(rows: DataFrame, bins) -> DataFrame:
@@ -62,9 +74,9 @@ def colour_histogram(pixels: DataFrame) -> DataFrame:
 
 
 def small_set(pixels: DataFrame) -> DataFrame:
-    """Luminance, saturation, variance and skewness of the gray level, and its entropy in 32 bins."""
+    """Luminance, saturation, variance, gradient and skewness of the gray level, and its entropy in 32 bins."""
     rows = hsv(pixels).withColumn("v", F.round(sum((F.col(c) * w for c, w in GRAY.items()), F.lit(0.0))))
     stats = rows.groupBy("patch").agg(F.avg("v").alias("luminance"), F.avg("s").alias("saturation"), F.var_pop("v").alias("variance"), F.skewness("v").alias("skew"))
     counts = rows.groupBy("patch", F.floor(F.col("v") / 8).alias("bin")).agg(F.count("*").alias("n"))
     n, t = F.col("n").cast("double"), F.sum("n").cast("double")
-    return stats.join(counts.groupBy("patch").agg((F.log2(t) - F.sum(n * F.log2(n)) / t).alias("entropy32")), "patch")
+    return stats.join(counts.groupBy("patch").agg((F.log2(t) - F.sum(n * F.log2(n)) / t).alias("entropy32")), "patch").join(levels_and_slopes(pixels).select("patch", "gradient"), "patch")

@@ -5,13 +5,22 @@ Polygons and patches are made from the embeddings, so that work grows with them.
 
 from __future__ import annotations
 
+import struct
+import zlib
+
+import numpy as np
+import pandas as pd
+import pyarrow.fs as pafs
 from pyspark.sql import functions as F
 
+from facetwatch.functions import colours as colour
 from facetwatch.functions import frames, patches, raster, regions, spectra
 from facetwatch.functions.patches import LAPLACE, SOBEL_X, SOBEL_Y
 from facetwatch.operators import pluggable
+from facetwatch.operators.lineage import scratch
 from facetwatch.plans.inputs import COLOURS, PIXELS, colours, pixels, read
-from facetwatch.plans.queries import _FIVE, _GRAD, _r, _sql_codes, _sql_glcm, _sql_near, query, rnd
+from facetwatch.plans.queries import _FIVE, _GRAD, _moments, _r, _sql_codes, _sql_glcm, _sql_near, query, rnd
+from facetwatch.sources import images, store
 
 # Polygons.
 
@@ -257,3 +266,79 @@ def facet_clusters(spark, sf_dir):
     for part in parts[1:]:
         out = out.unionByName(part)
     return out
+
+
+# Colour sets with entropy and gradient of the gray level.
+
+_SLOPE = f"{_GRAYPX}, {_sql_mirrored('gp', 'sl')}, sg AS (SELECT patch, avg(sqrt(gx * gx + gy * gy)) AS gradient FROM sl GROUP BY patch), lc AS (SELECT patch, v, count(*) AS n FROM gp GROUP BY 1, 2), en AS (SELECT patch, log2(sum(n)) - sum(n * log2(n)) / sum(n) AS entropy FROM lc GROUP BY patch)"
+
+
+@query(f"WITH {COLOURS}, {_SLOPE}, q AS (SELECT patch, {_r(*(x for c in 'rgb' for x in _moments(c, c + '_')), 'p75=quantile_cont(v, 0.75)', 'bright=avg((v > 200)::INTEGER)', 'dark=avg((v < 50)::INTEGER)')} FROM hs GROUP BY patch) SELECT q.*, {_r('entropy=en.entropy', 'gradient=sg.gradient')} FROM q JOIN en USING (patch) JOIN sg USING (patch)")
+def patch_colour_stats(spark, sf_dir):
+    return rnd(colour.channel_stats(colours(spark, sf_dir)))
+
+
+@query(f"""WITH {COLOURS}, {_SLOPE}, n AS (SELECT patch, floor(v / 8) AS bin, count(*) AS n FROM hs GROUP BY 1, 2), e AS (SELECT patch, -sum(n / 64.0 * log2(n / 64.0)) AS entropy32 FROM n GROUP BY patch), q AS (SELECT patch, avg(s) AS saturation, {', '.join(f"{x.partition('=')[2]} AS {x.partition('=')[0]}" for x in _moments('v', 'g_'))} FROM hs GROUP BY patch)
+    SELECT patch, {_r('luminance=g_mean', 'saturation', 'variance=g_std * g_std', 'skew=g_skew', 'entropy32', 'gradient')} FROM q JOIN e USING (patch) JOIN sg USING (patch)""")
+def patch_small_set(spark, sf_dir):
+    return rnd(colour.small_set(colours(spark, sf_dir)))
+
+
+# Image archives: vectors become the tiles of images, which are written, found, decoded and cut again.
+
+_TILES = 10
+
+
+def _images(spark, sf_dir) -> str:
+    """A folder with one image of ten by ten patches for each hundred vectors; a file is written whole by one task, and alike when that is repeated."""
+    path = scratch(spark, "images")
+    tiles = read(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / _TILES**2).alias("frame"), (F.col("vec_id") % _TILES**2).cast("int").alias("k"), F.transform("embedding", lambda e: F.least(F.lit(255), F.greatest(F.lit(0), F.floor((e.cast("double") + 0.5) * 255))).cast("int")).alias("v"))
+
+    def write(rows: pd.DataFrame) -> pd.DataFrame:
+        side = 8 * _TILES
+        img = np.zeros((side, side), np.uint8)
+        for k, v in zip(rows["k"], rows["v"]):
+            y, x = 8 * (k // _TILES), 8 * (k % _TILES)
+            img[y : y + 8, x : x + 8] = np.array(v).reshape(8, 8)
+        fs, place = pafs.FileSystem.from_uri(path)
+        fs.create_dir(place, recursive=True)
+        name = f"IRCamM1T{int(rows['frame'].iloc[0]):08d}_120000M.png"
+        with fs.open_output_stream(f"{place}/{name}") as out:
+            out.write(png(img))
+        return pd.DataFrame({"name": [name]})
+
+    tiles.groupBy("frame").applyInPandas(write, "name string").agg(F.count("*")).collect()
+    return path
+
+
+def png(img: np.ndarray) -> bytes:
+    """A gray PNG file."""
+    part = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    rows = np.hstack([np.zeros((len(img), 1), np.uint8), img]).tobytes()
+    return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", struct.pack(">IIBBBBB", img.shape[1], img.shape[0], 8, 0, 0, 0, 0)) + part(b"IDAT", zlib.compress(rows)) + part(b"IEND", b"")
+
+
+def _archive(spark, sf_dir):
+    """Gray pixels of the written images, with the number in their name."""
+    rows = colour.gray(images.frame_pixels(images.read_frames(spark, _images(spark, sf_dir), "*.png")), key="frame")
+    return rows.withColumn("frame", F.regexp_extract("frame", r"T(\d{8})_", 1).cast("long"))
+
+
+_MOSAIC = f"""{PIXELS}, fm AS (SELECT DISTINCT patch // 100 AS frame FROM px), gd AS (SELECT frame, y, unnest(range(80)) AS x FROM (SELECT frame, unnest(range(80)) AS y FROM fm)),
+    im AS (SELECT gd.frame, gd.y, gd.x, coalesce(px.v, 0) AS v FROM gd LEFT JOIN px ON px.patch = gd.frame * 100 + (gd.y // 8) * 10 + gd.x // 8 AND px.y = gd.y % 8 AND px.x = gd.x % 8)"""
+
+
+@query(f"WITH {_MOSAIC} SELECT frame, y::INTEGER AS y, x::INTEGER AS x, v FROM im")
+def image_pixels(spark, sf_dir):
+    """Images are written, found by their name, decoded, and brought to gray."""
+    return _archive(spark, sf_dir)
+
+
+@query(f"WITH {_MOSAIC}, {_FACETS}, {_sql_raster(4)}, t AS (SELECT im.frame, pp.key, pp.y - bx.yl AS y, pp.x - bx.xl AS x, im.v FROM pp JOIN bx ON bx.key = pp.key JOIN im ON im.y = pp.y AND im.x = pp.x) SELECT key AS mirror_id, y, x, count(*) AS n_frames, sum(v)::BIGINT AS total FROM t GROUP BY ALL")
+def stored_crops(spark, sf_dir):
+    """Facets are cut from all written images, stored by facet and read again: their summed image."""
+    path = scratch(spark, "crops")
+    crops = raster.cut_facets(_archive(spark, sf_dir), _facets(spark, sf_dir)).withColumnRenamed("key", "mirror_id")
+    store.write_crops(crops, path)
+    rows = store.read_table(spark, path)
+    return rows.groupBy(F.col("mirror_id").cast("int").alias("mirror_id"), "y", "x").agg(F.countDistinct("frame").alias("n_frames"), F.sum("v").alias("total"))

@@ -641,11 +641,6 @@ def _moments(c: str, prefix: str) -> list[str]:
     return [f"{prefix}mean={m}", f"{prefix}std={sd}", f"{prefix}skew={third} / {sd} ** 3", f"{prefix}kurt={fourth} / {sd} ** 4 - 3"]
 
 
-@query(f"WITH {COLOURS} SELECT patch, {_r(*(x for c in 'rgb' for x in _moments(c, c + '_')), 'p75=quantile_cont(v, 0.75)', 'bright=avg((v > 200)::INTEGER)', 'dark=avg((v < 50)::INTEGER)')} FROM hs GROUP BY patch")
-def patch_colour_stats(spark, sf_dir):
-    return rnd(colour.channel_stats(colours(spark, sf_dir)))
-
-
 @query(f"""WITH {COLOURS}, a AS (SELECT patch, avg(r) AS r, avg(g) AS g, avg(b) AS b, avg(h) AS hm, stddev_pop(h) AS hd, avg(s) AS sm, stddev_pop(s) AS sd, avg(val) AS vm, stddev_pop(val) AS vd, 1 - 1 / (1 + var_pop(v)) AS smoothness FROM hs GROUP BY patch),
     n AS (SELECT patch, floor(h * 16 / 180)::INTEGER AS bin, count(*) AS n FROM hs GROUP BY 1, 2), e AS (SELECT patch, -sum(n / (64 + 1e-6) * log2(n / (64 + 1e-6) + 1e-6)) AS hue_entropy, arg_max(bin, n * 100 - bin) AS hue_peak FROM n GROUP BY patch),
     w AS (SELECT patch, v, count(*) AS n FROM hs GROUP BY 1, 2), u AS (SELECT patch, sum((n / (64 + 1e-6)) ** 2) AS uniformity FROM w GROUP BY patch)
@@ -661,12 +656,6 @@ def patch_colour_hist(spark, sf_dir):
     return rnd(colour.colour_histogram(colours(spark, sf_dir)))
 
 
-@query(f"""WITH {COLOURS}, n AS (SELECT patch, floor(v / 8) AS bin, count(*) AS n FROM hs GROUP BY 1, 2), e AS (SELECT patch, -sum(n / 64.0 * log2(n / 64.0)) AS entropy32 FROM n GROUP BY patch), q AS (SELECT patch, avg(s) AS saturation, {', '.join(f"{x.partition('=')[2]} AS {x.partition('=')[0]}" for x in _moments('v', 'g_'))} FROM hs GROUP BY patch)
-    SELECT patch, {_r('luminance=g_mean', 'saturation', 'variance=g_std * g_std', 'skew=g_skew', 'entropy32')} FROM q JOIN e USING (patch)""")
-def patch_small_set(spark, sf_dir):
-    return rnd(colour.small_set(colours(spark, sf_dir)))
-
-
 def _sql_glcm(levels: int, distance: int, symmetric: bool, angles: int, tag: str) -> str:
     """CTE ``cc<tag>`` with the measures of each patch and angle; needs ``px``."""
     at = [(0, 1), (-1, 1), (-1, 0), (-1, -1)][:angles]
