@@ -67,10 +67,38 @@ def colour_ratios(pixels: DataFrame, bins: int = 16) -> DataFrame:
 
 
 def colour_histogram(pixels: DataFrame) -> DataFrame:
-    """``patch, bin, value``: counts in 8 x 4 x 4 bins of hue, saturation and value, scaled to unit length; empty bins are left out."""
+    """``patch, bin, value``; empty bins are left out.
+
+    Bins 0 to 127 are counts of hue, saturation and value in 8 x 4 x 4 steps, scaled to unit
+    length; bins from 128 on are shares of the 18 patterns of 16 points at radius 2.
+    """
+    from facetwatch.functions.patches import lbp_shares
+
+    patterns = lbp_shares(gray(pixels), 16, 2.0).select("patch", (F.col("code") + 128).cast("int").alias("bin"), F.col("share").alias("value"))
     b = F.least(F.lit(7), F.floor(F.col("h") * 8 / 180)) * 16 + F.least(F.lit(3), F.floor(F.col("s") / 64)) * 4 + F.least(F.lit(3), F.floor(F.col("val") / 64))
     counts = hsv(pixels).groupBy("patch", b.cast("int").alias("bin")).agg(F.count("*").alias("n"))
-    return counts.select("patch", "bin", (F.col("n") / F.sqrt(F.sum(F.col("n") * F.col("n")).over(Window.partitionBy("patch")))).alias("value"))
+    levels = counts.select("patch", "bin", (F.col("n") / F.sqrt(F.sum(F.col("n") * F.col("n")).over(Window.partitionBy("patch")))).alias("value"))
+    return levels.unionByName(patterns)
+
+
+def advanced(pixels: DataFrame) -> DataFrame:
+    """The long colour and texture set, one row per patch.
+
+    Colour ratios, hue, saturation and value; shares of the first five patterns; co-occurrence of
+    64 levels at 0 degrees; skewness and kurtosis of each channel; spectrum bands; edge density, spread
+    of direction and corners; spatial moments; uniformity and smoothness.
+    """
+    from facetwatch.functions import patches, regions, spectra
+
+    levels = gray(pixels)
+    patterns = patches.lbp_shares(levels).groupBy("patch").agg(*(F.coalesce(F.max(F.when(F.col("code") == k, F.col("share"))), F.lit(0.0)).alias(f"lbp_bin_{k}") for k in range(5)))
+    texture = patches.glcm_features(patches.glcm(levels, 64, angles=1))
+    shape = pixels.groupBy("patch").agg(*(f(F.col(c).cast("double")).alias(f"{c}_{n}") for c in "rgb" for n, f in (("skewness", F.skewness), ("kurtosis", F.kurtosis))))
+    parts = [patterns, texture, shape, spectra.spectrum_bands(spectra.dft(levels)), regions.edge_density(levels), regions.corners(levels), patches.spatial_moments(levels)]
+    out = colour_ratios(pixels)
+    for part in parts:
+        out = out.join(part, "patch", "left")
+    return out
 
 
 def small_set(pixels: DataFrame) -> DataFrame:

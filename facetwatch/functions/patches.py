@@ -230,20 +230,39 @@ def quality(pixels: DataFrame) -> DataFrame:
 
 
 def statistics(pixels: DataFrame) -> DataFrame:
-    """Mean, deviation, smallest, largest, median and range."""
+    """Mean, deviation, smallest, largest, quartiles, median and range."""
     v = F.col("v").cast("double")
-    return pixels.groupBy("patch").agg(F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"), F.median(v).alias("median"), (F.max(v) - F.min(v)).alias("range"))
+    return pixels.groupBy("patch").agg(
+        F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"), F.percentile(v, 0.25).alias("p25"), F.percentile(v, 0.75).alias("p75"), F.median(v).alias("median"), (F.max(v) - F.min(v)).alias("range")
+    )
+
+
+def lbp_shares(pixels: DataFrame, points: int = 8, radius: float = 1.0) -> DataFrame:
+    """``patch, code, share``: how often each pattern occurs; patterns that do not occur are left out."""
+    counts = lbp_codes(pixels, points, radius).groupBy("patch", "code").agg(F.count("*").alias("n"))
+    return counts.select("patch", "code", (F.col("n") / F.sum("n").over(Window.partitionBy("patch"))).alias("share"))
+
+
+def spatial_moments(pixels: DataFrame) -> DataFrame:
+    """``patch, moment_x, moment_y``: central second moments of the level's mass along x and y, over the squared mass; NULL for a black patch."""
+    m, x, y = (F.col(c).cast("double") for c in ("v", "x", "y"))
+    sums = pixels.groupBy("patch").agg(F.sum(m).alias("m"), *(F.sum(e).alias(n) for n, e in (("mx", m * x), ("my", m * y), ("mxx", m * x * x), ("myy", m * y * y))))
+    central = lambda c: (F.col(f"m{c}{c}") - F.col(f"m{c}") * F.col(f"m{c}") / F.col("m")) / (F.col("m") * F.col("m") + 1e-6)
+    return sums.select("patch", *(F.when(F.col("m") > 0, central(c)).alias(f"moment_{c}") for c in "xy"))
 
 
 def texture(pixels: DataFrame) -> DataFrame:
-    """Two scales: pattern entropies at radius 1 and 2, spread of co-occurrence at distance 1 and 3, mean and deviation of levels."""
+    """Pattern entropies at radius 1, 2 and 3, spread of co-occurrence at distance 1 and 3, edges, mean and deviation of levels.
+
+    A patch too small for a radius or distance has NULLs there.
+    """
     v = F.col("v").cast("double")
     out = pixels.groupBy("patch").agg(F.avg(v).alias("intensity_mean"), F.stddev_pop(v).alias("intensity_std"))
-    for radius, points in ((1, 8), (2, 16)):
-        out = out.join(lbp_moments(pixels, points, float(radius)).select("patch", F.col("lbp_entropy").alias(f"lbp{radius}_entropy")), "patch")
+    for radius, points in ((1, 8), (2, 16), (3, 24)):
+        out = out.join(lbp_moments(pixels, points, float(radius)).select("patch", F.col("lbp_entropy").alias(f"lbp{radius}_entropy")), "patch", "left")
     for distance in (1, 3):
-        out = out.join(glcm_spread(glcm(pixels, 32, distance, symmetric=False), f"glcm{distance}"), "patch")
-    return out
+        out = out.join(glcm_spread(glcm(pixels, 32, distance, symmetric=False), f"glcm{distance}"), "patch", "left")
+    return out.join(edges(pixels), "patch", "left").join(edge_density(pixels), "patch", "left")
 
 
 def edge_density(pixels: DataFrame) -> DataFrame:
@@ -352,7 +371,10 @@ def best_match(patches: DataFrame, bank: DataFrame, unit: str, key: str, array:
     def match(own: pa.Table, held: pa.Table) -> pa.Table:
         ids, theirs = own.column(key).to_numpy(), held.column("_bank").to_numpy()
         order = np.argsort(theirs, kind="stable")
-        a, b = (t.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1) for t, c in ((own, "_a"), (held, "_b")))
+        if not len(ids) or not len(theirs):
+            own, held, ids, theirs, order = own.slice(0, 0), held.slice(0, 0), ids[:0], theirs[:0], order[:0]
+        width = max(1, len(own.column("_a").combine_chunks().flatten()) // max(1, own.num_rows))
+        a, b = (t.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, width) for t, c in ((own, "_a"), (held, "_b")))
         out = {c: [] for c in ("at", "max_ncc", "median_ncc", "best_key", "residual_rms")}
         theirs, b = theirs[order], b[order]
         step = max(1, (1 << 20) // max(1, len(b)))

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from facetwatch.functions.patches import LAPLACE, SOBEL_X, SOBEL_Y, convolve
+from facetwatch.functions.patches import LAPLACE, SOBEL_X, SOBEL_Y, convolve, lbp_codes
 from facetwatch.operators.lineage import components, cut
 
 SIDE = 12
@@ -204,3 +204,16 @@ def masked_edges(pixels: DataFrame, mask: DataFrame, least: int = 10) -> DataFra
     out = inner.groupBy("patch").agg(F.count("*").alias("n"), F.avg(mag).alias("sobel_mean"), F.avg(lap).alias("laplacian_mean"), F.stddev_pop(lap).alias("laplacian_std"), (F.count("_e") / F.count("*")).alias("edge_density"))
     n = F.coalesce("n", F.lit(0))
     return mask.select("patch").distinct().join(out, "patch", "left").select("patch", n.alias("core_pixels"), *(F.when(n >= least, F.col(c)).alias(c) for c in ("sobel_mean", "laplacian_mean", "laplacian_std", "edge_density")))
+
+
+def masked_lbp(pixels: DataFrame, mask: DataFrame, points: int = 8, radius: int = 1, least: int = 20) -> DataFrame:
+    """``patch, core_pixels, lbp_entropy, lbp_nonuniform`` of the patterns over the core of the mask, which is eroded by ``radius``.
+
+    NULL below ``least`` pixels in the core; patches without a mask have no row.
+    """
+    codes = lbp_codes(pixels, points, float(radius)).join(core(mask, radius), ["patch", "y", "x"])
+    counts = codes.groupBy("patch", "code").agg(F.count("*").cast("double").alias("_n"))
+    n, t = F.col("_n"), F.sum("_n")
+    out = counts.groupBy("patch").agg(t.cast("long").alias("n"), (F.log2(t) - F.sum(n * F.log2(n)) / t).alias("lbp_entropy"), (F.sum(F.when(F.col("code") == points + 1, n).otherwise(0.0)) / t).alias("lbp_nonuniform"))
+    size = F.coalesce("n", F.lit(0))
+    return mask.select("patch").distinct().join(out, "patch", "left").select("patch", size.alias("core_pixels"), *(F.when(size >= least, F.col(c)).alias(c) for c in ("lbp_entropy", "lbp_nonuniform")))

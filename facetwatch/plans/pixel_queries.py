@@ -70,6 +70,17 @@ def facet_crops(spark, sf_dir):
 
 # Masks, fill and edges.
 
+
+def _sql_points(points: int, radius: int) -> str:
+    """Columns ``n0 ...``: neighbours on a circle minus the centre, from the square around a place."""
+    return ", ".join(" + ".join(f"({w})::DOUBLE * a_{dy + radius}_{dx + radius}" for (dy, dx), w in sorted(k.items())) + f" AS {n}" for n, k in patches.lbp_kernels(points, float(radius)).items())
+
+
+def _sql_code(points: int) -> str:
+    bits = [f"(n{p} >= -1e-9)::INTEGER" for p in range(points)]
+    return f"CASE WHEN {' + '.join(f'abs({bits[p]} - {bits[p - 1]})' for p in range(points))} <= 2 THEN {' + '.join(bits)} ELSE {points + 1} END"
+
+
 MASK_ABOVE = 110
 _MASK = f"""bg AS (SELECT patch, y, x FROM px WHERE v <= {MASK_ABOVE}), ot AS (SELECT patch, y, x FROM bg WHERE y IN (0, 7) OR x IN (0, 7) UNION SELECT b.patch, b.y, b.x FROM ot JOIN bg b ON b.patch = ot.patch AND abs(b.y - ot.y) + abs(b.x - ot.x) = 1),
     fl AS (SELECT px.patch, px.y, px.x, 8 * px.y + px.x AS k FROM px ANTI JOIN ot ON px.patch = ot.patch AND px.y = ot.y AND px.x = ot.x),
@@ -188,10 +199,14 @@ def _sql_mirrored(source: str, tag: str) -> str:
     return _sql_slopes(source, tag).replace("least(7, greatest(0, c.y + dy))", _mirror("c.y + dy")).replace("least(7, greatest(0, c.x + dx))", _mirror("c.x + dx"))
 
 
-@query(f"""WITH {PIXELS}, {_sql_mirrored('px', 'sl')}, tn AS (SELECT c.patch, c.y, c.x, sum(n.gx * n.gx) AS a, sum(n.gy * n.gy) AS b, sum(n.gx * n.gy) AS c2 FROM sl c CROSS JOIN (VALUES (0, 0), (0, -1), (-1, 0), (-1, -1)) o(dy, dx)
-        JOIN sl n ON n.patch = c.patch AND n.y = {_mirror('c.y + dy')} AND n.x = {_mirror('c.x + dx')} GROUP BY 1, 2, 3), rr AS (SELECT patch, a * b - c2 * c2 - 0.04::DOUBLE * (a + b) * (a + b) AS r FROM tn),
-    mx AS (SELECT patch, max(r) AS top FROM rr GROUP BY patch), sh AS (SELECT patch, avg((r > 0.01::DOUBLE * top)::INTEGER) AS corner_density FROM rr JOIN mx USING (patch) GROUP BY patch), dr AS (SELECT patch, stddev_pop(atan2(gy, gx)) AS direction_std FROM sl GROUP BY patch)
-    SELECT patch, {_r('direction_std', 'corner_density')} FROM dr JOIN sh USING (patch)""")
+def _sql_corners(source: str) -> str:
+    """CTEs ``dr`` and ``ch``: spread of direction, and share of corners."""
+    return f"""{_sql_mirrored(source, 'ms')}, tn2 AS (SELECT c.patch, c.y, c.x, sum(n.gx * n.gx) AS a, sum(n.gy * n.gy) AS b, sum(n.gx * n.gy) AS c2 FROM ms c CROSS JOIN (VALUES (0, 0), (0, -1), (-1, 0), (-1, -1)) o(dy, dx)
+        JOIN ms n ON n.patch = c.patch AND n.y = {_mirror('c.y + dy')} AND n.x = {_mirror('c.x + dx')} GROUP BY 1, 2, 3), rr AS (SELECT patch, a * b - c2 * c2 - 0.04::DOUBLE * (a + b) * (a + b) AS q FROM tn2),
+    mx2 AS (SELECT patch, max(q) AS top FROM rr GROUP BY patch), ch AS (SELECT patch, avg((q > 0.01::DOUBLE * top)::INTEGER) AS corner_density FROM rr JOIN mx2 USING (patch) GROUP BY patch), dr AS (SELECT patch, stddev_pop(atan2(gy, gx)) AS direction_std FROM ms GROUP BY patch)"""
+
+
+@query(f"WITH {PIXELS}, {_sql_corners('px')} SELECT patch, {_r('direction_std', 'corner_density')} FROM dr JOIN ch USING (patch)")
 def patch_corners(spark, sf_dir):
     return rnd(regions.corners(pixels(spark, sf_dir)))
 
@@ -342,3 +357,44 @@ def stored_crops(spark, sf_dir):
     store.write_crops(crops, path)
     rows = store.read_table(spark, path)
     return rows.groupBy(F.col("mirror_id").cast("int").alias("mirror_id"), "y", "x").agg(F.countDistinct("frame").alias("n_frames"), F.sum("v").alias("total"))
+
+
+@query(f"""WITH {COLOURS}, px AS (SELECT patch, y, x, v::INTEGER AS v FROM hs), {_sql_near(2)}, {_sql_codes(16, 2)}, n AS (SELECT patch, (least(7, floor(h * 8 / 180)) * 16 + least(3, floor(s / 64)) * 4 + least(3, floor(val / 64)))::INTEGER AS bin, count(*) AS n FROM hs GROUP BY 1, 2)
+    SELECT patch, bin, {_r('value=n / sqrt(sum(n * n) OVER (PARTITION BY patch))')} FROM n
+    UNION ALL SELECT patch, (code + 128)::INTEGER, {_r('value=n / sum(n) OVER (PARTITION BY patch)')} FROM hc2""")
+def patch_colour_hist(spark, sf_dir):
+    return rnd(colour.colour_histogram(colours(spark, sf_dir)))
+
+
+@query(f"""WITH RECURSIVE {PIXELS}, {_sql_near(1)}, {_sql_codes(8, 1)}, {_sql_near(2)}, {_sql_codes(16, 2)}, {_sql_near(3)}, {_sql_codes(24, 3)}, {_GRAD}, {_sql_slopes('px', 'sl')}, {_sql_canny('sl', 'ce')}, {_sql_glcm(32, 1, False, 4, 'a')}, {_sql_glcm(32, 3, False, 4, 'b')}, i AS (SELECT patch, avg(v) AS intensity_mean, stddev_pop(v) AS intensity_std FROM px GROUP BY patch),
+    l1 AS (SELECT patch, log2(sum(n)) - sum(n * log2(n)) / sum(n) AS lbp1_entropy FROM hc1 GROUP BY patch), l2 AS (SELECT patch, log2(sum(n)) - sum(n * log2(n)) / sum(n) AS lbp2_entropy FROM hc2 GROUP BY patch), l3 AS (SELECT patch, log2(sum(n)) - sum(n * log2(n)) / sum(n) AS lbp3_entropy FROM hc3 GROUP BY patch),
+    ge AS (SELECT patch, avg(sqrt(gx * gx + gy * gy)) AS sobel_mean, avg(abs(lap)) AS laplacian_mean, stddev_pop(abs(lap)) AS laplacian_std FROM gr GROUP BY patch), ed AS (SELECT px.patch, count(ce.patch) / count(*) AS edge_density FROM px LEFT JOIN ce USING (patch, y, x) GROUP BY px.patch),
+    """ + ", ".join(f"g{d} AS (SELECT patch, " + ", ".join(f"{f}({c}) AS glcm{d}_{c}_{n}" for c in ("contrast", "homogeneity", "energy") for n, f in (("mean", "avg"), ("std", "stddev_pop"))) + f" FROM cc{t} GROUP BY patch)" for d, t in ((1, "a"), (3, "b"))) + f"""
+    SELECT patch, {_r('intensity_mean', 'intensity_std', 'lbp1_entropy', 'lbp2_entropy', 'lbp3_entropy', 'sobel_mean', 'laplacian_mean', 'laplacian_std', 'edge_density', *(f'glcm{d}_{c}_{n}' for d in (1, 3) for c in ('contrast', 'homogeneity', 'energy') for n in ('mean', 'std')))} FROM i JOIN l1 USING (patch) JOIN l2 USING (patch) JOIN l3 USING (patch) JOIN ge USING (patch) JOIN ed USING (patch) JOIN g1 USING (patch) JOIN g3 USING (patch)""")
+def patch_texture(spark, sf_dir):
+    return rnd(patches.family_table(pixels(spark, sf_dir), ["texture"]))
+
+
+@query(f"""WITH RECURSIVE {PIXELS}, {_MASK}, {_sql_near(1)}, k1 AS (SELECT patch, y, x, {_sql_points(8, 1)} FROM nb1),
+    co AS (SELECT a.patch, a.y, a.x FROM mk a JOIN mk b ON b.patch = a.patch AND abs(b.y - a.y) <= 1 AND abs(b.x - a.x) <= 1 GROUP BY 1, 2, 3 HAVING count(*) = 9), hc AS (SELECT patch, code, count(*) AS n FROM (SELECT patch, y, x, {_sql_code(8)} AS code FROM k1) JOIN co USING (patch, y, x) GROUP BY 1, 2),
+    ag AS (SELECT patch, sum(n)::BIGINT AS n, log2(sum(n)) - sum(n * log2(n)) / sum(n) AS le, sum(CASE WHEN code = 9 THEN n ELSE 0 END) / sum(n) AS ln FROM hc GROUP BY patch)
+    SELECT t.patch, coalesce(n, 0)::BIGINT AS core_pixels, {_r('lbp_entropy=CASE WHEN n >= 20 THEN le END', 'lbp_nonuniform=CASE WHEN n >= 20 THEN ln END')} FROM tp t LEFT JOIN ag USING (patch)""")
+def patch_masked_lbp(spark, sf_dir):
+    px = pixels(spark, sf_dir)
+    return rnd(regions.masked_lbp(px, regions.patch_mask(px, MASK_ABOVE)))
+
+
+@query(f"""WITH RECURSIVE {COLOURS}, a AS (SELECT patch, avg(r) AS r, avg(g) AS g, avg(b) AS b, avg(h) AS hm, stddev_pop(h) AS hd, avg(s) AS sm, stddev_pop(s) AS sd, avg(val) AS vm, stddev_pop(val) AS vd, 1 - 1 / (1 + var_pop(v)) AS smoothness FROM hs GROUP BY patch),
+    n AS (SELECT patch, floor(h * 16 / 180)::INTEGER AS bin, count(*) AS n FROM hs GROUP BY 1, 2), e AS (SELECT patch, -sum(n / (64 + 1e-6) * log2(n / (64 + 1e-6) + 1e-6)) AS hue_entropy, arg_max(bin, n * 100 - bin) AS hue_peak FROM n GROUP BY patch),
+    w AS (SELECT patch, v, count(*) AS n FROM hs GROUP BY 1, 2), u AS (SELECT patch, sum((n / (64 + 1e-6)) ** 2) AS uniformity FROM w GROUP BY patch), px AS (SELECT patch, y, x, v::INTEGER AS v FROM hs),
+    {_sql_near(1)}, {_sql_codes(8, 1)}, lt AS (SELECT patch, sum(n) AS t FROM hc1 GROUP BY patch), lb AS (SELECT patch, {', '.join(f"coalesce(max(CASE WHEN code = {k} THEN n END), 0) / any_value(t) AS lbp_bin_{k}" for k in range(5))} FROM hc1 JOIN lt USING (patch) GROUP BY patch),
+    {_sql_glcm(64, 1, True, 1, 'g')}, sh AS (SELECT patch, {', '.join(f"{e.partition('=')[2]} AS {e.partition('=')[0].replace('skew', 'skewness').replace('kurt', 'kurtosis')}" for c in 'rgb' for e in _moments(c, c + '_')[2:])} FROM hs GROUP BY patch),
+    {_sql_dft('px', 'dp')}, wd AS (SELECT *, (i < 2)::INTEGER + (i >= 6)::INTEGER + (j < 2)::INTEGER + (j >= 6)::INTEGER AS n FROM dp), sb AS (SELECT patch, avg(m) FILTER (WHERE i BETWEEN 2 AND 5 AND j BETWEEN 2 AND 5) AS fft_low, sum(m * n) / sum(n) AS fft_high FROM wd GROUP BY patch),
+    {_sql_slopes('px', 'sl')}, {_sql_canny('sl', 'ce')}, ed AS (SELECT px.patch, count(ce.patch) / count(*) AS edge_density FROM px LEFT JOIN ce USING (patch, y, x) GROUP BY px.patch), {_sql_corners('px')},
+    sm AS (SELECT patch, sum(v)::DOUBLE AS m, sum(v * x)::DOUBLE AS mx, sum(v * y)::DOUBLE AS my, sum(v * x * x)::DOUBLE AS mxx, sum(v * y * y)::DOUBLE AS myy FROM px GROUP BY patch)
+    SELECT patch, {_r('r_ratio=r / (r + g + b)', 'g_ratio=g / (r + g + b)', 'b_ratio=b / (r + g + b)', 'rg_ratio=r / (g + 1e-6)', 'rb_ratio=r / (b + 1e-6)', 'gb_ratio=g / (b + 1e-6)', 'hue_mean=hm', 'hue_std=hd', 'sat_mean=sm.sd2', 'sat_std=a.sd', 'val_mean=vm', 'val_std=vd', 'hue_entropy', 'uniformity', 'smoothness').replace('sm.sd2', 'a.sm')}, hue_peak,
+        {_r(*(f'lbp_bin_{k}' for k in range(5)), *_FIVE, *(f'{c}_{k}' for c in 'rgb' for k in ('skewness', 'kurtosis')), 'fft_low', 'fft_high', 'fft_ratio=fft_high / (fft_low + 1e-6)', 'edge_density', 'direction_std', 'corner_density', 'moment_x=(mxx - mx * mx / m) / (m * m + 1e-6)', 'moment_y=(myy - my * my / m) / (m * m + 1e-6)')}
+    FROM a JOIN e USING (patch) JOIN u USING (patch) JOIN lb USING (patch) JOIN ccg USING (patch) JOIN sh USING (patch) JOIN sb USING (patch) JOIN ed USING (patch) JOIN dr USING (patch) JOIN ch USING (patch) JOIN sm USING (patch)""")
+def patch_advanced(spark, sf_dir):
+    """The long colour and texture set."""
+    return rnd(colour.advanced(colours(spark, sf_dir)))

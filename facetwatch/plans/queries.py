@@ -650,12 +650,6 @@ def patch_colour_ratios(spark, sf_dir):
     return rnd(colour.colour_ratios(colours(spark, sf_dir)))
 
 
-@query(f"""WITH {COLOURS}, n AS (SELECT patch, (least(7, floor(h * 8 / 180)) * 16 + least(3, floor(s / 64)) * 4 + least(3, floor(val / 64)))::INTEGER AS bin, count(*) AS n FROM hs GROUP BY 1, 2)
-    SELECT patch, bin, {_r('value=n / sqrt(sum(n * n) OVER (PARTITION BY patch))')} FROM n""")
-def patch_colour_hist(spark, sf_dir):
-    return rnd(colour.colour_histogram(colours(spark, sf_dir)))
-
-
 def _sql_glcm(levels: int, distance: int, symmetric: bool, angles: int, tag: str) -> str:
     """CTE ``cc<tag>`` with the measures of each patch and angle; needs ``px``."""
     at = [(0, 1), (-1, 1), (-1, 0), (-1, -1)][:angles]
@@ -713,19 +707,11 @@ def patch_degradation(spark, sf_dir):
     return rnd(patches.degradation(pixels(spark, sf_dir)))
 
 
-@query(f"WITH {PIXELS} SELECT patch, {_r('mean=avg(v)', 'std=stddev_pop(v)', 'min=min(v)', 'max=max(v)', 'median=median(v)', 'range=max(v) - min(v)')} FROM px GROUP BY patch")
+@query(f"WITH {PIXELS} SELECT patch, {_r('mean=avg(v)', 'std=stddev_pop(v)', 'min=min(v)', 'max=max(v)', 'p25=quantile_cont(v, 0.25)', 'p75=quantile_cont(v, 0.75)', 'median=median(v)', 'range=max(v) - min(v)')} FROM px GROUP BY patch")
 def patch_statistics(spark, sf_dir):
     return rnd(patches.statistics(pixels(spark, sf_dir)))
 
 
-@query(f"""WITH {PIXELS}, {_sql_near(1)}, {_sql_codes(8, 1)}, {_sql_near(2)}, {_sql_codes(16, 2)}, {_sql_glcm(32, 1, False, 4, 'a')}, {_sql_glcm(32, 3, False, 4, 'b')}, i AS (SELECT patch, avg(v) AS intensity_mean, stddev_pop(v) AS intensity_std FROM px GROUP BY patch),
-    l1 AS (SELECT patch, log2(sum(n)) - sum(n * log2(n)) / sum(n) AS lbp1_entropy FROM hc1 GROUP BY patch), l2 AS (SELECT patch, log2(sum(n)) - sum(n * log2(n)) / sum(n) AS lbp2_entropy FROM hc2 GROUP BY patch),
-    """ + ", ".join(f"g{d} AS (SELECT patch, " + ", ".join(f"{f}({c}) AS glcm{d}_{c}_{n}" for c in ("contrast", "homogeneity", "energy") for n, f in (("mean", "avg"), ("std", "stddev_pop"))) + f" FROM cc{t} GROUP BY patch)" for d, t in ((1, "a"), (3, "b"))) + f"""
-    SELECT patch, {_r('intensity_mean', 'intensity_std', 'lbp1_entropy', 'lbp2_entropy', *(f'glcm{d}_{c}_{n}' for d in (1, 3) for c in ('contrast', 'homogeneity', 'energy') for n in ('mean', 'std')))} FROM i JOIN l1 USING (patch) JOIN l2 USING (patch) JOIN g1 USING (patch) JOIN g3 USING (patch)""")
-def patch_texture(spark, sf_dir):
-    return rnd(patches.family_table(pixels(spark, sf_dir), ["texture"]))
-
-
 # Geometry, from a table's own rows: a row of facets per nation, its size from the customers there.
 
 
