@@ -10,6 +10,7 @@ a second look at the pixels. Sharpness needs neighbours and is a table of its ow
 from __future__ import annotations
 
 from dataclasses import dataclass
+from typing import Union
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -40,12 +41,21 @@ class Circle:
 HOUSING, HOUSING_SMALL = Circle(0.42, 0.65, 0.22), Circle(0.38, 0.52, 0.12)
 
 
-def zones(height: int, width: int, circle: Circle) -> dict[str, Column]:
+#: A side of all frames, or the column that has it for each pixel.
+Side = Union[int, Column]
+
+
+def _share_of(side: Side, over: float, times: float = 1) -> Column:
+    """The whole part of a share of a side."""
+    return F.floor((F.lit(side) if isinstance(side, int) else side) * times / over)
+
+
+def zones(height: Side, width: Side, circle: Circle) -> dict[str, Column]:
     """Conditions on a pixel's place: free of the housing, outer thirds, and the sky's strip."""
-    y, x = F.col("y"), F.col("x")
-    dy, dx, r = y - int(height * circle.y), x - int(width * circle.x), int(min(height, width) * circle.radius)
+    y, x, h, w = F.col("y"), F.col("x"), F.lit(height), F.lit(width)
+    dy, dx, r = y - _share_of(h, 1, circle.y), x - _share_of(w, 1, circle.x), _share_of(F.least(h, w), 1, circle.radius)
     return {
-        "free": dy * dy + dx * dx > r * r, "left": x < width // 3, "right": x >= 2 * width // 3, "top": y < height // 3, "bottom": y >= 2 * height // 3, "sky": y < height // 6
+        "free": dy * dy + dx * dx > r * r, "left": x < _share_of(w, 3), "right": x >= _share_of(w, 3, 2), "top": y < _share_of(h, 3), "bottom": y >= _share_of(h, 3, 2), "sky": y < _share_of(h, 6)
     }
 
 
@@ -59,7 +69,7 @@ def lab(pixels: DataFrame) -> DataFrame:
     return pixels.withColumns({"lab_a": near(500 * (curve["x"] - curve["y"])), "lab_b": near(200 * (curve["y"] - curve["z"]))}).drop("_lr", "_lg", "_lb", "_x", "_y", "_z")
 
 
-def level_state(pixels: DataFrame, height: int, width: int, circle: Circle) -> DataFrame:
+def level_state(pixels: DataFrame, height: Side, width: Side, circle: Circle) -> DataFrame:
     """``patch, v, free, left, right, top, bottom, sky, n``: pixels by gray level and zones; states of parts of a frame add up."""
     v = F.round(sum((F.col(c) * w for c, w in GRAY.items()), F.lit(0.0))).cast("int")
     return pixels.groupBy("patch", v.alias("v"), *(z.alias(n) for n, z in zones(height, width, circle).items())).agg(F.count("*").alias("n"))
@@ -120,7 +130,7 @@ def _vivid() -> Column:
     return (F.col("val") > BRIGHT_VALUE) & (F.col("s") > BRIGHT_SATURATION)
 
 
-def colour_sums(pixels: DataFrame, height: int, width: int, circle: Circle) -> DataFrame:
+def colour_sums(pixels: DataFrame, height: Side, width: Side, circle: Circle) -> DataFrame:
     """Warm and vivid shares, mean colours, the sky's blue and its overexposed share."""
     zone = zones(height, width, circle)
     mean = lambda c, of=None: F.avg((F.col(c) if of is None else F.when(of, F.col(c))).cast("double"))
@@ -137,7 +147,7 @@ def sharpness(pixels: DataFrame) -> DataFrame:
     return gradients(pixels.select("patch", "y", "x", v.alias("v")), mirror=True).groupBy("patch").agg(F.stddev_pop("lap").alias("sharpness"))
 
 
-def frame_quality(pixels: DataFrame, height: int, width: int) -> DataFrame:
+def frame_quality(pixels: DataFrame, height: Side, width: Side) -> DataFrame:
     """Brightness outside the housing, sharpness, percentage of warm pixels in the upper rows, share of vivid ones."""
     free = zones(height, width, HOUSING)["free"]
     light = brightness(level_state(pixels, height, width, HOUSING)).select("patch", "mean_brightness", "std_brightness")
@@ -145,15 +155,15 @@ def frame_quality(pixels: DataFrame, height: int, width: int) -> DataFrame:
     return light.join(colour, "patch").join(sharpness(pixels), "patch")
 
 
-def frame_details(pixels: DataFrame, height: int, width: int) -> DataFrame:
+def frame_details(pixels: DataFrame, height: Side, width: Side) -> DataFrame:
     """The long list: brightness and its percentiles, warm and vivid shares, asymmetry, sky, colour means, entropy, sharpness."""
     light = brightness(level_state(pixels, height, width, HOUSING_SMALL))
     return light.join(colour_sums(pixels, height, width, HOUSING_SMALL), "patch").join(sharpness(pixels), "patch")
 
 
-def frame_sky(pixels: DataFrame, height: int) -> DataFrame:
+def frame_sky(pixels: DataFrame, height: Side) -> DataFrame:
     """Saturation, value, overexposed and gray percentage and blue share of the upper third, rounded as published."""
-    top = hsv(pixels.where(F.col("y") < height // 3))
+    top = hsv(pixels.where(F.col("y") < _share_of(height, 3)))
     total = F.col("r") + F.col("g") + F.col("b") + 1e-6
     one = {
         "sat_mean": F.avg("s"), "val_mean": F.avg("val"), "val_std": F.stddev_pop("val"), "overexposed_pct": 100 * _share(F.col("val") > OVEREXPOSED), "gray_pct": 100 * _share((F.col("s") < GRAY_SATURATION) & (F.col("val") > GRAY_VALUE))

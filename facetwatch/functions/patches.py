@@ -337,10 +337,10 @@ def hog(pixels: DataFrame, cell: int = 4, bins: int = 9) -> DataFrame:
     return sums.withColumn("value", F.col("weight") / norm).drop("weight")
 
 
-def sun_score(pixels: DataFrame, width: int, segments: int = 5, top: int = 2) -> DataFrame:
-    """Largest minus median of the segment means of the top strip."""
+def sun_score(pixels: DataFrame, width: int | Column, segments: int = 5, top: int = 2) -> DataFrame:
+    """Largest minus median of the segment means of the top strip; the last segment has what is left of the width."""
     strip = pixels.where(F.col("y") < top)
-    seg = F.least(F.lit(segments - 1), F.floor(F.col("x") / max(1, width // segments)))
+    seg = F.least(F.lit(segments - 1), F.floor(F.col("x") / F.greatest(F.lit(1), F.floor(F.lit(width) / segments))))
     means = strip.groupBy("patch", seg.alias("segment")).agg(F.avg("v").alias("mean"))
     return means.groupBy("patch").agg((F.max("mean") - F.median("mean")).alias("sun_score"))
 

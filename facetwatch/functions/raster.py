@@ -75,8 +75,17 @@ def polygon_pixels(polygons: DataFrame, height: int | None = None, width: int |
     return out
 
 
-def cut_facets(frames: DataFrame, polygons: DataFrame, value: str = "v", broadcast_rows: int = 500_000) -> DataFrame:
-    """``frame, key, y, x`` and the value of the pixels of each polygon in each frame; places are those of the polygon's box.
+def box_places(polygons: DataFrame) -> DataFrame:
+    """``key, y, x, frame_y, frame_x, inside``: every place of each polygon's box, in the box and in the frame."""
+    box = boxes(polygons).select("key", "x0", "y0", "width", F.explode(F.sequence(F.lit(0).cast("long"), F.col("height") - 1)).alias("y"))
+    box = box.select("key", "x0", "y0", "y", F.explode(F.sequence(F.lit(0).cast("long"), F.col("width") - 1)).alias("x"))
+    places = box.select("key", "y", "x", (F.col("y0") + F.col("y")).alias("frame_y"), (F.col("x0") + F.col("x")).alias("frame_x"))
+    own = polygon_pixels(polygons).select("key", F.col("y").alias("frame_y"), F.col("x").alias("frame_x"), F.lit(True).alias("_in"))
+    return places.join(own, ["key", "frame_y", "frame_x"], "left").select("key", "y", "x", "frame_y", "frame_x", F.coalesce("_in", F.lit(False)).alias("inside"))
+
+
+def cut_facets(frames: DataFrame, polygons: DataFrame, value: str | list[str] = "v", broadcast_rows: int = 500_000) -> DataFrame:
+    """``frame, key, y, x`` and the values of the pixels of each polygon in each frame; places are those of the polygon's box.
 
     ``frames``: ``frame, y, x`` and a value per pixel. The background of a box, and what of it
     is off the frame, has no rows. A polygon's pixels are made once for all frames; they
@@ -85,4 +94,4 @@ def cut_facets(frames: DataFrame, polygons: DataFrame, value: str = "v", broadca
     corner = boxes(polygons).select("key", "x0", "y0")
     inside = cut(polygon_pixels(polygons).join(corner, "key").select("key", "y", "x", (F.col("y") - F.col("y0")).alias("in_y"), (F.col("x") - F.col("x0")).alias("in_x")))
     hit = frames.join(F.broadcast(inside) if inside.count() <= broadcast_rows else inside, ["y", "x"])
-    return hit.select("frame", "key", F.col("in_y").alias("y"), F.col("in_x").alias("x"), value)
+    return hit.select("frame", "key", F.col("in_y").alias("y"), F.col("in_x").alias("x"), *([value] if isinstance(value, str) else value))

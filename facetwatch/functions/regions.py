@@ -2,8 +2,9 @@
 
 Connected parts are found without holding a patch in a task: pixels become runs
 of their row by a window, runs meet overlapping runs of the next row in an
-equality join on patch and row, and ``components`` joins them up. Patch ids are
-whole numbers below 2 ** 39, sides at most 4096 pixels, places start at 0.
+equality join on patch and row, and ``components`` joins them up. Patches may have
+any key; where it is a whole number it must be below 2 ** 39, and sides at most 4096
+pixels, so that a pixel is one number. Places start at 0.
 """
 
 from __future__ import annotations
@@ -20,9 +21,11 @@ TAN_22 = 13573
 LOW, HIGH = 50, 150
 
 
-def place_id(patch="patch", y="y", x="x") -> Column:
-    """A number for each pixel of each patch, in raster order."""
-    return F.shiftleft(F.col(patch).cast("long"), 2 * SIDE) + F.shiftleft(F.col(y).cast("long"), SIDE) + F.col(x).cast("long")
+def place_id(rows: DataFrame, x: str = "x") -> Column:
+    """A name for each pixel of each patch that sorts in raster order: one number, or patch and place together."""
+    if rows.schema["patch"].dataType.simpleString() not in ("tinyint", "smallint", "int", "bigint"):
+        return F.struct("patch", F.col("y").cast("int").alias("y"), F.col(x).cast("int").alias("x"))
+    return F.shiftleft(F.col("patch").cast("long"), 2 * SIDE) + F.shiftleft(F.col("y").cast("long"), SIDE) + F.col(x).cast("long")
 
 
 def runs(pixels: DataFrame, bit: Column) -> DataFrame:
@@ -31,7 +34,7 @@ def runs(pixels: DataFrame, bit: Column) -> DataFrame:
     rows = pixels.select("patch", "y", "x", bit.alias("bit"))
     starts = F.coalesce((F.lag("bit").over(w) != F.col("bit")) | (F.lag("x").over(w) != F.col("x") - 1), F.lit(True))
     rows = rows.withColumn("_new", starts).withColumn("first", F.last(F.when(F.col("_new"), F.col("x")), ignorenulls=True).over(w))
-    return rows.groupBy("patch", "y", "first", "bit").agg(F.max("x").alias("last")).withColumn("node", place_id(x="first"))
+    return rows.groupBy("patch", "y", "first", "bit").agg(F.max("x").alias("last")).withColumn("node", place_id(pixels, "first"))
 
 
 def _touching(a: DataFrame, b: DataFrame, slack: int = 0) -> DataFrame:
@@ -68,7 +71,7 @@ def patch_mask(pixels: DataFrame, threshold: float = 0) -> DataFrame:
     links = above.unionByName(beside).join(names.select(F.col("node").alias("a"), F.col("part").alias("p")), "a").join(names.select(F.col("node").alias("b"), F.col("part").alias("q")), "b")
     whole = cut(_labelled(inside, links.select(F.col("p").alias("a"), F.col("q").alias("b")).distinct(), "part", "mask"))
     sizes = whole.groupBy("patch", "mask").agg(F.sum(F.col("last") - F.col("first") + 1).alias("size"))
-    top = sizes.groupBy("patch").agg(F.max_by("mask", F.struct("size", -F.col("mask"))).alias("mask"))
+    top = sizes.groupBy("patch").agg(F.min_by("mask", F.struct(-F.col("size"), "mask")).alias("mask"))
     return whole.join(top, ["patch", "mask"]).select("patch", "y", F.explode(F.sequence("first", "last")).alias("x"))
 
 
@@ -148,10 +151,10 @@ def canny(gradient: DataFrame, low: float = LOW, high: float = HIGH) -> DataFram
     """``patch, y, x`` of edge pixels: thin edges above ``low`` that hang together, by sides or corners, with one above ``high``."""
     weak = cut(thin_edges(gradient).where(F.col("m") > low).withColumn("bit", F.col("m") > high))
     lines = runs(weak, F.lit(True))
-    strong = weak.where("bit").select("patch", "y", "x").withColumn("node", place_id())
+    strong = weak.where("bit").select("patch", "y", "x").withColumn("node", place_id(weak))
     lines = cut(lines)
     parts = cut(_labelled(lines, _touching(lines, lines, slack=1).select("a", "b")))
-    pixels = parts.select("patch", "y", F.explode(F.sequence("first", "last")).alias("x"), "part").withColumn("node", place_id())
+    pixels = parts.select("patch", "y", F.explode(F.sequence("first", "last")).alias("x"), "part").withColumn("node", place_id(weak))
     seeds = pixels.join(strong.select("node"), "node", "left_semi").select("part").distinct()
     return pixels.join(seeds, "part", "left_semi").select("patch", "y", "x")
 

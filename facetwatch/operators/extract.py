@@ -1,259 +1,142 @@
-"""The pixel stage: one shuffle-free pass that turns images into feature rows.
+"""The pixel stage: frames to facets to features, as Spark jobs over pixel rows.
 
-Each image is decoded once and all its facets are cut while it is in memory.
-What depends on the facet alone (mask, eroded core, nearest pixels inside) is
-made once per worker. Polygons are a few hundred rows; they travel with the tasks
-in blocks of ``MAX_FACETS`` at most, one pass over the images for each block.
-
-``facet_pixels`` only cuts: it gives the pixels inside each facet as rows, and the
-families of ``functions.patches`` and ``functions.colours`` are then Spark jobs.
+Python only takes image bytes apart (``sources.images.frame_pixels``). Polygons become pixels
+once for all frames, pixels meet them by place, and every measure is a grouped job of
+``functions``. A patch is one facet of one frame; its number holds the frame's number and the
+facet's, so that work on patches needs one long as a key.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from functools import reduce
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from facetwatch.functions import patches
-from facetwatch.functions import pixels as px
-from facetwatch.functions.families import STANDARD, Patch, columns, measure
-
-MAX_FACETS = 10_000
-_KEYS = "frame_id string, ts timestamp, mirror_id int"
-
-
-class Facets:
-    """Polygons with their masks, made when first needed."""
-
-    def __init__(self, polygons: dict[int, list[tuple[int, int]]]):
-        self.polygons, self.made = polygons, {}
-
-    def __getitem__(self, mirror_id: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        if mirror_id not in self.made:
-            points = np.array(self.polygons[mirror_id])
-            mask = px.polygon_mask(points)
-            self.made[mirror_id] = points, mask, px.erode(mask), px.nearest_inside(mask)
-        return self.made[mirror_id]
-
-    def patch(self, img: np.ndarray, gray: np.ndarray, mirror_id: int) -> Patch:
-        points, mask, core, fill = self[mirror_id]
-        return Patch(px.cut(gray, points, mask), px.cut(img, points, mask) if img.ndim == 3 else None, mask, core, fill)
-
-    def __getstate__(self):
-        return {"polygons": self.polygons, "made": {}}
-
-
-def load_facets(facets: DataFrame) -> list[Facets]:
-    """Polygons of ``mirror_id, points`` on the driver, in blocks of ``MAX_FACETS`` at most."""
-    blocks = facets.count() // MAX_FACETS + 1
-    parts = [facets.where(F.pmod(F.xxhash64("mirror_id"), F.lit(blocks)) == k) for k in range(blocks)] if blocks > 1 else [facets]
-    return [Facets({r["mirror_id"]: [(p["x"], p["y"]) for p in r["points"]] for r in part.collect()}) for part in parts]
-
-
-def _over(facets: DataFrame, one: Callable[[Facets], DataFrame]) -> DataFrame:
-    """``one`` of each block of facets, one after the other."""
-    return reduce(DataFrame.unionByName, map(one, load_facets(facets)))
-
-
-def _images(batches: Iterator[pd.DataFrame]):
-    """Frames one by one; those that cannot be decoded come as None."""
-    for rows in batches:
-        for r in rows.itertuples(index=False):
-            try:
-                yield r, px.decode(r.height, r.width, r.channels, r.data)
-            except ValueError:
-                yield r, None
+from facetwatch.functions import colours, patches, raster, regions, spectra
+from facetwatch.functions import frames as frame_functions
+from facetwatch.operators.lineage import cut
+from facetwatch.schemas import FEATURES
+from facetwatch.sources.images import frame_pixels
 
+#: Names that the standard vector has for measures of the plain families.
+_NAMES = {c: f"glcm_{c}" for c in patches.GLCM}
 
-def extract(frames: DataFrame, facets: DataFrame, families: list[str] | None = None, wide_rows: int = 16) -> DataFrame:
-    """``frame_id, ts, mirror_id, valid, <features>`` of every facet in every frame.
 
-    ``valid`` is False, and features are NULL, where a frame or feature fails.
-    """
-    families = families or STANDARD
-    names = columns(families)
-    return _over(facets, lambda known: _extract(frames, known, families, names))
-
-
-def _extract(frames: DataFrame, known: Facets, families: list[str], names: list[str]) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for r, img in _images(batches):
-            g = None if img is None else px.gray(img)
-            rows = []
-            for m in known.polygons:
-                values = [None] * len(names) if img is None else measure(known.patch(img, g, m), families)
-                rows.append([r.frame_id, r.ts, m, all(v is not None for v in values), *values])
-            yield pd.DataFrame(rows, columns=["frame_id", "ts", "mirror_id", "valid", *names])
-
-    schema = f"{_KEYS}, valid boolean" + "".join(f", {n} double" for n in names)
-    return frames.select("frame_id", "ts", "height", "width", "channels", "data").mapInPandas(run, schema)
+def readable(frames: DataFrame) -> DataFrame:
+    """The frames whose image could be decoded."""
+    return frames.where("height > 0")
 
 
-def crops(frames: DataFrame, facets: DataFrame, color: bool = True) -> DataFrame:
-    """``frame_id, ts, mirror_id, h, w, channels, data`` of every facet in every readable frame."""
-    return _over(facets, lambda known: _crops(frames, known, color))
+def pixel_rows(frames: DataFrame) -> DataFrame:
+    """``frame, y, x, r, g, b, v`` of the readable frames; ``frame`` holds ``frame_id`` and ``ts``."""
+    rows = frame_pixels(readable(frames), keep=["ts"])
+    v = F.round(sum((F.col(c) * w for c, w in colours.GRAY.items()), F.lit(0.0))).cast("int")
+    return rows.select(F.struct(F.col("frame").alias("frame_id"), "ts").alias("frame"), "y", "x", "r", "g", "b", v.alias("v"))
 
 
-def _crops(frames: DataFrame, known: Facets, color: bool) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for r, img in _images(batches):
-            if img is None:
-                continue
-            src = img if color and img.ndim == 3 else px.gray(img).astype(np.uint8)
-            cut = {m: px.cut(src, known[m][0], known[m][1]) for m in known.polygons}
-            yield pd.DataFrame([[r.frame_id, r.ts, m, *c.shape[:2], c.shape[2] if c.ndim == 3 else 1, c.tobytes()] for m, c in cut.items()], columns=["frame_id", "ts", "mirror_id", "h", "w", "channels", "data"])
-
-    return frames.select("frame_id", "ts", "height", "width", "channels", "data").mapInPandas(run, f"{_KEYS}, h int, w int, channels int, data binary")
+def _patches(rows: DataFrame) -> DataFrame:
+    """``patch`` and what it is of; rows have ``frame`` and ``key``."""
+    key = F.struct("frame.frame_id", "frame.ts", F.col("key").alias("mirror_id"))
+    return rows.select(key.alias("patch"), "frame.frame_id", "frame.ts", F.col("key").alias("mirror_id"), "y", "x", "v", "r", "g", "b")
 
 
 def facet_pixels(frames: DataFrame, facets: DataFrame) -> DataFrame:
-    """``patch, frame_id, ts, mirror_id, y, x, v, r, g, b`` of the pixels inside each facet of each readable frame.
+    """``patch, frame_id, ts, mirror_id, y, x, v, r, g, b`` of the pixels inside each facet of each readable frame."""
+    polygons = facets.select(F.col("mirror_id").alias("key"), "points")
+    return _patches(raster.cut_facets(pixel_rows(frames), polygons, ["v", "r", "g", "b"]))
 
-    A row per facet leaves Python with its pixels as arrays; they become rows in the JVM.
-    """
 
-    def one(known: Facets) -> DataFrame:
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for r, img in _images(batches):
-                if img is None:
-                    continue
-                rgb = np.repeat(img[:, :, None], 3, axis=2) if img.ndim == 2 else img[:, :, ::-1]
-                gray, rows = np.rint(px.gray(img)).astype(np.uint8), []
-                for m in known.polygons:
-                    points, mask, _, _ = known[m]
-                    y, x = np.nonzero(mask)
-                    inside = [px.cut(a, points, mask)[mask] for a in (gray, *(rgb[:, :, k] for k in range(3)))]
-                    rows.append([r.frame_id, r.ts, m, y, x, *(a.astype(np.int32) for a in inside)])
-                yield pd.DataFrame(rows, columns=["frame_id", "ts", "mirror_id", *names])
+def crops(frames: DataFrame, facets: DataFrame) -> DataFrame:
+    """``facet_pixels`` with the rest of each facet's box, which is 0: its background, and what is off the frame."""
+    polygons = facets.select(F.col("mirror_id").alias("key"), "points")
+    inside = raster.cut_facets(pixel_rows(frames), polygons, ["v", "r", "g", "b"]).select("frame", "key", "y", "x", "v", "r", "g", "b")
+    places = cut(raster.box_places(polygons))
+    y, x = F.col("frame_y"), F.col("frame_x")
+    # Every frame has every place of every facet: the result's own size. The facets' places are broadcast behind their count.
+    known = readable(frames).select(F.struct("frame_id", "ts").alias("frame"), "height", "width")
+    every = known.crossJoin(F.broadcast(places) if places.count() <= 2_000_000 else places)
+    empty = every.where(~F.col("inside") | (y < 0) | (x < 0) | (y >= F.col("height")) | (x >= F.col("width")))
+    return _patches(inside.unionByName(empty.select("frame", "key", "y", "x", *(F.lit(0).alias(c) for c in ("v", "r", "g", "b")))))
 
-        lists = "".join(f", {n} array<int>" for n in names)
-        return frames.select("frame_id", "ts", "height", "width", "channels", "data").mapInPandas(run, _KEYS + lists)
 
-    names = ["y", "x", "v", "r", "g", "b"]
-    rows = _over(facets, one).select("frame_id", "ts", "mirror_id", F.explode(F.arrays_zip(*names)).alias("p"))
-    return rows.select(F.struct("frame_id", "mirror_id").alias("patch"), "frame_id", "ts", "mirror_id", "p.*")
+def _named(rows: DataFrame, features: DataFrame) -> DataFrame:
+    """Features by patch as rows by frame and facet; a patch without any has NULLs."""
+    return rows.select("patch").distinct().join(features, "patch", "left").select("patch.*", *(c for c in features.columns if c != "patch"))
 
 
 def features(frames: DataFrame, facets: DataFrame, families: list[str] = patches.STANDARD) -> DataFrame:
-    """``frame_id, mirror_id, <features>`` by the families of ``functions.patches``, over the pixels inside each facet."""
-    out = patches.family_table(facet_pixels(frames, facets).select("patch", "y", "x", "v"), families)
-    return out.select("patch.*", *(c for c in out.columns if c != "patch"))
+    """``frame_id, ts, mirror_id, <features>`` by the families of ``functions.patches``, over the pixels inside each facet."""
+    rows = cut(facet_pixels(frames, facets))
+    return _named(rows, patches.family_table(rows, families))
 
 
-def frame_measures(frames: DataFrame, kind: str = "quality") -> DataFrame:
-    """One row of frame measures per readable image: ``quality``, ``details``, ``sky`` or ``sun``."""
-    functions = {"quality": px.frame_quality, "details": px.frame_details, "sky": px.sky_measures, "sun": lambda img: {"sun_score": px.sun_score(img)}}
-    run_one = functions[kind]
-    names = list(run_one(np.arange(36 * 3, dtype=np.uint8).reshape(6, 6, 3)))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for r, img in _images(batches):
-            if img is not None:
-                img = np.repeat(img[:, :, None], 3, axis=2) if img.ndim == 2 else img
-                got = run_one(img)
-                yield pd.DataFrame([[r.frame_id, r.ts, *(float(got[n]) if np.isfinite(got[n]) else None for n in names)]], columns=["frame_id", "ts", *names])
+def extract(frames: DataFrame, facets: DataFrame, families: list[str] | None = None) -> DataFrame:
+    """``frame_id, ts, mirror_id, valid, <features>`` of every facet in every frame, over the whole boxes.
 
-    return frames.select("frame_id", "ts", "height", "width", "channels", "data").mapInPandas(run, "frame_id string, ts timestamp" + "".join(f", {n} double" for n in names))
+    By default the standard vector. ``valid`` is False, and features are NULL, where a
+    frame cannot be read or a feature fails.
+    """
+    rows = cut(crops(frames, facets))
+    table = patches.family_table(rows, families or patches.STANDARD)
+    table = table.withColumnsRenamed(_NAMES) if families is None else table
+    names = FEATURES if families is None else [c for c in table.columns if c != "patch"]
+    grid = frames.select("frame_id", "ts").crossJoin(F.broadcast(facets.select("mirror_id")))
+    out = grid.join(_named(rows, table).select("frame_id", "mirror_id", *names), ["frame_id", "mirror_id"], "left")
+    valid = F.lit(True)
+    for c in names:
+        valid = valid & F.col(c).isNotNull()
+    return out.select("frame_id", "ts", "mirror_id", valid.alias("valid"), *names)
 
 
 def facet_masks(frames: DataFrame, facets: DataFrame, threshold: float = 0) -> DataFrame:
-    """``mirror_id, h, w, mask`` from the pixels of one reference frame (the first by time)."""
-    first = frames.orderBy("ts", "frame_id").limit(1)
-    return _over(facets, lambda known: _facet_masks(first, known, threshold))
-
-
-def _facet_masks(first: DataFrame, known: Facets, threshold: float) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for _, img in _images(batches):
-            if img is not None:
-                g = px.gray(img)
-                masks = {m: px.patch_mask(px.cut(g, known[m][0], known[m][1]), threshold) for m in known.polygons}
-                yield pd.DataFrame([[m, *k.shape, k.astype(np.uint8).tobytes()] for m, k in masks.items()], columns=["mirror_id", "h", "w", "mask"])
-
-    return first.select("height", "width", "channels", "data").mapInPandas(run, "mirror_id int, h int, w int, mask binary")
+    """``mirror_id, y, x`` of each facet's mask, from the pixels of one reference frame (the first by time)."""
+    rows = crops(readable(frames).orderBy("ts", "frame_id").limit(1), facets)
+    return cut(regions.patch_mask(rows.select(F.col("mirror_id").alias("patch"), "y", "x", "v"), threshold).withColumnRenamed("patch", "mirror_id"))
 
 
-def stack_images(frames: DataFrame, tile: int = 64, part: int = 512) -> DataFrame:
-    """Median and mean image of a stack, by tiles: ``tile_y, tile_x, h, w, n_frames, median, mean``.
+def masked_features(frames: DataFrame, facets: DataFrame, masks: DataFrame) -> DataFrame:
+    """``frame_id, ts, mirror_id`` and the masked measures: light inside the mask, edges and patterns over its core, co-occurrence within it.
 
-    Images are cut into tiles. A tile's frames become level counts of each pixel,
-    ``part`` frames at a time, and counts are added sixteen at a time, so that what a
-    task holds does not grow with the archive. Both results are exact.
+    ``masks`` are those of :func:`facet_masks`, the same for all frames.
     """
-    keys = ["tile_y", "tile_x", "h", "w"]
-    parts = -(-max(1, frames.count()) // part)
-
-    def tiles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for r, img in _images(batches):
-            if img is not None:
-                g = px.gray(img).astype(np.uint8)
-                rows = [[y, x, *g[y : y + tile, x : x + tile].shape, r.part, g[y : y + tile, x : x + tile].tobytes()] for y in range(0, g.shape[0], tile) for x in range(0, g.shape[1], tile)]
-                yield pd.DataFrame(rows, columns=[*keys, "part", "data"])
-
-    def counted(pdf: pd.DataFrame, add) -> pd.DataFrame:
-        size = int(pdf["h"].iloc[0]) * int(pdf["w"].iloc[0])
-        counts = np.zeros((size, 256), np.int32)
-        for d in pdf["data"]:
-            add(counts, d, np.arange(size))
-        return pd.DataFrame([[*pdf[keys].iloc[0], pdf["part"].iloc[0], counts.tobytes()]], columns=[*keys, "part", "data"])
-
-    def first(pdf: pd.DataFrame) -> pd.DataFrame:
-        def add(counts, d, at):
-            counts[at, np.frombuffer(d, np.uint8)] += 1
-
-        return counted(pdf, add)
-
-    def more(pdf: pd.DataFrame) -> pd.DataFrame:
-        def add(counts, d, at):
-            counts += np.frombuffer(d, np.int32).reshape(counts.shape)
-
-        return counted(pdf, add)
-
-    def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for r in pdf.itertuples(index=False):
-                counts = np.frombuffer(r.data, np.int32).reshape(-1, 256)
-                n, up = int(counts[0].sum()), counts.cumsum(axis=1)
-                low, high = (up > (n - 1) // 2).argmax(axis=1), (up > n // 2).argmax(axis=1)
-                rows.append([r.tile_y, r.tile_x, r.h, r.w, n, ((low + high) / 2).tolist(), (counts @ np.arange(256) / n).tolist()])
-            yield pd.DataFrame(rows, columns=[*keys, "n_frames", "median", "mean"])
-
-    schema = "tile_y int, tile_x int, h int, w int, part int, data binary"
-    rows = frames.select("height", "width", "channels", "data", F.pmod(F.xxhash64("frame_id", "ts"), F.lit(parts)).cast("int").alias("part")).mapInPandas(tiles, schema)
-    rows = rows.groupBy(*keys, "part").applyInPandas(first, schema)
-    while parts > 1:
-        parts = -(-parts // 16)
-        rows = rows.withColumn("part", F.floor(F.col("part") / 16).cast("int")).groupBy(*keys, "part").applyInPandas(more, schema)
-    return rows.mapInPandas(finish, "tile_y int, tile_x int, h int, w int, n_frames int, median array<double>, mean array<double>")
+    rows = cut(crops(frames, facets))
+    held = cut(rows.select("patch", "mirror_id", "y", "x", "v").join(masks, ["mirror_id", "y", "x"]).drop("mirror_id"))
+    mask = held.select("patch", "y", "x")
+    texture = patches.glcm_features(patches.glcm(held))
+    table = patches.photometric(held).drop("n").join(regions.masked_edges(rows, mask).drop("core_pixels"), "patch", "left")
+    table = table.join(texture.withColumnsRenamed(_NAMES), "patch", "left").join(regions.masked_lbp(rows, mask).drop("core_pixels"), "patch", "left")
+    return _named(rows, table)
 
 
-def crop_window(frames: DataFrame, top: int, left: int, height: int, width: int) -> DataFrame:
-    """The same fixed window of every readable image."""
+def frame_measures(frames: DataFrame, kind: str = "quality") -> DataFrame:
+    """``frame_id, ts`` and one row of frame measures per readable image: ``quality``, ``details``, ``sky`` or ``sun``."""
+    rows = pixel_rows(frames).withColumnRenamed("frame", "patch")
+    # The sides of a frame are its largest places; frames of one archive may differ in size.
+    w = Window.partitionBy("patch")
+    rows = rows.withColumns({"_high": F.max("y").over(w) + 1, "_wide": F.max("x").over(w) + 1})
+    high, wide = F.col("_high"), F.col("_wide")
+    measures = {
+        "quality": lambda: frame_functions.frame_quality(rows, high, wide), "details": lambda: frame_functions.frame_details(rows, high, wide), "sky": lambda: frame_functions.frame_sky(rows, high), "sun": lambda: patches.sun_score(rows, wide, top=600)
+    }
+    found = measures[kind]()
+    return found.select("patch.*", *(c for c in found.columns if c != "patch"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for r, img in _images(batches):
-            if img is not None:
-                c = np.ascontiguousarray(img[top : top + height, left : left + width])
-                yield pd.DataFrame([[r.frame_id, r.ts, *c.shape[:2], c.shape[2] if c.ndim == 3 else 1, c.tobytes()]], columns=["frame_id", "ts", "height", "width", "channels", "data"])
 
-    return frames.select("frame_id", "ts", "height", "width", "channels", "data").mapInPandas(run, "frame_id string, ts timestamp, height int, width int, channels int, data binary")
+def stack_images(frames: DataFrame) -> DataFrame:
+    """``y, x, n, mean, median`` of a stack of images, exact; a place's gray levels are counts of 256 values at most."""
+    return patches.mean_patch(pixel_rows(frames).withColumn("_all", F.lit(0)), "_all").drop("_all")
 
 
-def crop_arrays(crop_rows: DataFrame, height: int = 18, width: int = 16) -> DataFrame:
-    """Crops as gray arrays of one size: ``frame_id, ts, mirror_id, pixels``."""
+def crop_window(frames: DataFrame, top: int, left: int, height: int, width: int) -> DataFrame:
+    """``frame_id, ts, y, x, r, g, b, v``: the same fixed window of every readable image."""
+    rows = pixel_rows(frames).where((F.col("y") >= top) & (F.col("y") < top + height) & (F.col("x") >= left) & (F.col("x") < left + width))
+    return rows.select("frame.*", (F.col("y") - top).alias("y"), (F.col("x") - left).alias("x"), "r", "g", "b", "v")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            out = [px.shrink(px.gray(px.decode(r.h, r.w, r.channels, r.data)), height, width).ravel().tolist() for r in rows.itertuples(index=False)]
-            yield rows[["frame_id", "ts", "mirror_id"]].assign(pixels=out)
 
-    return crop_rows.mapInPandas(run, f"{_KEYS}, pixels array<double>")
+def crop_arrays(rows: DataFrame, height: int = 18, width: int = 16) -> DataFrame:
+    """``frame_id, ts, mirror_id, pixels``: crops as gray arrays of one size."""
+    small = spectra.resized(rows.select("patch", "y", "x", "v"), height, width)
+    arrays = small.groupBy("patch").agg(F.transform(F.sort_array(F.collect_list(F.struct("y", "x", "v"))), lambda p: p["v"]).alias("pixels"))
+    return _named(rows, arrays)
 
 
 def failures(obs: DataFrame) -> DataFrame:

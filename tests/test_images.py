@@ -5,7 +5,7 @@ import pytest
 from images import png
 from pyspark.sql import functions as F
 
-from facetwatch.functions import families, pixels as px, times
+from facetwatch.functions import times
 from facetwatch.operators import extract, geometry
 from facetwatch.plans import workloads
 from facetwatch.schemas import FEATURES, ROW_SIZES
@@ -29,72 +29,65 @@ def archive(tmp_path_factory):
     return top
 
 
-def test_facets_in_blocks_and_pixels_as_rows(spark, archive, monkeypatch):
-    frames = images.read_frames(spark, str(archive / "2025"), "*.png").limit(4).cache()
+def decoded(frames):
+    """Images as arrays of B, G, R."""
+    return {r.frame_id: np.frombuffer(r.data, np.uint8).reshape(r.height, r.width, r.channels) for r in frames.where("height > 0").collect()}
+
+
+def gray(img):
+    b, g, r = (img[..., k].astype(float) for k in range(3))
+    return np.floor(r * 0.299 + g * 0.587 + b * 0.114 + 0.5).astype(int)
+
+
+def test_pixels_of_facets(spark, archive):
+    frames = images.read_frames(spark, str(archive / "2025"), "*.png").limit(3).cache()
+    facets = calibration.read_calibration(spark, str(archive / "calibration.json"))
+    imgs = decoded(frames)
+    inside, whole = {}, {}
+    for r in extract.facet_pixels(frames, facets).collect():
+        inside.setdefault((r.frame_id, r.mirror_id), {})[r.y, r.x] = (r.v, r.r, r.g, r.b)
+    for r in extract.crops(frames, facets).collect():
+        whole.setdefault((r.frame_id, r.mirror_id), {})[r.y, r.x] = (r.v, r.r, r.g, r.b)
+    assert len(inside) == len(whole) == 6
+    for (f, m), px in inside.items():
+        x0, y0, h, w = (5, 5, 20, 30) if m == 0 else (40, 30, 26, 36)
+        g = gray(imgs[f])
+        assert all(px[y, x] == (g[y0 + y, x0 + x], *map(int, imgs[f][y0 + y, x0 + x, ::-1])) for y, x in px)
+        assert set(whole[f, m]) == {(y, x) for y in range(h) for x in range(w)} and (m or len(px) == h * w)
+        assert all(v == px.get(at, (0, 0, 0, 0)) for at, v in whole[f, m].items())
+
+
+def test_facets_off_the_frame_are_dark_there(spark, archive):
+    frames = images.read_frames(spark, str(archive / "2025"), "*.png").limit(1)
+    facets = spark.createDataFrame([(3, [{"x": -4, "y": -2}, {"x": 5, "y": -2}, {"x": 5, "y": 6}, {"x": -4, "y": 6}])], "mirror_id int, points array<struct<x: int, y: int>>")
+    rows = {(r.y, r.x): r.v for r in extract.crops(frames, facets).collect()}
+    assert len(rows) == 90 and all(rows[y, x] == 0 for y, x in rows if y < 2 or x < 4) and sum(v > 0 for v in rows.values()) > 30
+
+
+def test_features_by_family(spark, archive):
+    frames = images.read_frames(spark, str(archive / "2025"), "*.png").limit(3).cache()
     facets = calibration.read_calibration(spark, str(archive / "calibration.json"))
-    whole = sorted(map(repr, extract.extract(frames, facets, ["photometric"]).collect()))
-    one = {(r.frame_id, r.mirror_id): r for r in extract.extract(frames, facets, ["photometric"]).collect()}
     got = extract.features(frames, facets, ["photometric", "gradient"]).collect()
-    assert len(got) == 2 * frames.where("height is not null").count() and got
+    assert len(got) == 6
+    imgs = decoded(frames)
     for r in got:
-        for c in ("median", "cov", "robust_cov", "iqr_norm", "sat_frac"):
-            assert r[c] == pytest.approx(one[r.frame_id, r.mirror_id][c], abs=0.02)
-    monkeypatch.setattr(extract, "MAX_FACETS", 1)
-    assert len(extract.load_facets(facets)) == 3
-    assert sorted(map(repr, extract.extract(frames, facets, ["photometric"]).collect())) == whole
+        if r.mirror_id == 0:
+            v = gray(imgs[r.frame_id])[5:25, 5:35]
+            assert r.median == np.median(v) and r.cov == pytest.approx(v.std() / v.mean(), abs=1e-6) and r.sat_frac == (v >= 250).mean()
     with pytest.raises(KeyError):
         extract.features(frames, facets, ["nothing"])
     with pytest.raises(ValueError):
         extract.features(frames, facets, ["edges", "edges"])
 
 
-def test_stack_in_parts(spark, archive):
+def test_stack_of_images(spark, archive):
     frames = images.read_frames(spark, str(archive / "2025"), "*.png")
-    whole = {(r.tile_y, r.tile_x): r for r in extract.stack_images(frames, 32).collect()}
-    parts = {(r.tile_y, r.tile_x): r for r in extract.stack_images(frames, 32, part=1).collect()}
-    assert len(whole) == 6 and whole == parts
-    stack = np.stack([px.gray(px.decode(r.height, r.width, r.channels, r.data)).astype(np.uint8) for r in frames.where("height is not null").collect()])
-    for (y, x), r in whole.items():
-        own = stack[:, y : y + 32, x : x + 32]
-        assert r.n_frames == len(stack) and r.median == np.median(own, axis=0).ravel().tolist() and r.mean == pytest.approx(own.mean(axis=0).ravel().tolist())
-
-
-def test_polygon_border_counts():
-    m = px.polygon_mask(np.array([[2, 3], [6, 3], [6, 8], [2, 8]]))
-    assert m.shape == (6, 5) and m.all()
-    t = px.polygon_mask(np.array([[0, 0], [8, 0], [0, 8]]))
-    assert t[0].all() and t[:, 0].all() and not t[8, 8] and t.sum() == 45
-
-
-def test_known_patterns():
-    flat, mask = np.full((20, 20), 90.0), np.ones((20, 20), bool)
-    assert px.glcm_measures(flat, mask) == [0, 0, 1, 1, 1]
-    assert px.edge_measures(flat, px.erode(mask))[:3] == [0, 0, 0] and px.photometric(flat, mask)[1] == 0
-    ramp = np.tile(np.arange(20.0) * 4, (20, 1))
-    assert px.edge_measures(ramp, px.erode(mask))[0] == pytest.approx(32) and px.edge_measures(ramp, px.erode(mask))[1] == pytest.approx(0)
-    board = (np.indices((20, 20)).sum(axis=0) % 2) * 255.0
-    contrast, _, _, energy, corr = px.glcm_measures(board, mask, angles=1)
-    assert contrast == 225 and corr == pytest.approx(-1) and energy == pytest.approx(np.sqrt(0.5))
-    assert px.photometric(np.full((20, 20), 255.0), mask)[5] == 1 and np.isnan(px.photometric(flat, np.eye(20, dtype=bool) & (np.arange(20) < 5))[0])
-    assert np.isnan(px.lbp_measures(flat, np.zeros((20, 20), bool))[0])
-
-
-def test_masks_and_parts():
-    g = np.zeros((12, 12))
-    g[2:9, 2:9] = 50
-    g[5, 5] = 0
-    g[11, 11] = 50
-    m = px.patch_mask(g)
-    assert m.sum() == 49 and m[5, 5] and not m[11, 11]
-    fill = px.nearest_inside(m)
-    assert g.ravel()[fill].reshape(12, 12)[0, 0] == 50
-
-
-def test_step_edge_is_found_once():
-    g = np.zeros((20, 20))
-    g[:, 10:] = 200
-    e = px.canny(g)
-    assert e[5:15].sum(axis=1).max() == 1 and e[5:15].any()
+    stack = np.stack([gray(a) for a in decoded(frames).values()])
+    rows = extract.stack_images(frames).collect()
+    assert len(rows) == 60 * 80
+    for r in rows:
+        own = stack[:, r.y, r.x]
+        assert r.n == len(stack) and r.median == np.median(own) and r.mean == pytest.approx(own.mean())
 
 
 def test_read_frames(spark, archive):
@@ -107,13 +100,12 @@ def test_read_frames(spark, archive):
 
 def test_pixel_stage(spark, archive, tmp_path):
     frames, facets = images.read_frames(spark, str(archive), "*.png"), calibration.read_calibration(spark, str(archive / "calibration.json"))
-    obs = extract.extract(frames, facets)
-    assert "Exchange" not in obs._jdf.queryExecution().executedPlan().toString()
+    obs = extract.extract(frames, facets).cache()
     assert obs.columns == ["frame_id", "ts", "mirror_id", "valid", *FEATURES] and obs.count() == 48 and obs.where("valid").count() == 48
     store.write_observations(obs, str(tmp_path / "obs"), meta={"config": "test"})
     back, meta = store.read_observations(spark, str(tmp_path / "obs"))
     assert back.count() == 48 and (meta.first().n_images, meta.first().n_mirrors) == (24, 2)
-    _, base, _ = workloads.build_baseline(frames.where("hour(ts) < 9"), facets)
+    _, base, _ = workloads.build_baseline(frames.where("hour(ts) < 7"), facets)
     assert base.count() == 2 * len(FEATURES)
     some = ["glcm_contrast", "lbp_entropy", "sobel_mean"]
     from facetwatch.operators import baseline, score
@@ -131,47 +123,42 @@ def test_pixel_stage(spark, archive, tmp_path):
 def test_failed_frames_give_nulls(spark, archive):
     frames = images.read_frames(spark, str(archive), "*.png", drop_invalid=False)
     facets = calibration.read_calibration(spark, str(archive / "calibration.json"))
-    obs = extract.extract(frames, facets, ["photometric", "masked_lbp"])
+    obs = extract.extract(frames, facets, ["photometric"])
     bad = extract.failures(obs).where("frame_id = 'broken.png'").first()
     assert (bad.n_valid, bad.n_failed) == (0, 2)
 
 
-def test_every_family(spark, archive):
-    frames = images.read_frames(spark, str(archive), "*.png", max_images=1)
+def test_masked_features(spark, archive):
+    frames = images.read_frames(spark, str(archive), "*.png", max_images=3)
     facets = calibration.read_calibration(spark, str(archive / "calibration.json"))
-    for name, (columns, _) in families.FAMILIES.items():
-        row = extract.extract(frames, facets, [name]).where("mirror_id = 0").first()
-        assert row.valid and len(row) == 4 + len(columns), name
-    with pytest.raises(ValueError):
-        families.columns(["glcm", "masked_glcm"])
-    with pytest.raises(KeyError):
-        families.columns(["nothing"])
-
-
-def test_crops_masks_stacks_measures(spark, archive, tmp_path):
-    frames = images.read_frames(spark, str(archive), "*.png")
+    masks = extract.facet_masks(frames, facets)
+    assert masks.where("mirror_id = 0").count() == 600 and 400 < masks.where("mirror_id = 1").count() < 26 * 36
+    rows = extract.masked_features(frames, facets, masks).collect()
+    img = decoded(frames)
+    assert len(rows) == 6
+    for r in rows:
+        assert r.glcm_contrast is not None and r.lbp_entropy > 1 and 0 < r.edge_density <= 1
+        if r.mirror_id == 0:
+            assert r.median == np.median(gray(img[r.frame_id])[5:25, 5:35])
+
+
+def test_crops_stacks_measures(spark, archive, tmp_path):
+    frames = images.read_frames(spark, str(archive), "*.png", max_images=6)
     facets = calibration.read_calibration(spark, str(archive / "calibration.json"))
     cut = extract.crops(frames, facets)
-    store.write_crops(cut, str(tmp_path / "crops"))
+    store.write_crops(cut.drop("patch"), str(tmp_path / "crops"))
     back = spark.read.parquet(str(tmp_path / "crops"))
-    info = {r.mirror_id: r.n_observations for r in store.crop_info(back).collect()}
-    assert info == {0: 24, 1: 24, None: 48} and store.crop_manifest(back).where("entry = 23").count() == 2
-    assert {len(r.pixels) for r in extract.crop_arrays(back.limit(3)).collect()} == {288}
-    assert extract.facet_masks(frames, facets).where("mirror_id = 0").first().h == 20
-    tiles = extract.stack_images(frames, 32).collect()
-    assert len(tiles) == 6 and all(t.n_frames == 24 and len(t["median"]) == t.h * t.w for t in tiles)
-    for kind in ("quality", "details", "sky", "sun"):
-        assert extract.frame_measures(frames, kind).count() == 24
-    assert extract.crop_window(frames, 0, 0, 10, 12).first().height == 10
-    assert workloads.select_frames(frames, "good", (6, 8)).count() <= 12
-
-
-def test_color_measures():
-    blue = np.zeros((30, 30, 3), np.uint8)
-    blue[:, :, 0] = 200
-    h, s, v = px.hsv(blue)
-    assert (h == 120).all() and (s == 255).all() and (v == 200).all()
-    assert px.sky_measures(blue)["blue_ratio"] == 1.0 and px.gray(blue)[0, 0] == 23 and px.gray(blue, False)[0, 0] == 22
+    assert {r.mirror_id: r.n for r in back.groupBy("mirror_id").agg(F.count("*").alias("n")).collect()} == {0: 6 * 600, 1: 6 * 26 * 36}
+    entries = back.select("mirror_id", "frame_id", "ts").distinct()
+    info = {r.mirror_id: r.n_observations for r in store.crop_info(entries).collect()}
+    assert info == {0: 6, 1: 6, None: 12} and store.crop_manifest(entries).where("entry = 5").count() == 2
+    assert {len(r.pixels) for r in extract.crop_arrays(cut).collect()} == {288}
+    for kind, column in (("quality", "sharpness"), ("details", "entropy"), ("sky", "blue_ratio"), ("sun", "sun_score")):
+        rows = extract.frame_measures(frames, kind).collect()
+        assert len(rows) == 6 and all(r[column] is not None and r.ts for r in rows)
+    window = extract.crop_window(frames, 3, 4, 10, 12)
+    assert window.count() == 6 * 120 and window.where("frame_id like '%060000M.png' and y = 0 and x = 0").first().v == gray(decoded(frames)["IRCamM1T20251005_060000M.png"])[3, 4]
+    assert workloads.select_frames(images.read_frames(spark, str(archive), "*.png"), "good", (6, 8)).count() <= 12
 
 
 def test_calibration_round_trip(spark, archive, tmp_path):
