@@ -200,6 +200,26 @@ def mahalanobis_2d(spark, sf_dir):
     return rnd(score.mahalanobis(obs, vb, "unit", ["quantity", "tax"]).select("frame", "unit", "mahalanobis"))
 
 
+def _minor(rows: list[int], columns: list[int]) -> str:
+    """The determinant of a part of the covariance ``k<i>_<j>``, written out."""
+    if not rows:
+        return "1.0"
+    first, rest = rows[0], rows[1:]
+    return "(" + " + ".join(f"{'-' if i % 2 else ''}k{min(first, c)}_{max(first, c)} * {_minor(rest, [x for x in columns if x != c])}" for i, c in enumerate(columns)) + ")"
+
+
+_K4 = range(len(L_FEATURES))
+_VEC4 = OBS_L + ", b AS (SELECT unit, " + ", ".join(f"median({f}) AS m{i}" for i, f in enumerate(L_FEATURES)) + ", " + ", ".join(f"covar_samp({L_FEATURES[i]}, {L_FEATURES[j]}){' + 1e-6' if i == j else ''} AS k{i}_{j}" for i in _K4 for j in _K4 if i <= j) + " FROM obs GROUP BY unit HAVING count(*) >= 6)"
+_FORM4 = " + ".join(f"{'-' if (i + j) % 2 else ''}({L_FEATURES[i]} - m{i}) * ({L_FEATURES[j]} - m{j}) * {_minor([x for x in _K4 if x != i], [x for x in _K4 if x != j])}" for i in _K4 for j in _K4)
+
+
+@query(f"WITH {_VEC4} SELECT frame, unit, {_r(f'mahalanobis=sqrt(greatest(({_FORM4}) / {_minor(list(_K4), list(_K4))}, 0))', digits=3)} FROM obs JOIN b USING (unit)")
+def mahalanobis_all(spark, sf_dir):
+    """Distance to the vector baseline over all four features."""
+    obs = obs_l(spark, sf_dir)
+    return rnd(score.mahalanobis(obs, baseline.vector_baseline(obs, "unit", L_FEATURES), "unit", L_FEATURES).select("frame", "unit", "mahalanobis"), 3)
+
+
 @query(f"""WITH {_VEC} SELECT frame, unit, {_r("euclidean=sqrt(((quantity - mq) / sq) * ((quantity - mq) / sq) + ((tax - mt) / st) * ((tax - mt) / st))")} FROM obs JOIN b USING (unit)""")
 def euclidean_std(spark, sf_dir):
     obs = obs_l(spark, sf_dir)
