@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from facetwatch.operators.lineage import components, cut, fewer, remove, scratch, settled, shared_dir
 
-__all__ = ["BROADCAST_IDS", "components", "claim", "cut", "fewer", "remove", "scratch", "settled", "shared_dir", "table", "without"]
+__all__ = ["BROADCAST_IDS", "components", "claim", "cut", "fewer", "release", "remove", "scratch", "settled", "shared_dir", "table", "without"]
 
 #: What an operator keeps in a Python worker from one task to the next.
 _kept: dict[str, dict] = {}
@@ -18,11 +23,22 @@ BROADCAST_IDS = 500_000
 
 def claim(operator: str) -> dict:
     """The worker's cache of an operator. A worker serves one operator after another; what earlier ones left is dropped."""
-    for other in [k for k in _kept if k != operator]:
+    others = [k for k in _kept if k != operator]
+    for other in others:
         del _kept[other]
+    if others:
+        release()
     return _kept.setdefault(operator, {})
 
 
+def release() -> None:
+    """Gives memory that is free in this worker back to the machine; a worker outlives its tasks, and other workers share its executor's limit."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where there is no such C library, it stays with the worker
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table, read by Spark from whatever store ``sf_dir`` names.
 

@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from facetwatch.llm.common import BROADCAST_IDS, claim, components, cut, fewer, settled, without
+from facetwatch.llm.common import BROADCAST_IDS, claim, components, cut, fewer, release, settled, without
 from facetwatch.llm.simhash import BLOCK, SEED, links, majority
 
 BANDS, ROWS = 32, 5
@@ -100,6 +100,7 @@ def _sets(docs: DataFrame, size: int, what: str) -> DataFrame:
                 flat = pa.array(np.concatenate([*lists, np.zeros(0, np.uint64)]).view(np.int64))
                 cols = [b.column(0), pa.array(np.array(sids, np.uint64).view(np.int64)), pa.array(ns, pa.int64()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.ListArray.from_arrays(pa.array(ends), flat)]
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "sid", "n", "fp", what])
+        release()
 
     return docs.mapInArrow(run, f"doc_id long, sid long, n long, fp long, {what} array<bigint>")
 

@@ -89,10 +89,10 @@ class Encoder:
 
 def encoder(path: str, keep: int) -> Encoder:
     """One encoder per Python worker, so its cache serves all tasks there."""
-    kept = claim("packing")
-    if path not in kept:
-        kept[path] = Encoder(path, keep)
-    return kept[path]
+    kept = claim("tokens")  # with the model that it uses
+    if (path, keep) not in kept:
+        kept[path, keep] = Encoder(path, keep)
+    return kept[path, keep]
 
 
 class Packer:

@@ -37,6 +37,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from facetwatch.llm.common import claim
+
 #: White space of the tokenizer below U+0180, and its word pattern there.
 _SPACE = "\t-\r \x85\xa0"
 _LETTER, _DIGIT = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-įı-ſ", "0-9\xb2\xb3\xb9\xbc-\xbe"
@@ -48,11 +50,10 @@ BLOCK_PAIRS = 2_000_000
 #: Postings in a block above which a pre-token is salted.
 WIDE = 64
 
-_models: dict[str, object] = {}
-
 
 def model(path: str):
-    """The tokenizer of a file, loaded once per Python worker."""
+    """The tokenizer of a file, loaded once per Python worker and dropped when an operator without one claims the worker."""
+    _models = claim("tokens")
     if path not in _models:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         if path.endswith(".model"):
