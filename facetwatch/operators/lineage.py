@@ -65,26 +65,28 @@ def components(edges: DataFrame) -> DataFrame:
     map-side combining) and joined back, so a hub never becomes one task's
     list; a hub's join partition is split by adaptive execution. Each round is
     checkpointed, and rounds go on until nothing changes, which takes of the order of
-    log(nodes) squared of them. Edges with a null end or equal ends are ignored.
+    log(nodes) squared of them. A step has as many partitions as its edges ask for
+    (``fewer``), so a small graph is one partition and shuffles nothing. Edges with a null
+    end or equal ends are ignored.
     """
     pairs = edges.where("a is not null and b is not null and a <> b")
-    pairs = pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    pairs = settled(pairs)
-    before = None
+    pairs = cut(pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    rows, before = pairs.count(), None
+    pairs = fewer(pairs, rows)
     while True:
         # Large star: every neighbour above u goes to u's smallest neighbour.
-        both = pairs.select("u", "v").unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = fewer(pairs.select("u", "v").unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))), rows)
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where("u <> v").distinct()
         # Small star: u and its smaller neighbours go to the smallest of them.
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        pairs = cut(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+        pairs = cut(fewer(small.unionByName(low.select("u", F.col("m").alias("v"))), rows).distinct())
         now = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if now == before:
             break
-        before = now
-        pairs = fewer(pairs, now[0])
+        before, rows = now, now[0]
+        pairs = fewer(pairs, rows)
     roots = pairs.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
