@@ -353,12 +353,15 @@ def ood_counts(scored: DataFrame, frame: str) -> DataFrame:
     return scored.groupBy(frame).agg(F.count("*").alias("n"), F.count_if("is_ood").alias("n_ood"), F.avg(F.col("is_ood").cast("double")).alias("share"))
 
 
-def out_of_distribution(df: DataFrame, centres: DataFrame, array: str, threshold: float = 0.7) -> DataFrame:
+def out_of_distribution(df: DataFrame, centres: DataFrame, array: str, threshold: float = 0.7, most: int = 10_000) -> DataFrame:
     """``max_cos`` to the prototypes, and ``is_ood`` where it is below the threshold.
 
     ``centres`` is a few dozen rows (a fitted k or the number of labels); it is
-    gathered into one row and broadcast.
+    gathered into one row and broadcast. More than ``most`` of them are an error.
     """
+    centres = cut(centres)
+    if centres.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} prototypes")
     bank = centres.agg(F.collect_list("centre").alias("_bank"))
     own = F.sqrt(dot(array, array))
     cos = F.transform("_bank", lambda c: dot(array, c) / (own * F.sqrt(dot(c, c)) + 1e-12))

@@ -98,6 +98,8 @@ def test_vectors_far_from_all_prototypes(spark):
     cos = (x @ c.T / np.linalg.norm(x, axis=1)[:, None] / np.linalg.norm(c, axis=1)[None]).max(axis=1)
     got = {r.label: (r.n, r.n_ood) for r in ml.ood_counts(ml.out_of_distribution(df, centres, "e", 0.7), "label").collect()}
     assert got == {k: (50, int((cos[k::4] < 0.7).sum())) for k in range(4)}
+    with pytest.raises(ValueError):
+        ml.out_of_distribution(df, centres, "e", most=6)
 
 
 def test_outlier_lists_as_rows(spark):
