@@ -76,7 +76,8 @@ def resized(pixels: DataFrame, height: int, width: int) -> DataFrame:
     """``patch, y, x, v``: area means on a grid of any size, smaller or larger.
 
     A pixel gives its value to every cell that it overlaps, in proportion to the overlap;
-    overlaps are whole numbers over the number of pixels of a side.
+    overlaps are whole numbers over the number of pixels of a side, divided at the end, so that
+    means of whole levels are exact sums and level areas have equal ones.
     """
     rows = sized(pixels.select("patch", "y", "x", F.col("v").cast("double").alias("v")))
 
@@ -85,12 +86,12 @@ def resized(pixels: DataFrame, height: int, width: int) -> DataFrame:
         return F.explode(F.sequence(first, last))
 
     def share(c: str, cell: str, n: str, many: int) -> Column:
-        return (F.least((F.col(cell) + 1) * F.col(n), (F.col(c) + 1) * many) - F.greatest(F.col(cell) * F.col(n), F.col(c) * many)) / F.col(n)
+        return F.least((F.col(cell) + 1) * F.col(n), (F.col(c) + 1) * many) - F.greatest(F.col(cell) * F.col(n), F.col(c) * many)
 
     rows = rows.withColumn("_i", cells("y", "h", height)).withColumn("v", F.col("v") * share("y", "_i", "h", height))
-    rows = rows.groupBy("patch", "w", "_i", "x").agg(F.sum("v").alias("v"))
+    rows = rows.groupBy("patch", "h", "w", "_i", "x").agg(F.sum("v").alias("v"))
     rows = rows.withColumn("_j", cells("x", "w", width)).withColumn("v", F.col("v") * share("x", "_j", "w", width))
-    return rows.groupBy("patch", F.col("_i").cast("int").alias("y"), F.col("_j").cast("int").alias("x")).agg(F.sum("v").alias("v"))
+    return rows.groupBy("patch", "h", "w", "_i", "_j").agg(F.sum("v").alias("v")).select("patch", F.col("_i").cast("int").alias("y"), F.col("_j").cast("int").alias("x"), (F.col("v") / (F.col("h") * F.col("w"))).alias("v"))
 
 
 def hog_blocks(pixels: DataFrame, cell: int = 4, bins: int = 9, block: int = 2) -> DataFrame:

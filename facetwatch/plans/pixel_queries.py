@@ -179,7 +179,13 @@ def patch_resized(spark, sf_dir):
     return rnd(spectra.resized(pixels(spark, sf_dir), 6, 5))
 
 
-@query(f"""WITH {PIXELS}, {_sql_resized(13, 12)}, g AS (SELECT c.patch, c.y, c.x, CASE WHEN c.x BETWEEN 1 AND 10 THEN max(CASE WHEN n.x = c.x + 1 THEN n.v END) - max(CASE WHEN n.x = c.x - 1 THEN n.v END) ELSE 0 END AS gx,
+def _sql_resized_whole(height: int, width: int) -> str:
+    """CTE ``rs``: the same with overlaps as whole eighths, so that level areas have equal means and no gradient by rounding."""
+    over = lambda c, cell, many: f"greatest(0, least(({cell} + 1) * 8, ({c} + 1) * {many}) - greatest({cell} * 8, {c} * {many}))"
+    return f"rs AS (SELECT patch, i::INTEGER AS y, j::INTEGER AS x, sum(v * {over('y', 'i', height)} * {over('x', 'j', width)}) / 64.0::DOUBLE AS v FROM px, (SELECT unnest(range({height})) AS i), (SELECT unnest(range({width})) AS j) GROUP BY 1, 2, 3)"
+
+
+@query(f"""WITH {PIXELS}, {_sql_resized_whole(13, 12)}, g AS (SELECT c.patch, c.y, c.x, CASE WHEN c.x BETWEEN 1 AND 10 THEN max(CASE WHEN n.x = c.x + 1 THEN n.v END) - max(CASE WHEN n.x = c.x - 1 THEN n.v END) ELSE 0 END AS gx,
         CASE WHEN c.y BETWEEN 1 AND 11 THEN max(CASE WHEN n.y = c.y + 1 THEN n.v END) - max(CASE WHEN n.y = c.y - 1 THEN n.v END) ELSE 0 END AS gy FROM rs c JOIN rs n ON n.patch = c.patch AND abs(n.y - c.y) + abs(n.x - c.x) = 1 GROUP BY 1, 2, 3),
     t AS (SELECT patch, y // 4 AS cy, x // 4 AS cx, (floor(round((((degrees(atan2(gy, gx)) % 180) + 180) % 180) / 20, 9)) % 9)::INTEGER AS bin, sqrt(gx * gx + gy * gy) AS m FROM g WHERE y < 12),
     c AS (SELECT patch, cy, cx, bin, sum(m) / 16 AS v FROM t GROUP BY 1, 2, 3, 4 HAVING sum(m) > 0), b AS (SELECT patch, b_y, b_x, cy - b_y AS cell_y, cx - b_x AS cell_x, bin, v FROM c, (SELECT unnest(range(2)) AS b_y), (SELECT unnest(range(2)) AS b_x) WHERE cy - b_y IN (0, 1) AND cx - b_x IN (0, 1)),

@@ -3,11 +3,15 @@
 import math
 import random
 
+import duckdb
 import numpy as np
 import pytest
+from oracle import plain
 from pyspark.sql import functions as F
 
+import __spark_entry__  # noqa: F401  registers all queries
 from facetwatch.functions import frames, regions, spectra
+from facetwatch.plans.queries import ORACLE_SQL, QUERIES
 
 
 def images(seed=1):
@@ -145,3 +149,21 @@ def test_states_of_parts_add_up(spark):
     split = frames.brightness(frames.merged(*(frames.level_state(parts.where(F.col("part") == k), 24, 30, frames.HOUSING) for k in range(3))))
     same = lambda df: sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in df.select(*whole.columns).collect())
     assert same(whole) == same(split)
+
+
+def test_block_histograms_of_level_areas_equal_sql(spark, tmp_path):
+    """Flat, striped and two-level patches: a level area has no gradient, neither here nor in SQL."""
+    rng = np.random.default_rng(3)
+    levels = [np.full((8, 8), 77), np.tile(rng.integers(0, 256, 8), (8, 1)), np.tile(rng.integers(0, 256, (8, 1)), (1, 8)), rng.integers(0, 2, (8, 8)) * 133]
+    rows = [(i, [float(v) for v in ((g + 0.5) / 255 - 0.5).ravel()], 0) for i, g in enumerate(levels)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    got = QUERIES["patch_hog_blocks"](spark, str(tmp_path)).toPandas()
+    assert plain(got) == plain(con.execute(ORACLE_SQL["patch_hog_blocks"]).df())
+    assert 0 not in set(got["patch"])
+
+
+def test_resized_flat_patches_stay_flat(spark):
+    imgs = {k: np.full(size, 77) for k, size in enumerate([(9, 7), (18, 11), (13, 12), (6, 23)])}
+    assert {r.v for r in spectra.resized(table(spark, imgs), 13, 12).select("v").collect()} == {77.0}
