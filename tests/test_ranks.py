@@ -116,3 +116,14 @@ def test_pixel_rows_of_frames(spark):
         assert got == sorted(want)
     cut_off = {r.v for r in colours.gray(images.frame_pixels(df.where("frame_id = 'a'")), rounded=False, key="frame").collect()}
     assert cut_off == {2}
+
+
+def test_bank_is_the_first_tenth_of_the_ids(spark, tmp_path):
+    """The bank grows with the archive: of 6000 ids those below 600 are in it, and no others."""
+    from facetwatch.plans.queries import QUERIES
+
+    rng = np.random.default_rng(6)
+    data = [(i, [float(v) for v in rng.normal(size=64)], i % 2) for i in range(6000)]
+    spark.createDataFrame(data, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    keys = {r.best_key for r in QUERIES["ncc_bank"](spark, str(tmp_path)).select("best_key").collect()}
+    assert max(keys) < 600 and len(keys & set(range(400, 600))) > 150
