@@ -4,9 +4,10 @@ A group's rows go to the nearest of its pivots, which are a bounded sample of it
 each pivot's rows to blocks of bounded size. A block knows its pivot and its radius.
 By the triangle inequality two blocks hold no rows within ``eps`` of each other when
 their pivots lie further apart than both radii and ``eps``, so only the other pairs of blocks
-meet: each pair is one small task that holds two blocks. There, a row of one block is
-measured only if its distance to the other block's pivot is at most that block's radius and
-``eps``. What a task sends on grows with its rows, never with the pairs of rows it finds.
+meet. Blocks are dealt to a few parts, and a task holds the blocks of two parts: a row is sent
+once for each part that it meets, not for each block. There, blocks are passed over by the
+same rule around their means, and so are single rows too far from the other block. What a
+task sends on grows with its rows, never with the pairs of rows it finds.
 """
 
 from __future__ import annotations
@@ -34,14 +35,26 @@ def blocked(points: DataFrame, pivots: int = MOST_PIVOTS, block_rows: int = 4096
     drawn = points.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= pivots)
     drawn = drawn.join(counts, "group").where(F.col("_k") <= F.greatest(F.lit(1), F.ceil(F.col("_n") / 64)))
     banks = cut(drawn.groupBy("group", "_n").agg(F.collect_list("x").alias("_bank")))
-    gap = lambda p: F.sqrt(F.aggregate(F.zip_with("x", p, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v))
-    rows = points.join(banks, "group")
-    best = F.array_min(F.transform("_bank", lambda p, i: F.struct(gap(p).alias("d"), i.alias("i"))))
-    rows = rows.withColumn("_best", best).select("group", "id", "x", F.col("_best.i").alias("_pivot"), F.col("_best.d").alias("_d"))
+    # A group's rows meet its pivots in parts, each one product of matrices.
+    rows = points.select("group", "id", "x").join(counts, "group").withColumn("_part", F.pmod(F.xxhash64("id"), F.ceil(F.col("_n") / 16_384)).cast("int")).drop("_n")
+    held = banks.select("group", F.explode(F.sequence(F.lit(0), F.ceil(F.col("_n") / 16_384).cast("int") - 1)).alias("_part"), "_bank")
+    held = held.toDF(*held.columns)  # columns of its own, for the cogroup
+    kind = points.schema["group"].dataType.simpleString()
+
+    def nearest(own: pa.Table, bank: pa.Table) -> pa.Table:
+        own = own.select(["group", "id", "x"])
+        pivot, far = np.zeros(own.num_rows, np.int32), np.zeros(own.num_rows)
+        if own.num_rows and bank.num_rows:
+            x, b = _matrix(own, "x"), np.array(bank.column("_bank")[0].as_py(), float)
+            pivot = ((b * b).sum(axis=1)[None] - 2 * x @ b.T).argmin(axis=1).astype(np.int32)
+            far = np.sqrt(((x - b[pivot]) ** 2).sum(axis=1))
+        return own.append_column("_pivot", pa.array(pivot)).append_column("_d", pa.array(far))
+
+    rows = cut(rows.groupBy("group", "_part").cogroup(held.groupBy("group", "_part")).applyInArrow(nearest, f"group {kind}, id long, x array<double>, _pivot int, _d double"))
     # A pivot with many rows has several blocks, by hash.
-    sizes = rows.groupBy("group", "_pivot").agg(F.ceil(F.count("*") / block_rows).alias("_parts"))
+    sizes = cut(rows.groupBy("group", "_pivot").agg(F.ceil(F.count("*") / block_rows).alias("_parts")))
     rows = rows.join(sizes, ["group", "_pivot"]).withColumn("block", (F.col("_pivot").cast("long") * (1 << 32) + F.pmod(F.xxhash64("id"), F.col("_parts"))))
-    rows = cut(rows.select("group", "block", "id", "x", "_d", "_pivot"))
+    rows = rows.select("group", "block", "id", "x", "_d", "_pivot")
     blocks = rows.groupBy("group", "block", "_pivot").agg(F.max("_d").alias("radius")).join(banks, "group")
     return rows.drop("_d", "_pivot"), cut(blocks.select("group", "block", F.col("_bank")[F.col("_pivot")].alias("pivot"), "radius"))
 
@@ -54,56 +67,98 @@ def block_pairs(blocks: DataFrame, eps: float) -> DataFrame:
     return blocks.join(other, "group").where((F.col("block") <= F.col("block_")) & near).select("group", F.col("block").alias("left"), F.col("block_").alias("right"))
 
 
-def _sides(rows: DataFrame, pairs: DataFrame, blocks: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Rows of the left and of the right block of each pair, with the other block's pivot and radius; a block paired with itself is a left side only."""
+#: A group's blocks are dealt to this many parts at most, more only where a part would have over PART_ROWS rows.
+MOST_PARTS, PART_ROWS = 6, 131_072
 
-    def side(own: str, other: str) -> DataFrame:
-        far = blocks.select("group", F.col("block").alias(other), F.col("pivot").alias("_p"), F.col("radius").alias("_r"))
-        return rows.withColumnRenamed("block", own).join(pairs.join(far, ["group", other]), ["group", own]).select("group", "left", "right", "id", "x", "_p", "_r", *columns)
 
-    return side("left", "right"), side("right", "left").where("left <> right")
+def _parts(rows: DataFrame) -> DataFrame:
+    """``group, block, part``: the blocks of a group in parts of about equal rows, few enough that a row is sent a bounded number of times."""
+    sizes = rows.groupBy("group", "block").agg(F.count("*").alias("_n"))
+    order = Window.partitionBy("group").orderBy("block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    total = F.sum("_n").over(Window.partitionBy("group"))
+    # A small group is one part; beyond that parts are bounded in number, then in rows.
+    parts = F.greatest(F.least(F.ceil(total / 2048), F.lit(MOST_PARTS)), F.ceil(total / PART_ROWS))
+    return sizes.select("group", "block", F.floor((F.sum("_n").over(order) - F.col("_n")) * parts / total).cast("int").alias("part"))
+
+
+def _sides(rows: DataFrame, pairs: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Rows of the left and of the right part of each pair of parts; a row goes only to pairs where its block has a near block, and a part paired with itself is a left side only."""
+    parts = cut(_parts(rows))
+    named = lambda side: parts.select("group", F.col("block").alias(side), F.col("part").alias(f"_{side}"))
+    # Pairs of blocks by number; parts follow the order of blocks, so left parts are never behind right ones.
+    met = cut(pairs.join(named("left"), ["group", "left"]).join(named("right"), ["group", "right"]))
+    places = [F.col("_left").alias("left"), F.col("_right").alias("right")]
+    first = met.select("group", F.col("left").alias("block"), *places)
+    second = met.select("group", F.col("right").alias("block"), *places)
+    # In a part paired with itself both blocks of a pair are rows of the left side.
+    left = first.unionByName(second.where("left = right")).distinct()
+    right = second.where("left <> right").distinct()
+    return tuple(rows.join(side, ["group", "block"]).select("group", "left", "right", "block", "id", "x", *columns) for side in (left, right))
 
 
 def _matrix(t: pa.Table, column: str) -> np.ndarray:
     return t.column(column).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1).astype(float)
 
 
+def _balls(x: np.ndarray, blocks: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, float]]:
+    """Row places, centre and radius of each block."""
+    order = np.argsort(blocks, kind="stable")
+    out = []
+    for places in np.split(order, np.flatnonzero(np.diff(blocks[order])) + 1):
+        if len(places):
+            centre = x[places].mean(axis=0)
+            out.append((places, centre, float(np.linalg.norm(x[places] - centre, axis=1).max())))
+    return out
+
+
 def _near(left: pa.Table, right: pa.Table, same: bool, eps: float, meet: Callable, step: int = 1 << 20) -> int:
     """Calls ``meet(i, j)`` with row places of near pairs, part by part; returns how many distances were taken.
 
-    A block with itself gives each pair once, the smaller place first.
+    Each side's blocks are balls around their own mean; pairs of balls too far apart are
+    passed over, and so are rows too far from the other ball. A part with itself gives each pair once.
     """
     a = _matrix(left, "x")
     b = a if same else _matrix(right, "x")
-    rows, others = np.arange(len(a)), np.arange(len(b))
-    if not same:
-        reach = eps * (1 + 1e-9) + 1e-9
-        # Rows too far from the other block's pivot have no near row in it.
-        rows = rows[np.linalg.norm(a - _matrix(left.slice(0, 1), "_p"), axis=1) <= left.column("_r")[0].as_py() + reach]
-        others = others[np.linalg.norm(b - _matrix(right.slice(0, 1), "_p"), axis=1) <= right.column("_r")[0].as_py() + reach]
-    square, taken, wide = (b[others] ** 2).sum(axis=1), 0, max(1, step // max(1, len(others)))
-    slack = eps * eps * 1e-6 + 1e-9 * (1 + float(max((a * a).sum(axis=1).max(initial=0), square.max(initial=0))))
-    for at in range(0, len(rows), wide):
-        part = rows[at : at + wide]
-        rough = (a[part] ** 2).sum(axis=1)[:, None] + square[None] - 2 * a[part] @ b[others].T
-        # Products round; what passes with some slack is measured again by its differences.
-        i, j = np.nonzero(rough <= eps * eps + slack)
-        i, j = part[i], others[j]
-        if same:
-            i, j = i[i < j], j[i < j]
-        keep = ((a[i] - b[j]) ** 2).sum(axis=1) <= eps * eps + 1e-12
-        taken += rough.size
-        meet(i[keep], j[keep])
+    ones = _balls(a, left.column("block").to_numpy())
+    others = ones if same else _balls(b, right.column("block").to_numpy())
+    reach, taken = eps * (1 + 1e-9) + 1e-9, 0
+    squares = ((a * a).sum(axis=1), (b * b).sum(axis=1))
+    slack = eps * eps * 1e-6 + 1e-9 * (1 + float(max(v.max(initial=0) for v in squares)))
+    for k, (rows, centre, radius) in enumerate(ones):
+        near, twice = [], False
+        for m in range(k if same else 0, len(others)):
+            places, middle, wide = others[m]
+            if same and m == k:
+                near, twice = [places], True
+            elif np.linalg.norm(centre - middle) <= radius + wide + reach:
+                near.append(places[np.linalg.norm(b[places] - centre, axis=1) <= radius + reach])
+        # All rows near this ball at once: products of matrices are of some size.
+        cols = np.concatenate(near) if near else rows[:0]
+        if not len(cols):
+            continue
+        high = max(1, step // len(cols))
+        for at in range(0, len(rows), high):
+            part = rows[at : at + high]
+            rough = squares[0][part][:, None] + squares[1][cols][None] - 2 * a[part] @ b[cols].T
+            # Products round; what passes with some slack is measured again by its differences.
+            i, j = np.nonzero(rough <= eps * eps + slack)
+            if twice:  # the ball's own rows come first, in the same order
+                once = j > i + at
+                i, j = i[once], j[once]
+            i, j = part[i], cols[j]
+            keep = ((a[i] - b[j]) ** 2).sum(axis=1) <= eps * eps + 1e-12
+            taken += rough.size
+            meet(i[keep], j[keep])
     return taken
 
 
 def _run(rows: DataFrame, pairs: DataFrame, blocks: DataFrame, columns: list[str], work: Callable, schema: str) -> DataFrame:
-    """``work(same, left, right)`` for each pair of blocks; ``same``: the pair is a block with itself, and ``right`` is empty."""
+    """``work(same, left, right)`` for each pair of parts; ``same``: the pair is a part with itself, and ``right`` is empty."""
 
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         return work(key[1].as_py() == key[2].as_py(), left, right)
 
-    left, right = _sides(rows, pairs, blocks, columns)
+    left, right = _sides(rows, pairs, columns)
     right = right.toDF(*right.columns)  # columns of its own, for the cogroup
     return left.groupBy("group", "left", "right").cogroup(right.groupBy("group", "left", "right")).applyInArrow(run, schema)
 
@@ -135,7 +190,7 @@ def neighbour_counts(rows: DataFrame, pairs: DataFrame, blocks: DataFrame, eps:
 
 
 def core_links(rows: DataFrame, pairs: DataFrame, blocks: DataFrame, eps: float) -> DataFrame:
-    """``a, b``: links that join near core rows up, from ``rows`` that are all core; a pair of blocks sends at most one for each of its rows."""
+    """``a, b``: links that join near core rows up, from ``rows`` that are all core; a pair of parts sends at most one for each of its rows."""
 
     def work(same: bool, left: pa.Table, right: pa.Table) -> pa.Table:
         root, shift = np.arange(left.num_rows + right.num_rows), 0 if same else left.num_rows

@@ -108,6 +108,19 @@ def test_metric_blocks_spare_distances_and_lose_no_pair(spark):
         assert links.count() < sum(want) / 4  # a few for each row, not all pairs
 
 
+def test_rows_are_sent_once_for_each_part(spark):
+    """Rows that are all about equally far apart meet all blocks, but are sent only to a few pairs of parts."""
+    x = np.random.default_rng(7).normal(size=(3000, 8))
+    points = spark.createDataFrame([(1, i, [float(v) for v in p]) for i, p in enumerate(x)], "group int, id long, x array<double>")
+    rows, blocks = nearness.blocked(points, block_rows=20)
+    pairs = nearness.block_pairs(blocks, 2.0)
+    assert blocks.count() > 60 and pairs.count() > 1500
+    assert sum(side.count() for side in nearness._sides(rows, pairs, [])) <= (nearness.MOST_PARTS + 1) * len(x)
+    want = (((x[:, None] - x[None]) ** 2).sum(axis=2) <= 4.0).sum(axis=1) - 1
+    found = {r.id: r.n for r in nearness.neighbour_counts(rows, pairs, blocks, 2.0).where("n > 0").collect()}
+    assert found == {i: n for i, n in enumerate(want) if n}
+
+
 def test_dbscan_of_odd_rows(spark):
     rows = [(1, 1, [0.0, 0.0]), (1, 1, [0.0, 0.0]), (1, 2, None), (1, 3, [0.0, None]), (None, 4, [0.0, 0.0]), (2, 5, [float("nan"), 0.0]), (2, 6, [5.0, 5.0])]
     df = spark.createDataFrame(rows, "unit int, frame int, x array<double>")
