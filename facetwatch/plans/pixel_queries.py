@@ -214,7 +214,7 @@ def _sql_corners(source: str) -> str:
 
 @query(f"WITH {PIXELS}, {_sql_corners('px')} SELECT patch, {_r('direction_std', 'corner_density')} FROM dr JOIN ch USING (patch)")
 def patch_corners(spark, sf_dir):
-    return rnd(regions.corners(pixels(spark, sf_dir)))
+    return rnd(regions.corners(patches.dealt(pixels(spark, sf_dir))))
 
 
 # Frame measures; colour patches of 8 x 8 pixels stand for frames.
