@@ -90,6 +90,7 @@ def advanced(pixels: DataFrame) -> DataFrame:
     """
     from facetwatch.functions import patches, regions, spectra
 
+    pixels = patches.dealt(pixels)
     levels = gray(pixels)
     patterns = patches.lbp_shares(levels).groupBy("patch").agg(*(F.coalesce(F.max(F.when(F.col("code") == k, F.col("share"))), F.lit(0.0)).alias(f"lbp_bin_{k}") for k in range(5)))
     texture = patches.glcm_features(patches.glcm(levels, 64, angles=1))
