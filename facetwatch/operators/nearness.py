@@ -190,7 +190,10 @@ def neighbour_counts(rows: DataFrame, pairs: DataFrame, blocks: DataFrame, eps:
 
 
 def core_links(rows: DataFrame, pairs: DataFrame, blocks: DataFrame, eps: float) -> DataFrame:
-    """``a, b``: links that join near core rows up, from ``rows`` that are all core; a pair of parts sends at most one for each of its rows."""
+    """``a, b``: links that join near core rows up, from ``rows`` that are all core; a pair of parts sends at most one for each of its rows.
+
+    A row that has a near row is at an end of some link.
+    """
 
     def work(same: bool, left: pa.Table, right: pa.Table) -> pa.Table:
         root, shift = np.arange(left.num_rows + right.num_rows), 0 if same else left.num_rows
@@ -242,19 +245,22 @@ def dbscan(points: DataFrame, eps: float, min_samples: int, first: str, block_ro
     """``id, cluster`` of ``points(group, id long, x array<double>)``; noise has no row. A row counts as its own neighbour.
 
     Clusters of a group are numbered from 0 in order of their first core row by the column
-    ``first``; a border row joins the first of the clusters that reach it.
+    ``first``; a border row joins the first of the clusters that reach it. Up to ``min_samples``
+    2 every row with a neighbour is core: links alone tell which those are, no row is a border,
+    and distances are taken once.
     """
     rows, blocks = blocked(points, block_rows=block_rows)
     pairs = cut(block_pairs(blocks, eps))
     core = rows.select("group", "id")
-    if min_samples > 1:
-        core = core.join(neighbour_counts(rows, pairs, blocks, eps).where(F.col("n") + 1 >= min_samples).select("id"), "id", "left_semi")
-    core = cut(core)
-    links = core_links(rows.join(core.select("id"), "id", "left_semi"), pairs, blocks, eps)
-    core = core.join(components(links).withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    if min_samples > 2:
+        core = cut(core.join(neighbour_counts(rows, pairs, blocks, eps).where(F.col("n") + 1 >= min_samples).select("id"), "id", "left_semi"))
+        links = core_links(rows.join(core.select("id"), "id", "left_semi"), pairs, blocks, eps)
+    else:
+        links = core_links(rows, pairs, blocks, eps)
+    core = core.join(components(links).withColumnRenamed("node", "id"), "id", "inner" if min_samples == 2 else "left").withColumn("component", F.coalesce("component", "id"))
     order = core.join(points.select("id", F.col(first).alias("_first")), "id").groupBy("group", "component").agg(F.min("_first").alias("_first"))
     order = order.select("component", (F.dense_rank().over(Window.partitionBy("group").orderBy("_first")) - 1).cast("long").alias("cluster"))
     core = cut(core.join(order, "component").select("id", "cluster"))
-    if min_samples <= 1:
+    if min_samples <= 2:
         return core
     return core.unionByName(border_clusters(rows.join(core, "id", "left"), pairs, blocks, eps))
