@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -176,12 +178,12 @@ def dbscan(df: DataFrame, group: str, keys: list[str], features: str | list[str]
     return out.select(group, *keys, F.when(F.col("_x").isNotNull(), F.coalesce("cluster", F.lit(-1))).cast("int").alias("cluster"))
 
 
-def grouped_kmeans(df: DataFrame, group: str, key: str, array: str, k: int = 3, rounds: int = 20) -> tuple[DataFrame, DataFrame]:
+def grouped_kmeans(df: DataFrame, group: str, key: str, array: str, k: int = 3, rounds: int = 20, block_rows: int = 4096) -> tuple[DataFrame, DataFrame]:
     """``group, key, cluster`` with k centres for each group, fitted for all groups at once; and ``group, cluster, centre``.
 
     Centres begin at the first k different vectors in order of a hash of the key, and move to
-    the means of their rows until nothing changes or ``rounds`` are over. A group's centres are one
-    short array that its rows meet by group; means are mergeable sums. A group with fewer
+    the means of their rows until nothing changes or ``rounds`` are over. A group's rows lie in
+    blocks of about ``block_rows``, which meet the group's centres; means are mergeable sums. A group with fewer
     different vectors than k has fewer clusters; a row of equal distances joins the smaller
     number; rows without a vector, or with a missing element, or without a group, are left out.
     """
@@ -192,21 +194,50 @@ def grouped_kmeans(df: DataFrame, group: str, key: str, array: str, k: int = 3,
     w = Window.partitionBy(group).orderBy("_o")
     start = start.withColumn("cluster", (F.row_number().over(w) - 1).cast("int")).where(F.col("cluster") < k)
     centres = cut(start.select(group, "cluster", F.col("_x").alias("centre")))
-
-    def assigned(centres: DataFrame) -> DataFrame:
-        banks = centres.groupBy(group).agg(F.sort_array(F.collect_list(F.struct("cluster", "centre"))).alias("_bank"))
-        gap = lambda c: F.aggregate(F.zip_with("_x", c["centre"], lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
-        best = F.array_min(F.transform("_bank", lambda c: F.struct(gap(c).alias("d"), c["cluster"].alias("cluster"))))
-        return rows.join(banks, group).select(group, key, "_x", best["cluster"].alias("cluster"))
-
+    # Rows lie in blocks of a group; a block meets its group's centres as one row.
+    n = rows.groupBy(group).agg(F.ceil(F.count("*") / block_rows).alias("_blocks"))
+    blocks = rows.join(n, group).groupBy(group, F.pmod(F.xxhash64(key, F.lit("block")), "_blocks").alias("_block"))
+    blocks = cut(blocks.agg(F.collect_list(F.struct(key, "_x")).alias("_r")).select(group, F.col(f"_r.{key}").alias("_keys"), F.flatten("_r._x").alias("_flat")))
+    named = blocks.select(group, "_keys").schema
+
+    def met(centres: DataFrame, work: Callable, schema: T.StructType) -> DataFrame:
+        banks = centres.groupBy(group).agg(F.sort_array(F.collect_list(F.struct("cluster", "centre"))).alias("_b"))
+        banks = banks.select(group, F.col("_b.cluster").alias("_names"), F.flatten("_b.centre").alias("_bank"))
+
+        def run(batches):
+            for batch in batches:
+                for at in range(batch.num_rows):
+                    one = {c: batch.column(c)[at] for c in batch.schema.names}
+                    names, keys = one["_names"].values.to_numpy(), one["_keys"].values
+                    held, flat = (one[c].values.to_numpy(zero_copy_only=False) for c in ("_bank", "_flat"))
+                    x, held = flat.reshape(len(keys), -1), held.reshape(len(names), -1)
+                    best = np.stack([((x - c) ** 2).sum(axis=1) for c in held]).argmin(axis=0)
+                    yield from work(one[group], keys, names, x, best)
+
+        return blocks.join(banks, group).mapInArrow(run, schema)
+
+    def sums(unit, keys, names, x, best):
+        there = np.unique(best)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([unit.as_py()] * len(there), unit.type), pa.array(names[there], pa.int32()), pa.array(np.bincount(best)[there]), pa.array([x[best == c].sum(axis=0) for c in there], pa.list_(pa.float64()))],
+            [group, "cluster", "_n", "_sum"],
+        )
+
+    def labels(unit, keys, names, x, best):
+        yield pa.RecordBatch.from_arrays([pa.array([unit.as_py()], unit.type), pa.ListArray.from_arrays([0, len(keys)], keys), pa.array([names[best]], pa.list_(pa.int32()))], [group, "_keys", "_clusters"])
+
+    summed = T.StructType([named[group], T.StructField("cluster", T.IntegerType()), T.StructField("_n", T.LongType()), T.StructField("_sum", T.ArrayType(T.DoubleType()))])
     for _ in range(rounds):
-        means = assigned(centres).groupBy(group, "cluster").agg(vector_to_array(Summarizer.mean(array_to_vector("_x"))).alias("_mean"))
+        means = met(centres, sums, summed).groupBy(group, "cluster").agg(F.sum("_n").alias("_n"), vector_to_array(Summarizer.sum(array_to_vector("_sum"))).alias("_sum"))
+        means = means.select(group, "cluster", F.transform("_sum", lambda v: v / F.col("_n")).alias("_mean"))
         moved = centres.join(means, [group, "cluster"], "left").select(group, "cluster", F.coalesce("_mean", "centre").alias("centre"), (F.coalesce("_mean", "centre") != F.col("centre")).alias("_moved"))
         moved = cut(moved)
         centres = moved.drop("_moved")
         if not moved.where("_moved").limit(1).count():
             break
-    return assigned(centres).drop("_x"), centres
+    found = met(centres, labels, T.StructType([named[group], named["_keys"], T.StructField("_clusters", T.ArrayType(T.IntegerType()))]))
+    found = found.select(group, F.explode(F.arrays_zip("_keys", "_clusters")).alias("_z"))
+    return found.select(group, F.col("_z._keys").alias(key), F.col("_z._clusters").alias("cluster")), centres
 
 
 def noise(labels: DataFrame) -> DataFrame:

@@ -61,14 +61,19 @@ EXTRACTORS: dict[str, Extractor] = {"raw": raw_pixels, "small": small_pixels(),
 CLUSTERERS: dict[str, Clusterer] = {"dbscan": by_dbscan(), "kmeans": by_kmeans()}
 
 
+def vectors(pixels: DataFrame, units: DataFrame, extractor: str | Extractor) -> DataFrame:
+    """``unit, patch, features``: what clusterers take, also several of them."""
+    extract = EXTRACTORS[extractor] if isinstance(extractor, str) else extractor
+    return extract(pixels).join(units.select("patch", "unit"), "patch").select("unit", "patch", "features")
+
+
 def process(pixels: DataFrame, units: DataFrame, extractor: str | Extractor, clusterer: str | Clusterer) -> DataFrame:
     """``unit, patch, cluster`` for all units; ``units``: ``patch, unit``. Names are those of the registries."""
     for name, known in ((extractor, EXTRACTORS), (clusterer, CLUSTERERS)):
         if isinstance(name, str) and name not in known:
             raise KeyError(f"unknown: {name}; known: {sorted(known)}")
-    extract = EXTRACTORS[extractor] if isinstance(extractor, str) else extractor
     cluster = CLUSTERERS[clusterer] if isinstance(clusterer, str) else clusterer
-    return cluster(extract(pixels).join(units.select("patch", "unit"), "patch").select("unit", "patch", "features")).select("unit", "patch", "cluster")
+    return cluster(vectors(pixels, units, extractor)).select("unit", "patch", "cluster")
 
 
 def noise_of_frames(labels: DataFrame, frames: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from facetwatch.functions.patches import pixel_table
+from facetwatch.functions.patches import dealt_rows, pixel_table
 
 L_FEATURES = ["quantity", "price", "discount", "tax"]
 L_LOWER = ["discount", "tax"]
@@ -44,8 +44,12 @@ OBS_E = """obs AS (SELECT strftime(ts, '%Y-%m-%d') AS frame, user_id AS unit, ro
 
 
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Embeddings as 8 x 8 gray patches."""
-    return pixel_table(read(spark, sf_dir, "embeddings"), "vec_id", "embedding", 8)
+    """Embeddings as 8 x 8 gray patches.
+
+    Rows are dealt out by patch before they become pixels: a table may be one file with one row
+    group, which one task reads, and what groups or orders by patch needs no other exchange.
+    """
+    return pixel_table(dealt_rows(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "vec_id", 64), "vec_id", "embedding", 8)
 
 
 PIXELS = """raw AS (SELECT vec_id AS patch, unnest(embedding) AS e, unnest(range(64)) AS k FROM embeddings),

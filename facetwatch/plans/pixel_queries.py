@@ -17,7 +17,7 @@ from facetwatch.functions import colours as colour
 from facetwatch.functions import frames, patches, raster, regions, spectra
 from facetwatch.functions.patches import LAPLACE, SOBEL_X, SOBEL_Y
 from facetwatch.operators import pluggable
-from facetwatch.operators.lineage import scratch
+from facetwatch.operators.lineage import cut, scratch
 from facetwatch.plans.inputs import COLOURS, PIXELS, colours, pixels, read
 from facetwatch.plans.queries import _FIVE, _GRAD, _moments, _r, _sql_codes, _sql_glcm, _sql_near, query, rnd
 from facetwatch.sources import images, store
@@ -280,8 +280,9 @@ def facet_clusters(spark, sf_dir):
     px, units = pixels(spark, sf_dir), _units(spark, sf_dir)
     parts = []
     for name, eps in _EPS.items():
+        vectors = cut(pluggable.vectors(px, units, name))  # once for both clusterers
         for clusterer, by in (("dbscan", pluggable.by_dbscan(eps, 2)), ("kmeans", pluggable.by_kmeans(3))):
-            sizes = pluggable.process(px, units, name, by).groupBy("unit", "cluster").agg(F.count("*").alias("n"))
+            sizes = by(vectors).groupBy("unit", "cluster").agg(F.count("*").alias("n"))
             parts.append(sizes.select(F.lit(name).alias("extractor"), F.lit(clusterer).alias("clusterer"), "unit", "cluster", "n"))
     out = parts[0]
     for part in parts[1:]:

@@ -3,9 +3,14 @@
 import duckdb
 import numpy as np
 import pytest
+from oracle import DATA
 from pyspark.sql import functions as F
 
-from facetwatch.operators import ml, pluggable
+import __spark_entry__  # noqa: F401  registers all queries
+from facetwatch.functions import patches
+from facetwatch.operators import ml, nearness, pluggable
+from facetwatch.plans.inputs import pixels
+from facetwatch.plans.queries import QUERIES
 
 
 def vectors(spark, seed=1):
@@ -72,3 +77,37 @@ def test_scores_equal_a_walk_in_sql_over_the_stored_nodes(spark):
     assert n.groupby(["unit", "tree", "node"]).size().max() == 1 and n.groupby("unit").tree.nunique().max() == 12
     top = s[s.unit == 0].sort_values("score").frame.iloc[-1]
     assert top == 99
+
+
+def test_kmeans_in_blocks_equals_one_block(spark):
+    _, df = vectors(spark, 3)
+    one, many = (ml.grouped_kmeans(df, "unit", "patch", "features", 4, block_rows=n) for n in (4096, 7))
+    assert {tuple(r) for r in one[0].collect()} == {tuple(r) for r in many[0].collect()}
+
+
+def test_an_extractor_runs_once_for_both_clusterers(spark, monkeypatch):
+    calls = []
+    for name in ("raw", "statistics"):
+        own = pluggable.EXTRACTORS[name]
+        monkeypatch.setitem(pluggable.EXTRACTORS, name, lambda px, name=name, own=own: calls.append(name) or own(px))
+    QUERIES["facet_clusters"](spark, DATA)
+    assert sorted(calls) == ["raw", "statistics"]
+
+
+def test_two_samples_take_distances_once(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    x = {g: rng.uniform(0, 9, (300, 2)) for g in (0, 1)}
+    df = spark.createDataFrame([(g, i, [float(v) for v in row]) for g, m in x.items() for i, row in enumerate(m)], "unit int, patch long, features array<double>")
+    passes, run = [], nearness._run
+    monkeypatch.setattr(nearness, "_run", lambda *a: passes.append(a) or run(*a))
+    got = {(r.unit, r.patch): r.cluster for r in ml.dbscan(df, "unit", ["patch"], "features", 0.3, 2).collect()}
+    assert got == {(g, i): int(c) for g, m in x.items() for i, c in enumerate(ml.dbscan_labels(m, 0.3, 2))}
+    assert len(passes) == 1 and len(set(got.values())) > 20 and -1 in got.values()
+
+
+def test_rows_of_one_file_are_dealt_out_before_they_become_pixels(spark, monkeypatch):
+    monkeypatch.setattr(patches, "PART_PIXELS", 1_000)
+    sums = pixels(spark, DATA).groupBy("patch").agg(F.sum("v"))
+    assert sums.count() == 500
+    plan = sums._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert ", 32), REPARTITION_BY_NUM" in plan and plan.count("hashpartitioning(") == 1
