@@ -2,7 +2,7 @@
 
 Connected parts are found without holding a patch in a task: pixels become runs
 of their row by a window, runs meet overlapping runs of the next row in an
-equality join on patch and row, and ``components`` joins them up. Patches may have
+equality join on patch and row, and ``components_in_parts`` joins them up, bands of rows first. Patches may have
 any key; where it is a whole number it must be below 2 ** 39, and sides at most 4096
 pixels, so that a pixel is one number. Places start at 0.
 """
@@ -12,10 +12,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from facetwatch.functions.patches import LAPLACE, SOBEL_X, SOBEL_Y, convolve, lbp_codes
-from facetwatch.operators.lineage import components, cut
+from facetwatch.functions.patches import LAPLACE, SOBEL_X, SOBEL_Y, convolve, dealt, lbp_codes
+from facetwatch.operators.lineage import components, components_in_parts, cut
 
 SIDE = 12
+#: Rows of a patch, as a power of two, whose runs are joined up in one task.
+BAND = 8
 #: Tangent of 22.5 degrees in 15 bits, and thresholds of the edge measure.
 TAN_22 = 13573
 LOW, HIGH = 50, 150
@@ -46,7 +48,9 @@ def _touching(a: DataFrame, b: DataFrame, slack: int = 0) -> DataFrame:
 
 def _labelled(parts: DataFrame, links: DataFrame, node: str = "node", label: str = "part") -> DataFrame:
     """``parts`` with the smallest node that each hangs together with."""
-    found = components(links).select(F.col("node").alias(node), F.col("component").alias(label))
+    # Pixels of a patch and some of its rows lie together: the number without its lower digits. Only links between such bands are left for rounds.
+    band = (lambda c: F.shiftright(c, SIDE + BAND)) if links.schema["a"].dataType.simpleString() == "bigint" else None
+    found = (components_in_parts(links, band) if band else components(links)).select(F.col("node").alias(node), F.col("component").alias(label))
     return parts.join(found, node, "left").withColumn(label, F.coalesce(label, node))
 
 
@@ -200,7 +204,7 @@ def masked_edges(pixels: DataFrame, mask: DataFrame, least: int = 10) -> DataFra
     NULL below ``least`` pixels in the core; patches without a mask have no row.
     """
     filled = cut(nearest_inside(pixels, mask).select("patch", "y", "x", "v"))
-    slopes = cut(gradients(filled))
+    slopes = cut(gradients(dealt(filled)))
     edge = canny(slopes).withColumn("_e", F.lit(1))
     inner = slopes.join(core(mask), ["patch", "y", "x"]).join(edge, ["patch", "y", "x"], "left")
     mag, lap = F.sqrt(F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy")), F.abs("lap")

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import math
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -90,3 +94,44 @@ def components(edges: DataFrame) -> DataFrame:
         pairs = fewer(pairs, rows)
     roots = pairs.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+
+
+#: Links that a task joins up at once.
+PART_LINKS = 64_000
+
+
+def components_in_parts(edges: DataFrame, band: Callable[[Column], Column]) -> DataFrame:
+    """``components`` of ``edges(a long, b long)`` where most links are between nodes of one ``band``, which has a bounded number of them.
+
+    Bands are dealt to parts of about ``PART_LINKS`` links, and each part joins its own up. Only
+    links between bands are left for the rounds of ``components``, between the smallest nodes
+    of what hangs together in a band; without such links there are no rounds.
+    """
+    pairs = cut(edges.where("a is not null and b is not null and a <> b").select("a", "b", band(F.col("a")).alias("_a"), band(F.col("b")).alias("_b")))
+    inner, outer = pairs.where("_a = _b"), pairs.where("_a <> _b").select("a", "b")
+    parts = math.ceil(pairs.count() / PART_LINKS)
+
+    def join_up(links: pa.Table) -> pa.Table:
+        ends = np.concatenate([links.column(c).to_numpy() for c in "ab"])
+        nodes, at = np.unique(ends, return_inverse=True)
+        (i, j), root = np.split(at, 2), np.arange(len(nodes))
+        while True:
+            p, q = root[i], root[j]
+            differ = p != q
+            if not differ.any():
+                return pa.table({"node": nodes, "root": nodes[root]})
+            i, j = i[differ], j[differ]
+            np.minimum.at(root, np.maximum(p, q)[differ], np.minimum(p, q)[differ])
+            while (root[root] != root).any():
+                root = root[root]
+
+    found = inner.groupBy(F.pmod(F.xxhash64("_a"), F.lit(max(1, parts))).alias("_part")).applyInArrow(join_up, "node long, root long")
+    if not outer.limit(1).count():
+        return cut(found.withColumnRenamed("root", "component"))
+    found = cut(found)
+    of = lambda c: found.select(F.col("node").alias(c), F.col("root").alias(f"_{c}"))
+    between = outer.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b"))
+    whole = cut(components(between).withColumnRenamed("node", "root"))
+    out = found.join(whole, "root", "left").select("node", F.coalesce("component", "root").alias("component"))
+    alone = whole.join(found.select(F.col("node").alias("root")), "root", "left_anti")
+    return out.unionByName(alone.select(F.col("root").alias("node"), "component"))

@@ -8,6 +8,7 @@ from oracle import DATA
 from pyspark.sql import functions as F
 
 from facetwatch.functions import patches, raster, regions
+from facetwatch.operators import lineage
 
 
 def pixel_rows(spark, images):
@@ -202,3 +203,14 @@ def test_parts_grow_with_the_pixels(spark, monkeypatch):
     table = patches.family_table(px, ["texture"])
     assert table.count() == 500
     assert "hashpartitioning(patch#" in (plan := table._jdf.queryExecution().executedPlan().toString()) and ", 32), REPARTITION_BY_NUM" in plan
+
+
+def test_bands_hang_together(spark, monkeypatch):
+    """Parts that reach over bands are those of plain loops; within one band there are no rounds of components."""
+    imgs = images(11)
+    want = {k: m for k, img in imgs.items() if (m := plain_mask(img, 50))}
+    calls, whole = [], lineage.components
+    monkeypatch.setattr(lineage, "components", lambda edges: calls.append(1) or whole(edges))
+    assert got(regions.patch_mask(pixel_rows(spark, imgs), 50)) == want and not calls
+    monkeypatch.setattr(regions, "BAND", 1)
+    assert got(regions.patch_mask(pixel_rows(spark, imgs), 50)) == want and calls
