@@ -175,19 +175,20 @@ def nearest_inside(pixels: DataFrame, mask: DataFrame) -> DataFrame:
     Two passes: up and down each column by windows, then along each row over the row's
     columns, which are one array. Patches without a mask have no rows.
     """
-    rows = pixels.select("patch", "y", "x").join(mask.select("patch", "y", "x", F.lit(True).alias("_in")), ["patch", "y", "x"], "left")
+    rows = pixels.select("patch", "y", "x", "v").join(mask.select("patch", "y", "x", F.lit(True).alias("_in")), ["patch", "y", "x"], "left")
     w = Window.partitionBy("patch", "x").orderBy("y")
-    here = F.when(F.col("_in"), F.col("y"))
+    # A pixel of the mask goes with its level, so that no level is looked up afterwards.
+    here = F.when(F.col("_in"), F.struct("y", "v"))
     up = F.last(here, ignorenulls=True).over(w)
     down = F.first(here, ignorenulls=True).over(w.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    near = F.when(down.isNull() | (F.col("y") - up <= down - F.col("y")), up).otherwise(down)
-    columns = rows.select("patch", "y", "x", near.alias("_near"))
-    lines = columns.groupBy("patch", "y").agg(F.collect_list("x").alias("_xs"), F.collect_list(F.when(F.col("_near").isNotNull(), F.struct(F.col("x").cast("long").alias("x"), F.col("_near").cast("long").alias("y")))).alias("_line"))
+    columns = rows.select("patch", "y", "x", up.alias("_up"), down.alias("_down"))
+    near = F.when(F.col("_down").isNull() | (F.col("y") - F.col("_up.y") <= F.col("_down.y") - F.col("y")), F.col("_up")).otherwise(F.col("_down"))
+    columns = columns.select("patch", "y", "x", near.alias("_near"))
+    lines = columns.groupBy("patch", "y").agg(F.collect_list("x").alias("_xs"), F.collect_list(F.when(F.col("_near").isNotNull(), F.struct(F.col("x").cast("long").alias("x"), F.col("_near.y").cast("long").alias("y"), F.col("_near.v").alias("v")))).alias("_line"))
     spread = lines.where(F.size("_line") > 0).select("patch", "y", F.explode("_xs").alias("x"), "_line")
-    best = F.array_min(F.transform("_line", lambda c: F.struct(((c["x"] - F.col("x")) * (c["x"] - F.col("x")) + (c["y"] - F.col("y")) * (c["y"] - F.col("y"))).alias("d"), c["y"].alias("y"), c["x"].alias("x"))))
-    out = spread.select("patch", "y", "x", best.alias("_b")).select("patch", "y", "x", F.col("_b.y").alias("from_y"), F.col("_b.x").alias("from_x"))
-    values = pixels.select("patch", F.col("y").cast("long").alias("from_y"), F.col("x").cast("long").alias("from_x"), "v")
-    return out.join(values, ["patch", "from_y", "from_x"]).select("patch", "y", "x", "from_y", "from_x", "v")
+    best = F.array_min(F.transform("_line", lambda c: F.struct(((c["x"] - F.col("x")) * (c["x"] - F.col("x")) + (c["y"] - F.col("y")) * (c["y"] - F.col("y"))).alias("d"), c["y"].alias("y"), c["x"].alias("x"), c["v"].alias("v"))))
+    out = spread.select("patch", "y", "x", best.alias("_b"))
+    return out.select("patch", "y", "x", F.col("_b.y").alias("from_y"), F.col("_b.x").alias("from_x"), F.col("_b.v").alias("v"))
 
 
 def core(mask: DataFrame, radius: int = 1) -> DataFrame:
