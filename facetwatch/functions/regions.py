@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from facetwatch.functions.patches import LAPLACE, SOBEL_X, SOBEL_Y, convolve, dealt, lbp_codes
+from facetwatch.functions.patches import LAPLACE, SOBEL_X, SOBEL_Y, convolve, dealt, lbp_codes, neighbours
 from facetwatch.operators.lineage import components, components_in_parts, cut
 
 SIDE = 12
@@ -30,13 +30,16 @@ def place_id(rows: DataFrame, x: str = "x") -> Column:
     return F.shiftleft(F.col("patch").cast("long"), 2 * SIDE) + F.shiftleft(F.col("y").cast("long"), SIDE) + F.col(x).cast("long")
 
 
-def runs(pixels: DataFrame, bit: Column) -> DataFrame:
-    """``patch, y, first, last, bit, node``: stretches of a row whose pixels have the same bit; ``node`` is the first pixel's number."""
+def runs(pixels: DataFrame, bit: Column, mark: Column | None = None) -> DataFrame:
+    """``patch, y, first, last, bit, node``: stretches of a row whose pixels have the same bit; ``node`` is the first pixel's number.
+
+    With ``mark`` also ``any``: whether one of the pixels has it.
+    """
     w = Window.partitionBy("patch", "y").orderBy("x")
-    rows = pixels.select("patch", "y", "x", bit.alias("bit"))
+    rows = pixels.select("patch", "y", "x", bit.alias("bit"), *([] if mark is None else [mark.alias("_mark")]))
     starts = F.coalesce((F.lag("bit").over(w) != F.col("bit")) | (F.lag("x").over(w) != F.col("x") - 1), F.lit(True))
     rows = rows.withColumn("_new", starts).withColumn("first", F.last(F.when(F.col("_new"), F.col("x")), ignorenulls=True).over(w))
-    return rows.groupBy("patch", "y", "first", "bit").agg(F.max("x").alias("last")).withColumn("node", place_id(pixels, "first"))
+    return rows.groupBy("patch", "y", "first", "bit").agg(F.max("x").alias("last"), *([] if mark is None else [F.max("_mark").alias("any")])).withColumn("node", place_id(pixels, "first"))
 
 
 def _touching(a: DataFrame, b: DataFrame, slack: int = 0) -> DataFrame:
@@ -79,15 +82,6 @@ def patch_mask(pixels: DataFrame, threshold: float = 0) -> DataFrame:
     return whole.join(top, ["patch", "mask"]).select("patch", "y", F.explode(F.sequence("first", "last")).alias("x"))
 
 
-def neighbours(rows: DataFrame, value: str, offsets: dict[str, tuple[int, int]], keep: list[str], missing: Column) -> DataFrame:
-    """``rows`` with the value at each offset, ``missing`` where there is no pixel; every pixel sends its value to those that ask for it."""
-    sent = F.explode(F.array(*(F.struct(F.lit(n).alias("n"), F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for n, (dy, dx) in ({"": (0, 0)} | offsets).items())))
-    wide = rows.select("patch", "y", "x", value, *keep, sent.alias("s")).select("patch", (F.col("y") - F.col("s.dy")).alias("y"), (F.col("x") - F.col("s.dx")).alias("x"), F.col("s.n").alias("_n"), F.col(value).alias("_v"), *keep)
-    own = F.col("_n") == ""
-    out = wide.groupBy("patch", "y", "x").agg(F.max(own).alias("_own"), F.max(F.when(own, F.col("_v"))).alias(value), *(F.max(F.when(own, F.col(c))).alias(c) for c in keep), *(F.coalesce(F.max(F.when(F.col("_n") == n, F.col("_v"))), missing).alias(n) for n in offsets))
-    return out.where("_own").drop("_own")
-
-
 def padded(pixels: DataFrame, values: tuple[str, ...] = ("v",), mirror: bool = False) -> DataFrame:
     """``pixels`` with one more pixel on each side: the border's own, or with ``mirror`` the one behind it (a side of one pixel repeats it)."""
     w = Window.partitionBy("patch")
@@ -103,7 +97,7 @@ def padded(pixels: DataFrame, values: tuple[str, ...] = ("v",), mirror: bool = F
 
 def gradients(pixels: DataFrame, mirror: bool = False) -> DataFrame:
     """``patch, y, x, gx, gy, lap`` of every pixel; ``mirror`` says what counts beyond the border, see ``padded``."""
-    return convolve(padded(pixels, mirror=mirror), {"gx": SOBEL_X, "gy": SOBEL_Y, "lap": LAPLACE})
+    return convolve(pixels, {"gx": SOBEL_X, "gy": SOBEL_Y, "lap": LAPLACE}, border="mirror" if mirror else "repeat")
 
 
 #: Weight of the trace in the corner measure, and the share of the largest that makes a corner.
@@ -153,14 +147,11 @@ def thin_edges(gradient: DataFrame) -> DataFrame:
 
 def canny(gradient: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
     """``patch, y, x`` of edge pixels: thin edges above ``low`` that hang together, by sides or corners, with one above ``high``."""
-    weak = cut(thin_edges(gradient).where(F.col("m") > low).withColumn("bit", F.col("m") > high))
-    lines = runs(weak, F.lit(True))
-    strong = weak.where("bit").select("patch", "y", "x").withColumn("node", place_id(weak))
-    lines = cut(lines)
+    # The strongest pixel of a line goes with it, so that no pixel is looked up afterwards, and lines are made where the thin edges are.
+    lines = cut(runs(thin_edges(gradient).where(F.col("m") > low), F.lit(True), F.col("m") > high))
     parts = cut(_labelled(lines, _touching(lines, lines, slack=1).select("a", "b")))
-    pixels = parts.select("patch", "y", F.explode(F.sequence("first", "last")).alias("x"), "part").withColumn("node", place_id(weak))
-    seeds = pixels.join(strong.select("node"), "node", "left_semi").select("part").distinct()
-    return pixels.join(seeds, "part", "left_semi").select("patch", "y", "x")
+    seeds = parts.where("any").select("part").distinct()
+    return parts.join(seeds, "part", "left_semi").select("patch", "y", F.explode(F.sequence("first", "last")).alias("x"))
 
 
 def edge_density(pixels: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 import pytest
 from oracle import DATA
@@ -214,3 +215,63 @@ def test_bands_hang_together(spark, monkeypatch):
     assert got(regions.patch_mask(pixel_rows(spark, imgs), 50)) == want and not calls
     monkeypatch.setattr(regions, "BAND", 1)
     assert got(regions.patch_mask(pixel_rows(spark, imgs), 50)) == want and calls
+
+
+def holes(seed=13):
+    """Places with some missing, and some without a level."""
+    rng = random.Random(seed)
+    sizes = {1: (9, 7), 2: (1, 6), 3: (6, 1), 4: (1, 1), 5: (12, 12)}
+    return {(k, y, x): rng.choice((None, *range(1, 256))) for k, (h, w) in sizes.items() for y in range(h) for x in range(w) if k == 4 or rng.random() < 0.9}
+
+
+def level_rows(spark, levels):
+    return spark.createDataFrame([(*c, v) for c, v in levels.items()], "patch long, y int, x int, v int").repartition(3)
+
+
+@pytest.mark.parametrize("kernels", [{"gx": patches.SOBEL_X, "gy": patches.SOBEL_Y}, {"lap": patches.LAPLACE}, {"far": {(0, -3): 1.0, (-2, 0): 2.0, (0, 2): -1.0}}, {"skew": {(1, 2): 1.0, (-1, 1): 3.0}}])
+def test_weighted_neighbours_equal_plain_loops(spark, kernels):
+    levels = holes()
+    offsets = {o for k in kernels.values() for o in k} | {(0, 0)}
+    want = {}
+    for p, y, x in levels:
+        near = {o: (p, y + o[0], x + o[1]) for o in offsets}
+        if all(c in levels for c in near.values()):
+            some = any(levels[c] is not None for c in near.values())
+            want[p, y, x] = [sum(w * (levels[near[o]] or 0) for o, w in k.items()) if some else None for k in kernels.values()]
+    rows = patches.convolve(level_rows(spark, levels), kernels).collect()
+    assert {(r.patch, r.y, r.x): [r[n] for n in kernels] for r in rows} == want and len(rows) == len(want) > 5
+
+
+@pytest.mark.parametrize("mirror", [False, True])
+def test_borders_equal_padded_patches(spark, mirror):
+    """What counts beyond the border is what ``padded`` puts there, also beside missing pixels."""
+    px = level_rows(spark, holes(17))
+    kernels = {"gx": patches.SOBEL_X, "gy": patches.SOBEL_Y, "lap": patches.LAPLACE}
+    want = patches.convolve(regions.padded(px, mirror=mirror), kernels).collect()
+    assert sorted(map(tuple, regions.gradients(px, mirror).collect()), key=repr) == sorted(map(tuple, want), key=repr) and len(want) > 60
+
+
+@pytest.mark.parametrize("distance", [1, 2])
+def test_pairs_of_levels_equal_plain_loops(spark, distance):
+    levels, want = holes(19), {}
+    for (p, y, x), v in levels.items():
+        for a, (dy, dx) in enumerate(patches.ANGLES):
+            other = (p, y + dy * distance, x + dx * distance)
+            if other in levels:
+                pair = (p, a, *(None if c is None else c * 8 // 256 for c in (v, levels[other])))
+                want[pair] = want.get(pair, 0) + 1
+    rows = patches.glcm(level_rows(spark, levels), 8, distance, symmetric=False).collect()
+    assert {(r.patch, r.angle, r.i, r.j): r.n for r in rows} == want and len(rows) == len(want)
+
+
+def test_families_need_no_exchange_besides_the_dealing(spark):
+    """Neighbours are read where the patch lies; pixels are neither multiplied nor dealt out by place."""
+    px = patches.pixel_table(spark.read.parquet(f"{DATA}/embeddings.parquet"), "vec_id", "embedding", 8)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = patches.family_table(px, ["glcm", "lbp", "edges"])._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    keys = set(re.findall(r"hashpartitioning\((.*?), \d+\)", plan))
+    assert keys and all(re.fullmatch(r"patch#\d+L", k) for k in keys)
